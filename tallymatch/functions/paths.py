@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Stem and suffix split at the last dot; a leading or a trailing dot starts no suffix.
-NAME_PARTS = r"(?s)^(.+)(\.[^.]+)\z"
+# The suffix starts at the last dot; a leading or a trailing dot starts none.
+SUFFIX = r"(?s)(?<=.)\.[^.]+\z"
 
 
 def path_parts(path: Column) -> Column:
@@ -20,12 +20,12 @@ def file_name(path: Column) -> Column:
 
 def file_stem(name: Column) -> Column:
     """The name without its suffix; the whole name where it has none."""
-    return F.when(name.rlike(NAME_PARTS), F.regexp_extract(name, NAME_PARTS, 1)).otherwise(name)
+    return F.regexp_replace(name, SUFFIX, "")
 
 
 def file_suffix(name: Column) -> Column:
     """The suffix with its dot, or ''."""
-    return F.regexp_extract(name, NAME_PARTS, 2)
+    return F.regexp_extract(name, SUFFIX, 0)
 
 
 def target_path(folder: str, target: Column, source_name: Column) -> Column:

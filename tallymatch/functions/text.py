@@ -8,15 +8,20 @@ from pyspark.sql import functions as F
 # Every code point Python counts as whitespace. Spark's own trim removes U+0020 only, and Java's \s knows six.
 WHITESPACE = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 
-# Characters no file name may hold, and the two names that mean a folder.
-UNSAFE_IN_NAME = r'[<>:"/\\|?*\x00-\x1f]'
-FOLDER_NAMES = ("", ".", "..")
+# Names that mean a folder (none, one or two dots), and the characters no file name may hold.
+UNSAFE_NAME = r'\A\.{0,2}\z|[<>:"/\\|?*\x00-\x1f]'
 
 # A private code point that stands in for dotless i while letter case is folded.
 PARKED = "\ue000"
 
-# A whole number that was stored as a decimal, such as 12345.0 or 12345.00.
-DECIMAL_TAIL = r"(?U)^(\d+)\.0+\z"
+# The fraction of a whole number that was stored as a decimal, such as 12345.0 or 12345.00.
+DECIMAL_TAIL = r"(?U)\A(\d++)\.0+\z"
+
+# Zeros in front of an all-digit key that go when leading zeros do not count; the last digit always stays.
+LEADING_ZEROS = r"(?U)\A0+(?=\d+\z)"
+
+# The functions name their input once where they can: filters are evaluated as written, so every further mention of a
+# cleaned column would clean it again.
 
 
 def clean_cell(value: Column | str, dtype: str = "string") -> Column:
@@ -42,8 +47,7 @@ def clean_cell(value: Column | str, dtype: str = "string") -> Column:
     if dtype == "boolean":
         return F.coalesce(F.initcap(cell.cast("string")), F.lit(""))
     text = F.btrim(F.coalesce(cell.cast("string"), F.lit("")), F.lit(WHITESPACE))
-    # The endswith test keeps the regular expression off nearly all cells.
-    return F.when(text.endswith(".0") | text.endswith("00"), F.regexp_replace(text, DECIMAL_TAIL, "$1")).otherwise(text)
+    return F.regexp_replace(text, DECIMAL_TAIL, "$1")
 
 
 def squeeze(text: Column) -> Column:
@@ -53,8 +57,7 @@ def squeeze(text: Column) -> Column:
 
 def strip_zeros(key: Column) -> Column:
     """All-digit keys without leading zeros; a key of zeros only becomes a single zero."""
-    short = F.ltrim(key, F.lit("0"))
-    return F.when(key.rlike(r"(?U)^\d+\z"), F.when(short == "", F.lit("0")).otherwise(short)).otherwise(key)
+    return F.regexp_replace(key, LEADING_ZEROS, "")
 
 
 def key_of_text(text: Column, zeros: bool = False) -> Column:
@@ -75,7 +78,7 @@ def clean_target(value: Column | str, dtype: str = "string") -> Column:
 
 def is_safe_name(name: Column) -> Column:
     """True where the text can be a file name on every common system."""
-    return ~(name.isin(*FOLDER_NAMES) | name.rlike(UNSAFE_IN_NAME))
+    return ~name.rlike(UNSAFE_NAME)
 
 
 def header_token(header: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymatch.functions.paths import path_parts
@@ -34,6 +34,22 @@ def asset_groups(assets: DataFrame) -> DataFrame:
     return assets.groupBy("key").agg(F.count(F.lit(1)).alias("n_assets"), F.min("path").alias("path"))
 
 
+def key_ledger(roster: DataFrame, assets: DataFrame) -> DataFrame:
+    """Both sides counted in one pass: (key, n_rows, n_assets, path), one row per key that is on either side.
+
+    The two inputs are reduced per key before anything is shuffled and meet in a single exchange, so a key that holds
+    a third of all rows costs one entry per input partition. ``path`` is the source where there is exactly one asset.
+    """
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    rows = roster.filter("key <> ''").select("key", one.alias("r"), none.alias("a"), F.lit(None).cast("string").alias("path"))
+    files = assets.select("key", none.alias("r"), one.alias("a"), "path")
+    return (
+        rows.unionByName(files)
+        .groupBy("key")
+        .agg(F.sum("r").alias("n_rows"), F.sum("a").alias("n_assets"), F.min("path").alias("path"))
+    )
+
+
 def asset_sizes(assets: DataFrame) -> DataFrame:
     """Assets per key: (key, n_assets)."""
     return assets.groupBy("key").agg(F.count(F.lit(1)).alias("n_assets"))
@@ -49,21 +65,15 @@ def asset_listing(assets: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return attach(rows, "key", heaviest(sizes, "key", "n_assets", limits), [sizes], F.xxhash64("path"))
 
 
-def group_names(
-    assets: DataFrame,
-    groups: DataFrame,
-    limits: Limits = Limits(),
-    only: DataFrame | None = None,
-) -> DataFrame:
+def group_names(assets: DataFrame, sizes: DataFrame, limits: Limits = Limits(), only: Column | None = None) -> DataFrame:
     """The sorted file names of each group of two to ``limits.inline_names`` assets: (key, names).
 
     Larger groups are left out here, so no task ever holds more than that many names; ``asset_listing`` has them.
-    ``only`` restricts the keys. The count comes first and the names are gathered only where it allows.
+    ``sizes`` has key and n_assets, ``only`` is a further condition on it. The names are gathered only where it holds.
     """
-    wanted = groups.filter(F.col("n_assets").between(2, limits.inline_names)).select("key")
-    if only is not None:
-        wanted = wanted.join(only, "key", "left_semi")
-    heavy = heaviest(groups, "key", "n_assets", limits).filter(F.col("n_assets") > limits.inline_names).select("key")
+    small = F.col("n_assets").between(2, limits.inline_names)
+    wanted = sizes.filter(small if only is None else small & only).select("key")
+    heavy = heaviest(sizes, "key", "n_assets", limits).filter(~small).select("key")
     names = F.transform(F.array_sort(F.collect_list(path_parts(F.col("path")))), lambda parts: F.element_at(parts, -1))
     return (
         assets.select("key", "path")

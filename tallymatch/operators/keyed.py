@@ -12,6 +12,9 @@ from tallymatch.functions.text import clean_cell, key_of_text, squeeze
 
 DEFAULT_SUFFIXES = (".jpg", ".jpeg")
 
+# A name with something other than whitespace before its suffix, which is what it takes to have a key.
+HAS_STEM = r"(?Us)[^\s\x1c-\x1f].*\.[^.]+\z"
+
 
 def keyed_roster(rows: DataFrame, zeros: bool = False) -> DataFrame:
     """(row_number, key_raw, target_raw, name) of any cell type -> the same as clean text, plus key and target."""
@@ -44,9 +47,8 @@ def keyed_assets(
     stem = file_stem(F.col("file_name"))
     return (
         named_assets(listing)
-        .filter(F.col("suffix").isin(*wanted))
+        .filter(F.col("suffix").isin(*wanted) & F.col("file_name").rlike(HAS_STEM))
         .withColumn("key", key_of_text(clean_cell(stem), zeros))
-        .filter("key <> ''")
     )
 
 

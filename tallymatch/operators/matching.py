@@ -10,7 +10,6 @@ from tallymatch.functions.paths import file_name, target_path
 from tallymatch.functions.text import fold_case, is_safe_name
 from tallymatch.operators.groups import (
     asset_groups,
-    asset_sizes,
     group_names,
     key_counts,
     repeated,
@@ -52,28 +51,26 @@ def with_repeats(roster: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return attach(rows, "folded", heavy_targets, [targets], salt).drop("folded")
 
 
-def facts_of_rows(roster: DataFrame, assets: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def facts_of_rows(
+    roster: DataFrame, assets: DataFrame, ledger: DataFrame, targets: DataFrame, limits: Limits = Limits()
+) -> DataFrame:
     """Every row with what the decision needs: problem, n_rows, n_targets, n_assets, path, names.
 
-    Rows with a problem of their own, and rows of heavy keys, skip the lookups. The two sides of the key lookup are
-    both partitioned by key, so the rows are shuffled once for all three tables.
+    Rows with a problem of their own, and rows of heavy keys, skip the lookups. Ledger and names are both partitioned
+    by key, so the rows are shuffled once for the two.
     """
-    counts = key_counts(roster)
-    keys = repeated(counts, "n_rows")
-    targets = repeated(target_counts(roster), "n_targets")
-    groups = asset_groups(assets)
-    single = counts.filter("n_rows = 1").select("key")
-    names = group_names(assets, groups, limits, only=single)
+    known = ledger.filter("n_rows > 0")
+    names = group_names(assets, ledger, limits, only=F.col("n_rows") == 1)
+    heavy_keys = heaviest(known, "key", "n_rows", limits).select("key", "n_rows")
 
     salt = F.col("row_number")
     rows = roster.withColumn("problem", own_problem())
-    rows = attach(
-        rows, "key", heaviest(keys, "key", "n_rows", limits), [keys, groups, names], salt, F.col("problem").isNull()
-    )
+    rows = attach(rows, "key", heavy_keys, [known, names], salt, F.col("problem").isNull())
+
+    again = repeated(targets, "n_targets")
+    heavy_targets = heaviest(again, "folded", "n_targets", limits)
     rows = rows.withColumn("folded", fold_case(F.col("target")))
-    still_open = F.col("problem").isNull() & F.col("n_rows").isNull()
-    heavy_targets = heaviest(targets, "folded", "n_targets", limits)
-    return attach(rows, "folded", heavy_targets, [targets], salt, still_open).drop("folded")
+    return attach(rows, "folded", heavy_targets, [again], salt, F.col("n_rows") == 1).drop("folded")
 
 
 def row_status() -> Column:
@@ -82,7 +79,7 @@ def row_status() -> Column:
         F.when(F.col("problem").isNotNull(), F.col("problem"))
         .when(F.col("n_rows") > 1, L.DUPLICATE_KEY)
         .when(F.col("n_targets") > 1, L.DUPLICATE_TARGET)
-        .when(F.col("n_assets").isNull(), L.NO_ASSET)
+        .when(F.col("n_assets") == 0, L.NO_ASSET)
         .when(F.col("n_assets") > 1, L.DUPLICATE_ASSET)
         .otherwise(L.PLANNED)
     )
@@ -104,9 +101,16 @@ def row_detail() -> Column:
     )
 
 
-def decide(roster: DataFrame, assets: DataFrame, folder: str, limits: Limits = Limits()) -> DataFrame:
+def decide(
+    roster: DataFrame,
+    assets: DataFrame,
+    ledger: DataFrame,
+    targets: DataFrame,
+    folder: str,
+    limits: Limits = Limits(),
+) -> DataFrame:
     """One row per roster row: its columns plus status, source, destination and detail."""
-    rows = facts_of_rows(roster, assets, limits).withColumn("status", row_status())
+    rows = facts_of_rows(roster, assets, ledger, targets, limits).withColumn("status", row_status())
     planned = F.col("status") == L.PLANNED
     destination = target_path(folder, F.col("target"), file_name(F.col("path")))
     return rows.withColumn("detail", row_detail()).select(
@@ -118,37 +122,32 @@ def decide(roster: DataFrame, assets: DataFrame, folder: str, limits: Limits = L
     )
 
 
-def orphans(roster: DataFrame, assets: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def orphans(assets: DataFrame, ledger: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Assets whose key no row has. A row that was rejected for any other reason still claims its key.
 
     Left anti join on the key. The assets of heavy keys are decided from a broadcast list instead.
     """
-    claimed = key_counts(roster).select("key")
-    sizes = asset_sizes(assets)
-    heavy = (
-        heaviest(sizes, "key", "n_assets", limits)
-        .select("key")
-        .join(claimed.withColumn("is_claimed", F.lit(True)), "key", "left")
-        .withColumn("is_heavy", F.lit(True))
+    claimed = ledger.filter("n_rows > 0").select(F.col("key").alias("probe"))
+    heavy = heaviest(ledger, "key", "n_assets", limits).select(
+        "key", (F.col("n_rows") > 0).alias("is_claimed"), F.lit(True).alias("is_heavy")
     )
     lookup = F.when(F.col("is_heavy").isNull(), F.col("key")).otherwise(own_key(F.xxhash64("path")))
     return (
         assets.join(F.broadcast(heavy), "key", "left")
-        .filter("is_claimed is null")
+        .filter("is_claimed is null or not is_claimed")
         .withColumn("probe", lookup)
-        .join(claimed.withColumnRenamed("key", "probe"), "probe", "left_anti")
+        .join(claimed, "probe", "left_anti")
         .select(*assets.columns)
     )
 
 
-def candidates(decided: DataFrame, assets: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def candidates(decided: DataFrame, assets: DataFrame, ledger: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Every asset a DUPLICATE_ASSET row could mean: (row_number, key, path, file_name), one row per asset.
 
     This is the whole listing behind the detail text. Such a row is the only one with its key, so the table is at most
     as long as the assets.
     """
     rows = decided.filter(F.col("status") == L.DUPLICATE_ASSET).select("key", "row_number")
-    sizes = asset_sizes(assets)
-    heavy = heaviest(sizes, "key", "n_assets", limits).select("key").join(rows, "key", "left")
+    heavy = heaviest(ledger, "key", "n_assets", limits).select("key").join(rows, "key", "left")
     found = attach(assets.select("key", "path", "file_name"), "key", heavy, [rows], F.xxhash64("path"))
     return found.filter("row_number is not null").select("row_number", "key", "path", "file_name")

@@ -1,4 +1,4 @@
-"""The match as one lazy plan: two tables in, audit out. No action is run and nothing is written."""
+"""The match as one plan: two tables in, audit out."""
 
 from __future__ import annotations
 
@@ -8,19 +8,23 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from tallymatch.operators.audit import audit_table
+from tallymatch.operators.groups import key_ledger, target_counts
 from tallymatch.operators.keyed import DEFAULT_SUFFIXES, keyed_assets, keyed_roster
-from tallymatch.operators.matching import decide, orphans
+from tallymatch.operators.matching import candidates, decide, orphans
 from tallymatch.operators.spread import Limits
+from tallymatch.plans.staging import Stage
 
 
 @dataclass(frozen=True)
 class Reconciliation:
-    """The tables of one match. All are lazy and come from the same two inputs."""
+    """The tables of one match, all from the same two inputs."""
 
     roster: DataFrame
     assets: DataFrame
+    ledger: DataFrame
     decided: DataFrame
     orphans: DataFrame
+    candidates: DataFrame
     audit: DataFrame
 
 
@@ -32,16 +36,28 @@ def reconcile(
     suffixes: Sequence[str] = DEFAULT_SUFFIXES,
     zeros: bool = False,
     limits: Limits = Limits(),
+    stage: Stage | None = None,
 ) -> Reconciliation:
     """Match rows (row_number, key_raw, target_raw, name) to assets (path, size).
 
     ``folder`` is where the matched files are to go, ``zeros`` drops leading zeros of all-digit keys on both sides.
+    Without a stage everything stays lazy and nothing is written. With one, the tables that several later steps read
+    (rows and assets with clean keys, counts per key) are written once and read back.
     """
-    return reconcile_keyed(keyed_roster(rows, zeros), keyed_assets(listing, suffixes, zeros), folder, limits)
+    roster, assets = keyed_roster(rows, zeros), keyed_assets(listing, suffixes, zeros)
+    if stage is not None:
+        roster, assets = stage.save(roster, "roster"), stage.save(assets, "assets")
+    return reconcile_keyed(roster, assets, folder, limits, stage)
 
 
-def reconcile_keyed(roster: DataFrame, assets: DataFrame, folder: str, limits: Limits = Limits()) -> Reconciliation:
+def reconcile_keyed(
+    roster: DataFrame, assets: DataFrame, folder: str, limits: Limits = Limits(), stage: Stage | None = None
+) -> Reconciliation:
     """The same for tables whose keys are clean already, for example because they were stored that way."""
-    decided = decide(roster, assets, folder, limits)
-    unclaimed = orphans(roster, assets, limits)
-    return Reconciliation(roster, assets, decided, unclaimed, audit_table(decided, unclaimed))
+    ledger, targets = key_ledger(roster, assets), target_counts(roster)
+    if stage is not None:
+        ledger = stage.save(ledger, "ledger")
+    decided = decide(roster, assets, ledger, targets, folder, limits)
+    unclaimed = orphans(assets, ledger, limits)
+    listing = candidates(decided, assets, ledger, limits)
+    return Reconciliation(roster, assets, ledger, decided, unclaimed, listing, audit_table(decided, unclaimed))
