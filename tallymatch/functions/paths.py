@@ -49,3 +49,15 @@ def resolves_inside(entry: Column) -> Column:
         .otherwise(at + 1),
     )
     return ~entry.startswith("/") & (depth >= 0)
+
+
+def resolved_entry(entry: Column) -> Column:
+    """The entry with its ``.`` and ``..`` steps taken. For entries that ``resolves_inside`` lets through."""
+    steps = F.aggregate(
+        F.split(entry, "/"),
+        F.array().cast("array<string>"),
+        lambda at, part: F.when(part.isin("", "."), at)
+        .when(part == "..", F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0))))
+        .otherwise(F.array_append(at, part)),
+    )
+    return F.array_join(steps, "/")

@@ -65,9 +65,16 @@ def attach(
     found = rows.join(F.broadcast(short), on, "left").withColumn(
         "probe", F.when(open_row, F.col(on)).otherwise(own_key(salt))
     )
+    added: list[str] = []
     for fact in facts:
+        added += [name for name in fact.columns if name != on]
         found = found.join(fact.withColumnRenamed(on, "probe"), "probe", "left")
-    for name in known:
+
+    def answer(name: str) -> Column:
+        if name not in known:
+            return F.col(name)
         short_answer = F.col(f"heavy_{name}")
-        found = found.withColumn(name, F.coalesce(short_answer, F.col(name)) if name in found.columns else short_answer)
-    return found.drop("probe", "is_heavy", *[f"heavy_{name}" for name in known])
+        return (F.coalesce(short_answer, F.col(name)) if name in added else short_answer).alias(name)
+
+    names = dict.fromkeys(added + known)
+    return found.select(*rows.columns, *[answer(name) for name in names])

@@ -24,8 +24,12 @@ class Reconciliation:
     ledger: DataFrame
     decided: DataFrame
     orphans: DataFrame
-    candidates: DataFrame
     audit: DataFrame
+    limits: Limits = Limits()
+
+    def candidates(self, decided: DataFrame | None = None) -> DataFrame:
+        """The whole listing behind the DUPLICATE_ASSET rows, from a stored copy of ``decided`` if there is one."""
+        return candidates(decided or self.decided, self.assets, self.ledger, self.limits)
 
 
 def reconcile(
@@ -59,5 +63,4 @@ def reconcile_keyed(
         ledger = stage.save(ledger, "ledger")
     decided = decide(roster, assets, ledger, targets, folder, limits)
     unclaimed = orphans(assets, ledger, limits)
-    listing = candidates(decided, assets, ledger, limits)
-    return Reconciliation(roster, assets, ledger, decided, unclaimed, listing, audit_table(decided, unclaimed))
+    return Reconciliation(roster, assets, ledger, decided, unclaimed, audit_table(decided, unclaimed), limits)

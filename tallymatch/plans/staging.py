@@ -31,9 +31,11 @@ class Stage:
         self.folder = f"{folder or shared_folder(spark)}/run-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
-        return f"{self.folder}/{name}"
+        """A path below the folder that nothing else uses."""
+        return f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}"
 
     def save(self, table: DataFrame, name: str) -> DataFrame:
         """Write the table once and give it back as read from there: short lineage, exact sizes, prunable columns."""
-        table.write.parquet(self.path(name))
-        return self.spark.read.schema(table.schema).parquet(self.path(name))
+        path = self.path(name)
+        table.write.parquet(path)
+        return self.spark.read.schema(table.schema).parquet(path)
