@@ -17,7 +17,6 @@ from tallymatch.functions import hashing, paths, text
 from tallymatch.operators import audit as A
 from tallymatch.operators import groups, keyed, matching, outcomes
 from tallymatch.plans.reconcile import Reconciliation, reconcile
-from tallymatch.plans.staging import Stage
 import file_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -524,7 +523,7 @@ def oracle_sql() -> dict[str, str]:
             from documents""",
         "clean_key": f"{rows} select row_number, key from roster",
         "clean_key_texts": r"""
-            select doc_id, md5(replace(upper(regexp_replace(text, '\s+', '', 'g')), 'ß', 'SS')) as key_md5
+            select doc_id, md5(upper(replace(regexp_replace(text, '\s+', '', 'g'), 'ß', 'ss'))) as key_md5
             from documents""",
         "strip_zeros": """
             select l_orderkey, l_linenumber,
@@ -554,7 +553,7 @@ def oracle_sql() -> dict[str, str]:
             {files} select path, concat('out/T', size, suffix) as destination from named""",
         "resolves_inside": f"""
             with p as ({X.PAGE_PATHS}),
-            n as (select page_id, path, len(list_filter(string_split(path, '/'), x -> x <> '')) as depth from p)
+            n as (select page_id, path, len(regexp_extract_all(path, '[^/]+')) as depth from p)
             select page_id, not starts_with(path, '/') as absolute, true as relative, false as one_up,
               depth >= 3 as down_and_up, true as and_back
             from n""",

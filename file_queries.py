@@ -1,9 +1,275 @@
-"""Registered queries that go through real files."""
+"""Registered queries that go through real files.
 
+Every query writes its files in tasks, from whole tables, into a folder of its own below the shared folder of the
+session, and reads or copies them with the operators under test.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Callable, Iterator
 
-def oracle_sql(both):
-    return {}
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallymatch import fixtures as X
+from tallymatch import labels as L
+from tallymatch.operators import audit as A
+from tallymatch.operators import sinks
+from tallymatch.operators.keyed import keyed_roster
+from tallymatch.plans.reconcile import reconcile
+from tallymatch.plans.run import Settings, apply
+from tallymatch.plans.staging import Stage
+from tallymatch.sources import archives
+from tallymatch.sources.folders import list_folder
+from tallymatch.sources.sheets import read_sheet
+from tallymatch.sources.storage import make_folder, plain_path, write_into_place
+from tallymatch.streaming.arrivals import Arrivals
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+TASKS = 8
+
+
+def write_files(table: DataFrame, stage: Stage) -> DataFrame:
+    """(path, content) -> one file per distinct path, written by the tasks that hold the rows."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mark = str(TaskContext.get().taskAttemptId())
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                write_into_place(io.BytesIO(content.encode()), path, mark)
+            yield batch[["path"]]
+
+    spread = table.repartition(table.sparkSession.sparkContext.defaultParallelism, "path")
+    return stage.save(spread.mapInPandas(write, "path string"), "written")
+
+
+def asset_files(spark: SparkSession, folder: str, stage: Stage) -> str:
+    """The assets as real files; the content of each says which file it is. Returns the folder."""
+    root = plain_path(stage.path("assets"))
+    listing = X.view(spark, folder, X.ASSETS).select(
+        F.concat(F.lit(f"{root}/"), "path").alias("path"), F.concat(F.lit("img "), "path").alias("content")
+    )
+    write_files(listing, stage)
+    return root
+
+
+def below(root: str, path: str) -> Column:
+    """The path without the folder of this run."""
+    return F.when(F.col(path).startswith(f"{root}/"), F.substr(F.col(path), F.lit(len(root) + 2))).otherwise(F.col(path))
+
+
+def folder_scan_recursive(spark: SparkSession, folder: str) -> DataFrame:
+    stage = Stage(spark)
+    root = asset_files(spark, folder, stage)
+    return list_folder(spark, root, stage, recursive=True).select(below(root, "path").alias("path"), "size")
+
+
+def folder_scan(spark: SparkSession, folder: str) -> DataFrame:
+    stage = Stage(spark)
+    root = asset_files(spark, folder, stage)
+    return list_folder(spark, f"{root}/files/a", stage).select(below(root, "path").alias("path"), "size")
+
+
+def run_on_files(spark: SparkSession, folder: str, runs: list[Settings]) -> tuple[DataFrame, str, str, Stage]:
+    """The roster against real files, applied once per entry of ``runs``; the audit of the last one."""
+    stage = Stage(spark)
+    root, out = asset_files(spark, folder, stage), plain_path(stage.path("out"))
+    listing = list_folder(spark, root, stage, recursive=True)
+    match = reconcile(X.view(spark, folder, X.ROSTER), listing, out, stage=stage)
+    decided = stage.save(match.decided, "decided")
+    for settings in runs:
+        outcome = apply(decided, out, settings, stage)
+    table = A.audit_table(outcome, match.orphans)
+    columns = [name for name in A.COLUMNS if name not in ("source", "destination")]
+    result = table.select(
+        *columns, below(root, "source").alias("source"),
+        F.when(F.col("destination") != "", F.concat(F.lit("out/"), below(out, "destination")))
+        .otherwise("").alias("destination"),
+    )
+    return result, root, out, stage
+
+
+def copies_applied(spark: SparkSession, folder: str) -> DataFrame:
+    return run_on_files(spark, folder, [Settings()])[0]
+
+
+def copies_repeated(spark: SparkSession, folder: str) -> DataFrame:
+    return run_on_files(spark, folder, [Settings(), Settings(verify=True)])[0]
+
+
+def copies_dry(spark: SparkSession, folder: str) -> DataFrame:
+    return run_on_files(spark, folder, [Settings(dry_run=True)])[0]
+
+
+def existing_scan(spark: SparkSession, folder: str) -> DataFrame:
+    _, _, out, stage = run_on_files(spark, folder, [Settings()])
+    there = list_folder(spark, out, stage)
+    return there.select(F.concat(F.lit("out/"), below(out, "path")).alias("destination"), "size")
+
+
+def sheet_scan(spark: SparkSession, folder: str) -> DataFrame:
+    stage = Stage(spark)
+    rows = X.view(spark, folder, X.ROSTER)
+
+    def quoted(column: str) -> Column:
+        return F.concat(F.lit('"'), F.regexp_replace(column, '"', '""'), F.lit('"'))
+
+    # Record 1 is the header, a blank line follows every row, every tenth row is short and every ninth has a cell too many.
+    number = F.col("row_number") * 2
+    line = (
+        F.when(F.col("row_number") % 10 == 0, F.col("key_raw"))
+        .when(F.col("row_number") % 9 == 0, F.concat_ws(",", "key_raw", "target_raw", quoted("name"), F.lit("x")))
+        .otherwise(F.concat_ws(",", quoted("key_raw"), "target_raw", "name"))
+    )
+    records = rows.select(number.alias("at"), line.alias("value")).unionByName(
+        rows.select((number + 1).alias("at"), F.when(F.col("row_number") % 2 == 0, " , ,").otherwise("").alias("value"))
+    )
+    top = spark.createDataFrame([(1, "KEY no.,Target-No,Name"), (2, ""), (3, "")], "at bigint, value string")
+    path = stage.path("sheet")
+    records.unionByName(top).repartitionByRange(TASKS, "at").sortWithinPartitions("at").select("value").write.text(path)
+    return read_sheet(spark, path, "Key No", "target no", "NAME")
+
+
+def archive_scan(spark: SparkSession, folder: str) -> DataFrame:
+    stage = Stage(spark)
+    entries = archives.archive_entries(document_archives(spark, folder, stage))
+    safe = archives.safe_entries(entries)
+    return entries.join(safe.select("archive", "ordinal", "place"), ["archive", "ordinal"], "left").select(
+        "entry", "size", "place"
+    )
+
+
+def archive_extract(spark: SparkSession, folder: str) -> DataFrame:
+    stage = Stage(spark)
+    root = plain_path(stage.path("extracted"))
+    entries = archives.archive_entries(document_archives(spark, folder, stage))
+    written = stage.save(archives.extract(entries, root, TASKS), "extracted-files")
+    found = list_folder(spark, root, stage, recursive=True)
+    return found.join(written, ["path", "size"]).select(below(root, "path").alias("path"), "size")
+
+
+def document_archives(spark: SparkSession, folder: str, stage: Stage) -> DataFrame:
+    """The documents in zip archives, one per task, with an unsafe entry, a step back and a folder here and there."""
+    root = plain_path(stage.path("archives"))
+    make_folder(root)
+    name = F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    entry = (
+        F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit("../"), name))
+        .when(F.col("doc_id") % 10 == 4, F.concat(F.lit("/"), name))
+        .when(F.col("doc_id") % 10 == 5, F.concat(F.lit("x/./../"), name))
+        .otherwise(name)
+    )
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        path = f"{root}/part-{TaskContext.get().partitionId()}.zip"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as opened:
+            opened.writestr("lang/", b"")
+            for batch in batches:
+                for entry, text in zip(batch["entry"], batch["text"]):
+                    opened.writestr(entry, text)
+        yield pd.DataFrame({"path": [path]})
+
+    documents = X.table(spark, folder, "documents").select(entry.alias("entry"), "text").repartition(TASKS, "entry")
+    return stage.save(documents.mapInPandas(pack, "path string"), "archive-paths")
+
+
+def report_csv(spark: SparkSession, folder: str) -> DataFrame:
+    path = Stage(spark).path("report")
+    match = reconcile(X.view(spark, folder, X.ROSTER), X.view(spark, folder, X.ASSETS), "out")
+    sinks.write_report(match.audit, path)
+    texts = ", ".join(f"{name} string" for name in A.COLUMNS)
+    read = spark.read.schema(texts).options(header=True, quote='"', escape='"', nullValue="\0").csv(path)
+    return read.withColumns({name: F.coalesce(name, F.lit("")) for name in A.COLUMNS})
+
+
+def audit_store(spark: SparkSession, folder: str) -> DataFrame:
+    path = Stage(spark).path("audit")
+    match = reconcile(X.view(spark, folder, X.ROSTER), X.view(spark, folder, X.ASSETS), "out")
+    sinks.write_audit(match.audit, path)
+    return sinks.read_audit(spark, path).select(*A.COLUMNS)
+
+
+def staged_audit(spark: SparkSession, folder: str) -> DataFrame:
+    stage = Stage(spark)
+    return reconcile(
+        X.view(spark, folder, X.ROSTER), X.view(spark, folder, X.ASSETS), "out", stage=stage
+    ).audit.select(*A.COLUMNS)
+
+
+def arrivals(spark: SparkSession, folder: str) -> DataFrame:
+    stage = Stage(spark)
+    incoming = stage.path("incoming")
+    listing = X.view(spark, folder, X.ASSETS)
+    # Files of one key come in different listings, so that later batches change earlier decisions.
+    listing.repartition(TASKS, "path").write.option("maxRecordsPerFile", 5_000).parquet(incoming)
+    running = Arrivals(stage, keyed_roster(X.view(spark, folder, X.ROSTER)), "out")
+    stream = running.start(incoming)
+    stream.awaitTermination()
+    return running.audit().select(*A.COLUMNS)
+
+
+def queries() -> dict[str, Query]:
+    return {
+        "folder_scan": folder_scan,
+        "folder_scan_recursive": folder_scan_recursive,
+        "sheet_scan": sheet_scan,
+        "archive_scan": archive_scan,
+        "archive_extract": archive_extract,
+        "copies_applied": copies_applied,
+        "copies_repeated": copies_repeated,
+        "copies_dry": copies_dry,
+        "existing_scan": existing_scan,
+        "report_csv": report_csv,
+        "audit_store": audit_store,
+        "staged_audit": staged_audit,
+        "arrivals": arrivals,
+    }
+
+
+def oracle_sql(both: str) -> dict[str, str]:
+    """``both`` holds the common tables of the match, up to ``decided``, ``orphans`` and ``audit``."""
+
+    def applied(status: str, detail: str) -> str:
+        return f"""
+            {both} select row_number, key_raw, target_raw, name, source, destination,
+              case status when 'PLANNED' then '{status}' else status end as status,
+              case status when 'PLANNED' then '{detail}' else detail end as detail
+            from audit"""
+
+    files = f"with listing as ({X.ASSETS}) select distinct path, cast(strlen(path) + 4 as bigint) as size from listing"
+    named = """
+        with named as (select doc_id, text, concat(lang, '/', doc_id, '.txt') as name from documents),
+        entries as (
+          select case doc_id % 10 when 3 then concat('../', name) when 4 then concat('/', name)
+                                  when 5 then concat('x/./../', name) else name end as entry,
+            cast(strlen(text) as bigint) as size, case when doc_id % 10 not in (3, 4) then name end as place
+          from named)"""
+    return {
+        "folder_scan": f"{files} where path like 'files/a/%'",
+        "folder_scan_recursive": files,
+        "sheet_scan": f"""
+            {both} select row_number * 2 as row_number, key_raw,
+              case when row_number % 10 = 0 then '' else target_raw end as target_raw,
+              case when row_number % 10 = 0 then '' else name end as name
+            from roster where key_raw <> '' or row_number % 10 <> 0""",
+        "archive_scan": f"{named} select * from entries",
+        "archive_extract": f"{named} select place as path, size from entries where place is not null",
+        "copies_applied": applied(L.APPLIED, ""),
+        "copies_repeated": applied(L.ALREADY_DONE, "Destination already holds this file"),
+        "copies_dry": applied(L.PLANNED, "Dry run: nothing written"),
+        "existing_scan": f"""
+            {both} select destination, cast(strlen(source) + 4 as bigint) as size from decided
+            where status = 'PLANNED'""",
+        "report_csv": f"""
+            {both} select coalesce(cast(row_number as varchar), '') as row_number, key_raw, target_raw, name, status,
+              source, destination, detail
+            from audit""",
+        "audit_store": f"{both} select * from audit",
+        "staged_audit": f"{both} select * from audit",
+        "arrivals": f"{both} select * from audit",
+    }

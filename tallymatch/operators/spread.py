@@ -78,3 +78,10 @@ def attach(
 
     names = dict.fromkeys(added + known)
     return found.select(*rows.columns, *[answer(name) for name in names])
+
+
+def keep_keys(rows: DataFrame, on: str, keys: DataFrame, heavy: DataFrame, salt: Column) -> DataFrame:
+    """Left semi join with a table of distinct keys, safe for heavy keys. ``heavy`` has the heaviest keys of ``rows``."""
+    listed = keys.select(on, F.lit(True).alias("is_listed"))
+    short = heavy.select(on).join(listed, on, "left")
+    return attach(rows, on, short, [listed], salt).filter("is_listed").select(*rows.columns)

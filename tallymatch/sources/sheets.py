@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymatch.functions.text import WHITESPACE, clean_cell
-from tallymatch.sources.storage import is_file, open_store
+from tallymatch.sources.storage import folder_files, is_file, is_folder, open_store
 
 log = logging.getLogger(__name__)
 
@@ -31,6 +31,8 @@ MOST_QUOTES = 2_000
 MOST_SPLITS = 100_000
 CSV_OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"}
 BATCH = 10_000
+RAW_COLUMNS = ("key_raw", "target_raw", "name")
+Places = tuple[int, int, int | None]
 
 
 class MissingColumn(ValueError):
@@ -42,7 +44,7 @@ def token(header: object) -> str:
     return re.sub("[^a-z0-9]", "", str(header or "").lower())
 
 
-def resolve_columns(headers: Sequence[str], key: str, target: str, name: str | None = None) -> tuple[int, int, int | None]:
+def resolve_columns(headers: Sequence[str], key: str, target: str, name: str | None = None) -> Places:
     """Positions of the key, target and name columns; of equal headers the last one counts."""
     places: dict[str, int] = {}
     for place, header in enumerate(headers):
@@ -85,15 +87,28 @@ def roster_from_table(
 
 
 def read_sheet(spark: SparkSession, path: str, key: str, target: str, name: str | None = None) -> DataFrame:
-    """Roster rows of a CSV sheet. Row numbers count records from 1, the header included, blank ones too."""
+    """Roster rows of a CSV sheet. Row numbers count records from 1, the header included, blank ones too.
+
+    The sheet is one .csv file, or a folder of parts that follow each other by name, the way Spark writes text; the
+    header is the first record of the first part then, and a record does not go on in the next part.
+    """
+    parts = sheet_parts(path)
+    places = resolve_columns(header := _first_record(path, parts), key, target, name)
+    lines = spark.read.text(path)
+    if lines.filter(~is_whole_record(F.col("value"))).isEmpty():
+        return _read_lines(numbered_lines(spark, path), len(header), places)
+    return _read_stream(spark, parts, places)
+
+
+def sheet_parts(path: str) -> list[str]:
+    """The files of a sheet in order."""
+    if is_folder(path):
+        return [part for part in folder_files(path) if not part.rpartition("/")[2].startswith(("_", "."))]
     if not path.lower().endswith(".csv"):
         raise ValueError(f"Cannot read {path}: only .csv sheets; load workbooks as a table and use roster_from_table")
     if not is_file(path):
         raise FileNotFoundError(f"Sheet not found: {path}")
-    lines = numbered_lines(spark, path)
-    if spark.read.text(path).filter(~is_whole_record(F.col("value"))).isEmpty():
-        return _read_lines(spark, path, lines, key, target, name)
-    return _read_stream(spark, path, key, target, name)
+    return [path]
 
 
 def is_whole_record(line: Column) -> Column:
@@ -109,28 +124,34 @@ def is_blank_record(line: Column) -> Column:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The lines of one file with their numbers from 1: (row_number, value).
+    """The lines of a file, or of the files of a folder by name, with their numbers from 1: (row_number, value).
 
     Each split counts its own lines; the counts before it are added. Only those counts, one per split, are ordered.
     """
     lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id")
+        "value",
+        F.struct("_metadata.file_path", "_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("id"),
     )
     counts = lines.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
-    before = F.sum("n").over(Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("split", "first_id", F.coalesce(before, F.lit(0)).alias("before"))
+    offsets = _with_count_before(counts, "split").select("split", "first_id", "before")
     if lines.rdd.getNumPartitions() <= MOST_SPLITS:
         offsets = F.broadcast(offsets)
     number = F.col("before") + F.col("id") - F.col("first_id") + 1
     return lines.join(offsets, "split").select(number.alias("row_number"), "value")
 
 
-def _first_record(path: str) -> list[str]:
-    with _text_stream(path) as lines:
-        header = next(csv.reader(lines), None)
-    if header is None:
-        raise ValueError(f"Sheet is empty: {path}")
-    return header
+def _with_count_before(counts: DataFrame, order: str) -> DataFrame:
+    before = F.sum("n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return counts.withColumn("before", F.coalesce(before, F.lit(0)))
+
+
+def _first_record(path: str, parts: list[str]) -> list[str]:
+    for part in parts:
+        with _text_stream(part) as lines:
+            for header in csv.reader(lines):
+                return header
+    raise ValueError(f"Sheet is empty: {path}")
 
 
 def _text_stream(path: str) -> io.TextIOWrapper:
@@ -138,13 +159,8 @@ def _text_stream(path: str) -> io.TextIOWrapper:
     return io.TextIOWrapper(store.open_input_file(inner), encoding="utf-8-sig", newline="")
 
 
-def _read_lines(
-    spark: SparkSession, path: str, lines: DataFrame, key: str, target: str, name: str | None
-) -> DataFrame:
-    header = _first_record(path)
-    places = resolve_columns(header, key, target, name)
-    schema = ", ".join(f"c{at} string" for at in range(len(header)))
-    record = F.from_csv("value", schema, CSV_OPTIONS)
+def _read_lines(lines: DataFrame, width: int, places: Places) -> DataFrame:
+    record = F.from_csv("value", ", ".join(f"c{at} string" for at in range(width)), CSV_OPTIONS)
 
     def cell(at: int | None) -> Column:
         return F.lit("") if at is None else clean_cell(F.col("record")[f"c{at}"])
@@ -154,35 +170,34 @@ def _read_lines(
         .select("row_number", record.alias("record"))
         .select(
             F.col("row_number").cast("bigint").alias("row_number"),
-            cell(places[0]).alias("key_raw"),
-            cell(places[1]).alias("target_raw"),
-            cell(places[2]).alias("name"),
+            *[cell(at).alias(column) for column, at in zip(RAW_COLUMNS, places)],
         )
     )
 
 
-def _read_stream(spark: SparkSession, path: str, key: str, target: str, name: str | None) -> DataFrame:
-    places = resolve_columns(_first_record(path), key, target, name)
+def _read_stream(spark: SparkSession, parts: list[str], places: Places) -> DataFrame:
+    """One task per part. Blank records are kept until the parts are counted."""
 
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for sheet in batch["path"]:
-                with _text_stream(sheet) as lines:
-                    reader = csv.reader(lines)
-                    next(reader)
+            for part in batch["part"]:
+                with _text_stream(part) as lines:
                     found = []
-                    for number, cells in enumerate(reader, start=2):
-                        if all(not cell.strip() for cell in cells):
-                            continue
+                    for number, cells in enumerate(csv.reader(lines), start=1):
                         picked = [cells[at] if at is not None and at < len(cells) else "" for at in places]
-                        found.append((number, *picked))
+                        found.append((part, number, any(cell.strip() for cell in cells), *picked))
                         if len(found) == BATCH:
                             yield pd.DataFrame(found, columns=columns)
                             found = []
                     yield pd.DataFrame(found, columns=columns)
 
-    columns = ["row_number", "key_raw", "target_raw", "name"]
-    raw = spark.createDataFrame([(path,)], "path string").mapInPandas(
-        records, "row_number bigint, key_raw string, target_raw string, name string"
+    columns = ["part", "number", "filled", *RAW_COLUMNS]
+    texts = ", ".join(f"{column} string" for column in RAW_COLUMNS)
+    tasks = spark.createDataFrame([(part,) for part in parts], "part string").repartition(len(parts), "part")
+    raw = tasks.mapInPandas(records, f"part string, number bigint, filled boolean, {texts}")
+    # The number of parts is small: they were listed on the driver.
+    offsets = F.broadcast(_with_count_before(raw.groupBy("part").agg(F.max("number").alias("n")), "part").drop("n"))
+    numbered = raw.join(offsets, "part").withColumn("row_number", F.col("number") + F.col("before"))
+    return numbered.filter("filled and row_number > 1").select(
+        "row_number", *[clean_cell(column).alias(column) for column in RAW_COLUMNS]
     )
-    return raw.select("row_number", *[clean_cell(column).alias(column) for column in columns[1:]])

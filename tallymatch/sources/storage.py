@@ -51,6 +51,13 @@ def is_file(path: str) -> bool:
     return store.get_file_info(inner).type == fs.FileType.File
 
 
+def folder_files(path: str) -> list[str]:
+    """The files directly in a folder, by name. For folders known to hold few files, such as the parts of a table."""
+    store, inner = open_store(path)
+    infos = store.get_file_info(fs.FileSelector(inner))
+    return [f"{path.rstrip('/')}/{info.base_name}" for info in sorted(infos, key=lambda info: info.base_name) if info.is_file]
+
+
 def file_size(path: str) -> int | None:
     """Size in bytes, None where nothing is there. Anything else that goes wrong raises OSError."""
     store, inner = open_store(path)
