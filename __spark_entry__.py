@@ -11,13 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import file_queries
 from tallymatch import fixtures as X
 from tallymatch import labels as L
 from tallymatch.functions import hashing, paths, text
 from tallymatch.operators import audit as A
 from tallymatch.operators import groups, keyed, matching, outcomes
 from tallymatch.plans.reconcile import Reconciliation, reconcile
-import file_queries
+from tallymatch.plans.staging import Stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,16 +34,23 @@ def entry(spark: SparkSession) -> DataFrame:
 # Inputs.
 
 
-def roster(spark: SparkSession, folder: str, zeros: bool = False) -> DataFrame:
-    return keyed.keyed_roster(X.view(spark, folder, X.ROSTER), zeros)
+def roster(spark: SparkSession, folder: str) -> DataFrame:
+    return keyed.keyed_roster(X.view(spark, folder, X.ROSTER))
+
+
+def assets(spark: SparkSession, folder: str) -> DataFrame:
+    return keyed.keyed_assets(X.view(spark, folder, X.ASSETS))
 
 
-def assets(spark: SparkSession, folder: str, zeros: bool = False) -> DataFrame:
-    return keyed.keyed_assets(X.view(spark, folder, X.ASSETS), zeros=zeros)
+def match(spark: SparkSession, folder: str) -> Reconciliation:
+    """The match as a job runs it: what several steps read is written to the shared folder once."""
+    return reconcile(X.view(spark, folder, X.ROSTER), X.view(spark, folder, X.ASSETS), OUT, stage=Stage(spark))
 
 
-def match(spark: SparkSession, folder: str, zeros: bool = False) -> Reconciliation:
-    return reconcile(X.view(spark, folder, X.ROSTER), X.view(spark, folder, X.ASSETS), OUT, zeros=zeros)
+def audit_lazy(spark: SparkSession, folder: str) -> DataFrame:
+    """The same as one plan that writes nothing."""
+    lazy = reconcile(X.view(spark, folder, X.ROSTER), X.view(spark, folder, X.ASSETS), OUT)
+    return lazy.audit.select(*A.COLUMNS)
 
 
 def audit(spark: SparkSession, folder: str) -> DataFrame:
@@ -225,7 +233,7 @@ def target_counts(spark: SparkSession, folder: str) -> DataFrame:
 def multimap(spark: SparkSession, folder: str) -> DataFrame:
     files = assets(spark, folder)
     sizes = groups.asset_groups(files)
-    names = groups.group_names(files, sizes)
+    names = groups.group_names(files, sizes, sizes)
     one = paths.file_name(F.col("path"))
     return sizes.join(names, "key", "left").select("key", "n_assets", F.coalesce("names", one).alias("names"))
 
@@ -256,7 +264,7 @@ def repeats(spark: SparkSession, folder: str) -> DataFrame:
 
 def orphans(spark: SparkSession, folder: str) -> DataFrame:
     files = assets(spark, folder)
-    return matching.orphans(files, groups.key_ledger(roster(spark, folder), files)).select("key", "path", "size")
+    return matching.orphans(files, matching.Counts.of(roster(spark, folder), files))
 
 
 def row_decision(spark: SparkSession, folder: str) -> DataFrame:
@@ -280,7 +288,7 @@ def audit_zeros(spark: SparkSession, folder: str) -> DataFrame:
     # Keys padded to two widths on the two sides: they meet only because leading zeros are dropped.
     rows = X.view(spark, folder, X.ROSTER).withColumn("key_raw", F.lpad("key_raw", 9, "0"))
     files = X.view(spark, folder, X.ASSETS)
-    return reconcile(rows, files, OUT, zeros=True).audit.select(*A.COLUMNS)
+    return reconcile(rows, files, OUT, zeros=True, stage=Stage(spark)).audit.select(*A.COLUMNS)
 
 
 def summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -362,6 +370,7 @@ def queries() -> dict[str, Query]:
     """One entry per operator."""
     return {
         "audit": audit,
+        "audit_lazy": audit_lazy,
         "clean_cell": clean_cell,
         "clean_cell_typed": clean_cell_typed,
         "clean_cell_texts": clean_cell_texts,
@@ -508,6 +517,7 @@ def oracle_sql() -> dict[str, str]:
     rows, files = f"with {WITH_ROSTER}", f"with {WITH_ASSETS}"
     return {
         "audit": f"{BOTH} select * from audit",
+        "audit_lazy": f"{BOTH} select * from audit",
         "clean_cell": f"{rows} select row_number, key_raw as key_text, target_raw as target_text, name as name_text"
         " from rows_text",
         "clean_cell_typed": r"""
@@ -589,7 +599,7 @@ def oracle_sql() -> dict[str, str]:
               case when key <> '' and n_rows > 1 then n_rows end as n_rows,
               cast(case when n_targets > 1 then n_targets end as bigint) as n_targets
             from counted""",
-        "orphans": f"{BOTH} select key, path, size from orphans",
+        "orphans": f"{BOTH} select key, path from orphans",
         "row_decision": f"{BOTH} select * from decided",
         "reject_duplicates": f"""
             {BOTH} select row_number, key, target, status, detail from decided

@@ -179,8 +179,9 @@ def document_archives(spark: SparkSession, folder: str, stage: Stage) -> DataFra
 
 
 def report_csv(spark: SparkSession, folder: str) -> DataFrame:
-    path = Stage(spark).path("report")
-    match = reconcile(X.view(spark, folder, X.ROSTER), X.view(spark, folder, X.ASSETS), "out")
+    stage = Stage(spark)
+    path = stage.path("report")
+    match = reconcile(X.view(spark, folder, X.ROSTER), X.view(spark, folder, X.ASSETS), "out", stage=stage)
     sinks.write_report(match.audit, path)
     texts = ", ".join(f"{name} string" for name in A.COLUMNS)
     read = spark.read.schema(texts).options(header=True, quote='"', escape='"', nullValue="\0").csv(path)
@@ -188,19 +189,13 @@ def report_csv(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def audit_store(spark: SparkSession, folder: str) -> DataFrame:
-    path = Stage(spark).path("audit")
-    match = reconcile(X.view(spark, folder, X.ROSTER), X.view(spark, folder, X.ASSETS), "out")
+    stage = Stage(spark)
+    path = stage.path("audit")
+    match = reconcile(X.view(spark, folder, X.ROSTER), X.view(spark, folder, X.ASSETS), "out", stage=stage)
     sinks.write_audit(match.audit, path)
     return sinks.read_audit(spark, path).select(*A.COLUMNS)
 
 
-def staged_audit(spark: SparkSession, folder: str) -> DataFrame:
-    stage = Stage(spark)
-    return reconcile(
-        X.view(spark, folder, X.ROSTER), X.view(spark, folder, X.ASSETS), "out", stage=stage
-    ).audit.select(*A.COLUMNS)
-
-
 def arrivals(spark: SparkSession, folder: str) -> DataFrame:
     stage = Stage(spark)
     incoming = stage.path("incoming")
@@ -226,7 +221,6 @@ def queries() -> dict[str, Query]:
         "existing_scan": existing_scan,
         "report_csv": report_csv,
         "audit_store": audit_store,
-        "staged_audit": staged_audit,
         "arrivals": arrivals,
     }
 
@@ -270,6 +264,5 @@ def oracle_sql(both: str) -> dict[str, str]:
               source, destination, detail
             from audit""",
         "audit_store": f"{both} select * from audit",
-        "staged_audit": f"{both} select * from audit",
         "arrivals": f"{both} select * from audit",
     }

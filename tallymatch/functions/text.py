@@ -20,8 +20,10 @@ DECIMAL_TAIL = r"(?U)\A(\d++)\.0+\z"
 # Zeros in front of an all-digit key that go when leading zeros do not count; the last digit always stays.
 LEADING_ZEROS = r"(?U)\A0+(?=\d+\z)"
 
-# The functions name their input once where they can: filters are evaluated as written, so every further mention of a
-# cleaned column would clean it again.
+# Printable ASCII without the full stop: nothing to clean in there. One look at such text, which is nearly all of it,
+# saves the trimming, the replacing and the regular expressions.
+PLAIN = r"\A[!-\-/-~]*+\z"
+NOT_ASCII = r"[^\x00-\x7f]"
 
 
 def clean_cell(value: Column | str, dtype: str = "string") -> Column:
@@ -46,13 +48,14 @@ def clean_cell(value: Column | str, dtype: str = "string") -> Column:
         return F.coalesce(cell.cast("string"), F.lit(""))
     if dtype == "boolean":
         return F.coalesce(F.initcap(cell.cast("string")), F.lit(""))
-    text = F.btrim(F.coalesce(cell.cast("string"), F.lit("")), F.lit(WHITESPACE))
-    return F.regexp_replace(text, DECIMAL_TAIL, "$1")
+    text = F.coalesce(cell.cast("string"), F.lit(""))
+    trimmed = F.btrim(text, F.lit(WHITESPACE))
+    return F.when(text.rlike(PLAIN), text).otherwise(F.regexp_replace(trimmed, DECIMAL_TAIL, "$1"))
 
 
 def squeeze(text: Column) -> Column:
     """Text without any whitespace."""
-    return F.translate(text, WHITESPACE, "")
+    return F.when(text.rlike(PLAIN), text).otherwise(F.translate(text, WHITESPACE, ""))
 
 
 def strip_zeros(key: Column) -> Column:
@@ -93,8 +96,8 @@ def fold_case(text: Column) -> Column:
     apart by concat. Three letters need care: capital sharp s, dotless i (parked on a private code point), final sigma.
     """
     parked = F.translate(text, "ẞı", "ß" + PARKED)
-    folded = F.lower(F.concat(F.upper(parked), F.lit("")))
-    return F.translate(folded, "ς" + PARKED, "σı")
+    folded = F.translate(F.lower(F.concat(F.upper(parked), F.lit(""))), "ς" + PARKED, "σı")
+    return F.when(text.rlike(NOT_ASCII), folded).otherwise(F.lower(text))
 
 
 def clean_cells(table: DataFrame, columns: list[str]) -> DataFrame:

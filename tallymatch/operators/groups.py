@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymatch.functions.paths import path_parts
 from tallymatch.functions.text import fold_case
-from tallymatch.operators.spread import Limits, attach, heaviest
+from tallymatch.operators.spread import Limits, attach, heaviest, keep_keys
 
 
 def key_counts(roster: DataFrame) -> DataFrame:
@@ -29,6 +29,16 @@ def repeated(counts: DataFrame, n: str) -> DataFrame:
     return counts.filter(F.col(n) > 1)
 
 
+def measured(groups: DataFrame, on: str) -> DataFrame:
+    """The same rows behind an exchange of their own.
+
+    What is left after counting and filtering is usually little, but the planner judges it by what went into the count.
+    Behind an exchange it is judged by its real size, so a small rest is broadcast and the other side of the join is not
+    shuffled.
+    """
+    return groups.repartition(on)
+
+
 def asset_groups(assets: DataFrame) -> DataFrame:
     """Assets per key with the first path: (key, n_assets, path). One row per key, whatever the size of a group."""
     return assets.groupBy("key").agg(F.count(F.lit(1)).alias("n_assets"), F.min("path").alias("path"))
@@ -65,20 +75,26 @@ def asset_listing(assets: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return attach(rows, "key", heaviest(sizes, "key", "n_assets", limits), [sizes], F.xxhash64("path"))
 
 
-def group_names(assets: DataFrame, sizes: DataFrame, limits: Limits = Limits(), only: Column | None = None) -> DataFrame:
-    """The sorted file names of each group of two to ``limits.inline_names`` assets: (key, names).
+def open_groups(ledger: DataFrame) -> DataFrame:
+    """Keys with several assets that some step must look up one by one: (key, n_rows, n_assets).
+
+    Those are the groups of a single row, whose names go into the detail, and of no row, which are orphans. All other
+    groups are settled by the ledger alone, so most assets are never read or shuffled again.
+    """
+    return ledger.filter("n_assets > 1 and n_rows < 2").select("key", "n_rows", "n_assets")
+
+
+def group_names(assets: DataFrame, wanted: DataFrame, sizes: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The sorted file names of the wanted groups of two to ``limits.inline_names`` assets: (key, names).
 
-    Larger groups are left out here, so no task ever holds more than that many names; ``asset_listing`` has them.
-    ``sizes`` has key and n_assets, ``only`` is a further condition on it. The names are gathered only where it holds.
+    ``wanted`` and ``sizes`` have key and n_assets. Larger groups are left out, so no task ever holds more than that
+    many names of a key; ``asset_listing`` and ``candidates`` have all of them.
     """
-    small = F.col("n_assets").between(2, limits.inline_names)
-    wanted = sizes.filter(small if only is None else small & only).select("key")
-    heavy = heaviest(sizes, "key", "n_assets", limits).filter(~small).select("key")
+    small = wanted.filter(F.col("n_assets").between(2, limits.inline_names))
+    heavy = heaviest(sizes, "key", "n_assets", limits)
     names = F.transform(F.array_sort(F.collect_list(path_parts(F.col("path")))), lambda parts: F.element_at(parts, -1))
     return (
-        assets.select("key", "path")
-        .join(F.broadcast(heavy), "key", "left_anti")
-        .join(wanted, "key", "left_semi")
+        keep_keys(assets.select("key", "path"), "key", small, heavy, F.xxhash64("path"))
         .groupBy("key")
         .agg(F.array_join(names, "; ").alias("names"))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymatch.functions.paths import file_name, file_stem, file_suffix
@@ -12,10 +12,19 @@ from tallymatch.functions.text import clean_cell, key_of_text, squeeze
 
 DEFAULT_SUFFIXES = (".jpg", ".jpeg")
 
-# A name with something other than whitespace before its suffix, which is what it takes to have a key.
+# A name with something other than whitespace before its suffix, which is what it takes to have a key. The first pattern
+# is a quick look that settles it for nearly all names.
+VISIBLE_START = r"\A[!-~]"
 HAS_STEM = r"(?Us)[^\s\x1c-\x1f].*\.[^.]+\z"
 
 
+def _wanted(suffixes: Sequence[str]) -> Column:
+    name = F.col("file_name")
+    return F.col("suffix").isin(*[suffix.lower() for suffix in suffixes]) & (
+        name.rlike(VISIBLE_START) | name.rlike(HAS_STEM)
+    )
+
+
 def keyed_roster(rows: DataFrame, zeros: bool = False) -> DataFrame:
     """(row_number, key_raw, target_raw, name) of any cell type -> the same as clean text, plus key and target."""
     types = dict(rows.dtypes)
@@ -43,11 +52,10 @@ def keyed_assets(
     listing: DataFrame, suffixes: Sequence[str] = DEFAULT_SUFFIXES, zeros: bool = False
 ) -> DataFrame:
     """(path, size) -> the assets with a wanted suffix and a key that is not blank."""
-    wanted = [suffix.lower() for suffix in suffixes]
     stem = file_stem(F.col("file_name"))
     return (
         named_assets(listing)
-        .filter(F.col("suffix").isin(*wanted) & F.col("file_name").rlike(HAS_STEM))
+        .filter(_wanted(suffixes))
         .withColumn("key", key_of_text(clean_cell(stem), zeros))
     )
 
@@ -56,9 +64,8 @@ def scan_metrics(
     listing: DataFrame, suffixes: Sequence[str] = DEFAULT_SUFFIXES, zeros: bool = False
 ) -> DataFrame:
     """One row: files scanned, files skipped, files kept, distinct keys among those kept."""
-    wanted = [suffix.lower() for suffix in suffixes]
     key = key_of_text(clean_cell(file_stem(F.col("file_name"))), zeros)
-    kept = F.when(F.col("suffix").isin(*wanted) & (key != ""), key)
+    kept = F.when(_wanted(suffixes), key)
     # Counting per key first keeps the final step to one row per key, however the keys are spread.
     per_key = named_assets(listing).select(kept.alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     held = F.col("key").isNotNull()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +14,13 @@ from tallymatch.operators.groups import (
     asset_groups,
     group_names,
     key_counts,
+    key_ledger,
+    measured,
+    open_groups,
     repeated,
     target_counts,
 )
-from tallymatch.operators.spread import Limits, attach, heaviest, own_key
+from tallymatch.operators.spread import Limits, attach, heaviest, keep_keys
 
 ROW_COLUMNS = ("row_number", "key_raw", "target_raw", "name", "key", "target")
 
@@ -51,26 +56,41 @@ def with_repeats(roster: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return attach(rows, "folded", heavy_targets, [targets], salt).drop("folded")
 
 
-def facts_of_rows(
-    roster: DataFrame, assets: DataFrame, ledger: DataFrame, targets: DataFrame, limits: Limits = Limits()
-) -> DataFrame:
+@dataclass(frozen=True)
+class Counts:
+    """What is known per key and per target before any row is decided.
+
+    ``ledger`` counts both sides per key, ``targets`` has the repeated targets, ``groups`` the groups of assets that
+    have to be opened. The last two are small next to the tables they come from.
+    """
+
+    ledger: DataFrame
+    targets: DataFrame
+    groups: DataFrame
+
+    @classmethod
+    def of(cls, roster: DataFrame, assets: DataFrame) -> Counts:
+        ledger = key_ledger(roster, assets)
+        targets = measured(repeated(target_counts(roster), "n_targets"), "folded")
+        return cls(ledger, targets, measured(open_groups(ledger), "key"))
+
+
+def facts_of_rows(roster: DataFrame, assets: DataFrame, counts: Counts, limits: Limits = Limits()) -> DataFrame:
     """Every row with what the decision needs: problem, n_rows, n_targets, n_assets, path, names.
 
     Rows with a problem of their own, and rows of heavy keys, skip the lookups. Ledger and names are both partitioned
     by key, so the rows are shuffled once for the two.
     """
-    known = ledger.filter("n_rows > 0")
-    names = group_names(assets, ledger, limits, only=F.col("n_rows") == 1)
+    known = counts.ledger.filter("n_rows > 0")
+    names = group_names(assets, counts.groups.filter("n_rows = 1"), counts.ledger, limits)
     heavy_keys = heaviest(known, "key", "n_rows", limits).select("key", "n_rows")
+    heavy_targets = heaviest(counts.targets, "folded", "n_targets", limits)
 
     salt = F.col("row_number")
     rows = roster.withColumn("problem", own_problem())
     rows = attach(rows, "key", heavy_keys, [known, names], salt, F.col("problem").isNull())
-
-    again = repeated(targets, "n_targets")
-    heavy_targets = heaviest(again, "folded", "n_targets", limits)
     rows = rows.withColumn("folded", fold_case(F.col("target")))
-    return attach(rows, "folded", heavy_targets, [again], salt, F.col("n_rows") == 1).drop("folded")
+    return attach(rows, "folded", heavy_targets, [counts.targets], salt, F.col("n_rows") == 1).drop("folded")
 
 
 def row_status() -> Column:
@@ -102,15 +122,10 @@ def row_detail() -> Column:
 
 
 def decide(
-    roster: DataFrame,
-    assets: DataFrame,
-    ledger: DataFrame,
-    targets: DataFrame,
-    folder: str,
-    limits: Limits = Limits(),
+    roster: DataFrame, assets: DataFrame, counts: Counts, folder: str, limits: Limits = Limits()
 ) -> DataFrame:
     """One row per roster row: its columns plus status, source, destination and detail."""
-    rows = facts_of_rows(roster, assets, ledger, targets, limits).withColumn("status", row_status())
+    rows = facts_of_rows(roster, assets, counts, limits).withColumn("status", row_status())
     planned = F.col("status") == L.PLANNED
     destination = target_path(folder, F.col("target"), file_name(F.col("path")))
     return rows.withColumn("detail", row_detail()).select(
@@ -122,32 +137,26 @@ def decide(
     )
 
 
-def orphans(assets: DataFrame, ledger: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Assets whose key no row has. A row that was rejected for any other reason still claims its key.
+def orphans(assets: DataFrame, counts: Counts, limits: Limits = Limits()) -> DataFrame:
+    """Assets whose key no row has: (key, path). A row that was rejected for any other reason still claims its key.
 
-    Left anti join on the key. The assets of heavy keys are decided from a broadcast list instead.
+    The ledger has every key of the assets, so the left anti join is its ``n_rows = 0``, and where such a key has one
+    asset the ledger has its path. Only the assets of unclaimed groups are looked up.
     """
-    claimed = ledger.filter("n_rows > 0").select(F.col("key").alias("probe"))
-    heavy = heaviest(ledger, "key", "n_assets", limits).select(
-        "key", (F.col("n_rows") > 0).alias("is_claimed"), F.lit(True).alias("is_heavy")
-    )
-    lookup = F.when(F.col("is_heavy").isNull(), F.col("key")).otherwise(own_key(F.xxhash64("path")))
-    return (
-        assets.join(F.broadcast(heavy), "key", "left")
-        .filter("is_claimed is null or not is_claimed")
-        .withColumn("probe", lookup)
-        .join(claimed, "probe", "left_anti")
-        .select(*assets.columns)
-    )
+    unclaimed = counts.ledger.filter("n_rows = 0")
+    single = unclaimed.filter("n_assets = 1").select("key", "path")
+    heavy = heaviest(counts.ledger, "key", "n_assets", limits)
+    groups = counts.groups.filter("n_rows = 0")
+    return single.unionByName(keep_keys(assets.select("key", "path"), "key", groups, heavy, F.xxhash64("path")))
 
 
-def candidates(decided: DataFrame, assets: DataFrame, ledger: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def candidates(decided: DataFrame, assets: DataFrame, counts: Counts, limits: Limits = Limits()) -> DataFrame:
     """Every asset a DUPLICATE_ASSET row could mean: (row_number, key, path, file_name), one row per asset.
 
     This is the whole listing behind the detail text. Such a row is the only one with its key, so the table is at most
     as long as the assets.
     """
     rows = decided.filter(F.col("status") == L.DUPLICATE_ASSET).select("key", "row_number")
-    heavy = heaviest(ledger, "key", "n_assets", limits).select("key").join(rows, "key", "left")
+    heavy = heaviest(counts.ledger, "key", "n_assets", limits).select("key").join(rows, "key", "left")
     found = attach(assets.select("key", "path", "file_name"), "key", heavy, [rows], F.xxhash64("path"))
     return found.filter("row_number is not null").select("row_number", "key", "path", "file_name")

@@ -8,9 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from tallymatch.operators.audit import audit_table
-from tallymatch.operators.groups import key_ledger, target_counts
+from tallymatch.operators.groups import key_ledger, open_groups, repeated, target_counts
 from tallymatch.operators.keyed import DEFAULT_SUFFIXES, keyed_assets, keyed_roster
-from tallymatch.operators.matching import candidates, decide, orphans
+from tallymatch.operators.matching import Counts, candidates, decide, orphans
 from tallymatch.operators.spread import Limits
 from tallymatch.plans.staging import Stage
 
@@ -21,7 +21,7 @@ class Reconciliation:
 
     roster: DataFrame
     assets: DataFrame
-    ledger: DataFrame
+    counts: Counts
     decided: DataFrame
     orphans: DataFrame
     audit: DataFrame
@@ -29,7 +29,7 @@ class Reconciliation:
 
     def candidates(self, decided: DataFrame | None = None) -> DataFrame:
         """The whole listing behind the DUPLICATE_ASSET rows, from a stored copy of ``decided`` if there is one."""
-        return candidates(decided or self.decided, self.assets, self.ledger, self.limits)
+        return candidates(decided or self.decided, self.assets, self.counts, self.limits)
 
 
 def reconcile(
@@ -58,9 +58,12 @@ def reconcile_keyed(
     roster: DataFrame, assets: DataFrame, folder: str, limits: Limits = Limits(), stage: Stage | None = None
 ) -> Reconciliation:
     """The same for tables whose keys are clean already, for example because they were stored that way."""
-    ledger, targets = key_ledger(roster, assets), target_counts(roster)
-    if stage is not None:
-        ledger = stage.save(ledger, "ledger")
-    decided = decide(roster, assets, ledger, targets, folder, limits)
-    unclaimed = orphans(assets, ledger, limits)
-    return Reconciliation(roster, assets, ledger, decided, unclaimed, audit_table(decided, unclaimed), limits)
+    if stage is None:
+        counts = Counts.of(roster, assets)
+    else:
+        ledger = stage.save(key_ledger(roster, assets), "ledger")
+        targets = stage.save(repeated(target_counts(roster), "n_targets"), "targets")
+        counts = Counts(ledger, targets, stage.save(open_groups(ledger), "groups"))
+    decided = decide(roster, assets, counts, folder, limits)
+    unclaimed = orphans(assets, counts, limits)
+    return Reconciliation(roster, assets, counts, decided, unclaimed, audit_table(decided, unclaimed), limits)

@@ -18,13 +18,22 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallymatch import labels as L
 from tallymatch.operators.audit import COLUMNS, audit_table
-from tallymatch.operators.groups import asset_sizes, key_counts, key_ledger, repeated, target_counts
+from tallymatch.operators.groups import (
+    asset_groups,
+    asset_sizes,
+    key_counts,
+    key_ledger,
+    open_groups,
+    repeated,
+    target_counts,
+)
 from tallymatch.operators.keyed import DEFAULT_SUFFIXES, keyed_assets
-from tallymatch.operators.matching import ROW_COLUMNS, decide, orphans
+from tallymatch.operators.matching import ROW_COLUMNS, Counts, decide, orphans
 from tallymatch.operators.spread import Limits, heaviest, keep_keys
 from tallymatch.plans.staging import Stage
 
 LISTING = "path string, size bigint"
+ORPHAN = T.StructType().add("key", "string").add("path", "string")
 DECIDED = ("status", "source", "destination", "detail")
 
 
@@ -48,11 +57,10 @@ class Arrivals:
 
         no_assets = keyed_assets(self.spark.createDataFrame([], LISTING), self.suffixes, self.zeros)
         self.asset_schema = no_assets.schema
-        ledger = key_ledger(self.roster, no_assets)
-        first = decide(self.roster, no_assets, ledger, self.targets, self.folder, self.limits)
+        first = decide(self.roster, no_assets, self._counts(self.roster, no_assets), self.folder, self.limits)
         self.decided_schema = first.schema
         self._write(first, self.decisions, -1)
-        self._write(no_assets, self.leftovers, -1)
+        self._write(no_assets.select(*ORPHAN.names), self.leftovers, -1)
         self.waiting = self._read(self.decisions, self.decided_schema).filter(
             (F.col("batch") == -1) & (F.col("status") == L.NO_ASSET)
         )
@@ -73,22 +81,26 @@ class Arrivals:
         decided = self._read(self.decisions, self.decided_schema)
         latest = decided.groupBy("row_number").agg(F.max(F.struct("batch", *columns)).alias("latest"))
         rows = latest.select("row_number", *[f"latest.{name}" for name in columns])
-        return audit_table(rows, self._read(self.leftovers, self.asset_schema)).select(*COLUMNS, "key")
+        return audit_table(rows, self._read(self.leftovers, ORPHAN)).select(*COLUMNS, "key")
 
     def _take(self, batch: DataFrame, number: int) -> None:
         self._write(keyed_assets(batch, self.suffixes, self.zeros), self.manifest, number)
         known = self._read(self.manifest, self.asset_schema).filter(F.col("batch") <= number)
         fresh = known.filter(F.col("batch") == number).select(*self.asset_schema.names)
-        sizes = asset_sizes(fresh)
+        groups = asset_groups(fresh)
 
-        rows = self.waiting.join(sizes.select("key"), "key", "left_semi").select(*ROW_COLUMNS)
+        rows = self.waiting.join(groups.select("key"), "key", "left_semi").select(*ROW_COLUMNS)
         heavy = heaviest(asset_sizes(known), "key", "n_assets", self.limits)
-        touched = keep_keys(known, "key", rows.select("key"), heavy, F.xxhash64("path")).select(*fresh.columns)
-        ledger = key_ledger(rows, touched)
-        self._write(decide(rows, touched, ledger, self.targets, self.folder, self.limits), self.decisions, number)
+        touched = keep_keys(known, "key", rows, heavy, F.xxhash64("path")).select(*fresh.columns)
+        decided = decide(rows, touched, self._counts(rows, touched), self.folder, self.limits)
+        self._write(decided, self.decisions, number)
 
-        claims = sizes.join(self.key_counts, "key", "left").fillna(0, ["n_rows"])
-        self._write(orphans(fresh, claims, self.limits), self.leftovers, number)
+        claims = groups.join(self.key_counts, "key", "left").fillna(0, ["n_rows"])
+        self._write(orphans(fresh, Counts(claims, self.targets, open_groups(claims)), self.limits), self.leftovers, number)
+
+    def _counts(self, rows: DataFrame, assets: DataFrame) -> Counts:
+        ledger = key_ledger(rows, assets)
+        return Counts(ledger, self.targets, open_groups(ledger))
 
     def _write(self, table: DataFrame, path: str, number: int) -> None:
         # A batch that is repeated after a failure replaces what it wrote before.
