@@ -26,7 +26,9 @@ def tasks_for(spark, rows: int, at_once: int | None = None) -> int:
     """
     if at_once:
         return max(1, at_once)
-    return min(MOST_TASKS, max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK)))
+    cores = spark.sparkContext.defaultParallelism
+    rounds = -(-rows // (cores * ROWS_PER_TASK))
+    return min(MOST_TASKS, cores * max(1, rounds))
 
 
 def look_at_destinations(planned: DataFrame, verify: bool = False) -> DataFrame:

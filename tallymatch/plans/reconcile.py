@@ -50,7 +50,7 @@ def reconcile(
     """
     roster, assets = keyed_roster(rows, zeros), keyed_assets(listing, suffixes, zeros)
     if stage is not None:
-        roster, assets = stage.save(roster, "roster"), stage.save(assets, "assets")
+        roster, assets = stage.save_all(roster=roster, assets=assets)
     return reconcile_keyed(roster, assets, folder, limits, stage)
 
 
@@ -61,8 +61,9 @@ def reconcile_keyed(
     if stage is None:
         counts = Counts.of(roster, assets)
     else:
-        ledger = stage.save(key_ledger(roster, assets), "ledger")
-        targets = stage.save(repeated(target_counts(roster), "n_targets"), "targets")
+        ledger, targets = stage.save_all(
+            ledger=key_ledger(roster, assets), targets=repeated(target_counts(roster), "n_targets")
+        )
         counts = Counts(ledger, targets, stage.save(open_groups(ledger), "groups"))
     decided = decide(roster, assets, counts, folder, limits)
     unclaimed = orphans(assets, counts, limits)

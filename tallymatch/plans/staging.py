@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +40,8 @@ class Stage:
         path = self.path(name)
         table.write.parquet(path)
         return self.spark.read.schema(table.schema).parquet(path)
+
+    def save_all(self, **tables: DataFrame) -> list[DataFrame]:
+        """Write tables that do not depend on each other at the same time, so that one fills the gaps of another."""
+        with ThreadPoolExecutor(len(tables)) as pool:
+            return list(pool.map(self.save, tables.values(), tables))
