@@ -1,7 +1,7 @@
 """Zip archives as tables of entries, and their extraction.
 
-The directory of an archive is read by one task, its content by many: entries are spread over tasks one by one, and each
-task opens the archive and reads its entries only. So one huge archive is no bottleneck.
+The directory of an archive is read by one task, its content by many: pieces of it are spread over tasks, and each task
+opens the archive and reads its entries only. So one huge archive is no bottleneck.
 """
 
 from __future__ import annotations
@@ -17,12 +17,17 @@ from pyspark.sql import functions as F
 from tallymatch.functions.paths import resolved_entry, resolves_inside
 from tallymatch.sources.storage import open_store, plain_path, write_into_place
 
-ENTRIES = "archive string, ordinal bigint, entry string, size bigint"
+ENTRIES = "archive string, entries bigint, ordinal bigint, entry string, size bigint"
 BATCH = 10_000
+SMALLEST_PIECE = 1_000
+MOST_PIECES = 256
 
 
 def archive_entries(archives: DataFrame) -> DataFrame:
-    """(path) of zip files -> every entry that is no folder: (archive, ordinal, entry, size)."""
+    """(path) of zip files -> every entry that is no folder: (archive, entries, ordinal, entry, size).
+
+    ``entries`` is the number of entries of the archive, ``ordinal`` the place of this one.
+    """
     return archives.select("path").mapInPandas(_list_entries, ENTRIES)
 
 
@@ -50,37 +55,47 @@ def last_per_place(entries: DataFrame) -> DataFrame:
 def extract(entries: DataFrame, folder: str, tasks: int) -> DataFrame:
     """Write the safe entries below ``folder``: (path, size) of each file, in the form of a folder listing.
 
-    The result is lazy and writing is its side effect: store it once and read it from there.
+    Every archive is cut into pieces of consecutive entries, at most ``MOST_PIECES``, since opening it means reading its
+    directory. The result is lazy and writing is its side effect: store it once and read it from there.
     """
     root = plain_path(folder).rstrip("/")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mark = str(TaskContext.get().taskAttemptId())
-        for batch in batches:
-            written = []
-            for archive, rows in batch.groupby("archive", sort=False):
-                with _open_archive(archive) as opened:
-                    infos = opened.infolist()
-                    for ordinal, place in zip(rows["ordinal"], rows["place"]):
-                        path = f"{root}/{place}"
-                        with opened.open(infos[ordinal]) as content:
-                            write_into_place(content, path, mark)
-                        written.append((path, infos[ordinal].file_size))
-            yield pd.DataFrame(written, columns=["path", "size"])
-
-    spread = last_per_place(safe_entries(entries)).repartition(tasks, "archive", "place")
+        opened, name, infos = None, None, []
+        try:
+            for batch in batches:
+                written = []
+                for archive, ordinal, place in zip(batch["archive"], batch["ordinal"], batch["place"]):
+                    if archive != name:
+                        if opened:
+                            opened.close()
+                        opened, name = _open_archive(archive), archive
+                        infos = opened.infolist()
+                    path = f"{root}/{place}"
+                    with opened.open(infos[ordinal]) as content:
+                        write_into_place(content, path, mark)
+                    written.append((path, infos[ordinal].file_size))
+                yield pd.DataFrame(written, columns=["path", "size"])
+        finally:
+            if opened:
+                opened.close()
+
+    per_piece = F.greatest(F.lit(SMALLEST_PIECE), F.ceil(F.col("entries") / MOST_PIECES))
+    chosen = last_per_place(safe_entries(entries)).withColumn("piece", F.floor(F.col("ordinal") / per_piece))
+    spread = chosen.repartition(tasks, "archive", "piece").sortWithinPartitions("archive", "ordinal")
     return spread.mapInPandas(write, "path string, size bigint")
 
 
 def _list_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["archive", "ordinal", "entry", "size"]
+    columns = ["archive", "entries", "ordinal", "entry", "size"]
     for batch in batches:
         for path in batch["path"]:
             with _open_archive(path) as opened:
                 infos = opened.infolist()
             for start in range(0, len(infos), BATCH):
                 part = enumerate(infos[start : start + BATCH], start)
-                rows = [(path, at, info.filename, info.file_size) for at, info in part if not info.is_dir()]
+                rows = [(path, len(infos), at, info.filename, info.file_size) for at, info in part if not info.is_dir()]
                 yield pd.DataFrame(rows, columns=columns)
 
 

@@ -1,8 +1,8 @@
 """Sheets and tables as roster rows: (row_number, key_raw, target_raw, name).
 
-A sheet whose records are one line each is read in parallel, split by split. Whether that holds is tested first, line by
-line, in a rule that errs on the safe side. Sheets with line breaks inside quoted cells, or with stray quotes, are read
-record by record in one task per sheet instead, as a stream: where a record begins then depends on all that is before it.
+Sheets are read in parallel, split by split. Where every record is one line, which is tested first in a rule that errs on
+the safe side, Spark's CSV parser takes the lines as they are. Sheets with line breaks inside quoted cells, or with stray
+quotes, are put together to records first and parsed the way Python's csv module does.
 """
 
 from __future__ import annotations
@@ -11,11 +11,13 @@ import csv
 import io
 import logging
 import re
+import sys
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallymatch.functions.text import WHITESPACE, clean_cell
 from tallymatch.sources.storage import folder_files, is_file, is_folder, open_store
@@ -25,12 +27,13 @@ log = logging.getLogger(__name__)
 # A quoted cell that fills its place between two commas, and one that holds nothing but whitespace.
 QUOTED_CELL = r'(?:\A|(?<=,))"[^"]*+(?:""[^"]*+)*+"(?=,|\z)'
 QUOTED_BLANK = r'(?U)(?:\A|(?<=,))"[\s\x1c-\x1f]*+"(?=,|\z)'
-# The pattern above takes a stack frame for every doubled quote; lines with more quotes go to the stream reader.
+# The first pattern takes a stack frame for every doubled quote; lines with more quotes go the longer way.
 MOST_QUOTES = 2_000
 # More splits than this are not broadcast.
 MOST_SPLITS = 100_000
 CSV_OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"}
-BATCH = 10_000
+# Effects of a line on the state; 0 and 1 set it.
+KEEP, FLIP = 2, 3
 RAW_COLUMNS = ("key_raw", "target_raw", "name")
 Places = tuple[int, int, int | None]
 
@@ -90,14 +93,14 @@ def read_sheet(spark: SparkSession, path: str, key: str, target: str, name: str
     """Roster rows of a CSV sheet. Row numbers count records from 1, the header included, blank ones too.
 
     The sheet is one .csv file, or a folder of parts that follow each other by name, the way Spark writes text; the
-    header is the first record of the first part then, and a record does not go on in the next part.
+    header is the first record of the first part then.
     """
-    parts = sheet_parts(path)
-    places = resolve_columns(header := _first_record(path, parts), key, target, name)
-    lines = spark.read.text(path)
+    header = _first_record(path, sheet_parts(path))
+    places = resolve_columns(header, key, target, name)
+    lines = split_lines(spark, path)
     if lines.filter(~is_whole_record(F.col("value"))).isEmpty():
-        return _read_lines(numbered_lines(spark, path), len(header), places)
-    return _read_stream(spark, parts, places)
+        return _read_lines(numbered_lines(lines), len(header), places)
+    return _read_records(lines, places)
 
 
 def sheet_parts(path: str) -> list[str]:
@@ -123,16 +126,20 @@ def is_blank_record(line: Column) -> Column:
     return F.translate(F.regexp_replace(line, QUOTED_BLANK, ""), WHITESPACE + ",", "") == ""
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The lines of a file, or of the files of a folder by name, with their numbers from 1: (row_number, value).
-
-    Each split counts its own lines; the counts before it are added. Only those counts, one per split, are ordered.
-    """
-    lines = spark.read.text(path).select(
+def split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a file, or of the files of a folder: (split, id, value). Split and id give their order."""
+    return spark.read.text(path).select(
         "value",
         F.struct("_metadata.file_path", "_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("id"),
     )
+
+
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """(split, id, value) lines with their numbers from 1: (row_number, value).
+
+    Each split counts its own lines; the counts before it are added. Only those counts, one per split, are ordered.
+    """
     counts = lines.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
     offsets = _with_count_before(counts, "split").select("split", "first_id", "before")
     if lines.rdd.getNumPartitions() <= MOST_SPLITS:
@@ -175,29 +182,85 @@ def _read_lines(lines: DataFrame, width: int, places: Places) -> DataFrame:
     )
 
 
-def _read_stream(spark: SparkSession, parts: list[str], places: Places) -> DataFrame:
-    """One task per part. Blank records are kept until the parts are counted."""
+def _read_records(lines: DataFrame, places: Places) -> DataFrame:
+    """Roster rows where a record may take several lines."""
 
-    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(sys.maxsize)
         for batch in batches:
-            for part in batch["part"]:
-                with _text_stream(part) as lines:
-                    found = []
-                    for number, cells in enumerate(csv.reader(lines), start=1):
-                        picked = [cells[at] if at is not None and at < len(cells) else "" for at in places]
-                        found.append((part, number, any(cell.strip() for cell in cells), *picked))
-                        if len(found) == BATCH:
-                            yield pd.DataFrame(found, columns=columns)
-                            found = []
-                    yield pd.DataFrame(found, columns=columns)
-
-    columns = ["part", "number", "filled", *RAW_COLUMNS]
+            found = []
+            for number, record in zip(batch["row_number"], batch["value"]):
+                parsed = next(csv.reader(io.StringIO(record, newline="")), [])
+                if any(cell.strip() for cell in parsed):
+                    found.append((number, *[parsed[at] if at is not None and at < len(parsed) else "" for at in places]))
+            yield pd.DataFrame(found, columns=["row_number", *RAW_COLUMNS])
+
     texts = ", ".join(f"{column} string" for column in RAW_COLUMNS)
-    tasks = spark.createDataFrame([(part,) for part in parts], "part string").repartition(len(parts), "part")
-    raw = tasks.mapInPandas(records, f"part string, number bigint, filled boolean, {texts}")
-    # The number of parts is small: they were listed on the driver.
-    offsets = F.broadcast(_with_count_before(raw.groupBy("part").agg(F.max("number").alias("n")), "part").drop("n"))
-    numbered = raw.join(offsets, "part").withColumn("row_number", F.col("number") + F.col("before"))
-    return numbered.filter("filled and row_number > 1").select(
-        "row_number", *[clean_cell(column).alias(column) for column in RAW_COLUMNS]
+    raw = numbered_records(lines).filter("row_number > 1").mapInPandas(cells, f"row_number bigint, {texts}")
+    return raw.select("row_number", *[clean_cell(column).alias(column) for column in RAW_COLUMNS])
+
+
+@F.pandas_udf(T.IntegerType())
+def line_effect(lines: pd.Series) -> pd.Series:
+    """What a line does to the state "inside a quoted cell": sets it to 0 or 1, keeps it, or flips it."""
+    csv.field_size_limit(sys.maxsize)
+
+    def inside_after(*start: str) -> bool:
+        # The letter is a record of its own, unless the line break before it belongs to a cell.
+        return len(list(csv.reader([*start, "x"]))) == 1
+
+    def effect(line: str) -> int:
+        if '"' not in line:
+            return KEEP
+        from_outside, from_inside = inside_after(line + "\n"), inside_after('"\n', line + "\n")
+        if from_outside == from_inside:
+            return int(from_outside)
+        return FLIP if from_outside else KEEP
+
+    return lines.map(effect)
+
+
+def numbered_records(lines: DataFrame) -> DataFrame:
+    """(split, id, value) lines -> (row_number, value) records, whatever line breaks their cells hold.
+
+    Where a record begins depends on all lines before it, but a line only ever sets, keeps or flips one bit of state. So
+    each split works out its own effect on that bit, the splits are chained (one row per split), and then every split
+    knows the state it starts in and numbers its records by itself.
+    """
+    in_split = Window.partitionBy("split").orderBy("id")
+    marked = _with_state(lines.withColumn("effect", line_effect("value")), in_split)
+    splits = marked.groupBy("split").agg(F.max_by(_as_effect(), "id").alias("effect"))
+    chained = _with_state(splits, Window.orderBy("split"))
+    starts = chained.select(
+        "split", F.lag(_state_after(F.lit(0)), 1, 0).over(Window.orderBy("split")).alias("start")
     )
+    state = marked.join(starts, "split").withColumn(
+        "begins", (F.lag(_state_after(F.col("start"))).over(in_split).eqNullSafe(0))
+        | (F.row_number().over(in_split) == 1) & (F.col("start") == 0)
+    )
+    counted = state.withColumn("in_split", F.sum(F.col("begins").cast("bigint")).over(in_split))
+    counts = counted.groupBy("split").agg(F.max("in_split").alias("n"))
+    before = _with_count_before(counts, "split").drop("n")
+    numbered = counted.join(before, "split").withColumn("row_number", F.col("in_split") + F.col("before"))
+    pieces = F.array_sort(F.collect_list(F.struct("split", "id", "value")))
+    text = F.array_join(F.transform(pieces, lambda piece: piece["value"]), "\n")
+    return numbered.groupBy("row_number").agg(text.alias("value"))
+
+
+def _with_state(rows: DataFrame, order) -> DataFrame:
+    """Adds the flips so far, and the last effect that set the state with the flips up to there."""
+    effect = F.col("effect")
+    return rows.withColumn("flips", F.sum((effect == FLIP).cast("int")).over(order)).withColumn(
+        "last_set", F.last(F.when(effect < KEEP, F.struct("effect", "flips")), ignorenulls=True).over(order)
+    )
+
+
+def _state_after(start: Column) -> Column:
+    set_to, flips_then = F.col("last_set")["effect"], F.col("last_set")["flips"]
+    return F.when(set_to.isNull(), (start + F.col("flips")) % 2).otherwise((set_to + F.col("flips") - flips_then) % 2)
+
+
+def _as_effect() -> Column:
+    """All rows so far as one effect."""
+    flipped = F.when(F.col("flips") % 2 == 1, FLIP).otherwise(KEEP)
+    return F.when(F.col("last_set").isNull(), flipped).otherwise(_state_after(F.lit(0)))

@@ -108,6 +108,27 @@ def test_sheet_in_parts(spark, tmp_path, tail):
     assert [row[:3] for row in found] == [(3, "1", "a"), (4, "2", "b"), (6, "3", "c")]
 
 
+def test_records_across_splits(spark, tmp_path):
+    rng = random.Random(9)
+    path = tmp_path / "s.csv"
+    with open(path, "w", newline="") as out:
+        writer = csv.writer(out, lineterminator="\n")
+        writer.writerow(["Key", "Target", "Name"])
+        for number in range(3_000):
+            lines = rng.choice([1, 1, 1, 2, 40])
+            writer.writerow([number, f"t{number}", "\n".join(rng.choice(['a "b"', "", "c,d"]) for _ in range(lines))])
+            if number % 50 == 0:
+                out.write(rng.choice(["\n", 'x"y,z,"w\n",\n', ' "q,r\n']))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        assert read_sheet(spark, str(path), "Key", "Target", "Name").count() > 3_000
+        found = rows_of(read_sheet(spark, str(path), "Key", "Target", "Name"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found == [(number, *cells) for number, *cells in by_csv_module(path, (0, 1, 2))]
+
+
 def test_columns():
     assert resolve_columns(["Name", "Key No", "key-no", "Target"], "KEY NO", "target", "name") == (2, 3, 0)
     assert resolve_columns(["key", "target"], "key", "target", "name") == (0, 1, None)
