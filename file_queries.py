@@ -202,7 +202,7 @@ def arrivals(spark: SparkSession, folder: str) -> DataFrame:
     listing = X.view(spark, folder, X.ASSETS)
     # Files of one key come in different listings, so that later batches change earlier decisions.
     listing.repartition(TASKS, "path").write.option("maxRecordsPerFile", 5_000).parquet(incoming)
-    running = Arrivals(stage, keyed_roster(X.view(spark, folder, X.ROSTER)), "out")
+    running = Arrivals(keyed_roster(X.view(spark, folder, X.ROSTER)), "out", stage.path("state"))
     stream = running.start(incoming)
     stream.awaitTermination()
     return running.audit().select(*A.COLUMNS)

@@ -83,7 +83,7 @@ def facts_of_rows(roster: DataFrame, assets: DataFrame, counts: Counts, limits:
     """
     known = counts.ledger.filter("n_rows > 0")
     names = group_names(assets, counts.groups.filter("n_rows = 1"), counts.ledger, limits)
-    heavy_keys = heaviest(known, "key", "n_rows", limits).select("key", "n_rows")
+    heavy_keys = heaviest(known, "key", "n_rows", limits)
     heavy_targets = heaviest(counts.targets, "folded", "n_targets", limits)
 
     salt = F.col("row_number")

@@ -22,7 +22,8 @@ def open_store(path: str) -> tuple[fs.FileSystem, str]:
     if path.startswith("file:"):
         return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
     if "://" in path:
-        return fs.FileSystem.from_uri(path)
+        # Hadoop's name for the store that Arrow calls s3.
+        return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1) if path.startswith("s3a://") else path)
     return fs.LocalFileSystem(), path
 
 

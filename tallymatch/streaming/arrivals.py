@@ -30,7 +30,7 @@ from tallymatch.operators.groups import (
 from tallymatch.operators.keyed import DEFAULT_SUFFIXES, keyed_assets
 from tallymatch.operators.matching import ROW_COLUMNS, Counts, decide, orphans
 from tallymatch.operators.spread import Limits, heaviest, keep_keys
-from tallymatch.plans.staging import Stage
+from tallymatch.sources.storage import is_file
 
 LISTING = "path string, size bigint"
 ORPHAN = T.StructType().add("key", "string").add("path", "string")
@@ -39,38 +39,44 @@ DECIDED = ("status", "source", "destination", "detail")
 
 @dataclass
 class Arrivals:
-    """A running audit: a keyed roster, the folder the files are to go to, and a stage that holds its tables."""
+    """A running audit of a keyed roster. ``folder`` is where the files are to go.
+
+    ``state`` is a folder in shared storage that holds its tables and the progress of the stream. Started again on the
+    same folder, with the same roster, it goes on where it was.
+    """
 
-    stage: Stage
     roster: DataFrame
     folder: str
+    state: str
     suffixes: Sequence[str] = DEFAULT_SUFFIXES
     zeros: bool = False
     limits: Limits = Limits()
 
     def __post_init__(self) -> None:
-        self.spark: SparkSession = self.stage.spark
-        self.roster = self.stage.save(self.roster, "roster")
-        self.key_counts = self.stage.save(key_counts(self.roster), "key_counts")
-        self.targets = self.stage.save(repeated(target_counts(self.roster), "n_targets"), "targets")
-        self.manifest, self.decisions, self.leftovers = map(self.stage.path, ("manifest", "decisions", "leftovers"))
+        self.spark: SparkSession = self.roster.sparkSession
+        paths = [f"{self.state}/{name}" for name in ("counts", "targets", "manifest", "decisions", "leftovers")]
+        counts, targets, self.manifest, self.decisions, self.leftovers = paths
 
         no_assets = keyed_assets(self.spark.createDataFrame([], LISTING), self.suffixes, self.zeros)
-        self.asset_schema = no_assets.schema
-        first = decide(self.roster, no_assets, self._counts(self.roster, no_assets), self.folder, self.limits)
-        self.decided_schema = first.schema
-        self._write(first, self.decisions, -1)
-        self._write(no_assets.select(*ORPHAN.names), self.leftovers, -1)
+        first = decide(self.roster, no_assets, Counts.of(self.roster, no_assets), self.folder, self.limits)
+        self.asset_schema, self.decided_schema = no_assets.schema, first.schema
+        # The first decisions are written last, so they tell whether the state is complete.
+        if not is_file(f"{self.decisions}/batch=-1/_SUCCESS"):
+            key_counts(self.roster).write.mode("overwrite").parquet(counts)
+            repeated(target_counts(self.roster), "n_targets").write.mode("overwrite").parquet(targets)
+            self._write(no_assets.select(*ORPHAN.names), self.leftovers, -1)
+            self._write(first, self.decisions, -1)
+        self.key_counts, self.targets = self.spark.read.parquet(counts), self.spark.read.parquet(targets)
         self.waiting = self._read(self.decisions, self.decided_schema).filter(
             (F.col("batch") == -1) & (F.col("status") == L.NO_ASSET)
         )
 
-    def start(self, incoming: str, checkpoint: str | None = None, **trigger) -> StreamingQuery:
+    def start(self, incoming: str, **trigger) -> StreamingQuery:
         """Follow a folder of parquet listings (path, size); by default work off what is there, then stop."""
         stream = self.spark.readStream.schema(LISTING).parquet(incoming)
         return (
             stream.writeStream.foreachBatch(self._take)
-            .option("checkpointLocation", checkpoint or self.stage.path("checkpoint"))
+            .option("checkpointLocation", f"{self.state}/progress")
             .trigger(**(trigger or {"availableNow": True}))
             .start()
         )

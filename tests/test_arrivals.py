@@ -14,13 +14,14 @@ def test_stream_and_batch_agree_after_every_arrival(spark, stage):
         "row_number long, key_raw string, target_raw string, name string",
     )
     batches = [["x/1.jpg", "x/9.jpg", "x/readme"], ["y/1.jpg", "x/3.jpg"], ["z/nothing.txt"], ["x/2.jpeg"]]
-    incoming, checkpoint = stage.path("incoming"), stage.path("checkpoint")
-    running = Arrivals(stage, keyed_roster(rows), "out", limits=Limits(2, 2))
+    incoming, state = stage.path("incoming"), stage.path("state")
     seen = []
     for paths in batches:
         seen += paths
         listing = spark.createDataFrame([(path, 1) for path in paths], "path string, size long")
         listing.coalesce(1).write.mode("append").parquet(incoming)
-        running.start(incoming, checkpoint).awaitTermination()
+        # Started anew for every batch: it goes on from its state.
+        running = Arrivals(keyed_roster(rows), "out", state, limits=Limits(2, 2))
+        running.start(incoming).awaitTermination()
         everything = spark.createDataFrame([(path, 1) for path in seen], "path string, size long")
         assert rows_of(running.audit()) == rows_of(reconcile(rows, everything, "out").audit)

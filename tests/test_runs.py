@@ -6,6 +6,7 @@ import pytest
 
 from tallymatch import labels as L
 from tallymatch.operators.files import look_at_destinations
+from tallymatch.operators.sinks import write_report
 from tallymatch.plans.run import Settings, run
 from tallymatch.sources.sheets import MissingColumn
 
@@ -60,6 +61,22 @@ def test_report_bytes(spark, job, tmp_path):
     ]
 
 
+def test_report_in_several_files_keeps_its_order(spark, tmp_path):
+    audit = spark.range(3000).selectExpr(
+        "if(id % 3 = 0, null, (id * 7919) % 3001) as row_number", "'' as key_raw", "'' as target_raw", "'' as name",
+        "'X' as status", "concat(id % 10, '/', id, '.jpg') as source", "'' as destination", "'' as detail", "'hot' as key",
+    )
+    write_report(audit, str(tmp_path / "report"), files=4)
+    parts = sorted(path for path in (tmp_path / "report").iterdir() if path.name.startswith("part-"))
+    assert len(parts) == 4
+    found = [line.split(",") for part in parts for line in part.read_text(encoding="utf-8-sig").splitlines()[1:]]
+    numbers = [int(cells[0]) for cells in found if cells[0]]
+    paths = [cells[5] for cells in found if not cells[0]]
+    assert numbers == sorted(numbers) and len(numbers) == 2000
+    assert all(cells[0] for cells in found[:2000])
+    assert paths == sorted(paths, key=lambda path: path.split("/")) and len(paths) == 1000
+
+
 def test_dry_run_writes_nothing(spark, job):
     result = run(spark, *job, Settings(dry_run=True))
     assert (result.code, result.summary) == (0, {L.PLANNED: 2, L.ORPHAN_ASSET: 1})
