@@ -234,7 +234,8 @@ def multimap(spark: SparkSession, folder: str) -> DataFrame:
     files = assets(spark, folder)
     sizes = groups.asset_groups(files)
     names = groups.group_names(files, sizes, sizes)
-    one = paths.file_name(F.col("path"))
+    # NULL for a group that is too large for one cell; asset_listing has every file of every group.
+    one = F.when(F.col("n_assets") == 1, paths.file_name(F.col("path")))
     return sizes.join(names, "key", "left").select("key", "n_assets", F.coalesce("names", one).alias("names"))
 
 

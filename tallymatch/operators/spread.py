@@ -1,9 +1,9 @@
 """Lookups that stay even when one key holds a large part of all rows.
 
-``heaviest`` finds the few keys that hold the most rows. By the pigeonhole principle no other key holds more than
-``1/limit`` of the rows, and the list itself never has more than ``limit`` entries, so it can be broadcast whatever the
-data. ``attach`` answers the rows of those keys from the broadcast list and sends all other rows through an ordinary
-shuffled join. Rows that need no lookup travel under a key of their own, so they spread evenly too.
+``heaviest`` finds the keys that hold the most rows. The list has a fixed number of entries of a fixed length at most, so
+it can be broadcast whatever the data, and by the pigeonhole principle a key that is not on it holds less than one part in
+``Limits.heavy_keys`` of all rows. ``attach`` answers the rows of listed keys from the broadcast list and sends the others
+through an ordinary shuffled join. Rows that need no lookup travel under a key of their own, so they spread evenly too.
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 class Limits:
     """Sizes that steer the plan. None of them changes what is in the result tables as a whole."""
 
-    # At most this many keys are answered from a broadcast list.
-    heavy_keys: int = 256
+    # At most this many keys are answered from a broadcast list, 50 MB at the very most.
+    heavy_keys: int = 50_000
     # Keys with fewer rows than this never are: a task handles that many rows easily.
     heavy_rows: int = 100_000
+    # Nor are keys longer than this, which keeps the list small. They take the ordinary join, which AQE splits if need be.
+    heavy_key_bytes: int = 1_000
     # Up to this many file names are written into one detail cell; the listing table always has all of them.
     inline_names: int = 10_000
 
@@ -30,7 +32,7 @@ class Limits:
 def heaviest(counts: DataFrame, on: str, rows: str, limits: Limits) -> DataFrame:
     """The entries of a one-row-per-key count table with the most rows, ``limits.heavy_keys`` at most."""
     return (
-        counts.filter(F.col(rows) >= limits.heavy_rows)
+        counts.filter((F.col(rows) >= limits.heavy_rows) & (F.octet_length(on) <= limits.heavy_key_bytes))
         .orderBy(F.col(rows).desc(), F.col(on))
         .limit(limits.heavy_keys)
     )

@@ -74,7 +74,7 @@ def run(
     """Match a sheet to a folder of files and copy the matched files to their new names.
 
     Raises before any work where folders, sheet or columns are not fit. The audit is stored at ``audit_path`` (by
-    default in the stage) and, if ``report_path`` is given, written there as CSV.
+    default in the stage) and, if ``report_path`` is given, written there as CSV; ``sinks.report_name`` makes a name for it.
     """
     check_folders(assets, out, settings.recursive)
     stage = stage or Stage(spark)

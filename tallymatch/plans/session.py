@@ -8,8 +8,8 @@ SETTINGS = {
     # Joins and partition sizes are settled at run time, from measured sizes.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
-    # Where every partition of one side is this small, hash it instead of sorting both sides.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m",
+    # Where every partition of one side is this small, hash it instead of sorting both sides. Not below the size above.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     # The call site of every column expression is of use for debugging only.
     "spark.python.sql.dataFrameDebugging.enabled": "false",

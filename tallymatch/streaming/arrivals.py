@@ -60,6 +60,7 @@ class Arrivals:
         no_assets = keyed_assets(self.spark.createDataFrame([], LISTING), self.suffixes, self.zeros)
         first = decide(self.roster, no_assets, Counts.of(self.roster, no_assets), self.folder, self.limits)
         self.asset_schema, self.decided_schema = no_assets.schema, first.schema
+        self.ledgers = f"{self.state}/ledgers"
         # The first decisions are written last, so they tell whether the state is complete.
         if not is_file(f"{self.decisions}/batch=-1/_SUCCESS"):
             key_counts(self.roster).write.mode("overwrite").parquet(counts)
@@ -98,14 +99,17 @@ class Arrivals:
         rows = self.waiting.join(groups.select("key"), "key", "left_semi").select(*ROW_COLUMNS)
         heavy = heaviest(asset_sizes(known), "key", "n_assets", self.limits)
         touched = keep_keys(known, "key", rows, heavy, F.xxhash64("path")).select(*fresh.columns)
-        decided = decide(rows, touched, self._counts(rows, touched), self.folder, self.limits)
-        self._write(decided, self.decisions, number)
+        counts = self._counts(key_ledger(rows, touched), "waiting", number)
+        self._write(decide(rows, touched, counts, self.folder, self.limits), self.decisions, number)
 
         claims = groups.join(self.key_counts, "key", "left").fillna(0, ["n_rows"])
-        self._write(orphans(fresh, Counts(claims, self.targets, open_groups(claims)), self.limits), self.leftovers, number)
+        claims = self._counts(claims.select("key", "n_rows", "n_assets", "path"), "claims", number)
+        self._write(orphans(fresh, claims, self.limits), self.leftovers, number)
 
-    def _counts(self, rows: DataFrame, assets: DataFrame) -> Counts:
-        ledger = key_ledger(rows, assets)
+    def _counts(self, ledger: DataFrame, name: str, number: int) -> Counts:
+        path = f"{self.ledgers}/{name}"
+        self._write(ledger, path, number)
+        ledger = self.spark.read.schema(ledger.schema).parquet(f"{path}/batch={number}")
         return Counts(ledger, self.targets, open_groups(ledger))
 
     def _write(self, table: DataFrame, path: str, number: int) -> None:

@@ -134,7 +134,7 @@ def expected(rows, paths):
     return found, sorted(path for key, group in files.items() if not keys.get(key) for path in group)
 
 
-@pytest.mark.parametrize("limits", [Limits(), Limits(2, 100, 50), Limits(1, 5, 2)])
+@pytest.mark.parametrize("limits", [Limits(), Limits(2, 100, inline_names=50), Limits(1, 5, inline_names=2)])
 def test_heavy_keys_on_both_sides(spark, limits):
     """A third of the rows under one key, a third under one target, a third of the files under one key."""
     rng = random.Random(11)
@@ -155,7 +155,7 @@ def test_heavy_keys_on_both_sides(spark, limits):
     assert match.audit.count() == len(rows) + len(left_over)
 
 
-@pytest.mark.parametrize("limits", [Limits(), Limits(2, 3, 10)])
+@pytest.mark.parametrize("limits", [Limits(), Limits(2, 3, inline_names=10)])
 def test_single_operators_with_heavy_keys(spark, limits):
     rows = [(n, "hot" if n % 3 else "", f"t{n % 4}") for n in range(2, 40)] + [(50, "one", "t50")]
     roster, listing = tables(spark, rows, [f"{n}/HOT.jpg" for n in range(9)] + ["a/one.jpg"])
