@@ -6,11 +6,16 @@ own terms (windows and scalar subqueries rather than the ledger and the skew-saf
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The driver may load this file from anywhere.
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
 import file_queries
 from tallymatch import fixtures as X
 from tallymatch import labels as L

@@ -41,8 +41,12 @@ def look_at_destinations(planned: DataFrame, verify: bool = False) -> DataFrame:
     def compare(source: str, destination: str) -> tuple[bool, bool, str | None]:
         try:
             there = file_size(destination)
-            if there is None:
-                return False, False, None
+        except OSError:
+            # A place that cannot be looked at counts as free; if it cannot be written either, the copy says so.
+            there = None
+        if there is None:
+            return False, False, None
+        try:
             here = file_size(source)
             if here is None:
                 raise FileNotFoundError(f"No such file: {source}")

@@ -17,7 +17,7 @@ from tallymatch.operators.sinks import read_audit, write_audit, write_report
 from tallymatch.operators.spread import Limits
 from tallymatch.plans.reconcile import reconcile
 from tallymatch.plans.staging import Stage
-from tallymatch.sources.folders import list_folder
+from tallymatch.sources.folders import list_folder, require_folder
 from tallymatch.sources.sheets import read_sheet
 from tallymatch.sources.storage import is_below, make_folder, plain_path, same_folder
 
@@ -73,13 +73,14 @@ def run(
 ) -> RunResult:
     """Match a sheet to a folder of files and copy the matched files to their new names.
 
-    Raises before any work where folders, sheet or columns are not fit. The audit is stored at ``audit_path`` (by
+    Raises before anything is listed or written where folders, sheet or columns are not fit. The audit is stored at ``audit_path`` (by
     default in the stage) and, if ``report_path`` is given, written there as CSV; ``sinks.report_name`` makes a name for it.
     """
     check_folders(assets, out, settings.recursive)
+    require_folder(assets)
+    rows = read_sheet(spark, sheet, settings.key_column, settings.target_column, settings.name_column)
     stage = stage or Stage(spark)
     listing = list_folder(spark, assets, stage, settings.recursive)
-    rows = read_sheet(spark, sheet, settings.key_column, settings.target_column, settings.name_column)
     match = reconcile(
         rows,
         listing,

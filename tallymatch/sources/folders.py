@@ -25,15 +25,19 @@ FOLDERS_PER_TASK = 16
 MOST_TASKS = 10_000
 
 
+def require_folder(folder: str) -> None:
+    if not is_folder(folder):
+        raise NotADirectoryError(f"Folder not found: {folder}")
+
+
 def list_folder(spark: SparkSession, folder: str, stage: Stage, recursive: bool = False) -> DataFrame:
     """Every file of a folder, or of the whole tree below it: (path, size).
 
     Flat: the entries that are files, links to files included. Recursive: every entry that is no folder; links to
     folders are not followed.
     """
+    require_folder(folder)
     root = plain_path(folder)
-    if not is_folder(root):
-        raise NotADirectoryError(f"Folder not found: {folder}")
     frontier = spark.createDataFrame([(root,)], "path string")
     levels = []
     while True:

@@ -32,6 +32,7 @@ MOST_QUOTES = 2_000
 # More splits than this are not broadcast.
 MOST_SPLITS = 100_000
 CSV_OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"}
+HIDDEN = ("_", ".")
 # Effects of a line on the state; 0 and 1 set it.
 KEEP, FLIP = 2, 3
 RAW_COLUMNS = ("key_raw", "target_raw", "name")
@@ -106,11 +107,13 @@ def read_sheet(spark: SparkSession, path: str, key: str, target: str, name: str
 def sheet_parts(path: str) -> list[str]:
     """The files of a sheet in order."""
     if is_folder(path):
-        return [part for part in folder_files(path) if not part.rpartition("/")[2].startswith(("_", "."))]
+        return [part for part in folder_files(path) if not part.rpartition("/")[2].startswith(HIDDEN)]
     if not path.lower().endswith(".csv"):
         raise ValueError(f"Cannot read {path}: only .csv sheets; load workbooks as a table and use roster_from_table")
     if not is_file(path):
         raise FileNotFoundError(f"Sheet not found: {path}")
+    if path.rpartition("/")[2].startswith(HIDDEN):
+        raise ValueError(f"Spark leaves out files whose names begin with a dot or an underscore; rename {path}")
     return [path]
 
 

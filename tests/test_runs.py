@@ -18,7 +18,7 @@ def job(tmp_path):
     for name in ("100.jpg", "200.JPEG", "notes.txt", "777.jpg"):
         (photos / name).write_bytes(b"\xff\xd8 " + name.encode())
     sheet = tmp_path / "staff.csv"
-    sheet.write_text("Key,Target,Name\n100,LAS001,Ada\n200.0,LAS002,Bayo\n")
+    sheet.write_text("Key,Target,Name\n100,NEW001,Ada\n200.0,NEW002,Bayo\n")
     return str(photos), str(sheet), str(tmp_path / "out")
 
 
@@ -28,9 +28,9 @@ def test_run_and_rerun(spark, job, tmp_path):
     first = run(spark, *job, report_path=str(tmp_path / "report"))
     assert first.code == 0
     assert first.summary == {L.APPLIED: 2, L.ORPHAN_ASSET: 1}
-    assert sorted(os.listdir(out)) == ["LAS001.jpg", "LAS002.jpeg"]
-    assert open(f"{out}/LAS001.jpg", "rb").read() == b"\xff\xd8 100.jpg"
-    assert os.stat(f"{out}/LAS001.jpg").st_mtime == before
+    assert sorted(os.listdir(out)) == ["NEW001.jpg", "NEW002.jpeg"]
+    assert open(f"{out}/NEW001.jpg", "rb").read() == b"\xff\xd8 100.jpg"
+    assert os.stat(f"{out}/NEW001.jpg").st_mtime == before
     assert sorted(os.listdir(photos)) == ["100.jpg", "200.JPEG", "777.jpg", "notes.txt"]
 
     # Reading the result again copies nothing and changes nothing.
@@ -54,8 +54,8 @@ def test_report_bytes(spark, job, tmp_path):
             assert content.startswith(b"\xef\xbb\xbfrow_number,key_raw,target_raw,name,status,source,destination,detail\n")
             lines += content.decode("utf-8-sig").splitlines()[1:]
     assert lines == [
-        f"2,100,LAS001,Ada,APPLIED,{photos}/100.jpg,{out}/LAS001.jpg,",
-        f"3,200,LAS002,Bayo,APPLIED,{photos}/200.JPEG,{out}/LAS002.jpeg,",
+        f"2,100,NEW001,Ada,APPLIED,{photos}/100.jpg,{out}/NEW001.jpg,",
+        f"3,200,NEW002,Bayo,APPLIED,{photos}/200.JPEG,{out}/NEW002.jpeg,",
         '4,300,T3,"Zoé ""Z"", B",NO_ASSET,,,',
         f",,,,ORPHAN_ASSET,{photos}/777.jpg,,No row has this key",
     ]
@@ -85,7 +85,7 @@ def test_dry_run_writes_nothing(spark, job):
 
 def test_conflict_is_reported_not_overwritten(spark, job):
     os.mkdir(job[2])
-    target = f"{job[2]}/LAS001.jpg"
+    target = f"{job[2]}/NEW001.jpg"
     with open(target, "wb") as other:
         other.write(b"another photo, of another size")
     result = run(spark, *job)
@@ -99,10 +99,10 @@ def test_conflict_is_reported_not_overwritten(spark, job):
 
 def test_same_size_counts_as_done_unless_verified(spark, job):
     os.mkdir(job[2])
-    with open(f"{job[2]}/LAS001.jpg", "wb") as other:
+    with open(f"{job[2]}/NEW001.jpg", "wb") as other:
         other.write(b"\xff\xd8 1x0.jpg")
     assert run(spark, *job, Settings(overwrite=True)).summary[L.ALREADY_DONE] == 1
-    assert open(f"{job[2]}/LAS001.jpg", "rb").read() == b"\xff\xd8 1x0.jpg"
+    assert open(f"{job[2]}/NEW001.jpg", "rb").read() == b"\xff\xd8 1x0.jpg"
     assert run(spark, *job, Settings(verify=True)).summary[L.TARGET_CONFLICT] == 1
     assert run(spark, *job, Settings(verify=True, overwrite=True)).summary == {
         L.APPLIED: 1, L.ALREADY_DONE: 1, L.ORPHAN_ASSET: 1,
@@ -111,13 +111,13 @@ def test_same_size_counts_as_done_unless_verified(spark, job):
 
 def test_one_bad_file_fails_alone(spark, job):
     # A folder at the destination: it exists, it is no copy, and it cannot be replaced by a file.
-    os.makedirs(f"{job[2]}/LAS001.jpg/inner")
+    os.makedirs(f"{job[2]}/NEW001.jpg/inner")
     result = run(spark, *job, Settings(overwrite=True))
     assert result.code == 2
     assert result.summary == {L.COPY_FAILED: 1, L.APPLIED: 1, L.ORPHAN_ASSET: 1}
     failed = result.audit.filter("status = 'COPY_FAILED'").first()
     assert "Error: " in failed.detail
-    assert sorted(os.listdir(job[2])) == ["LAS001.jpg", "LAS002.jpeg"]
+    assert sorted(os.listdir(job[2])) == ["NEW001.jpg", "NEW002.jpeg"]
 
 
 def test_source_that_vanished(spark, tmp_path):
@@ -157,7 +157,7 @@ def test_checks_come_first(spark, job, tmp_path):
         run(spark, photos, f"{tmp_path}/missing.csv", out)
     with pytest.raises(ValueError):
         run(spark, photos, f"{photos}/notes.txt", out)
-    (tmp_path / "bad.csv").write_text("Oracle,Other\n100,x\n")
-    with pytest.raises(MissingColumn, match="Oracle, Other"):
+    (tmp_path / "bad.csv").write_text("Code,Other\n100,x\n")
+    with pytest.raises(MissingColumn, match="Code, Other"):
         run(spark, photos, str(tmp_path / "bad.csv"), out)
     assert not os.path.exists(out)

@@ -136,6 +136,12 @@ def test_columns():
         resolve_columns(["A", "--"], "Key", "A")
 
 
+def test_hidden_sheet_is_refused_not_read_as_empty(spark, tmp_path):
+    (tmp_path / "_s.csv").write_text("Key,Target\n1,a\n")
+    with pytest.raises(ValueError, match="rename"):
+        read_sheet(spark, str(tmp_path / "_s.csv"), "Key", "Target")
+
+
 def test_empty_sheet(spark, tmp_path):
     (tmp_path / "s.csv").write_text("")
     with pytest.raises(ValueError, match="empty"):
