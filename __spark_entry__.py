@@ -25,6 +25,14 @@ from tallymatch.operators import groups, keyed, matching, outcomes
 from tallymatch.plans.reconcile import Reconciliation, reconcile
 from tallymatch.plans.staging import Stage
 
+try:
+    import corpus_pipeline
+    from tallymatch.llm import queries as llm
+except ModuleNotFoundError as missing:  # these two may be left out together; anything else that is missing is an error
+    if missing.name not in {"corpus_pipeline", "tallymatch.llm", "tallymatch.llm.queries"}:
+        raise
+    llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 OUT = "out"
@@ -374,6 +382,15 @@ def outcome_merge(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """One entry per operator."""
+    return own_queries() | ({**llm.QUERIES, "pipeline": corpus_pipeline.run} if llm else {})
+
+
+def oracle_sql() -> dict[str, str]:
+    """The query of the same name in SQL, for all that SQL can express."""
+    return own_sql() | (llm.SQL if llm else {})
+
+
+def own_queries() -> dict[str, Query]:
     return {
         "audit": audit,
         "audit_lazy": audit_lazy,
@@ -518,8 +535,7 @@ def outcome_sql(verify: bool = False, overwrite: bool = False, dry_run: bool = F
     from c"""
 
 
-def oracle_sql() -> dict[str, str]:
-    """The query of the same name in SQL."""
+def own_sql() -> dict[str, str]:
     rows, files = f"with {WITH_ROSTER}", f"with {WITH_ASSETS}"
     return {
         "audit": f"{BOTH} select * from audit",

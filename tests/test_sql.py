@@ -9,7 +9,7 @@ FOLDER = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 )
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = entry.own_queries(), entry.own_sql()
 
 
 @pytest.fixture(scope="module")
