@@ -9,6 +9,8 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 
 SHARED_FOLDER = "spark.checkpoint.dir"
+#: What a finished execution has shuffled is removed; a stage that is needed again after all is run again.
+REMOVE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,6 +31,8 @@ class Stage:
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
+        # A saved table is read from its files; what was shuffled to make it would only take up local disks.
+        spark.conf.set(REMOVE_SHUFFLES, "true")
         self.folder = f"{folder or shared_folder(spark)}/run-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
