@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tallymatch.llm.line_dedup import OP3_SQL, op3_line_dedup
+from tallymatch.llm.ngram_join import op10_ngram_jaccard_join
 from tallymatch.llm.substring_dedup import op6_substring_dedup
 
 QUERIES = {
+    "op3_line_dedup": op3_line_dedup,
     "op6_substring_dedup": op6_substring_dedup,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
