@@ -8,11 +8,15 @@ positions whose remainder modulo ``PERIOD`` is in ``COVER``. The differences of
 two positions i and j there is a step d < ``PERIOD`` that takes both into the cover; two equal windows of
 ``ANCHOR + PERIOD - 1`` words or more therefore share an anchor at the same place. So:
 
-1. *Anchors.* Each task hashes its anchors and sends one row for each different hash. Hashes that it has met twice itself
+1. *Copies.* Of rows with equal word sequences all but those with the smallest id lose everything, since each of their windows
+   starts earlier there; only the others go on. A task sends the text of a sequence once and tells itself which of its rows
+   are later copies.
+2. *Anchors.* Each task hashes its anchors and sends one row for each different hash. Hashes that it has met twice itself
    need no partner elsewhere. The group of a hash has a row for each task's piece at most, however often a passage occurs.
-2. *Extension.* Only windows around anchors that occur twice are hashed as a whole, to 128 bits. Again a task sends the
-   first place of each hash only; its later places are known to go. Of the places that meet, all but the first go.
-3. Documents without such an anchor are finished in step 2; the others meet the places that go, by id.
+3. *Extension.* Documents with repeated anchors are picked out, and the windows around those anchors are hashed as a whole,
+   to 96 bits. Again a task sends the first place of each hash only; its later places are known to go. Of the places that
+   meet, all but the first go.
+4. Documents meet their marked windows by id.
 
 Texts travel compressed. Null text: no words. Null id: an id smaller than all others. Rows with the same id are judged
 each on its own text; where two such rows hold the same window at the same place, neither is earlier, so repeated rows
@@ -23,7 +27,7 @@ than ``doc_id`` and ``text`` are not looked at.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +43,10 @@ PERIOD = 13
 #: A perfect difference set: its differences modulo 13 are 0 to 12.
 COVER = (0, 1, 3, 9)
 
-ANCHORS = "key long, doc_id long, pos int, known boolean"
-PARTS = "doc_id long, text binary, n_words long, n_removed long, kept binary"
-PLACES = "key long, more long, doc_id long, pos int, known boolean"
+PACKED = "one long, two long, doc_id long, text binary, n_words long, copy boolean, carried string"
+ANCHORS = "key long, doc_id long, pos int, hits array<int>"
+PLACES = "key long, more int, doc_id long, pos int, marks array<long>"
+KEPT = "doc_id long, text string, n_words long, n_removed long, carried string"
 _BUFFER = 2_000_000
 
 
@@ -60,9 +65,17 @@ def first_places(keys: list[np.ndarray], doc: np.ndarray, pos: np.ndarray) -> tu
     return order, same_key
 
 
-def _spread(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """A key for rows that need no partner, so that they spread evenly."""
-    return words.mixed(doc.view(np.uint64) * np.uint64(31) + pos.astype(np.uint64))
+def spread(doc: np.ndarray) -> np.ndarray:
+    """A key for rows that need no partner, so that they are dealt out evenly."""
+    return words.mixed(doc.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64)
+
+
+def by_document(doc: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """The different documents and the values of each as a list."""
+    order = np.argsort(doc, kind="stable")
+    docs, first = np.unique(doc[order], return_index=True)
+    bounds = np.append(first, len(doc)).astype(np.int32)
+    return docs, pa.ListArray.from_arrays(pa.array(bounds), pa.array(values[order]))
 
 
 def anchors(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -73,18 +86,24 @@ def anchors(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.Recor
         key, doc, pos = (np.concatenate(column) for column in zip(*held, strict=True))
         order, later = first_places([key], doc, pos)
         key, doc, pos = key[order], doc[order], pos[order]
-        # Of a key met twice here, all places are known; one of them still stands for this task.
-        twice = np.zeros(len(key), bool)
-        twice[:-1] |= later[1:]
-        key = np.concatenate([np.where(later, _spread(doc, pos), key), _spread(doc[twice], pos[twice])])
-        doc, pos = np.concatenate([doc, doc[twice]]), np.concatenate([pos, pos[twice]])
-        known = np.concatenate([later, np.ones(int(twice.sum()), bool)])
+        # Of a key met twice here, all places are known; the first of them still stands for this task.
+        known = later.copy()
+        known[:-1] |= later[1:]
+        first = ~later
+        docs, hits = by_document(doc[known], pos[known].astype(np.int32))
+        none = pa.nulls(int(first.sum()), pa.list_(pa.int32()))
         return pa.RecordBatch.from_arrays(
-            [pa.array(key.view(np.int64)), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(known)],
-            names=["key", "doc_id", "pos", "known"],
+            [
+                pa.array(np.concatenate([key[first].view(np.int64), spread(docs)])),
+                pa.array(np.concatenate([doc[first], docs])),
+                pa.array(np.concatenate([pos[first], np.full(len(docs), -1)]).astype(np.int32)),
+                pa.concat_arrays([none, hits]),
+            ],
+            names=["key", "doc_id", "pos", "hits"],
         )
 
-    for part, data, offsets in words.pieces(batches, "text"):
+    for part in unpacked(batches):
+        data, offsets = words.raw(part.column(part.schema.get_field_index("text")))
         found = words.Words(data, offsets)
         if not len(found):
             continue
@@ -100,13 +119,42 @@ def anchors(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.Recor
         yield flush()
 
 
-def compressed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sequences(found: words.Words, seed: int) -> np.ndarray:
+    """64 bits for each text's sequence of words."""
+    out = np.zeros(len(found.offsets) - 1, np.uint64)
+    if len(found):
+        held = np.flatnonzero(found.counts)
+        place = words.mixed(found.position().astype(np.uint64) + np.uint64(seed << 40))
+        out[held] = np.add.reduceat(words.mixed(found.hashes(seed) ^ place), found.first[held])
+    return words.mixed(out + found.counts.astype(np.uint64))
+
+
+def packed(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Each row with its word sequence as 128 bits; compressed texts, but for later copies of a row met before."""
     packer = zstandard.ZstdCompressor(level=1)
     for part, data, offsets in words.pieces(batches, "text"):
+        found = words.Words(data, offsets)
+        doc, one, two = words.ids(part), sequences(found, 1), sequences(found, 2)
+        order = np.lexsort((doc, two, one))
+        same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
+        group = np.concatenate([[0], np.cumsum(~same)])
+        least = doc[order][np.flatnonzero(np.concatenate([[True], ~same]))][group]
+        copy = np.zeros(len(doc), bool)
+        copy[order] = doc[order] > least
+        copy &= found.counts >= window
         data = data.tobytes()
-        texts = [packer.compress(data[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
+        texts = [None if c else packer.compress(data[a:b]) for a, b, c in zip(offsets, offsets[1:], copy, strict=False)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(words.ids(part)), pa.array(texts, pa.binary())], names=["doc_id", "text"]
+            [
+                pa.array(np.where(copy, spread(doc), one.view(np.int64))),
+                pa.array(two.view(np.int64)),
+                pa.array(doc),
+                pa.array(texts, pa.binary()),
+                pa.array(found.counts.astype(np.int64)),
+                pa.array(copy),
+                part.column(part.schema.get_field_index("carried")),
+            ],
+            names=["one", "two", "doc_id", "text", "n_words", "copy", "carried"],
         )
 
 
@@ -132,33 +180,15 @@ def unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield piece(rows)
 
 
-def finished(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents without a repeated anchor are kept whole; of the others the text stays for the next steps."""
-    packer = zstandard.ZstdCompressor(level=1)
-    for batch in unpacked(batches):
-        data, offsets = words.raw(batch.column(batch.schema.get_field_index("text")))
-        found = words.Words(data, offsets)
-        open_ = pa.compute.is_valid(batch.column(batch.schema.get_field_index("hits"))).to_numpy(zero_copy_only=False)
-        kept = found.joined(np.ones(len(found), bool))
-        texts = [packer.compress(data[a:b].tobytes()) if o else None for a, b, o in zip(offsets, offsets[1:], open_, strict=False)]
-        kept = [None if o else text for o, text in zip(open_, kept, strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(batch.schema.get_field_index("doc_id")),
-                pa.array(texts, pa.binary()),
-                pa.array(found.counts.astype(np.int64)),
-                pa.array(np.zeros(len(offsets) - 1, np.int64)),
-                pa.array(kept, pa.binary()),
-                batch.column(batch.schema.get_field_index("hits")),
-            ],
-            names=["doc_id", "text", "n_words", "n_removed", "kept", "hits"],
-        )
-
-
 def window_keys(found: words.Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     return found.runs(found.hashes(1), window), found.runs(found.hashes(2), window)
 
 
+def marked(key: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """A window that goes: its place, and low bits of its key, since rows of the same id may differ."""
+    return (pos.astype(np.int64) << 32) | (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
 def places(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """The windows that hold a repeated anchor whole, each task's first place of each and the later ones as known."""
     for batch in unpacked(batches):
@@ -179,12 +209,17 @@ def places(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.Record
         doc, pos = words.ids(batch)[found.text_of_word()[near]], found.position()[near]
         order, later = first_places([key, more], doc, pos)
         key, more, doc, pos = key[order], more[order], doc[order], pos[order]
-        # Places known to go need only the low bits of their key later on.
-        more = np.where(later, key, more)
-        key = np.where(later, _spread(doc, pos), key)
+        docs, marks = by_document(doc[later], marked(key, pos)[later])
+        first = ~later
         yield pa.RecordBatch.from_arrays(
-            [pa.array(key.view(np.int64)), pa.array(more.view(np.int64)), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(later)],
-            names=["key", "more", "doc_id", "pos", "known"],
+            [
+                pa.array(np.concatenate([key[first].view(np.int64), spread(docs)])),
+                pa.array(np.concatenate([(more[first] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.zeros(len(docs), np.int32)])),
+                pa.array(np.concatenate([doc[first], docs])),
+                pa.array(np.concatenate([pos[first], np.full(len(docs), -1)]).astype(np.int32)),
+                pa.concat_arrays([pa.nulls(int(first.sum()), pa.list_(pa.int64())), marks]),
+            ],
+            names=["key", "more", "doc_id", "pos", "marks"],
         )
 
 
@@ -210,45 +245,55 @@ def without(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(batch.schema.get_field_index("doc_id")),
-                pa.array([None] * batch.num_rows, pa.binary()),
+                pa.array([text.decode() for text in found.joined(~gone)], pa.string()),
                 pa.array(found.counts.astype(np.int64)),
                 pa.array(removed[found.first[1:]] - removed[found.first[:-1]]),
-                pa.array(found.joined(~gone), pa.binary()),
+                batch.column(batch.schema.get_field_index("carried")),
             ],
-            names=["doc_id", "text", "n_words", "n_removed", "kept"],
+            names=["doc_id", "text", "n_words", "n_removed", "carried"],
         )
 
 
-def remove_repeats(docs: DataFrame, stage: Stage | None = None, window: int = WINDOW) -> DataFrame:
-    """doc_id, text (what is left, joined by single spaces), n_words, n_removed; a row for each row of ``docs``."""
+def remove_repeats(docs: DataFrame, stage: Stage | None = None, window: int = WINDOW, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, text (what is left, joined by single spaces), n_words, n_removed; a row for each row of ``docs``.
+
+    ``carry`` names columns that JSON can hold, which are handed on with each row.
+    """
     if window < PERIOD:
         raise ValueError(f"a window has at least {PERIOD} words")
     stage = stage or Stage(docs.sparkSession)
-    docs = tables.only(docs, "doc_id", "text")
-
-    rows = docs.mapInArrow(lambda batches: anchors(batches, window), ANCHORS)
-    meet = Window.partitionBy("key")
-    repeated = rows.withColumn("n", F.count(F.lit(1)).over(meet)).filter("known or n > 1")
-    hits = repeated.groupBy("doc_id").agg(F.collect_set("pos").alias("hits"))
-
-    packed = docs.mapInArrow(compressed, "doc_id long, text binary")
-    parts = packed.join(hits, "doc_id", "left").mapInArrow(finished, PARTS + ", hits array<int>")
-    parts = stage.save(parts, "parts")
-    open_ = parts.filter("text is not null")
-
-    met = open_.select("doc_id", "text", "hits").mapInArrow(lambda batches: places(batches, window), PLACES)
+    columns = [F.col(f"`{name}`") for name in carry]
+    carried = F.to_json(F.struct(*columns)) if carry else F.lit(None).cast("string")
+    kinds = docs.select(*columns).schema
+    docs = docs.select("doc_id", "text", carried.alias("carried"))
+
+    rows = docs.mapInArrow(lambda batches: packed(batches, window), PACKED)
+    least = F.min(F.when(~F.col("copy"), F.col("doc_id"))).over(Window.partitionBy("one", "two"))
+    copy = F.col("copy") | ((F.col("doc_id") > F.col("least")) & (F.col("n_words") >= window))
+    rows = rows.withColumn("least", least).withColumn("copy", copy).drop("one", "two", "least")
+    rows = stage.save(rows.withColumn("text", F.when(~F.col("copy"), F.col("text"))), "packed")
+    texts = rows.filter("not copy").select("doc_id", "text", "carried")
+
+    found = texts.select("doc_id", "text").mapInArrow(lambda batches: anchors(batches, window), ANCHORS)
+    n = F.count(F.when(F.col("hits").isNull(), 1)).over(Window.partitionBy("key"))
+    repeated = found.withColumn("n", n).filter("hits is not null or n > 1")
+    hits = F.array_distinct(F.flatten(F.collect_list(F.coalesce("hits", F.array("pos")))))
+    hits = stage.save(repeated.groupBy("doc_id").agg(hits.alias("hits")), "hits")
+    near = stage.save(texts.select("doc_id", "text").join(hits, "doc_id"), "near")
+
+    met = near.mapInArrow(lambda batches: places(batches, window), PLACES)
     place = F.struct("doc_id", "pos")
-    met = met.withColumn("least", F.min(place).over(Window.partitionBy("key", "more")))
-    going = met.filter(F.col("known") | (place > F.col("least")))
-    low = F.when(F.col("known"), F.col("more")).otherwise(F.col("key")).bitwiseAND(F.lit(0xFFFFFFFF))
-    mark = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(low)
-    marks = going.groupBy("doc_id").agg(F.collect_set(mark).alias("marks"))
-
-    rest = open_.select("doc_id", "text").join(marks, "doc_id", "left")
-    rest = rest.mapInArrow(lambda batches: without(batches, window), PARTS)
-    done = parts.filter("text is null").drop("hits").unionByName(rest)
-    return done.select(
-        tables.given_id().alias("doc_id"), F.col("kept").cast("string").alias("text"), "n_words", "n_removed"
+    first = F.min(F.when(F.col("marks").isNull(), place)).over(Window.partitionBy("key", "more"))
+    going = met.withColumn("first", first).filter(F.col("marks").isNotNull() | (place > F.col("first")))
+    mark = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)))
+    marks = F.flatten(F.collect_list(F.coalesce("marks", F.array(mark))))
+    marks = stage.save(going.groupBy("doc_id").agg(marks.alias("marks")), "marks")
+
+    rest = texts.join(marks, "doc_id", "left").mapInArrow(lambda batches: without(batches, window), KEPT)
+    copies = rows.filter("copy").select("doc_id", F.lit("").alias("text"), "n_words", F.col("n_words").alias("n_removed"), "carried")
+    own = F.from_json("carried", kinds) if carry else None
+    return rest.unionByName(copies).select(
+        tables.given_id().alias("doc_id"), "text", "n_words", "n_removed", *(own[name].alias(name) for name in carry)
     )
 
 

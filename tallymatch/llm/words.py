@@ -76,6 +76,19 @@ class Words:
         """64 bits for each word."""
         if not len(self.starts):
             return np.zeros(0, np.uint64)
+        return mixed(np.add.reduceat(self._terms(seed), self.starts - self.starts[0]))
+
+    def beginnings(self, length: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """The words of more than ``length`` bytes, and 64 bits for the first ``length`` bytes of each."""
+        longer = np.flatnonzero(self.ends - self.starts > length)
+        if not len(longer):
+            return longer, np.zeros(0, np.uint64)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self._terms(seed))])
+        at = self.starts[longer] - self.starts[0]
+        return longer, mixed((sums[at + length] - sums[at]) ^ np.uint64(length << 56))
+
+    def _terms(self, seed: int) -> np.ndarray:
+        """What each byte from the first word on adds to the hash of its word."""
         if seed not in _SEEDS:
             _SEEDS[seed] = _tables(seed)
         of_byte, powers, more = _SEEDS[seed]
@@ -89,7 +102,7 @@ class Words:
             at %= _POWERS
         np.minimum(at, _POWERS - 1, out=at)  # white space after a word may reach further; it counts as 0
         values *= powers[at]
-        return mixed(np.add.reduceat(values, self.starts - begin))
+        return values
 
     def runs(self, hashes: np.ndarray, length: int) -> np.ndarray:
         """For each word the hash of the ``length`` words that start there; not meant where ``fits`` is false."""
