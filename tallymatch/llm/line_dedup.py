@@ -17,11 +17,12 @@ alike. An empty table gives an empty result; columns other than ``doc_id`` and `
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymatch.llm import tables
-from tallymatch.plans.staging import Stage
 
 LINES = 3
 HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -60,10 +61,11 @@ def windows(docs: DataFrame, lines: int = LINES) -> DataFrame:
     return exploded.filter("w.full").select("doc_id", "row", "w.at", "w.one", "w.two")
 
 
-def remove_repeated_lines(docs: DataFrame, stage: Stage | None = None, lines: int = LINES) -> DataFrame:
-    """doc_id, text (the kept lines), n_lines, n_removed; a row for each row of ``docs``."""
-    docs = tables.only(docs, "doc_id", "text").select(
-        tables.known_id().alias("doc_id"), "text", F.xxhash64("text").alias("row")
+def remove_repeated_lines(docs: DataFrame, lines: int = LINES, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, text (the kept lines), n_lines, n_removed; a row for each row of ``docs``, with the columns to carry."""
+    carried = F.struct(*(F.col(f"`{name}`") for name in carry)) if carry else F.lit(None)
+    docs = docs.select(
+        tables.known_id().alias("doc_id"), "text", F.xxhash64("text").alias("row"), carried.alias("carried")
     )
     found = windows(docs, lines)
     place = F.struct("doc_id", "row", "at")
@@ -85,6 +87,7 @@ def remove_repeated_lines(docs: DataFrame, stage: Stage | None = None, lines: in
         F.when(F.col("rest").isNull(), F.col("text")).otherwise(left).alias("text"),
         n_lines.alias("n_lines"),
         (n_lines - F.when(F.col("rest").isNull(), n_lines).otherwise(n_rest)).alias("n_removed"),
+        *(F.col("carried")[name].alias(name) for name in carry),
     )
 
 

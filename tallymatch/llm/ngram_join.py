@@ -28,11 +28,12 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymatch.llm import graph, tables, words
-from tallymatch.llm.substring_dedup import compressed, unpacked
+from tallymatch.llm.substring_dedup import sequences, unpacked
 from tallymatch.plans.staging import Stage
 
 SHINGLE = 5
@@ -71,16 +72,6 @@ def shingles(found: words.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return own[order], text[order]
 
 
-def sequences(found: words.Words, seed: int) -> np.ndarray:
-    """64 bits for each text's sequence of words."""
-    out = np.zeros(len(found.offsets) - 1, np.uint64)
-    if len(found):
-        held = np.flatnonzero(found.counts)
-        place = words.mixed(found.position().astype(np.uint64) + np.uint64(seed << 40))
-        out[held] = np.add.reduceat(words.mixed(found.hashes(seed) ^ place), found.first[held])
-    return words.mixed(out + found.counts.astype(np.uint64))
-
-
 def signed(batches: Iterable[pa.RecordBatch], size: int, trees: int, length: int) -> Iterator[pa.RecordBatch]:
     factors = words.mixed(np.arange(1, trees * length + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     high = np.uint64(32)
@@ -109,6 +100,14 @@ def signed(batches: Iterable[pa.RecordBatch], size: int, trees: int, length: int
         )
 
 
+def compressed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    packer = zstandard.ZstdCompressor(level=1)
+    for part, data, offsets in words.pieces(batches, "text"):
+        data = data.tobytes()
+        texts = [packer.compress(data[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([pa.array(words.ids(part)), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+
+
 def sets(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """The shingle set of each row that has the word sequence of its node, once for each pair of blocks."""
     for batch in unpacked(batches):
@@ -246,7 +245,7 @@ def near_duplicates(
 
     leaves = nodes.select("node", F.posexplode("keys").alias("tree", "prefix"))
     under = leaves.groupBy("tree", "prefix").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("n"))
-    ties = leaves.join(under.filter("n > 1"), ["tree", "prefix"])
+    ties = leaves.join(under.filter("n > 1").hint("merge"), ["tree", "prefix"])
     clusters = graph.components(ties.select(F.col("node").alias("a"), F.col("root").alias("b")), stage)
     in_cluster = nodes.drop("keys").join(clusters.withColumnRenamed("id", "node"), "node")
     in_cluster = stage.save(in_cluster.withColumnRenamed("component", "cluster"), "clusters")
@@ -257,7 +256,9 @@ def near_duplicates(
     blocked = blocked.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     blocked = blocked.select(F.col("least").alias("doc_id"), "one", "node", "copies", "cluster", "blocks", "block")
 
-    packed = docs.mapInArrow(compressed, "doc_id long, text binary").join(blocked, "doc_id")
+    packed = docs.mapInArrow(compressed, "doc_id long, text binary")
+    # Both sides grow with the corpus: joined the same way at every size.
+    packed = packed.join(blocked.hint("merge"), "doc_id")
     keys = ["cluster", "a", "b"]
     members = packed.mapInArrow(lambda batches: sets(batches, size), SETS).repartition(*keys).sortWithinPartitions(*keys)
     links = stage.save(members.mapInArrow(lambda batches: linked(batches, threshold), LINKS), "links")
