@@ -181,7 +181,11 @@ def target_path(spark: SparkSession, folder: str) -> DataFrame:
 
 def resolves_inside(spark: SparkSession, folder: str) -> DataFrame:
     pages = X.view(spark, folder, X.PAGE_PATHS)
-    inner = F.ltrim(F.col("path"), F.lit("/"))
+    # Steps up in front and in the middle, as many as the page number says.
+    inner = F.concat(
+        F.repeat(F.lit("../"), (F.col("page_id") % 3).cast("int")), F.ltrim(F.col("path"), F.lit("/")),
+        F.repeat(F.lit("/.."), (F.col("page_id") % 5).cast("int")),
+    )
     return pages.select(
         "page_id",
         paths.resolves_inside(F.col("path")).alias("absolute"),
@@ -244,12 +248,7 @@ def target_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def multimap(spark: SparkSession, folder: str) -> DataFrame:
-    files = assets(spark, folder)
-    sizes = groups.asset_groups(files)
-    names = groups.group_names(files, sizes, sizes)
-    # NULL for a group that is too large for one cell; asset_listing has every file of every group.
-    one = F.when(F.col("n_assets") == 1, paths.file_name(F.col("path")))
-    return sizes.join(names, "key", "left").select("key", "n_assets", F.coalesce("names", one).alias("names"))
+    return groups.multimap(assets(spark, folder), Stage(spark)).select("key", "n_assets", "position", "file_name")
 
 
 def asset_listing(spark: SparkSession, folder: str) -> DataFrame:
@@ -369,12 +368,14 @@ def same_content(spark: SparkSession, folder: str) -> DataFrame:
 def outcome_merge(spark: SparkSession, folder: str) -> DataFrame:
     decided = match(spark, folder).decided
     orders = X.table(spark, folder, "orders")
-    # Outcomes for the rows of customers with a finished order, as another job might deliver them.
-    done = orders.filter("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    # Outcomes for the rows of all customers with orders, as another job might deliver them.
+    done = orders.groupBy("o_custkey").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("finished")
+    )
     delivered = done.select(
         (F.col("o_custkey") + 2).alias("row_number"),
-        F.lit(L.ALREADY_DONE).alias("status"),
-        F.concat(F.col("n").cast("string"), F.lit(" finished")).alias("detail"),
+        F.when(F.col("finished") == F.col("n"), L.ALREADY_DONE).otherwise(L.COPY_FAILED).alias("status"),
+        F.concat(F.col("finished").cast("string"), F.lit(" of "), F.col("n").cast("string")).alias("detail"),
     )
     merged = outcomes.merge_outcomes(decided, delivered)
     return merged.select("row_number", "key", "status", "source", "detail")
@@ -478,13 +479,13 @@ WITH_DECIDED = """
 in_group as (
   select *, string_split(path, '/') as parts, count(*) over (partition by key) as n_assets from assets),
 per_key as (
-  select key, max(n_assets) as n_assets, min(path) as path, string_agg(file_name, '; ' order by parts) as names
+  select key, max(n_assets) as n_assets, min(path) as path
   from in_group group by key),
 counted as (
   select r.*,
     count(*) over (partition by r.key) as n_rows,
     sum(case when target <> '' then 1 else 0 end) over (partition by lower(target)) as n_targets,
-    coalesce(p.n_assets, 0) as n_assets, p.path, p.names
+    coalesce(p.n_assets, 0) as n_assets, p.path
   from roster r left join per_key p on r.key = p.key),
 stated as (
   select *,
@@ -505,7 +506,7 @@ decided as (
     case status when 'INVALID_TARGET' then 'Target cannot be used as a file name'
                 when 'DUPLICATE_KEY' then concat('Key is on ', n_rows, ' rows')
                 when 'DUPLICATE_TARGET' then concat('Target is on ', n_targets, ' rows')
-                when 'DUPLICATE_ASSET' then names
+                when 'DUPLICATE_ASSET' then concat(n_assets, ' files carry this key')
                 else '' end as detail
   from stated),
 orphans as (
@@ -585,9 +586,10 @@ def own_sql() -> dict[str, str]:
             {files} select path, concat('out/T', size, suffix) as destination from named""",
         "resolves_inside": f"""
             with p as ({X.PAGE_PATHS}),
-            n as (select page_id, path, len(regexp_extract_all(path, '[^/]+')) as depth from p)
-            select page_id, not starts_with(path, '/') as absolute, true as relative, false as one_up,
-              depth >= 3 as down_and_up, true as and_back
+            n as (select page_id, path, len(regexp_extract_all(path, '[^/]+')) as depth, page_id % 3 as up,
+                    page_id % 5 as back from p)
+            select page_id, not starts_with(path, '/') as absolute, up = 0 and back <= depth as relative,
+              false as one_up, up = 0 and back + 3 <= depth as down_and_up, up = 0 and back <= depth as and_back
             from n""",
         "content_sha256": """
             select doc_id, sha256(text) as sha256, cast(strlen(text) as bigint) as size from documents""",
@@ -607,7 +609,9 @@ def own_sql() -> dict[str, str]:
         "target_counts": f"""
             {rows} select lower(target) as folded, count(*) as n_targets from roster where target <> ''
             group by 1 having count(*) > 1""",
-        "multimap": f"{BOTH} select key, n_assets, names from per_key",
+        "multimap": f"""
+            {BOTH} select key, n_assets, row_number() over (partition by key order by parts) as position, file_name
+            from in_group""",
         "asset_listing": f"{BOTH} select key, n_assets, path, file_name from in_group",
         "ledger": f"""
             {BOTH}, k as (select key, count(*) as n_rows from roster where key <> '' group by key)
@@ -666,10 +670,12 @@ def own_sql() -> dict[str, str]:
             select p.row_number, e.path is not null as found, coalesce(p.content = e.content, false) as same
             from p left join e on p.destination = e.path""",
         "outcome_merge": f"""
-            {BOTH}, done as (select o_custkey + 2 as row_number, count(*) as n from orders where o_orderstatus = 'F'
-                             group by 1)
-            select d.row_number, d.key, case when n is null then d.status else 'ALREADY_DONE' end as status, d.source,
-              case when n is null then d.detail else concat(n, ' finished') end as detail
+            {BOTH}, done as (select o_custkey + 2 as row_number, count(*) as n,
+                               sum(case when o_orderstatus = 'F' then 1 else 0 end) as finished
+                             from orders group by 1)
+            select d.row_number, d.key, d.source,
+              case when n is null then d.status when finished = n then 'ALREADY_DONE' else 'COPY_FAILED' end as status,
+              case when n is null then d.detail else concat(cast(finished as bigint), ' of ', n) end as detail
             from decided d left join done on d.row_number = done.row_number""",
         **file_queries.oracle_sql(BOTH),
     }

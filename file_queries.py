@@ -21,12 +21,12 @@ from tallymatch.operators import audit as A
 from tallymatch.operators import sinks
 from tallymatch.operators.keyed import keyed_roster
 from tallymatch.plans.reconcile import reconcile
-from tallymatch.plans.run import Settings, apply
+from tallymatch.plans.run import Settings, apply, run
 from tallymatch.plans.staging import Stage
 from tallymatch.sources import archives
 from tallymatch.sources.folders import list_folder
 from tallymatch.sources.sheets import read_sheet
-from tallymatch.sources.storage import make_folder, plain_path, write_into_place
+from tallymatch.sources.storage import content_hash, make_folder, open_store, plain_path, write_into_place
 from tallymatch.streaming.arrivals import Arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,7 +72,12 @@ def folder_scan_recursive(spark: SparkSession, folder: str) -> DataFrame:
 def folder_scan(spark: SparkSession, folder: str) -> DataFrame:
     stage = Stage(spark)
     root = asset_files(spark, folder, stage)
-    return list_folder(spark, f"{root}/files/a", stage).select(below(root, "path").alias("path"), "size")
+    # Folders below it are not looked into: those of the assets, and one with a copy of every listed name.
+    deeper = list_folder(spark, f"{root}/files/a", stage)
+    deeper = deeper.select(F.regexp_replace("path", "/files/a/", "/files/a/deeper/").alias("path"), F.lit("x").alias("content"))
+    write_files(deeper, stage)
+    flat = list_folder(spark, f"{root}/files/a", stage).unionByName(list_folder(spark, f"{root}/files/a-x", stage))
+    return flat.unionByName(list_folder(spark, f"{root}/files", stage)).select(below(root, "path").alias("path"), "size")
 
 
 def run_on_files(spark: SparkSession, folder: str, runs: list[Settings]) -> tuple[DataFrame, str, str, Stage]:
@@ -102,14 +107,62 @@ def copies_repeated(spark: SparkSession, folder: str) -> DataFrame:
     return run_on_files(spark, folder, [Settings(), Settings(verify=True)])[0]
 
 
+def copies_conflict(spark: SparkSession, folder: str, settings: Settings = Settings()) -> DataFrame:
+    """Where other files, of other sizes, are at the destinations of every third row."""
+    stage = Stage(spark)
+    root, out = asset_files(spark, folder, stage), plain_path(stage.path("out"))
+    match = reconcile(X.view(spark, folder, X.ROSTER), list_folder(spark, root, stage, recursive=True), out, stage=stage)
+    decided = stage.save(match.decided, "decided")
+    others = decided.filter((F.col("status") == L.PLANNED) & (F.col("row_number") % 3 == 0))
+    write_files(others.select(F.col("destination").alias("path"), F.lit("another file").alias("content")), stage)
+    outcome = stage.save(apply(decided, out, settings, stage), "outcome")
+    there = hashed(list_folder(spark, out, stage)).select(F.col("path").alias("destination"), "sha256")
+    return outcome.filter("destination <> ''").join(there, "destination", "left").select("row_number", "status", "detail", "sha256")
+
+
+def copies_overwrite(spark: SparkSession, folder: str) -> DataFrame:
+    return copies_conflict(spark, folder, Settings(overwrite=True))
+
+
+def copies_failed(spark: SparkSession, folder: str) -> DataFrame:
+    """Where the files of every third row are gone before they are copied."""
+    stage = Stage(spark)
+    root, out = asset_files(spark, folder, stage), plain_path(stage.path("out"))
+    match = reconcile(X.view(spark, folder, X.ROSTER), list_folder(spark, root, stage, recursive=True), out, stage=stage)
+    gone = F.when(F.col("row_number") % 3 == 0, F.concat("source", F.lit(".gone"))).otherwise(F.col("source"))
+    planned = F.col("status") == L.PLANNED
+    decided = match.decided.withColumn("source", F.when(planned, gone).otherwise(F.col("source")))
+    outcome = apply(stage.save(decided, "decided"), out, Settings(), stage)
+    word = F.regexp_extract("detail", "^[A-Za-z]+", 0)
+    detail = F.when(F.col("status") == L.COPY_FAILED, word).otherwise(F.col("detail"))
+    return outcome.select("row_number", "status", detail.alias("detail"))
+
+
+def run_on_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """A whole run, without copies, on a table of rows and a table of files."""
+    stage = Stage(spark)
+    rows, files = X.view(spark, folder, X.ROSTER), X.view(spark, folder, X.ASSETS)
+    return run(spark, files, rows, "out", Settings(dry_run=True), stage=stage).audit.select(*A.COLUMNS)
+
+
 def copies_dry(spark: SparkSession, folder: str) -> DataFrame:
     return run_on_files(spark, folder, [Settings(dry_run=True)])[0]
 
 
 def existing_scan(spark: SparkSession, folder: str) -> DataFrame:
     _, _, out, stage = run_on_files(spark, folder, [Settings()])
-    there = list_folder(spark, out, stage)
-    return there.select(F.concat(F.lit("out/"), below(out, "path")).alias("destination"), "size")
+    there = hashed(list_folder(spark, out, stage))
+    return there.select(F.concat(F.lit("out/"), below(out, "path")).alias("destination"), "size", "sha256")
+
+
+def hashed(listing: DataFrame) -> DataFrame:
+    """The files with the SHA-256 of their bytes."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(sha256=[content_hash(path) for path in batch["path"]])
+
+    return listing.select("path", "size").mapInPandas(read, "path string, size bigint, sha256 string")
 
 
 def sheet_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -149,8 +202,8 @@ def archive_extract(spark: SparkSession, folder: str) -> DataFrame:
     root = plain_path(stage.path("extracted"))
     entries = archives.archive_entries(document_archives(spark, folder, stage))
     written = stage.save(archives.extract(entries, root, TASKS), "extracted-files")
-    found = list_folder(spark, root, stage, recursive=True)
-    return found.join(written, ["path", "size"]).select(below(root, "path").alias("path"), "size")
+    found = hashed(list_folder(spark, root, stage, recursive=True))
+    return found.join(written, ["path", "size"]).select(below(root, "path").alias("path"), "size", "sha256")
 
 
 def document_archives(spark: SparkSession, folder: str, stage: Stage) -> DataFrame:
@@ -167,7 +220,8 @@ def document_archives(spark: SparkSession, folder: str, stage: Stage) -> DataFra
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         path = f"{root}/part-{TaskContext.get().partitionId()}.zip"
-        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as opened:
+        store, inner = open_store(path)
+        with store.open_output_stream(inner) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as opened:
             opened.writestr("lang/", b"")
             for batch in batches:
                 for entry, text in zip(batch["entry"], batch["text"]):
@@ -203,7 +257,8 @@ def arrivals(spark: SparkSession, folder: str) -> DataFrame:
     # Files of one key come in different listings, so that later batches change earlier decisions.
     listing.repartition(TASKS, "path").write.option("maxRecordsPerFile", 5_000).parquet(incoming)
     running = Arrivals(keyed_roster(X.view(spark, folder, X.ROSTER)), "out", stage.path("state"))
-    stream = running.start(incoming)
+    # One listing a batch.
+    stream = running.start(incoming, most_files=1)
     stream.awaitTermination()
     return running.audit().select(*A.COLUMNS)
 
@@ -218,6 +273,10 @@ def queries() -> dict[str, Query]:
         "copies_applied": copies_applied,
         "copies_repeated": copies_repeated,
         "copies_dry": copies_dry,
+        "copies_conflict": copies_conflict,
+        "copies_overwrite": copies_overwrite,
+        "copies_failed": copies_failed,
+        "run_on_tables": run_on_tables,
         "existing_scan": existing_scan,
         "report_csv": report_csv,
         "audit_store": audit_store,
@@ -241,23 +300,38 @@ def oracle_sql(both: str) -> dict[str, str]:
         entries as (
           select case doc_id % 10 when 3 then concat('../', name) when 4 then concat('/', name)
                                   when 5 then concat('x/./../', name) else name end as entry,
-            cast(strlen(text) as bigint) as size, case when doc_id % 10 not in (3, 4) then name end as place
+            cast(strlen(text) as bigint) as size, sha256(text) as sha256, case when doc_id % 10 not in (3, 4) then name end as place
           from named)"""
     return {
-        "folder_scan": f"{files} where path like 'files/a/%'",
+        "folder_scan": files,
         "folder_scan_recursive": files,
         "sheet_scan": f"""
             {both} select row_number * 2 as row_number, key_raw,
               case when row_number % 10 = 0 then '' else target_raw end as target_raw,
               case when row_number % 10 = 0 then '' else name end as name
             from roster where key_raw <> '' or row_number % 10 <> 0""",
-        "archive_scan": f"{named} select * from entries",
-        "archive_extract": f"{named} select place as path, size from entries where place is not null",
+        "archive_scan": f"{named} select entry, size, place from entries",
+        "archive_extract": f"{named} select place as path, size, sha256 from entries where place is not null",
         "copies_applied": applied(L.APPLIED, ""),
         "copies_repeated": applied(L.ALREADY_DONE, "Destination already holds this file"),
         "copies_dry": applied(L.PLANNED, "Dry run: nothing written"),
+        "copies_conflict": f"""
+            {both} select row_number, case when row_number % 3 = 0 then 'TARGET_CONFLICT' else 'APPLIED' end as status,
+              case when row_number % 3 = 0 then 'Destination holds another file' else '' end as detail,
+              sha256(case when row_number % 3 = 0 then 'another file' else concat('img ', source) end) as sha256
+            from decided where status = 'PLANNED'""",
+        "copies_overwrite": f"""
+            {both} select row_number, 'APPLIED' as status, '' as detail, sha256(concat('img ', source)) as sha256
+            from decided where status = 'PLANNED'""",
+        "copies_failed": f"""
+            {both} select row_number,
+              case when status <> 'PLANNED' then status when row_number % 3 = 0 then 'COPY_FAILED' else 'APPLIED' end as status,
+              case when status = 'PLANNED' and row_number % 3 = 0 then 'FileNotFoundError' else detail end as detail
+            from decided""",
+        "run_on_tables": applied(L.PLANNED, "Dry run: nothing written"),
         "existing_scan": f"""
-            {both} select destination, cast(strlen(source) + 4 as bigint) as size from decided
+            {both} select destination, cast(strlen(source) + 4 as bigint) as size, sha256(concat('img ', source)) as sha256
+            from decided
             where status = 'PLANNED'""",
         "report_csv": f"""
             {both} select coalesce(cast(row_number as varchar), '') as row_number, key_raw, target_raw, name, status,

@@ -14,7 +14,7 @@ UNSAFE_NAME = r'\A\.{0,2}\z|[<>:"/\\|?*\x00-\x1f]'
 # A private code point that stands in for dotless i while letter case is folded.
 PARKED = "\ue000"
 
-# The fraction of a whole number that was stored as a decimal, such as 12345.0 or 12345.00.
+# The fraction of a whole number that was stored as a decimal, such as 12345.0 or 12345.00.
 DECIMAL_TAIL = r"(?U)\A(\d++)\.0+\z"
 
 # Zeros in front of an all-digit key that go when leading zeros do not count; the last digit always stays.

@@ -17,13 +17,6 @@ ORPHAN_ASSET = "ORPHAN_ASSET"
 
 SUCCESS = (APPLIED, PLANNED, ALREADY_DONE)
 
-ALL = (
-    APPLIED, PLANNED, ALREADY_DONE,
-    BLANK_KEY, BLANK_TARGET, INVALID_TARGET, DUPLICATE_KEY, DUPLICATE_TARGET,
-    NO_ASSET, DUPLICATE_ASSET, TARGET_CONFLICT, COPY_FAILED, ORPHAN_ASSET,
-)
-
-# Outcome codes of a run.
+# Outcome codes of a run. One that is not fit raises instead.
 CODE_OK = 0
-CODE_FATAL = 1
 CODE_ATTENTION = 2

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallymatch import labels as L
 from tallymatch.functions.paths import path_parts
 
+# The columns of the audit in order.
 COLUMNS = ("row_number", "key_raw", "target_raw", "name", "status", "source", "destination", "detail")
 
 

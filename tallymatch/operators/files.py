@@ -41,7 +41,7 @@ def look_at_destinations(planned: DataFrame, verify: bool = False) -> DataFrame:
     def compare(source: str, destination: str) -> tuple[bool, bool, str | None]:
         try:
             there = file_size(destination)
-        except OSError:
+        except Exception:  # whatever one file raises is an answer about that file
             # A place that cannot be looked at counts as free; if it cannot be written either, the copy says so.
             there = None
         if there is None:
@@ -52,7 +52,7 @@ def look_at_destinations(planned: DataFrame, verify: bool = False) -> DataFrame:
                 raise FileNotFoundError(f"No such file: {source}")
             same = here == there and (not verify or content_hash(source) == content_hash(destination))
             return True, same, None
-        except OSError as error:
+        except Exception as error:
             return True, False, _in_words(error)
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,9 +96,9 @@ def _copy_one(source: str, destination: str, mark: str) -> tuple[str, str]:
     try:
         copy_into_place(source, destination, mark)
         return L.APPLIED, ""
-    except OSError as error:
+    except Exception as error:  # stores raise more than OSError, and none of it may stop the other files
         return L.COPY_FAILED, _in_words(error)
 
 
-def _in_words(error: OSError) -> str:
+def _in_words(error: Exception) -> str:
     return f"{type(error).__name__}: {error}"

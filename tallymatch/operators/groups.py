@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymatch.functions.paths import path_parts
 from tallymatch.functions.text import fold_case
-from tallymatch.operators.spread import Limits, attach, heaviest, keep_keys
+from tallymatch.operators.spread import Limits, attach, heaviest
+from tallymatch.plans.staging import Stage
 
 
 def key_counts(roster: DataFrame) -> DataFrame:
@@ -75,26 +76,27 @@ def asset_listing(assets: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return attach(rows, "key", heaviest(sizes, "key", "n_assets", limits), [sizes], F.xxhash64("path"))
 
 
-def open_groups(ledger: DataFrame) -> DataFrame:
-    """Keys with several assets that some step must look up one by one: (key, n_rows, n_assets).
+def multimap(assets: DataFrame, stage: Stage) -> DataFrame:
+    """Every asset with its place in its group, by path components: (key, n_assets, position, path, file_name).
 
-    Those are the groups of a single row, whose names go into the detail, and of no row, which are orphans. All other
-    groups are settled by the ledger alone, so most assets are never read or shuffled again.
+    A group may have any size, so its order comes from a range partitioning by key and path: each slice numbers its own part
+    of a group, and the counts of the slices before it, one row for each group and slice, are added.
     """
-    return ledger.filter("n_assets > 1 and n_rows < 2").select("key", "n_rows", "n_assets")
+    parts = assets.select("key", "path", "file_name", path_parts(F.col("path")).alias("parts"))
+    ordered = parts.repartitionByRange("key", "parts").withColumn("slice", F.spark_partition_id())
+    ordered = stage.save(ordered, "ordered")
+    counts = ordered.groupBy("key", "slice").agg(F.count(F.lit(1)).alias("n"))
+    group = Window.partitionBy("key")
+    before = F.sum("n").over(group.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("key", "slice", F.coalesce(before, F.lit(0)).alias("before"), F.sum("n").over(group).alias("n_assets"))
+    at = F.row_number().over(Window.partitionBy("key", "slice").orderBy("parts"))
+    placed = ordered.withColumn("at", at).join(counts, ["key", "slice"])
+    return placed.select("key", "n_assets", (F.col("before") + F.col("at")).alias("position"), "path", "file_name")
 
 
-def group_names(assets: DataFrame, wanted: DataFrame, sizes: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The sorted file names of the wanted groups of two to ``limits.inline_names`` assets: (key, names).
+def open_groups(ledger: DataFrame) -> DataFrame:
+    """Keys with several assets and no row, whose assets some step must look up one by one: (key, n_rows, n_assets).
 
-    ``wanted`` and ``sizes`` have key and n_assets. Larger groups are left out, so no task ever holds more than that
-    many names of a key; ``asset_listing`` and ``candidates`` have all of them.
+    Where a row has the key, the ledger settles it, and where there is one asset, the ledger has its path.
     """
-    small = wanted.filter(F.col("n_assets").between(2, limits.inline_names))
-    heavy = heaviest(sizes, "key", "n_assets", limits)
-    names = F.transform(F.array_sort(F.collect_list(path_parts(F.col("path")))), lambda parts: F.element_at(parts, -1))
-    return (
-        keep_keys(assets.select("key", "path"), "key", small, heavy, F.xxhash64("path"))
-        .groupBy("key")
-        .agg(F.array_join(names, "; ").alias("names"))
-    )
+    return ledger.filter("n_assets > 1 and n_rows = 0").select("key", "n_rows", "n_assets")

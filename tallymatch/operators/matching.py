@@ -12,7 +12,6 @@ from tallymatch.functions.paths import file_name, target_path
 from tallymatch.functions.text import fold_case, is_safe_name
 from tallymatch.operators.groups import (
     asset_groups,
-    group_names,
     key_counts,
     key_ledger,
     measured,
@@ -20,8 +19,9 @@ from tallymatch.operators.groups import (
     repeated,
     target_counts,
 )
-from tallymatch.operators.spread import Limits, attach, heaviest, keep_keys
+from tallymatch.operators.spread import Limits, attach, digest, heaviest, keep_keys
 
+LONGEST_PATH = 4_096
 ROW_COLUMNS = ("row_number", "key_raw", "target_raw", "name", "key", "target")
 
 
@@ -41,7 +41,12 @@ def probe(roster: DataFrame, assets: DataFrame, limits: Limits = Limits()) -> Da
     nothing.
     """
     groups = asset_groups(assets)
-    heavy = heaviest(key_counts(roster), "key", "n_rows", limits).select("key").join(groups, "key", "left")
+    listed = heaviest(key_counts(roster), "key", "n_rows", limits).select("digest")
+    of_heavy = groups.withColumn("digest", digest("key")).join(F.broadcast(listed), "digest", "left_semi")
+    # A path may have any length; those of more than a page take the ordinary join, so that the list stays small.
+    of_heavy = of_heavy.filter(F.octet_length("path") <= LONGEST_PATH).select("digest", "n_assets", "path")
+    heavy = listed.join(groups.filter(F.octet_length("path") > LONGEST_PATH).select(digest("key").alias("digest")), "digest", "left_anti")
+    heavy = heavy.join(of_heavy, "digest", "left")
     return attach(roster, "key", heavy, [groups], F.col("row_number"), F.col("key") != "")
 
 
@@ -75,20 +80,19 @@ class Counts:
         return cls(ledger, targets, measured(open_groups(ledger), "key"))
 
 
-def facts_of_rows(roster: DataFrame, assets: DataFrame, counts: Counts, limits: Limits = Limits()) -> DataFrame:
-    """Every row with what the decision needs: problem, n_rows, n_targets, n_assets, path, names.
+def facts_of_rows(roster: DataFrame, counts: Counts, limits: Limits = Limits()) -> DataFrame:
+    """Every row with what the decision needs: problem, n_rows, n_targets, n_assets, path.
 
-    Rows with a problem of their own, and rows of heavy keys, skip the lookups. Ledger and names are both partitioned
-    by key, so the rows are shuffled once for the two.
+    Rows with a problem of their own, and rows of heavy keys, skip the shuffled lookup. A heavy key has several rows, so
+    the path does not matter for it.
     """
     known = counts.ledger.filter("n_rows > 0")
-    names = group_names(assets, counts.groups.filter("n_rows = 1"), counts.ledger, limits)
-    heavy_keys = heaviest(known, "key", "n_rows", limits).select("key", "n_rows")
+    heavy_keys = heaviest(known, "key", "n_rows", limits)
     heavy_targets = heaviest(counts.targets, "folded", "n_targets", limits)
 
     salt = F.col("row_number")
     rows = roster.withColumn("problem", own_problem())
-    rows = attach(rows, "key", heavy_keys, [known, names], salt, F.col("problem").isNull())
+    rows = attach(rows, "key", heavy_keys, [known], salt, F.col("problem").isNull())
     rows = rows.withColumn("folded", fold_case(F.col("target")))
     return attach(rows, "folded", heavy_targets, [counts.targets], salt, F.col("n_rows") == 1).drop("folded")
 
@@ -99,7 +103,7 @@ def row_status() -> Column:
         F.when(F.col("problem").isNotNull(), F.col("problem"))
         .when(F.col("n_rows") > 1, L.DUPLICATE_KEY)
         .when(F.col("n_targets") > 1, L.DUPLICATE_TARGET)
-        .when(F.col("n_assets") == 0, L.NO_ASSET)
+        .when(F.coalesce("n_assets", F.lit(0)) == 0, L.NO_ASSET)
         .when(F.col("n_assets") > 1, L.DUPLICATE_ASSET)
         .otherwise(L.PLANNED)
     )
@@ -108,7 +112,6 @@ def row_status() -> Column:
 def row_detail() -> Column:
     """Why, in words, for the statuses that have something to add."""
     status = F.col("status")
-    many = F.concat(F.col("n_assets").cast("string"), F.lit(" files carry this key, see the listing"))
     return (
         F.when(status == L.INVALID_TARGET, "Target cannot be used as a file name")
         .when(status == L.DUPLICATE_KEY, F.concat(F.lit("Key is on "), F.col("n_rows").cast("string"), F.lit(" rows")))
@@ -116,16 +119,21 @@ def row_detail() -> Column:
             status == L.DUPLICATE_TARGET,
             F.concat(F.lit("Target is on "), F.col("n_targets").cast("string"), F.lit(" rows")),
         )
-        .when(status == L.DUPLICATE_ASSET, F.coalesce(F.col("names"), many))
+        .when(
+            status == L.DUPLICATE_ASSET,
+            F.concat(F.col("n_assets").cast("string"), F.lit(" files carry this key")),
+        )
         .otherwise("")
     )
 
 
-def decide(
-    roster: DataFrame, assets: DataFrame, counts: Counts, folder: str, limits: Limits = Limits()
-) -> DataFrame:
-    """One row per roster row: its columns plus status, source, destination and detail."""
-    rows = facts_of_rows(roster, assets, counts, limits).withColumn("status", row_status())
+def decide(roster: DataFrame, counts: Counts, folder: str, limits: Limits = Limits()) -> DataFrame:
+    """One row per roster row: its columns plus status, source, destination and detail.
+
+    The assets themselves are not needed: the ledger has their number for each key, and the path where there is one. The
+    names behind a DUPLICATE_ASSET row are the rows of ``candidates``, whatever their number.
+    """
+    rows = facts_of_rows(roster, counts, limits).withColumn("status", row_status())
     planned = F.col("status") == L.PLANNED
     destination = target_path(folder, F.col("target"), file_name(F.col("path")))
     return rows.withColumn("detail", row_detail()).select(
@@ -146,17 +154,17 @@ def orphans(assets: DataFrame, counts: Counts, limits: Limits = Limits()) -> Dat
     unclaimed = counts.ledger.filter("n_rows = 0")
     single = unclaimed.filter("n_assets = 1").select("key", "path")
     heavy = heaviest(counts.ledger, "key", "n_assets", limits)
-    groups = counts.groups.filter("n_rows = 0")
-    return single.unionByName(keep_keys(assets.select("key", "path"), "key", groups, heavy, F.xxhash64("path")))
+    return single.unionByName(keep_keys(assets.select("key", "path"), "key", counts.groups, heavy))
 
 
 def candidates(decided: DataFrame, assets: DataFrame, counts: Counts, limits: Limits = Limits()) -> DataFrame:
     """Every asset a DUPLICATE_ASSET row could mean: (row_number, key, path, file_name), one row per asset.
 
-    This is the whole listing behind the detail text. Such a row is the only one with its key, so the table is at most
+    This is the whole listing behind the detail. Such a row is the only one with its key, so the table is at most
     as long as the assets.
     """
     rows = decided.filter(F.col("status") == L.DUPLICATE_ASSET).select("key", "row_number")
-    heavy = heaviest(counts.ledger, "key", "n_assets", limits).select("key").join(rows, "key", "left")
+    of_rows = rows.select(digest("key").alias("digest"), "row_number")
+    heavy = heaviest(counts.ledger, "key", "n_assets", limits).select("digest").join(of_rows, "digest", "left")
     found = attach(assets.select("key", "path", "file_name"), "key", heavy, [rows], F.xxhash64("path"))
     return found.filter("row_number is not null").select("row_number", "key", "path", "file_name")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymatch.operators.audit import COLUMNS, report_order
 
+# The form of the report.
 CSV_OPTIONS = {
     "header": True,
     "quote": '"',
@@ -21,11 +20,6 @@ CSV_OPTIONS = {
 BYTE_ORDER_MARK = "﻿"
 
 
-def report_name(started: datetime) -> str:
-    """A name for the report of one run, by the time it started."""
-    return f"report_{started:%Y%m%d_%H%M%S}.csv"
-
-
 def write_audit(audit: DataFrame, path: str) -> None:
     """The audit as parquet, one folder per status."""
     audit.write.partitionBy("status").parquet(path)

@@ -65,6 +65,6 @@ def reconcile_keyed(
             ledger=key_ledger(roster, assets), targets=repeated(target_counts(roster), "n_targets")
         )
         counts = Counts(ledger, targets, stage.save(open_groups(ledger), "groups"))
-    decided = decide(roster, assets, counts, folder, limits)
+    decided = decide(roster, counts, folder, limits)
     unclaimed = orphans(assets, counts, limits)
     return Reconciliation(roster, assets, counts, decided, unclaimed, audit_table(decided, unclaimed), limits)

@@ -9,15 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymatch import labels as L
-from tallymatch.operators.audit import audit_table, summary
+from tallymatch.operators.audit import audit_table, plan_metrics, summary
 from tallymatch.operators.files import copy_files, look_at_destinations, tasks_for
-from tallymatch.operators.keyed import DEFAULT_SUFFIXES
+from tallymatch.operators.keyed import DEFAULT_SUFFIXES, scan_metrics
 from tallymatch.operators.outcomes import settle
 from tallymatch.operators.sinks import read_audit, write_audit, write_report
 from tallymatch.operators.spread import Limits
 from tallymatch.plans.reconcile import reconcile
 from tallymatch.plans.staging import Stage
-from tallymatch.sources.folders import list_folder, require_folder
+from tallymatch.sources.folders import as_listing, list_folder, require_folder
 from tallymatch.sources.sheets import read_sheet
 from tallymatch.sources.storage import is_below, make_folder, plain_path, same_folder
 
@@ -43,13 +43,16 @@ class Settings:
 class RunResult:
     """The outcome code (0 all rows well, 2 some need attention), the audit, the counts per status.
 
-    ``candidates`` lists every asset that the DUPLICATE_ASSET rows could mean, one row per asset.
+    ``candidates`` lists every asset that the DUPLICATE_ASSET rows could mean, one row per asset, and is stored like the
+    audit. ``scan`` counts files scanned, skipped and kept, and different keys; ``plan`` counts tasks, row issues and orphans.
     """
 
     code: int
     audit: DataFrame
     summary: dict[str, int]
     candidates: DataFrame
+    scan: dict[str, int]
+    plan: dict[str, int]
 
 
 def check_folders(assets: str, out: str, recursive: bool) -> None:
@@ -62,8 +65,8 @@ def check_folders(assets: str, out: str, recursive: bool) -> None:
 
 def run(
     spark: SparkSession,
-    assets: str,
-    sheet: str,
+    assets: str | DataFrame,
+    sheet: str | DataFrame,
     out: str,
     settings: Settings = Settings(),
     *,
@@ -73,14 +76,19 @@ def run(
 ) -> RunResult:
     """Match a sheet to a folder of files and copy the matched files to their new names.
 
-    Raises before anything is listed or written where folders, sheet or columns are not fit. The audit is stored at ``audit_path`` (by
-    default in the stage) and, if ``report_path`` is given, written there as CSV; ``sinks.report_name`` makes a name for it.
+    In place of a folder there may be a table of files (path, size), such as the inventory of a bucket or what
+    ``archives.extract`` has written; in place of a sheet a table of rows (row_number, key_raw, target_raw, name), such as
+    ``sheets.roster_from_table`` gives. Raises before anything is listed or written where folders, sheet or columns are not fit.
+    The audit is stored at ``audit_path`` (by default in the stage) and, if ``report_path`` is given, written there as CSV.
     """
-    check_folders(assets, out, settings.recursive)
-    require_folder(assets)
-    rows = read_sheet(spark, sheet, settings.key_column, settings.target_column, settings.name_column)
+    if isinstance(assets, str):
+        check_folders(assets, out, settings.recursive)
+        require_folder(assets)
+    rows = sheet
+    if isinstance(sheet, str):
+        rows = read_sheet(spark, sheet, settings.key_column, settings.target_column, settings.name_column)
     stage = stage or Stage(spark)
-    listing = list_folder(spark, assets, stage, settings.recursive)
+    listing = list_folder(spark, assets, stage, settings.recursive) if isinstance(assets, str) else as_listing(assets)
     match = reconcile(
         rows,
         listing,
@@ -100,7 +108,10 @@ def run(
         write_report(audit, report_path)
     counts = {row["status"]: row["n"] for row in summary(audit).collect()}
     fine = counts.keys() <= {*L.SUCCESS, L.ORPHAN_ASSET}
-    return RunResult(L.CODE_OK if fine else L.CODE_ATTENTION, audit, counts, match.candidates(decided))
+    candidates = stage.save(match.candidates(decided), "candidates")
+    scan = scan_metrics(listing, settings.suffixes, settings.zeros).first().asDict()
+    plan = plan_metrics(audit_table(decided, match.orphans)).first().asDict()
+    return RunResult(L.CODE_OK if fine else L.CODE_ATTENTION, audit, counts, candidates, scan, plan)
 
 
 def apply(decided: DataFrame, out: str, settings: Settings, stage: Stage) -> DataFrame:

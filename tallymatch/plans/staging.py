@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
@@ -16,13 +15,14 @@ REMOVE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can read and write, as the session names it.
 
-    Only a local session, where driver and executors are one process, may do without the setting.
+    Only a local session, where driver and executors are one process, may do without the setting; its tables go below the
+    warehouse then.
     """
     named = spark.conf.get(SHARED_FOLDER, None)
     if named:
         return named.rstrip("/")
     if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="tallymatch-")
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tallymatch-stages"
     raise ValueError(f"Set {SHARED_FOLDER} to a folder that all executors share")
 
 
@@ -35,6 +35,17 @@ class Stage:
         spark.conf.set(REMOVE_SHUFFLES, "true")
         self.folder = f"{folder or shared_folder(spark)}/run-{uuid.uuid4().hex}"
 
+    def __enter__(self) -> Stage:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.remove()
+
+    def remove(self) -> None:
+        """Delete all tables of the run. What was read from them and not stored elsewhere is gone."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
     def path(self, name: str) -> str:
         """A path below the folder that nothing else uses."""
         return f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}"

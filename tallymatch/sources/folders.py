@@ -89,7 +89,15 @@ def _entries(folder: str, recursive: bool) -> Iterator[tuple]:
                 if recursive and not entry.is_symlink():
                     yield entry.path, None, "folder"
             elif recursive or entry.is_file():
-                yield entry.path, _size(entry), "file"
+                yield _printable(entry.path), _size(entry), "file"
+
+
+def _printable(path: str) -> str:
+    """The path; bytes of a name that is not UTF-8 are spelled out.
+
+    Such a file is listed like any other and accounted for. A copy of it fails by itself, since no path names it.
+    """
+    return os.fsencode(path).decode("utf-8", "backslashreplace")
 
 
 def _size(entry: os.DirEntry) -> int | None:

@@ -24,13 +24,11 @@ from tallymatch.sources.storage import folder_files, is_file, is_folder, open_st
 
 log = logging.getLogger(__name__)
 
-# A quoted cell that fills its place between two commas, and one that holds nothing but whitespace.
-QUOTED_CELL = r'(?:\A|(?<=,))"[^"]*+(?:""[^"]*+)*+"(?=,|\z)'
+# A quoted cell that fills its place between two commas and holds nothing but whitespace.
 QUOTED_BLANK = r'(?U)(?:\A|(?<=,))"[\s\x1c-\x1f]*+"(?=,|\z)'
-# The first pattern takes a stack frame for every doubled quote; lines with more quotes go the longer way.
-MOST_QUOTES = 2_000
-# More splits than this are not broadcast.
-MOST_SPLITS = 100_000
+# The letters of a header that count, and characters with a meaning in a path that Spark reads.
+HEADER_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+PATTERN_SIGNS = "{}[]*?\\"
 CSV_OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"}
 HIDDEN = ("_", ".")
 # Effects of a line on the state; 0 and 1 set it.
@@ -43,32 +41,23 @@ class MissingColumn(ValueError):
     """A column that must be there is not among the headers."""
 
 
-def token(header: object) -> str:
-    """The header reduced to lower-case ASCII letters and digits, as ``header_token`` does for columns."""
-    return re.sub("[^a-z0-9]", "", str(header or "").lower())
+def reduced(header: str) -> str:
+    """What counts of a header, as ``text.header_token`` has it for columns."""
+    return "".join(letter for letter in header.lower() if letter in HEADER_LETTERS)
 
 
-def resolve_columns(headers: Sequence[str], key: str, target: str, name: str | None = None) -> Places:
-    """Positions of the key, target and name columns; of equal headers the last one counts."""
-    places: dict[str, int] = {}
-    for place, header in enumerate(headers):
-        reduced = token(header)
-        if not reduced:
-            continue
-        if reduced in places:
-            log.warning("Header %r occurs more than once, the last one is used", header)
-        places[reduced] = place
+def find_columns(cells: Sequence[str], key: str, target: str, name: str | None = None) -> Places:
+    """Where the key, the target and the name are among the cells of a header; of equal headers the last one counts.
 
-    def required(label: str) -> int:
-        if token(label) not in places:
-            known = ", ".join(str(header) for header in headers if header is not None)
-            raise MissingColumn(f"No column {label!r}. The columns are: {known}")
-        return places[token(label)]
-
-    found = required(key), required(target), places.get(token(name)) if name else None
-    if name and found[2] is None:
-        log.warning("No column %r, names are left blank", name)
-    return found
+    Key and target must be there. A name that is not gives blank names.
+    """
+    last_place = {reduced(cell): place for place, cell in enumerate(cells)}
+    missing = [label for label in (key, target) if reduced(label) not in last_place]
+    if missing:
+        raise MissingColumn(f"Missing: {', '.join(missing)}. The header has: {', '.join(cells)}")
+    if name and reduced(name) not in last_place:
+        log.warning("There is no column %r; names stay blank", name)
+    return last_place[reduced(key)], last_place[reduced(target)], last_place.get(reduced(name)) if name else None
 
 
 def roster_from_table(
@@ -76,7 +65,7 @@ def roster_from_table(
 ) -> DataFrame:
     """Roster rows from any table that carries its own row numbers. Rows with nothing but blank cells are dropped."""
     headers = [column for column in table.columns if column != row_number]
-    key_at, target_at, name_at = resolve_columns(headers, key, target, name)
+    key_at, target_at, name_at = find_columns(headers, key, target, name)
     types = dict(table.dtypes)
     cells = [clean_cell(F.col(f"`{header}`"), types[header]) for header in headers]
     filled = F.lit(False)
@@ -97,11 +86,25 @@ def read_sheet(spark: SparkSession, path: str, key: str, target: str, name: str
     header is the first record of the first part then.
     """
     header = _first_record(path, sheet_parts(path))
-    places = resolve_columns(header, key, target, name)
+    places = find_columns(header, key, target, name)
     lines = split_lines(spark, path)
-    if lines.filter(~is_whole_record(F.col("value"))).isEmpty():
-        return _read_lines(numbered_lines(lines), len(header), places)
-    return _read_records(lines, places)
+    # One row a split: its lines, where they begin, and what is unusual about them.
+    value = F.col("value")
+    splits = lines.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("id").alias("first_id"),
+        F.count_if(~F.is_valid_utf8(value)).alias("n_unreadable"),
+        F.bool_or(~is_whole_record(value)).alias("has_open_lines"),
+        F.max(F.length(value) - F.length(F.translate(value, ",", ""))).alias("most_commas"),
+    ).cache()
+    unreadable, has_open_lines, most_commas = splits.agg(
+        F.sum("n_unreadable"), F.bool_or("has_open_lines"), F.max("most_commas")
+    ).first()
+    if unreadable:
+        raise ValueError(f"{path} is not UTF-8: {unreadable} lines hold bytes that mean nothing")
+    if has_open_lines:
+        return _read_records(lines, places, path)
+    return _read_lines(numbered_lines(lines, splits), len(header), places, (most_commas or 0) + 2)
 
 
 def sheet_parts(path: str) -> list[str]:
@@ -118,10 +121,21 @@ def sheet_parts(path: str) -> list[str]:
 
 
 def is_whole_record(line: Column) -> Column:
-    """True where the line is a record by itself: every cell free of quotes, or quoted from end to end."""
-    quotes = F.length(line) - F.length(F.translate(line, '"', ""))
-    left = F.regexp_replace(line, QUOTED_CELL, "")
-    return ~line.contains('"') | ((quotes <= MOST_QUOTES) & ~left.contains('"'))
+    """True where the line is a record by itself: every cell free of quotes, or quoted from end to end.
+
+    Cut at its quotes, such a line has an odd number of parts. Every second part is inside quotes and may hold anything. A
+    part between two quoted stretches is empty (a doubled quote) or runs from comma to comma; the first and the last part,
+    if not empty, end and begin with one.
+    """
+    parts = F.split(line, '"', -1)
+    last = F.size(parts) - 1
+
+    def wrong(part: Column, at: Column) -> Column:
+        begins = (at == 0) | part.startswith(",")
+        ends = (at == last) | part.endswith(",")
+        return (at % 2 == 0) & (part != "") & ~(begins & ends)
+
+    return ~line.contains('"') | ((last % 2 == 0) & (F.size(F.filter(parts, wrong)) == 0))
 
 
 def is_blank_record(line: Column) -> Column:
@@ -131,22 +145,22 @@ def is_blank_record(line: Column) -> Column:
 
 def split_lines(spark: SparkSession, path: str) -> DataFrame:
     """The lines of a file, or of the files of a folder: (split, id, value). Split and id give their order."""
-    return spark.read.text(path).select(
+    # A name means itself here; Spark would take some signs for a pattern.
+    named = "".join(f"\\{sign}" if sign in PATTERN_SIGNS else sign for sign in path)
+    return spark.read.text(named).select(
         "value",
         F.struct("_metadata.file_path", "_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("id"),
     )
 
 
-def numbered_lines(lines: DataFrame) -> DataFrame:
+def numbered_lines(lines: DataFrame, splits: DataFrame) -> DataFrame:
     """(split, id, value) lines with their numbers from 1: (row_number, value).
 
-    Each split counts its own lines; the counts before it are added. Only those counts, one per split, are ordered.
+    Each split counts its own lines (``splits``: split, n, first_id); the counts before it are added. Only those counts, one
+    per split, are ordered, and Spark decides by their size how they are joined.
     """
-    counts = lines.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
-    offsets = _with_count_before(counts, "split").select("split", "first_id", "before")
-    if lines.rdd.getNumPartitions() <= MOST_SPLITS:
-        offsets = F.broadcast(offsets)
+    offsets = _with_count_before(splits, "split").select("split", "first_id", "before")
     number = F.col("before") + F.col("id") - F.col("first_id") + 1
     return lines.join(offsets, "split").select(number.alias("row_number"), "value")
 
@@ -169,8 +183,9 @@ def _text_stream(path: str) -> io.TextIOWrapper:
     return io.TextIOWrapper(store.open_input_file(inner), encoding="utf-8-sig", newline="")
 
 
-def _read_lines(lines: DataFrame, width: int, places: Places) -> DataFrame:
-    record = F.from_csv("value", ", ".join(f"c{at} string" for at in range(width)), CSV_OPTIONS)
+def _read_lines(lines: DataFrame, width: int, places: Places, most_cells: int) -> DataFrame:
+    options = {**CSV_OPTIONS, "maxColumns": str(max(most_cells, width))}
+    record = F.from_csv("value", ", ".join(f"c{at} string" for at in range(width)), options)
 
     def cell(at: int | None) -> Column:
         return F.lit("") if at is None else clean_cell(F.col("record")[f"c{at}"])
@@ -185,7 +200,7 @@ def _read_lines(lines: DataFrame, width: int, places: Places) -> DataFrame:
     )
 
 
-def _read_records(lines: DataFrame, places: Places) -> DataFrame:
+def _read_records(lines: DataFrame, places: Places, path: str) -> DataFrame:
     """Roster rows where a record may take several lines."""
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,7 +214,7 @@ def _read_records(lines: DataFrame, places: Places) -> DataFrame:
             yield pd.DataFrame(found, columns=["row_number", *RAW_COLUMNS])
 
     texts = ", ".join(f"{column} string" for column in RAW_COLUMNS)
-    raw = numbered_records(lines).filter("row_number > 1").mapInPandas(cells, f"row_number bigint, {texts}")
+    raw = numbered_records(lines, path).filter("row_number > 1").mapInPandas(cells, f"row_number bigint, {texts}")
     return raw.select("row_number", *[clean_cell(column).alias(column) for column in RAW_COLUMNS])
 
 
@@ -223,7 +238,7 @@ def line_effect(lines: pd.Series) -> pd.Series:
     return lines.map(effect)
 
 
-def numbered_records(lines: DataFrame) -> DataFrame:
+def numbered_records(lines: DataFrame, path: str = "the sheet") -> DataFrame:
     """(split, id, value) lines -> (row_number, value) records, whatever line breaks their cells hold.
 
     Where a record begins depends on all lines before it, but a line only ever sets, keeps or flips one bit of state. So
@@ -234,6 +249,11 @@ def numbered_records(lines: DataFrame) -> DataFrame:
     marked = _with_state(lines.withColumn("effect", line_effect("value")), in_split)
     splits = marked.groupBy("split").agg(F.max_by(_as_effect(), "id").alias("effect"))
     chained = _with_state(splits, Window.orderBy("split"))
+    at_end = chained.select("split", _state_after(F.lit(0)).alias("inside")).orderBy(F.desc("split")).first()
+    if at_end and at_end["inside"]:
+        begun = marked.filter(F.col("effect") != KEEP).agg(F.max("id")).first()[0]
+        line = marked.filter(F.col("id") == begun).select("value").first()[0]
+        raise ValueError(f"{path} ends inside a quoted cell; the last quote that counts is in the line {line[:100]!r}")
     starts = chained.select(
         "split", F.lag(_state_after(F.lit(0)), 1, 0).over(Window.orderBy("split")).alias("start")
     )

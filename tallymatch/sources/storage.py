@@ -7,26 +7,42 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import shutil
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 from typing import BinaryIO
 
 from pyarrow import fs
 
 PIECE = 1 << 20
+REMOTE = re.compile(r"([A-Za-z][A-Za-z0-9+.-]+)://([^/]*)")
+# Hadoop's name for the store that Arrow calls s3.
+ARROW_SCHEMES = {"s3a": "s3"}
 
 
 def open_store(path: str) -> tuple[fs.FileSystem, str]:
     """The store of a path and the path as that store spells it."""
     if path.startswith("file:"):
         return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-    if "://" in path:
-        # Hadoop's name for the store that Arrow calls s3.
-        return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1) if path.startswith("s3a://") else path)
+    if found := REMOTE.match(path):
+        store, root = _remote_store(*found.groups())
+        return store, root + path[found.end() :].lstrip("/")
     return fs.LocalFileSystem(), path
 
 
+@lru_cache(maxsize=None)
+def _remote_store(scheme: str, authority: str) -> tuple[fs.FileSystem, str]:
+    """One client for each store and process, and what its paths begin with.
+
+    Only scheme and authority are read as an address. The rest of a path is a name, in which blanks, percent and number signs,
+    question marks and brackets mean themselves.
+    """
+    store, root = fs.FileSystem.from_uri(f"{ARROW_SCHEMES.get(scheme, scheme)}://{authority}/")
+    return store, root.rstrip("/") + "/"
+
+
 def plain_path(path: str) -> str:
     """A local path without its scheme; paths on other stores stay as they are."""
     store, inner = open_store(path)
@@ -81,11 +97,8 @@ def make_folder(path: str) -> None:
 def content_hash(path: str) -> str:
     """Hex SHA-256 of a file, read in pieces."""
     store, inner = open_store(path)
-    digest = hashlib.sha256()
-    with store.open_input_stream(inner) as content:
-        while piece := content.read(PIECE):
-            digest.update(piece)
-    return digest.hexdigest()
+    with store.open_input_file(inner) as content:
+        return hashlib.file_digest(content, "sha256").hexdigest()
 
 
 def copy_into_place(source: str, destination: str, mark: str) -> None:

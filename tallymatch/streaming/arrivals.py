@@ -58,7 +58,7 @@ class Arrivals:
         counts, targets, self.manifest, self.decisions, self.leftovers = paths
 
         no_assets = keyed_assets(self.spark.createDataFrame([], LISTING), self.suffixes, self.zeros)
-        first = decide(self.roster, no_assets, Counts.of(self.roster, no_assets), self.folder, self.limits)
+        first = decide(self.roster, Counts.of(self.roster, no_assets), self.folder, self.limits)
         self.asset_schema, self.decided_schema = no_assets.schema, first.schema
         self.ledgers = f"{self.state}/ledgers"
         # The first decisions are written last, so they tell whether the state is complete.
@@ -72,9 +72,13 @@ class Arrivals:
             (F.col("batch") == -1) & (F.col("status") == L.NO_ASSET)
         )
 
-    def start(self, incoming: str, **trigger) -> StreamingQuery:
-        """Follow a folder of parquet listings (path, size); by default work off what is there, then stop."""
-        stream = self.spark.readStream.schema(LISTING).parquet(incoming)
+    def start(self, incoming: str, most_files: int | None = None, **trigger) -> StreamingQuery:
+        """Follow a folder of parquet listings (path, size); by default work off what is there, then stop.
+
+        ``most_files`` listings are one batch at most.
+        """
+        options = {"maxFilesPerTrigger": most_files} if most_files else {}
+        stream = self.spark.readStream.schema(LISTING).options(**options).parquet(incoming)
         return (
             stream.writeStream.foreachBatch(self._take)
             .option("checkpointLocation", f"{self.state}/progress")
@@ -98,9 +102,9 @@ class Arrivals:
 
         rows = self.waiting.join(groups.select("key"), "key", "left_semi").select(*ROW_COLUMNS)
         heavy = heaviest(asset_sizes(known), "key", "n_assets", self.limits)
-        touched = keep_keys(known, "key", rows, heavy, F.xxhash64("path")).select(*fresh.columns)
+        touched = keep_keys(known, "key", rows, heavy).select(*fresh.columns)
         counts = self._counts(key_ledger(rows, touched), "waiting", number)
-        self._write(decide(rows, touched, counts, self.folder, self.limits), self.decisions, number)
+        self._write(decide(rows, counts, self.folder, self.limits), self.decisions, number)
 
         claims = groups.join(self.key_counts, "key", "left").fillna(0, ["n_rows"])
         claims = self._counts(claims.select("key", "n_rows", "n_assets", "path"), "claims", number)

@@ -28,38 +28,69 @@ def statuses(match):
     return {row.row_number: row.status for row in match.decided.collect()}
 
 
-def test_one_row_one_file(spark):
-    match = reconcile(*tables(spark, [(2, "100", "L-1")], ["in/100.jpg"]), "out")
-    row = match.audit.first()
-    assert (row.status, row.source, row.destination) == (L.PLANNED, "in/100.jpg", "out/L-1.jpg")
-    assert A.all_ok(match.audit).first().all_ok
+# One situation each: rows (key, target), file names, status of each row, names of the files no row has.
+CASES = {
+    "a match": ([("tulip", "A7")], ["tulip.jpg"], [L.PLANNED], []),
+    "the suffix does not count": ([("fern", "x"), ("moss", "y")], ["fern.JPEG", "moss.jpeg"], [L.PLANNED] * 2, []),
+    "keys are compared clean": ([(" iris\t4 ", "x"), ("81.00", "y")], ["Iris4.jpg", "81.jpg"], [L.PLANNED] * 2, []),
+    "nothing to look for": ([("  ", "x"), ("", "x")], [], [L.BLANK_KEY] * 2, []),
+    "nowhere to go": ([("oak", " "), ("elm", "\t")], ["oak.jpg"], [L.BLANK_TARGET] * 2, []),
+    "no file name": ([("oak", "a:b"), ("elm", ".."), ("ash", "what?")], ["elm.jpg"], [L.INVALID_TARGET] * 3, []),
+    "a blank key before a bad target": ([("", "a:b")], [], [L.BLANK_KEY], []),
+    "a bad target before a repeated key": ([("oak", "a|b"), ("OAK", "c")], [], [L.INVALID_TARGET, L.DUPLICATE_KEY], []),
+    "a repeated key before a repeated target": ([("oak", "c"), ("oak", "c")], ["oak.jpg"], [L.DUPLICATE_KEY] * 2, []),
+    "targets that some disks take for one": (
+        [("oak", "Straße"), ("elm", "STRASSE"), ("ash", "z")], ["oak.jpg"], [L.DUPLICATE_TARGET] * 2 + [L.NO_ASSET], [],
+    ),
+    "a target that only a rejected row shares": ([("oak", "c"), ("", "C")], ["oak.jpg"], [L.DUPLICATE_TARGET, L.BLANK_KEY], []),
+    "two files": ([("oak", "c")], ["oak.jpg", "Oak.jpeg"], [L.DUPLICATE_ASSET], []),
+    "no file": ([("oak", "c")], ["oak.png", "oa k2.jpg"], [L.NO_ASSET], ["oa k2.jpg"]),
+    "files without rows": ([("oak", "c")], ["oak.jpg", "elm.jpg", "elm.jpeg"], [L.PLANNED], ["elm.jpeg", "elm.jpg"]),
+}
 
 
 @pytest.mark.parametrize("limits", [Limits(), EVERY_KEY_IS_HEAVY])
-def test_every_problem(spark, limits):
-    rows = [
-        (2, "", "L-A"), (3, "100", ""), (4, "100", "L/B"), (5, "200", "L-C"), (6, "300", "L-D"), (7, "400", "l-d"),
-        (8, "500", "L-E"),
-    ]
-    paths = ["in/100.jpg", "in/200.jpg", "in/200.jpeg", "in/300.jpg", "in/999.jpg", "in/notes.txt"]
+def test_cases(spark, limits):
+    """All cases at once: each has folders, keys and targets of its own."""
+    rows, paths, expected, left_over = [], [], {}, []
+    for at, (name, (own_rows, files, statuses_of_rows, orphans)) in enumerate(CASES.items()):
+        mark = f"q{at}"
+        for (key, target), status in zip(own_rows, statuses_of_rows, strict=True):
+            number = 100 * at + len(expected)
+            # A mark behind the text keeps cases apart; text that is blank, or a decimal, stays as it is.
+            tail = "" if "." in key and key.strip()[0].isdigit() else mark
+            rows.append((number, f"{key.rstrip()}{tail}" if key.strip() else key, f"{target}{mark}" if target.strip(" .\t") else target))
+            expected[number] = name, status
+        for file in files:
+            stem, dot, suffix = file.rpartition(".")
+            paths.append(f"in/{at}/{stem}{'' if stem == '81' else mark}{dot}{suffix}")
+        left_over += [f"in/{at}/{stem}{mark}.{suffix}" for stem, suffix in (file.rsplit(".", 1) for file in orphans)]
     match = reconcile(*tables(spark, rows, paths), "out", limits=limits)
-    assert statuses(match) == {
-        2: L.BLANK_KEY, 3: L.BLANK_TARGET, 4: L.INVALID_TARGET, 5: L.DUPLICATE_ASSET, 6: L.DUPLICATE_TARGET,
-        7: L.DUPLICATE_TARGET, 8: L.NO_ASSET,
-    }
-    assert [row.path for row in match.orphans.collect()] == ["in/999.jpg"]
-    assert match.decided.filter("row_number = 5").first().detail == "200.jpeg; 200.jpg"
-    assert match.decided.filter("row_number = 6").first().detail == "Target is on 2 rows"
+    found = statuses(match)
+    assert {number: (name, found[number]) for number, (name, _) in expected.items()} == expected
+    assert sorted(row.path for row in match.orphans.collect()) == sorted(left_over)
     metrics = A.plan_metrics(match.audit).first()
-    assert (metrics.tasks, metrics.row_issues, metrics.orphans) == (0, 7, 1)
+    planned = sum(status == L.PLANNED for _, status in expected.values())
+    assert (metrics.tasks, metrics.row_issues, metrics.orphans) == (planned, len(rows) - planned, len(left_over))
     assert not A.all_ok(match.audit).first().all_ok
 
 
-@pytest.mark.parametrize("limits", [Limits(), EVERY_KEY_IS_HEAVY])
-def test_all_rows_of_a_repeated_key_are_rejected(spark, limits):
-    match = reconcile(*tables(spark, [(2, "100", "L-1"), (3, " 100.0", "L-2")], ["in/100.jpg"]), "out", limits=limits)
-    assert set(statuses(match).values()) == {L.DUPLICATE_KEY}
-    assert match.orphans.isEmpty()
+def test_what_a_row_says(spark):
+    rows = [(5, "oak", "a"), (6, "elm", "b"), (7, "Elm", "c"), (8, "ash", "D"), (9, "yew", "d"), (10, "fir", "e/f")]
+    match = reconcile(*tables(spark, rows, ["x/oak.jpg", "x/ash.jpg", "x/yew.jpg", "y/yew.jpg"]), "to")
+    said = {row.row_number: (row.source, row.destination, row.detail) for row in match.decided.collect()}
+    assert said == {
+        5: ("x/oak.jpg", "to/a.jpg", ""), 6: ("", "", "Key is on 2 rows"), 7: ("", "", "Key is on 2 rows"),
+        8: ("", "", "Target is on 2 rows"), 9: ("", "", "Target is on 2 rows"),
+        10: ("", "", "Target cannot be used as a file name"),
+    }
+    assert not match.audit.filter("row_number is null").count()
+
+
+def test_limits_that_make_no_sense():
+    for wrong in ({"heavy_rows": 1}, {"heavy_keys": 0}):
+        with pytest.raises(ValueError):
+            Limits(**wrong)
 
 
 def test_no_rows_is_fine(spark):
@@ -79,21 +110,22 @@ def test_report_order(spark):
     ]
 
 
-def test_names_of_an_asset_group_sort_by_folder(spark):
-    match = reconcile(*tables(spark, [(2, "1", "T")], ["a-x/1.jpeg", "a/1.jpg"]), "out")
-    assert match.decided.first().detail == "1.jpg; 1.jpeg"
+@pytest.mark.parametrize("n", [2, 300])
+def test_the_names_behind_a_group_are_rows(spark, stage, n):
+    """Whatever the size of a group, the detail has its number and the candidates have its files."""
+    paths = [f"in/{folder}/1.jpg" for folder in range(n)] + ["in/2.jpg"]
+    match = reconcile(*tables(spark, [(2, "1", "T"), (3, "2", "U")], paths), "out", limits=Limits(heavy_rows=10))
+    assert match.decided.filter("row_number = 2").first().detail == f"{n} files carry this key"
+    listed = match.candidates().collect()
+    assert sorted(row.path for row in listed) == sorted(paths[:n]) and {row.row_number for row in listed} == {2}
 
 
-def test_a_group_too_large_for_a_cell_is_listed_in_full(spark):
-    paths = [f"in/{folder}/1.jpg" for folder in range(20)] + ["in/2.jpg", "in/2.jpeg"]
-    match = reconcile(
-        *tables(spark, [(2, "1", "T"), (3, "2", "U")], paths), "out", limits=Limits(heavy_rows=10, inline_names=5)
-    )
-    details = {row.row_number: row.detail for row in match.decided.collect()}
-    assert details == {2: "20 files carry this key, see the listing", 3: "2.jpeg; 2.jpg"}
-    listed = match.candidates().collect()
-    assert sorted(row.path for row in listed) == sorted(paths)
-    assert {row.row_number for row in listed if row.key == "1"} == {2}
+def test_places_in_a_group_follow_folders(spark, stage):
+    paths = ["a-x/1.jpeg", "a/1.jpg", "a/b/1.jpg", "2.jpg"] + [f"z/{n:03}/hot.jpg" for n in range(400)]
+    found = groups.multimap(keyed_assets(tables(spark, [], paths)[1]), stage).collect()
+    places = {row.path: (row.position, row.n_assets) for row in found}
+    assert [places[path] for path in paths[:4]] == [(3, 3), (1, 3), (2, 3), (1, 1)]
+    assert [places[f"z/{n:03}/hot.jpg"] for n in range(400)] == [(n + 1, 400) for n in range(400)]
 
 
 def test_scan_metrics(spark):
@@ -134,7 +166,7 @@ def expected(rows, paths):
     return found, sorted(path for key, group in files.items() if not keys.get(key) for path in group)
 
 
-@pytest.mark.parametrize("limits", [Limits(), Limits(2, 100, inline_names=50), Limits(1, 5, inline_names=2)])
+@pytest.mark.parametrize("limits", [Limits(), Limits(2, 100), Limits(1, 5)])
 def test_heavy_keys_on_both_sides(spark, limits):
     """A third of the rows under one key, a third under one target, a third of the files under one key."""
     rng = random.Random(11)
@@ -155,7 +187,7 @@ def test_heavy_keys_on_both_sides(spark, limits):
     assert match.audit.count() == len(rows) + len(left_over)
 
 
-@pytest.mark.parametrize("limits", [Limits(), Limits(2, 3, inline_names=10)])
+@pytest.mark.parametrize("limits", [Limits(), Limits(2, 3)])
 def test_single_operators_with_heavy_keys(spark, limits):
     rows = [(n, "hot" if n % 3 else "", f"t{n % 4}") for n in range(2, 40)] + [(50, "one", "t50")]
     roster, listing = tables(spark, rows, [f"{n}/HOT.jpg" for n in range(9)] + ["a/one.jpg"])

@@ -8,30 +8,32 @@ from tallymatch import labels as L
 from tallymatch.operators.files import look_at_destinations
 from tallymatch.operators.sinks import write_report
 from tallymatch.plans.run import Settings, run
+from tallymatch.plans.staging import Stage
 from tallymatch.sources.sheets import MissingColumn
 
 
 @pytest.fixture
 def job(tmp_path):
-    photos = tmp_path / "photos"
+    """Two rows with a file each, a file that no row has, and one that is no picture."""
+    photos = tmp_path / "scans"
     photos.mkdir()
-    for name in ("100.jpg", "200.JPEG", "notes.txt", "777.jpg"):
-        (photos / name).write_bytes(b"\xff\xd8 " + name.encode())
-    sheet = tmp_path / "staff.csv"
-    sheet.write_text("Key,Target,Name\n100,NEW001,Ada\n200.0,NEW002,Bayo\n")
+    for name in ("oak.jpg", "31.JPEG", "elm.jpg", "readme.md"):
+        (photos / name).write_bytes(name.encode() * 3)
+    sheet = tmp_path / "trees.csv"
+    sheet.write_text("Key,Target,Name\nOak,T-oak,Quercus\n31.0,T-31,Fagus\n")
     return str(photos), str(sheet), str(tmp_path / "out")
 
 
 def test_run_and_rerun(spark, job, tmp_path):
     photos, sheet, out = job
-    before = os.stat(f"{photos}/100.jpg").st_mtime
+    before = os.stat(f"{photos}/oak.jpg").st_mtime
     first = run(spark, *job, report_path=str(tmp_path / "report"))
     assert first.code == 0
     assert first.summary == {L.APPLIED: 2, L.ORPHAN_ASSET: 1}
-    assert sorted(os.listdir(out)) == ["NEW001.jpg", "NEW002.jpeg"]
-    assert open(f"{out}/NEW001.jpg", "rb").read() == b"\xff\xd8 100.jpg"
-    assert os.stat(f"{out}/NEW001.jpg").st_mtime == before
-    assert sorted(os.listdir(photos)) == ["100.jpg", "200.JPEG", "777.jpg", "notes.txt"]
+    assert sorted(os.listdir(out)) == ["T-31.jpeg", "T-oak.jpg"]
+    assert open(f"{out}/T-oak.jpg", "rb").read() == b"oak.jpg" * 3
+    assert os.stat(f"{out}/T-oak.jpg").st_mtime == before
+    assert sorted(os.listdir(photos)) == ["31.JPEG", "elm.jpg", "oak.jpg", "readme.md"]
 
     # Reading the result again copies nothing and changes nothing.
     assert first.audit.filter("status = 'APPLIED'").count() == 2
@@ -44,7 +46,7 @@ def test_run_and_rerun(spark, job, tmp_path):
 def test_report_bytes(spark, job, tmp_path):
     photos, sheet, out = job
     with open(sheet, "a") as rows:
-        rows.write('300," T3 ","Zoé ""Z"", B"\n')
+        rows.write('fir," T3 ","Zoé ""Z"", B"\n')
     run(spark, *job, report_path=str(tmp_path / "report"))
     parts = sorted(path for path in (tmp_path / "report").iterdir() if path.name.startswith("part-"))
     lines = []
@@ -54,10 +56,10 @@ def test_report_bytes(spark, job, tmp_path):
             assert content.startswith(b"\xef\xbb\xbfrow_number,key_raw,target_raw,name,status,source,destination,detail\n")
             lines += content.decode("utf-8-sig").splitlines()[1:]
     assert lines == [
-        f"2,100,NEW001,Ada,APPLIED,{photos}/100.jpg,{out}/NEW001.jpg,",
-        f"3,200,NEW002,Bayo,APPLIED,{photos}/200.JPEG,{out}/NEW002.jpeg,",
-        '4,300,T3,"Zoé ""Z"", B",NO_ASSET,,,',
-        f",,,,ORPHAN_ASSET,{photos}/777.jpg,,No row has this key",
+        f"2,Oak,T-oak,Quercus,APPLIED,{photos}/oak.jpg,{out}/T-oak.jpg,",
+        f"3,31,T-31,Fagus,APPLIED,{photos}/31.JPEG,{out}/T-31.jpeg,",
+        '4,fir,T3,"Zoé ""Z"", B",NO_ASSET,,,',
+        f",,,,ORPHAN_ASSET,{photos}/elm.jpg,,No row has this key",
     ]
 
 
@@ -85,24 +87,24 @@ def test_dry_run_writes_nothing(spark, job):
 
 def test_conflict_is_reported_not_overwritten(spark, job):
     os.mkdir(job[2])
-    target = f"{job[2]}/NEW001.jpg"
+    target = f"{job[2]}/T-oak.jpg"
     with open(target, "wb") as other:
-        other.write(b"another photo, of another size")
+        other.write(b"something else")
     result = run(spark, *job)
     assert (result.code, result.summary[L.TARGET_CONFLICT]) == (2, 1)
-    assert open(target, "rb").read() == b"another photo, of another size"
+    assert open(target, "rb").read() == b"something else"
     assert run(spark, *job, Settings(dry_run=True)).summary[L.TARGET_CONFLICT] == 1
 
     assert run(spark, *job, Settings(overwrite=True)).code == 0
-    assert open(target, "rb").read() == b"\xff\xd8 100.jpg"
+    assert open(target, "rb").read() == b"oak.jpg" * 3
 
 
 def test_same_size_counts_as_done_unless_verified(spark, job):
     os.mkdir(job[2])
-    with open(f"{job[2]}/NEW001.jpg", "wb") as other:
-        other.write(b"\xff\xd8 1x0.jpg")
+    with open(f"{job[2]}/T-oak.jpg", "wb") as other:
+        other.write(b"oax.jpg" * 3)
     assert run(spark, *job, Settings(overwrite=True)).summary[L.ALREADY_DONE] == 1
-    assert open(f"{job[2]}/NEW001.jpg", "rb").read() == b"\xff\xd8 1x0.jpg"
+    assert open(f"{job[2]}/T-oak.jpg", "rb").read() == b"oax.jpg" * 3
     assert run(spark, *job, Settings(verify=True)).summary[L.TARGET_CONFLICT] == 1
     assert run(spark, *job, Settings(verify=True, overwrite=True)).summary == {
         L.APPLIED: 1, L.ALREADY_DONE: 1, L.ORPHAN_ASSET: 1,
@@ -111,13 +113,13 @@ def test_same_size_counts_as_done_unless_verified(spark, job):
 
 def test_one_bad_file_fails_alone(spark, job):
     # A folder at the destination: it exists, it is no copy, and it cannot be replaced by a file.
-    os.makedirs(f"{job[2]}/NEW001.jpg/inner")
+    os.makedirs(f"{job[2]}/T-oak.jpg/inner")
     result = run(spark, *job, Settings(overwrite=True))
     assert result.code == 2
     assert result.summary == {L.COPY_FAILED: 1, L.APPLIED: 1, L.ORPHAN_ASSET: 1}
     failed = result.audit.filter("status = 'COPY_FAILED'").first()
     assert "Error: " in failed.detail
-    assert sorted(os.listdir(job[2])) == ["NEW001.jpg", "NEW002.jpeg"]
+    assert sorted(os.listdir(job[2])) == ["T-31.jpeg", "T-oak.jpg"]
 
 
 def test_source_that_vanished(spark, tmp_path):
@@ -132,22 +134,22 @@ def test_source_that_vanished(spark, tmp_path):
 def test_recursive(spark, job):
     photos = job[0]
     os.makedirs(f"{photos}/a/b")
-    for name in ("a/b/_300.jpg", "a/.400.jpg"):
+    for name in ("a/b/_yew.jpg", "a/.ash.jpg"):
         with open(f"{photos}/{name}", "wb") as file:
             file.write(b"x")
     os.symlink(f"{photos}/a", f"{photos}/link")
-    os.symlink(f"{photos}/100.jpg", f"{photos}/500.jpg")
+    os.symlink(f"{photos}/oak.jpg", f"{photos}/box.jpg")
     flat = run(spark, *job, Settings(dry_run=True))
     assert flat.summary == {L.PLANNED: 2, L.ORPHAN_ASSET: 2}
     deep = run(spark, *job, Settings(dry_run=True, recursive=True))
     found = {row.source for row in deep.audit.filter("row_number is null").collect()}
-    assert found == {f"{photos}/{name}" for name in ("777.jpg", "500.jpg", "a/b/_300.jpg", "a/.400.jpg")}
+    assert found == {f"{photos}/{name}" for name in ("elm.jpg", "box.jpg", "a/b/_yew.jpg", "a/.ash.jpg")}
 
 
 def test_checks_come_first(spark, job, tmp_path):
     photos, sheet, out = job
     with pytest.raises(ValueError):
-        run(spark, photos, sheet, f"{photos}/../photos")
+        run(spark, photos, sheet, f"{photos}/../scans")
     with pytest.raises(ValueError):
         run(spark, photos, sheet, f"{photos}/out", Settings(recursive=True))
     assert run(spark, photos, sheet, f"{photos}/out", Settings(dry_run=True)).code == 0
@@ -156,8 +158,39 @@ def test_checks_come_first(spark, job, tmp_path):
     with pytest.raises(FileNotFoundError):
         run(spark, photos, f"{tmp_path}/missing.csv", out)
     with pytest.raises(ValueError):
-        run(spark, photos, f"{photos}/notes.txt", out)
-    (tmp_path / "bad.csv").write_text("Code,Other\n100,x\n")
-    with pytest.raises(MissingColumn, match="Code, Other"):
+        run(spark, photos, f"{photos}/readme.md", out)
+    (tmp_path / "bad.csv").write_text("Label,Rest\nOak,x\n")
+    with pytest.raises(MissingColumn, match="Missing: Key, Target. The header has: Label, Rest"):
         run(spark, photos, str(tmp_path / "bad.csv"), out)
     assert not os.path.exists(out)
+
+
+def test_names_that_look_like_addresses(spark, tmp_path):
+    photos = tmp_path / "scans"
+    photos.mkdir()
+    names = ["é.jpg", "a b.jpg", "5%20x.jpg", "x#y.jpg", "is?.jpg", "[z].jpg"]
+    for name in names:
+        (photos / name).write_bytes(name.encode())
+    (photos / os.fsdecode(b"bad\xff.jpg")).write_bytes(b"x")
+    rows = spark.createDataFrame([(n, name[:-4], f"t{n}", "") for n, name in enumerate(names)], "row_number long, key_raw string, target_raw string, name string")
+    for _ in range(2):
+        result = run(spark, str(photos), rows, str(tmp_path / "out"))
+    assert result.summary == {L.ALREADY_DONE: 6, L.ORPHAN_ASSET: 1}
+    assert [row.source for row in result.audit.filter("row_number is null").collect()] == [f"{photos}/bad\\xff.jpg"]
+    assert [(tmp_path / "out" / f"t{n}.jpg").read_bytes() for n in range(6)] == [name.encode() for name in names]
+    assert result.scan == {"scanned": 7, "skipped": 0, "indexed": 7, "distinct_keys": 7}
+    assert result.plan == {"tasks": 6, "row_issues": 0, "orphans": 1}
+
+
+def test_tables_in_tables_out(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "oak.jpg").write_bytes(b"1")
+    files = spark.createDataFrame([(str(tmp_path / "deep" / "oak.jpg"), 1), ("gone/elm.jpg", 1)], "path string, size long")
+    rows = spark.createDataFrame([(1, "oak", "a", ""), (2, "elm", "b", "")], "row_number long, key_raw string, target_raw string, name string")
+    with Stage(spark) as stage:
+        result = run(spark, files, rows, str(tmp_path / "out"), stage=stage, audit_path=str(tmp_path / "audit"))
+        assert result.summary == {L.APPLIED: 1, L.COPY_FAILED: 1} and result.code == 2
+        folder = stage.folder.removeprefix("file:")
+        assert os.path.exists(folder)
+    assert not os.path.exists(folder)
+    assert result.audit.count() == 2

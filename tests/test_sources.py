@@ -7,9 +7,9 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from tallymatch.sources import archives
+from tallymatch.sources import archives, storage
 from tallymatch.sources.folders import as_listing, list_folder
-from tallymatch.sources.sheets import MissingColumn, is_whole_record, read_sheet, resolve_columns, roster_from_table
+from tallymatch.sources.sheets import MissingColumn, find_columns, is_whole_record, read_sheet, roster_from_table
 from tallymatch.sources.storage import open_store
 
 
@@ -28,6 +28,31 @@ def by_csv_module(path, places):
     return found
 
 
+def ends_inside(path):
+    with open(path, newline="", encoding="utf-8") as lines:
+        return list(csv.reader([*lines, "\n", "the end"]))[-1] != ["the end"]
+
+
+def test_the_file_that_was_named(spark, tmp_path):
+    for name in ("staff[1].csv", "staff1.csv", "a*b.csv", "axb.csv", "{x}.csv", "x.csv", "q?.csv", "qq.csv", "b\\c.csv"):
+        (tmp_path / name).write_text(f"Key,Target\n{name[:-4]},t\n")
+    for name in ("staff[1]", "a*b", "{x}", "q?", "b\\c"):
+        assert rows_of(read_sheet(spark, str(tmp_path / f"{name}.csv"), "Key", "Target")) == [(2, name, "t", "")]
+
+
+def test_bytes_that_are_not_text(spark, tmp_path):
+    (tmp_path / "s.csv").write_bytes(b"Key,Target\n" + b"1,a\n" * 5000 + b"\xe9\xe8,b\n")
+    with pytest.raises(ValueError, match="UTF-8: 1 lines"):
+        read_sheet(spark, str(tmp_path / "s.csv"), "Key", "Target")
+    (tmp_path / "t.csv").write_text("Key,Target\n\ufffd,b\n", encoding="utf-8")
+    assert rows_of(read_sheet(spark, str(tmp_path / "t.csv"), "Key", "Target")) == [(2, "\ufffd", "b", "")]
+
+
+def test_row_of_very_many_cells(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("Key,Target\n1,a" + "," * 30_000 + "\n2,b\n")
+    assert rows_of(read_sheet(spark, str(tmp_path / "s.csv"), "Key", "Target")) == [(2, "1", "a", ""), (3, "2", "b", "")]
+
+
 def test_blank_lines_count_and_are_dropped(spark, tmp_path):
     path = tmp_path / "s.csv"
     path.write_text('﻿Name,KEY no.,"Target, No"\nA,1,x\n\n , ,\n"",""," "\nB,02\nC,3.0,z,extra\n,,,x\n\n', encoding="utf-8")
@@ -61,6 +86,11 @@ def test_random_sheets_as_the_csv_module_reads_them(spark, tmp_path):
         pieces = ['"', '""', ",", "a", "7.0", " ", "\n", "b c"] if seed % 2 else ["x", "7", " ", ",", "é"]
         body = "\n".join("".join(rng.choices(pieces, k=rng.randint(0, 8))) for _ in range(120))
         path.write_text("Key,Target,Name\n" + body, encoding="utf-8")
+        if ends_inside(path):
+            with pytest.raises(ValueError, match="inside a quoted cell"):
+                read_sheet(spark, str(path), "Key", "Target", "Name")
+            with open(path, "a", encoding="utf-8") as more:
+                more.write('"')
         ours = [row[:3] for row in rows_of(read_sheet(spark, str(path), "Key", "Target", "Name"))]
         theirs = [row[:3] for row in by_csv_module(path, (0, 1, 2))]
         drop = lambda text: text[:-2] if text.endswith(".0") and text[:-2].isdigit() else text
@@ -70,7 +100,8 @@ def test_random_sheets_as_the_csv_module_reads_them(spark, tmp_path):
 def test_whole_records(spark):
     lines = {
         "a,b": True, "": True, '"a,b",c': True, '"a""b"': True, '""': True, '""""': True, '"a': False, 'a"b': False,
-        '"a"b': False, 'a,"b': False, '"a","b"': True, 'a ,"b" ': False, '"' + '""' * 5000 + '"': False,
+        '"a"b': False, 'a,"b': False, '"a","b"': True, 'a ,"b" ': False, '"' + '""' * 50_000 + '"': True,
+        'a,""': True, '"",a': True, '"a",b"c,d': False, '"a"",b': False, ',"a,b",': True, '"a" ,"b"': False,
         ",".join(['"x"'] * 900): True,
     }
     frame = spark.createDataFrame([(line,) for line in lines], "v string")
@@ -130,10 +161,10 @@ def test_records_across_splits(spark, tmp_path):
 
 
 def test_columns():
-    assert resolve_columns(["Name", "Key No", "key-no", "Target"], "KEY NO", "target", "name") == (2, 3, 0)
-    assert resolve_columns(["key", "target"], "key", "target", "name") == (0, 1, None)
-    with pytest.raises(MissingColumn, match="No column 'Key'. The columns are: A, --"):
-        resolve_columns(["A", "--"], "Key", "A")
+    assert find_columns(["Name", "Key No", "key-no", "Target"], "KEY NO", "target", "name") == (2, 3, 0)
+    assert find_columns(["key", "target"], "key", "target", "name") == (0, 1, None)
+    with pytest.raises(MissingColumn, match="Missing: Key, B. The header has: A, --"):
+        find_columns(["A", "--"], "Key", "B")
 
 
 def test_hidden_sheet_is_refused_not_read_as_empty(spark, tmp_path):
@@ -188,5 +219,22 @@ def test_archives(spark, stage, tmp_path):
     assert sorted(path.name for path in tmp_path.rglob("*") if path.is_file()) == ["1.jpg", "2.jpg", "5.jpg", "a.zip"]
 
 
+def test_remote_names_mean_themselves(monkeypatch):
+    asked = []
+
+    class Store:
+        @staticmethod
+        def from_uri(address):
+            asked.append(address)
+            return object(), address.split("://")[1].rstrip("/")
+
+    storage._remote_store.cache_clear()
+    monkeypatch.setattr(storage.fs, "FileSystem", Store)
+    for name in ("a b", "é", "5%20x", "x#y", "is?", "[z]", "d/e"):
+        assert open_store(f"s3a://shelf/{name}")[1] == f"shelf/{name}"
+    assert asked == ["s3://shelf/"]
+    storage._remote_store.cache_clear()
+
+
 def test_spelling_of_paths():
     assert open_store("file:///a/b")[1] == open_store("file:/a/b")[1] == open_store("/a/b")[1] == "/a/b"
