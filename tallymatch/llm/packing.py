@@ -18,7 +18,10 @@ a null id too. An empty table gives no pieces; columns other than ``doc_id`` and
 from __future__ import annotations
 
 import os
+import re
+import string
 from collections.abc import Iterable, Iterator
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -33,21 +36,64 @@ END_ID = 1
 BLOCK_IDS = 8 << 20
 FULL = 0.97
 REMEMBERED = 400_000
+#: Letters whose lower case is one letter each, and ASCII punctuation.
+LETTERS = "".join(map(chr, [*range(65, 91), *range(97, 123), *range(192, 215), *range(216, 247), *range(248, 256)]))
+PLAIN = re.compile(f"[{LETTERS}]+")
+MARKS = string.punctuation
 
 PIECES = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 class Tokens(dict):
-    """The ids of each blank-separated part of a text, as bytes."""
+    """The ids of each blank-separated part of a text, as bytes.
+
+    The vocabulary is in lower case and cuts between letters and punctuation, so the ids of a word with punctuation after it
+    are those of the word in lower case and those of the punctuation. Such a word goes to the merges directly, its letters
+    spelled as the byte-level alphabet has them; any other part goes through the whole tokenizer.
+    """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.merges = self.tokenizer.model.tokenize
+        spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelling = str.maketrans({letter: spell(letter)[0][0] for letter in LETTERS})
+        self.words: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+
+    def _encode(self, part: str) -> bytes:
+        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        ids = [token.id for token in self.merges(word if word.isascii() else word.translate(self.spelling))]
+        return pack_ids(f"<{len(ids)}I", *ids)
 
     def __missing__(self, part: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+        word = part.rstrip(MARKS)
+        known, lower = self.words, word.lower()
+        ids = known.get(lower)
+        if ids is None:
+            if not word.isalpha() or not (word.isascii() or PLAIN.fullmatch(word)):
+                ids = self._encode(part)
+                if len(part) < 100:
+                    self[part] = ids
+                return ids
+            ids = self._word(lower)
+            if len(word) < 100:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[lower] = ids
+        if len(part) > len(word):
+            mark = part[len(word) :]
+            end = self.marks.get(mark)
+            if end is None:
+                end = self._encode(mark)
+                if len(self.marks) < 1000 and len(mark) < 10:
+                    self.marks[mark] = end
+            ids += end
         if len(part) < 100:
             if len(self) >= REMEMBERED:
                 self.clear()

@@ -25,11 +25,24 @@ def encoded(text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(st.sampled_from(" \n\t\x0b\x1c\x85\xa0 aZé'stDß.,1²中́Σς<|endoftext|>"), max_size=60))
+@given(st.text(st.sampled_from(" \n\t\x0b\x1c\x85\xa0 aZé'stDß.,1²中́ΣςİÀÿ×º_<|endoftext|>"), max_size=60))
 def test_word_by_word(text):
     assert np.frombuffer(TOKENS.of(text), "<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids
 
 
+def test_letters():
+    for letter in packing.LETTERS:
+        for text in (letter, f"a{letter}", f"{letter}a.", f"x{letter}y's"):
+            assert np.frombuffer(TOKENS.of(text), "<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids
+
+
+def test_bounded_memory(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 5)
+    tokens = packing.Tokens(VOCABULARY)
+    for text in ["one two, three. four five six", "one seven eight! nine", "Two ten; Ten 11 it's"] * 3:
+        assert np.frombuffer(tokens.of(text), "<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=80))
 def test_best_fit(lengths):
