@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from tallymatch.llm import tables, words
 from tallymatch.llm.suffix_tree import LOWER
+from tallymatch.plans.staging import Stage
 
 SAMPLE = 12_000
 LEAST_ROWS = 5
@@ -115,63 +116,88 @@ def fit_ordinal(
     return fitted[:n_features], fitted[n_features] + np.concatenate([[0.0], np.cumsum(np.exp(fitted[n_features + 1 :]))])
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Keys with counts, label and weight of the labelled rows that are fitted on; ``labels``: doc_id and an integer label."""
+def sample(docs: DataFrame, labels: DataFrame, most: int) -> tuple[DataFrame, dict[int, int]]:
+    """label and text of the labelled rows that are fitted on, and the number of all rows of each label."""
     labels = labels.filter("label is not null and doc_id is not null")
     kinds = {r.label: r.n for r in labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not kinds:
-        return [], np.zeros(0, int), np.zeros(0)
-    each = most // len(kinds)
-    chosen = None
+    chosen = labels.limit(0)
     for kind in sorted(kinds):
-        own = labels.filter(F.col("label") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
-        chosen = own if chosen is None else chosen.unionByName(own)
-
-    def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in words.pieces(batches, "text"):
-            text, key = features(data, offsets)
-            order = np.argsort(text, kind="stable")
-            rows = np.split(key[order], np.searchsorted(text[order], np.arange(1, part.num_rows)))
-            rows = [np.stack([x, n.astype(np.uint64)]).tobytes() for x, n in (np.unique(x, return_counts=True) for x in rows)]
-            column = part.column(part.schema.get_field_index("label"))
-            yield pa.RecordBatch.from_arrays([column, pa.array(rows, pa.binary())], names=["label", "keys"])
-
+        own = labels.filter(F.col("label") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // len(kinds))
+        chosen = chosen.unionByName(own)
     # ``most`` rows of an id and a label: small enough for every task.
-    met = docs.join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(keyed, "label int, keys binary")
-    rows = met.collect()
-    label = np.array([r.label for r in rows], int)
-    found = {kind: max(1, int((label == kind).sum())) for kind in kinds}
-    return [np.frombuffer(r.keys, np.uint64).reshape(2, -1) for r in rows], label, np.array([kinds[k] / found[k] for k in label.tolist()])
-
-
-def select(rows: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys that are unevenly spread, their z-scores, and text, place and value of each of their entries."""
-    texts = np.repeat(np.arange(len(rows)), [x.shape[1] for x in rows])
-    own, counts = np.concatenate(rows, 1)
-    keys, places, n = np.unique(own, return_inverse=True, return_counts=True)
-    in_toxic = np.bincount(places, toxic[texts], len(keys))
-    n_toxic, n_clean = toxic.sum(), (~toxic).sum()
-    share, other = in_toxic / n_toxic, (n - in_toxic) / n_clean
-    both = n / len(rows)
-    z = (share - other) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / n_toxic + 1 / n_clean))
-    keep = np.flatnonzero((n >= LEAST_ROWS) & (np.abs(z) >= LEAST_Z))
-    keep = np.sort(keep[np.argsort(-np.abs(z[keep]), kind="stable")[:FEATURES]])
-    place = np.full(len(keys), -1)
-    place[keep] = np.arange(len(keep))
-    hit = place[places] >= 0
-    return keys[keep], z[keep], texts[hit], place[places][hit], np.log2(1.0 + counts[hit])
-
-
-def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Ordinal:
+    return docs.join(F.broadcast(chosen), "doc_id").select("label", "text"), kinds
+
+
+def _by_text(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, key and count of each feature of each text, in order of the texts."""
+    text, key = features(data, offsets)
+    order = np.lexsort((key, text))
+    text, key = text[order], key[order]
+    first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (key[1:] != key[:-1])])[: len(key)])
+    return text[first], key[first], np.diff(np.append(first, len(key)))
+
+
+def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each feature the rows of a piece that have it, and the toxic ones among them."""
+    for part, data, offsets in words.pieces(batches, "text"):
+        toxic = part.column(part.schema.get_field_index("label")).to_numpy(zero_copy_only=False) > 0
+        text, key, _ = _by_text(data, offsets)
+        keys, place, n = np.unique(key, return_inverse=True, return_counts=True)
+        in_toxic = np.bincount(place, toxic[text], len(keys)).astype(np.int64)
+        columns = [pa.array(keys.view(np.int64)), pa.array(n), pa.array(in_toxic)]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "n_toxic"])
+
+
+def select(rows: DataFrame, n_toxic: int, n_clean: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that are unevenly spread, in order, and their z-scores."""
+    counts = rows.mapInArrow(counted, "key long, n long, n_toxic long").groupBy("key")
+    counts = counts.agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic")).filter(F.col("n") >= LEAST_ROWS)
+    both = F.col("n") / (n_toxic + n_clean)
+    gap = F.col("n_toxic") / n_toxic - (F.col("n") - F.col("n_toxic")) / n_clean
+    z = gap / F.sqrt(F.greatest(both * (1 - both), F.lit(1e-9)) * (1 / n_toxic + 1 / n_clean))
+    uneven = counts.select("key", z.alias("z")).filter(F.abs("z") >= LEAST_Z)
+    found = uneven.orderBy(F.abs("z").desc(), "key").limit(FEATURES).collect()
+    keys = np.array([r.key for r in found], np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.array([r.z for r in found])[order]
+
+
+def matrix(rows: DataFrame, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The label of each row; row, place and value of each of its features that are among the keys."""
+
+    def looked_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in words.pieces(batches, "text"):
+            text, key, n = _by_text(data, offsets)
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = keys[at] == key
+            bounds = pa.array(np.searchsorted(text[hit], np.arange(part.num_rows + 1)).astype(np.int32))
+            columns = [pa.ListArray.from_arrays(bounds, pa.array(x[hit].astype(np.int64))) for x in (at, n)]
+            label = part.column(part.schema.get_field_index("label"))
+            yield pa.RecordBatch.from_arrays([label, *columns], names=["label", "places", "counts"])
+
+    # Features are few in a text, and the rows of the sample are bounded.
+    found = rows.mapInArrow(looked_up, "label int, places array<long>, counts array<long>").collect()
+    texts = np.repeat(np.arange(len(found)), [len(r.places) for r in found])
+    places = np.array([at for r in found for at in r.places], int)
+    values = np.log2(1.0 + np.array([n for r in found for n in r.counts]))
+    return np.array([r.label for r in found], int), texts, places, values
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, stage: Stage | None = None) -> Ordinal:
     """``labels``: doc_id and label, 0 for clean; with labels above 1 these are the grades."""
-    rows, label, weights = sample(docs, labels, most)
-    toxic = label > 0
-    if not toxic.any() or toxic.all():
-        return Ordinal(np.zeros(0, np.uint64), np.zeros(0), np.array([np.inf]))
-    keys, z, texts, places, values = select(rows, toxic)
+    chosen, kinds = sample(docs, labels, most)
+    rows = (stage or Stage(docs.sparkSession)).save(chosen, "sample")
+    found = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_toxic = sum(n for label, n in found.items() if label > 0)
+    n_clean = sum(found.values()) - n_toxic
+    keys, z = select(rows, n_toxic, n_clean) if n_toxic and n_clean else (np.zeros(0, np.uint64), np.zeros(0))
+    if not len(keys):
+        return Ordinal(keys, z, np.array([np.inf]))
+    label, texts, places, values = matrix(rows, keys)
+    toxic, weights = label > 0, np.array([kinds[k] / found[k] for k in label.tolist()])
     grades = np.unique(label, return_inverse=True)[1]
     if grades.max() == 1:
-        marks = np.bincount(texts, np.maximum(z[places], 0) * values, len(rows))
+        marks = np.bincount(texts, np.maximum(z[places], 0) * values, len(label))
         grades = np.where(toxic & (marks > np.median(marks[toxic])), 2, grades)
         if grades.max() == 2 and not (grades == 1).any():
             grades = np.minimum(grades, 1)
