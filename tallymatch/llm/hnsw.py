@@ -33,12 +33,14 @@ from tallymatch.llm import words
 from tallymatch.plans.staging import Stage
 
 K = 10
-SHARD = 4000
+SHARD = 2500
 LINKS = 16
 BUILD = 80
 SEARCH = 120
 BLOCK = 2048
 _GROUP = 16
+#: Partitions for each piece of work, so that few tasks get several.
+SPREAD = 3
 
 UNIQUE = "one long, two long, vector binary, ids array<long>"
 INDEX = "shard long, dim int, n long, vectors binary, ids array<array<long>>, neighbours array<binary>, entry int"
@@ -214,6 +216,8 @@ def build_index(vectors: DataFrame, stage: Stage, k: int = K, shard: int = SHARD
     rows = stage.save(rows.withColumn("dim", (F.octet_length("vector") / 8).cast("int")), "vectors")
     counts = rows.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard).cast("long").alias("shards"))
     rows = rows.join(counts, "dim").withColumn("shard", F.pmod("one", F.col("shards")))
+    # A graph is much work on few bytes: partitions by the number of shards, not by size.
+    tasks = SPREAD * max(1, counts.agg(F.sum("shards")).first()[0] or 0)
 
     def built(table: pa.Table) -> pa.Table:
         order = np.lexsort((table.column("two").to_numpy(), table.column("one").to_numpy()))
@@ -232,7 +236,7 @@ def build_index(vectors: DataFrame, stage: Stage, k: int = K, shard: int = SHARD
             }
         )
 
-    shards = rows.select("dim", "shard", "one", "two", "vector", "ids").groupBy("dim", "shard")
+    shards = rows.select("dim", "shard", "one", "two", "vector", "ids").repartition(tasks, "dim", "shard").groupBy("dim", "shard")
     return stage.save(shards.applyInArrow(built, INDEX), "index")
 
 
@@ -296,7 +300,9 @@ def search(index: DataFrame, queries: DataFrame, k: int = K, width: int = SEARCH
     shards = index.groupBy("dim").agg(F.collect_list("shard").alias("shards"))
     blocks = blocks.join(shards, "dim").withColumn("shard", F.explode("shards")).drop("shards")
     spread = index.join(counts, "dim").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    pairs = spread.join(blocks, ["dim", "shard", "block"])
+    keys = ["dim", "shard", "block"]
+    tasks = SPREAD * max(1, spread.count())
+    pairs = spread.repartition(tasks, *keys).join(blocks.repartition(tasks, *keys), keys)
     found = pairs.mapInArrow(lambda batches: searched(batches, k, width), FOUND)
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     nearest = Window.partitionBy("query_id").orderBy("score", "vec_id")

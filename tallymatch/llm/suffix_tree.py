@@ -8,7 +8,8 @@ different one; Spark sums them, and shorter contexts are sums of longer ones. A
 ``LEAST_SHARE`` of all symbols, so there are at most ``DEPTH / LEAST_SHARE`` candidates however large the corpus is, and all
 of the corpus counts. Of these a context is retained if its next-symbol distribution differs from that of the context
 without the oldest byte: the divergence, times its count, has to pay for the parameters it adds (half the logarithm of
-the count for each symbol that follows it). Contexts that a retained one ends with are retained too. Distributions are
+the count for each symbol that follows it); of those that pass, the ``CONTEXTS`` with the greatest gain make up the model, so it
+is small enough for every task. Contexts that a retained one ends with are retained too. Distributions are
 smoothed with those of the next shorter context, weighted by the number of different symbols that follow (Witten-Bell), down
 to equal shares for all 256 bytes.
 
@@ -39,8 +40,9 @@ from pyspark.sql import functions as F
 from tallymatch.llm import tables, words
 from tallymatch.plans.staging import Stage
 
-DEPTH = 6
-LEAST_SHARE = 2e-5
+DEPTH = 7
+LEAST_SHARE = 2e-6
+CONTEXTS = 100_000
 BROADCAST_WORDS = 400_000
 ADDED = 0.1
 STRETCH = 256
@@ -180,9 +182,9 @@ def counted(batches: Iterable[pa.RecordBatch], depth: int) -> Iterator[pa.Record
 class Model:
     """The automaton: ``step[state, symbol class]`` and ``cost[state, symbol class]``, the log10 probability."""
 
-    def __init__(self, levels: list[dict[str, np.ndarray]], depth: int):
+    def __init__(self, levels: list[dict[str, np.ndarray]], depth: int, most: int):
         """``levels[k]``: context (k bytes, the newest lowest), symbol and count of all candidates of length k."""
-        self.depth = depth
+        self.depth, self.most = depth, most
         seen = np.unique(levels[0]["symbol"]) if len(levels[0]["symbol"]) else np.zeros(0, np.int64)
         n = len(seen)
         #: Classes: the symbols that were seen, and one for all others.
@@ -193,7 +195,7 @@ class Model:
 
     def _distributions(self, levels: list[dict[str, np.ndarray]], n: int) -> tuple[dict[tuple[int, int], int], np.ndarray]:
         smooth: list[tuple[np.ndarray, np.ndarray]] = []
-        passed: list[np.ndarray] = []
+        gains: list[np.ndarray] = []
         for k, level in enumerate(levels):
             context, place = np.unique(level["context"], return_inverse=True)
             counts = np.zeros((len(context), n + 1))
@@ -203,17 +205,20 @@ class Model:
                 lower = np.full((max(1, len(context)), n + 1), 1 / 256)
                 if not len(context):
                     smooth.append((np.zeros(1, np.int64), lower))
-                    passed.append(np.ones(1, bool))
+                    gains.append(np.full(1, np.inf))
                     continue
             else:
                 above, rows = smooth[-1]
                 lower = rows[np.searchsorted(above, context & ((1 << (8 * (k - 1))) - 1))]
             rows = (counts + different[:, None] * lower) / (total + different)[:, None]
-            smooth.append((context, rows))
+            smooth.append((context, rows.astype(np.float32)))
             with np.errstate(divide="ignore", invalid="ignore"):
                 share = counts / total[:, None]
                 gain = np.where(counts > 0, counts * np.log(share / lower), 0).sum(1)
-            passed.append(gain > 0.5 * different * np.log(np.maximum(total, 2)) if k else np.ones(1, bool))
+            gains.append(gain - 0.5 * different * np.log(np.maximum(total, 2)) if k else np.full(1, np.inf))
+        every = np.concatenate(gains)
+        least = max(0.0, np.partition(every, -self.most)[-self.most]) if len(every) > self.most else 0.0
+        passed = [gain > least for gain in gains]
         # What a retained context ends with is retained.
         for k in range(len(levels) - 1, 1, -1):
             ends = smooth[k][0][passed[k]] & ((1 << (8 * (k - 1))) - 1)
@@ -314,7 +319,7 @@ def _arrays(table: DataFrame) -> dict[str, np.ndarray]:
     return {name: column.to_numpy() for name, column in zip(table.columns, table.toArrow().columns, strict=True)}
 
 
-def train(counts: DataFrame, depth: int, least_share: float, stage: Stage) -> Model:
+def train(counts: DataFrame, depth: int, least_share: float, most: int, stage: Stage) -> Model:
     """``counts``: key and train of all runs of ``depth + 1`` bytes."""
     level = counts.select(
         F.shiftrightunsigned("key", 8).alias("context"), F.col("key").bitwiseAND(F.lit(255)).alias("symbol"), F.col("train").alias("n")
@@ -329,7 +334,7 @@ def train(counts: DataFrame, depth: int, least_share: float, stage: Stage) -> Mo
         # A context has 256 rows at most.
         big = level.groupBy("context").agg(F.sum("n").alias("all")).filter(F.col("all") >= (least if k else 1)).select("context")
         levels.append(_arrays(level.join(big, "context")))
-    return Model(levels[::-1], depth)
+    return Model(levels[::-1], depth, most)
 
 
 def most_frequent(counted_words: DataFrame, most: int = BROADCAST_WORDS) -> int:
@@ -346,7 +351,12 @@ def most_frequent(counted_words: DataFrame, most: int = BROADCAST_WORDS) -> int:
 
 
 def score(
-    docs: DataFrame, stage: Stage | None = None, depth: int = DEPTH, least_share: float = LEAST_SHARE, most: int = BROADCAST_WORDS
+    docs: DataFrame,
+    stage: Stage | None = None,
+    depth: int = DEPTH,
+    least_share: float = LEAST_SHARE,
+    contexts: int = CONTEXTS,
+    most: int = BROADCAST_WORDS,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; a row for each row of ``docs``."""
     if not 0 < depth < 8:
@@ -359,7 +369,7 @@ def score(
     summed = rows.groupBy("kind", "key").agg(F.sum("train").alias("train"), F.sum("whole").alias("whole"))
     counts = stage.save(summed, "counts")
     own = counts.filter("kind = 0").select("key", "train", "whole")
-    model = train(counts.filter("kind = 1").select("key", "train"), depth, least_share, stage)
+    model = train(counts.filter("kind = 1").select("key", "train"), depth, least_share, contexts, stage)
 
     tokens, distinct = own.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count_if(F.col("train") > 0)).first()
     below = math.log10(tokens + ADDED * (distinct + 1))
