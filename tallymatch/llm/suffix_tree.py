@@ -40,13 +40,13 @@ from pyspark.sql import functions as F
 from tallymatch.llm import tables, words
 from tallymatch.plans.staging import Stage
 
-DEPTH = 7
+DEPTH = 5
 LEAST_SHARE = 2e-6
 CONTEXTS = 100_000
 BROADCAST_WORDS = 400_000
 ADDED = 0.1
 STRETCH = 256
-_HELD = 3_000_000
+_HELD = 1_500_000
 
 END = 10
 LOWER = np.arange(256, dtype=np.uint8)
