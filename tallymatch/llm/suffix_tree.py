@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tallymatch.llm import tables, words
 from tallymatch.plans.staging import Stage
 
-DEPTH = 5
+DEPTH = 7
 LEAST_SHARE = 2e-6
 CONTEXTS = 100_000
 BROADCAST_WORDS = 400_000
@@ -180,7 +180,7 @@ def counted(batches: Iterable[pa.RecordBatch], depth: int) -> Iterator[pa.Record
 
 
 class Model:
-    """The automaton: ``step[state, symbol class]`` and ``cost[state, symbol class]``, the log10 probability."""
+    """The automaton: ``step[state, symbol class]`` and ``cost[own[state], symbol class]``, the log10 probability."""
 
     def __init__(self, levels: list[dict[str, np.ndarray]], depth: int, most: int):
         """``levels[k]``: context (k bytes, the newest lowest), symbol and count of all candidates of length k."""
@@ -194,40 +194,51 @@ class Model:
         self._automaton(n)
 
     def _distributions(self, levels: list[dict[str, np.ndarray]], n: int) -> tuple[dict[tuple[int, int], int], np.ndarray]:
-        smooth: list[tuple[np.ndarray, np.ndarray]] = []
+        """Only symbols that follow a context are held, in order of context and symbol; whole rows are made of retained contexts alone."""
+        held: list[dict[str, np.ndarray]] = []
         gains: list[np.ndarray] = []
         for k, level in enumerate(levels):
-            context, place = np.unique(level["context"], return_inverse=True)
-            counts = np.zeros((len(context), n + 1))
-            counts[place, self.classes[level["symbol"]]] = level["n"]
-            total, different = counts.sum(1), (counts > 0).sum(1)
-            if k == 0:
-                lower = np.full((max(1, len(context)), n + 1), 1 / 256)
-                if not len(context):
-                    smooth.append((np.zeros(1, np.int64), lower))
-                    gains.append(np.full(1, np.inf))
-                    continue
+            order = np.lexsort((level["symbol"], level["context"]))
+            key = (level["context"][order].astype(np.uint64) << np.uint64(8)) | level["symbol"][order].astype(np.uint64)
+            counts = level["n"][order].astype(float)
+            context, first = np.unique(key >> np.uint64(8), return_index=True)
+            different = np.diff(np.append(first, len(key)))
+            total = np.add.reduceat(counts, first) if len(key) else np.zeros(0)
+            if k:
+                # What follows a context follows whatever it ends with.
+                lower = held[-1]["p"][np.searchsorted(held[-1]["key"], key & np.uint64((1 << (8 * k)) - 1))]
             else:
-                above, rows = smooth[-1]
-                lower = rows[np.searchsorted(above, context & ((1 << (8 * (k - 1))) - 1))]
-            rows = (counts + different[:, None] * lower) / (total + different)[:, None]
-            smooth.append((context, rows.astype(np.float32)))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                share = counts / total[:, None]
-                gain = np.where(counts > 0, counts * np.log(share / lower), 0).sum(1)
-            gains.append(gain - 0.5 * different * np.log(np.maximum(total, 2)) if k else np.full(1, np.inf))
+                lower = np.full(len(key), 1 / 256)
+            d, t = np.repeat(different, different), np.repeat(total, different)
+            held.append({"key": key, "n": counts, "p": (counts + d * lower) / (t + d), "context": context, "first": first, "different": different, "total": total})
+            if k:
+                gain = np.add.reduceat(counts * np.log(counts / t / lower), first) if len(key) else np.zeros(0)
+                gains.append(gain - 0.5 * different * np.log(np.maximum(total, 2)))
+            else:
+                gains.append(np.full(max(1, len(context)), np.inf))
         every = np.concatenate(gains)
         least = max(0.0, np.partition(every, -self.most)[-self.most]) if len(every) > self.most else 0.0
         passed = [gain > least for gain in gains]
         # What a retained context ends with is retained.
         for k in range(len(levels) - 1, 1, -1):
-            ends = smooth[k][0][passed[k]] & ((1 << (8 * (k - 1))) - 1)
-            passed[k - 1][np.searchsorted(smooth[k - 1][0], ends)] = True
+            ends = held[k]["context"][passed[k]] & np.uint64((1 << (8 * (k - 1))) - 1)
+            passed[k - 1][np.searchsorted(held[k - 1]["context"], ends)] = True
         names, logs = {}, []
-        for k, ((context, rows), keep) in enumerate(zip(smooth, passed, strict=True)):
-            names.update({(k, c): len(names) + j for j, c in enumerate(context[keep].tolist())})
-            logs.append(np.log10(rows[keep]))
-        return names, np.concatenate(logs).astype(np.float32)
+        above, rows = np.zeros(1, np.uint64), np.full((1, n + 1), 1 / 256)
+        for k, (level, keep) in enumerate(zip(held, passed, strict=True)):
+            if k or len(level["context"]):
+                own = level["context"][keep]
+                parent = rows[np.searchsorted(above, own & np.uint64((1 << (8 * (k - 1))) - 1))] if k else rows
+                size = level["different"][keep]
+                place = np.repeat(np.arange(len(own)), size)
+                at = np.repeat(level["first"][keep] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+                rows = parent * size[:, None]
+                rows[place, self.classes[level["key"][at] & np.uint64(255)]] += level["n"][at]
+                rows /= (level["total"][keep] + size)[:, None]
+                above = own
+            names.update({(k, c): len(names) + j for j, c in enumerate(above.tolist())} if k or not names else {})
+            logs.append(np.log10(rows).astype(np.float32))
+        return names, np.concatenate(logs)
 
     def _automaton(self, n: int) -> None:
         by_length: list[set[int]] = [set() for _ in range(self.depth + 1)]
@@ -254,7 +265,8 @@ class Model:
                     symbol = self.classes[c & 255]
                     fall[at] = step[parent, symbol] if k else 0
                     step[parent, symbol] = at
-        self.width, self.step, self.cost = n + 1, step.ravel(), self.log[own].ravel()
+        # Many states share a context, so costs are held by context.
+        self.width, self.step, self.own, self.cost = n + 1, step.ravel(), own, self.log.ravel()
         del self.log, self.contexts
 
     def score(self, stream: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -274,9 +286,10 @@ class Model:
             n = active[at]
             if not n:
                 break
-            flat = state[:n] * self.width + classes[start[:n] + at]
+            now = classes[start[:n] + at]
+            flat = state[:n] * self.width + now
             if at >= depth:
-                total[:n] += self.cost[flat]
+                total[:n] += self.cost[self.own[state[:n]] * self.width + now]
             state[:n] = self.step[flat]
         return np.bincount(text, total, len(lengths))
 

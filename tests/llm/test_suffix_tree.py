@@ -129,3 +129,13 @@ def test_runs():
     assert bytes(stream) == b"\n\nab c\n\n\n\n\n\nd\n" and begin.tolist() == [0, 7, 10, 14]
     runs = suffix_tree.runs(stream, begin, 2)
     assert [int(r).to_bytes(3, "big") for r in runs] == [b"\n\na", b"\nab", b"ab ", b"b c", b" c\n", b"\n\n\n", b"\n\nd", b"\nd\n"]
+
+
+def test_seven_bytes(documents):
+    """What follows is told by the seventh byte back alone."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice(["abcdefgx", "zbcdefgy"]) for _ in range(30))) for i in range(60)]
+    found = suffix_tree.score(documents(rows), least_share=1e-3).collect()
+    same(found, brute(rows, 7, 1e-3))
+    shorter = {r.doc_id: r.score for r in suffix_tree.score(documents(rows), depth=5, least_share=1e-3).collect()}
+    assert all(r.score > shorter[r.doc_id] + 1 for r in found)
