@@ -7,12 +7,14 @@ decoded. Each block keeps its number of characters, how many of them are in link
 some language, and the region it is in: the innermost ``article`` or ``main``, or the rest of the page.
 
 *First pass*, each block by itself. Many links: boilerplate (undecided for a heading in an article). Long with many stop words: content. Long with few: boilerplate.
-Anything else is undecided; short blocks are.
+Stop words say nothing about a block in another script than theirs, or on a page whose long blocks have few of them taken
+together, as it is in a language that is not listed: there a long block is content if most of its letters and digits are
+letters. Anything else is undecided; short blocks are.
 
 *Second pass.* An undecided block takes the label of its nearest decided neighbours in its own region, one on either side;
 of two that differ, the nearer one in blocks, content if both are as near. With a neighbour on one side only, that one
 counts, the edge of the page or region being no neighbour. In a region without any decided block, undecided blocks are
-content in an ``article`` or ``main`` and boilerplate elsewhere. If a page marks an ``article`` or ``main`` with any text,
+content, unless it is the rest of the page and a long block there is boilerplate for its words. If a page marks an ``article`` or ``main`` with any text,
 blocks outside of all of them are boilerplate; a page without such marks is judged by the rules alone.
 
 Null html: empty. Text without tags is one block. A page of which nothing is content gives an empty text. Broken markup is
@@ -38,6 +40,7 @@ LONG = 80
 MOST_LINKS = 0.5
 MOST_LINKS_SHORT = 0.33
 LEAST_STOPS = 0.08
+LEAST_LETTERS = 0.75
 
 #: Elements, by what they mean for the text.
 RAW = "script style noscript template iframe svg math object embed canvas audio video select textarea button title xmp".split()
@@ -96,6 +99,8 @@ _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _NAME_PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
+_DIGIT = re.compile(r"\d")
+_LATIN = re.compile(r"[A-Za-zªºÀ-ÖØ-öø-ɏḀ-ỿ]")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE) for name in RAW}
 
 
@@ -242,18 +247,32 @@ def blocks(page: str) -> tuple[list[Block], int]:
     return found, regions
 
 
-def first_pass(block: Block) -> bool | None:
-    """Content, boilerplate, or undecided."""
+def many_links(block: Block) -> bool:
+    return block.linked > (MOST_LINKS if len(block.text) >= LONG else MOST_LINKS_SHORT) * len(block.text)
+
+
+def listed(found: list[Block]) -> bool:
+    """Whether the long blocks, taken together, have the stop words of a language that is listed."""
+    own = [word for block in found if len(block.text) >= LONG and not many_links(block) for word in _WORD.findall(block.text.lower())]
+    return sum(word in STOPS for word in own) >= LEAST_STOPS * len(own)
+
+
+def first_pass(block: Block, known: bool = True) -> bool | None:
+    """Content, boilerplate, or undecided; ``known``: the page is in a language whose stop words are listed."""
     text = block.text
-    if block.linked > (MOST_LINKS if len(text) >= LONG else MOST_LINKS_SHORT) * len(text):
+    if many_links(block):
         # The heading of an article often links to the article.
         return None if block.heading and block.region else False
     if len(text) < LONG:
         return None
     own = _WORD.findall(text.lower())
     stops = sum(word in STOPS for word in own)
+    letters = sum(map(len, own))
     if stops >= LEAST_STOPS * len(own):
         return True
+    if not known or 2 * len(_LATIN.findall(text)) < letters:
+        if letters and letters >= LEAST_LETTERS * (letters + len(_DIGIT.findall(text))):
+            return True
     return None if block.region else False
 
 
@@ -284,10 +303,15 @@ def main_text(page: str) -> str:
     by_region: dict[int, list[int]] = {}
     for k, block in enumerate(found):
         by_region.setdefault(block.region, []).append(k)
+    known = listed(found)
     for region, own in by_region.items():
         if marked and not region:
             continue
-        for k, label in zip(own, second_pass([first_pass(found[k]) for k in own], region > 0), strict=True):
+        labels = [first_pass(found[k], known) for k in own]
+        if not region and not any(label is not None and (label or not many_links(found[k])) for k, label in zip(own, labels, strict=True)):
+            # Nothing but links was decided, and they say nothing about their neighbours.
+            labels = [label is None for label in labels]
+        for k, label in zip(own, second_pass(labels, region > 0), strict=True):
             keep[k] = label
     return "\n".join(block.text for block, kept in zip(found, keep, strict=True) if kept)
 

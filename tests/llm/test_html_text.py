@@ -96,3 +96,30 @@ def test_tables(spark):
     texts = {(r.page_id, r.url, len(r.text)) for r in found}
     assert len(found) == 4 and texts == {(1, "u", len(PAGES["plain"][1])), (None, None, 0), (2, "v", len(LONG) * 20_000)}
     assert html_text.extract(table.limit(0)).count() == 0
+
+
+OTHERS = {
+    "ru": "Буря, которая пришла вечером с холмов, была одной из самых сильных, какие видели в долине за многие годы жизни.",
+    "el": "Η καταιγίδα που ήρθε το βράδυ από τους λόφους ήταν μια από τις χειρότερες που είχαν δει ποτέ στην κοιλάδα.",
+    "ar": "كانت العاصفة التي جاءت من التلال في المساء واحدة من أسوأ العواصف التي رآها أي شخص في الوادي منذ سنوات طويلة جدا",
+    "zh": "傍晚从山上刮来的暴风雨是山谷里的人们见过的最严重的一次。" * 4,
+    "fi": "Illalla kukkuloilta saapunut myrsky oli yksi pahimmista, joita laaksossa oli koskaan nähty vuosikymmenien aikana.",
+}
+
+
+@pytest.mark.parametrize("lang", OTHERS)
+def test_other_languages(lang):
+    text = OTHERS[lang]
+    assert len(text) >= html_text.LONG
+    page = f"<div><ul><li><a href=/>Home</a></ul><p>{text}</p><p>{text[:20]}</p><p>{text}</p><p>{'x1 2z ' * 40}</p></div>"
+    assert html_text.main_text(page) == f"{text}\n{text[:20].strip()}\n{text}"
+
+
+def test_other_script_beside_a_listed_language():
+    text = OTHERS["ru"]
+    assert html_text.main_text(f"<p>{text}</p><p>{LONG}</p>") == f"{text}\n{LONG}"
+
+
+def test_short_paragraphs():
+    page = "<ul><li><a href=/>Home</a></ul><p>The cat sat.</p><p>It was on a mat.</p><p><a>Next</a></p>"
+    assert html_text.main_text(page) == "The cat sat.\nIt was on a mat."
