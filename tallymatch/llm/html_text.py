@@ -1,8 +1,10 @@
 """Main text of web pages by two-pass block rules.
 
 *Blocks.* A page is cut at block-level tags. Comments, scripts, styles and other parts that show no prose are left out, as is
-everything inside menus, headers, footers, sidebars, forms and the like: elements of such a kind, with such a role, or
-whose class or id says so. Within a block white space, line breaks included, is one blank; character references are
+everything inside menus, headers, footers, sidebars, forms and the like: elements of such a kind or with such a role. A class
+or id that says so is a hint: what is below is left out too, but for an ``article`` or ``main`` in it without a hint of
+its own, and unless more than ``MOST_HINTED`` of the characters that may be content are below that element, which then is
+the page's layout. Parts after has-, no-, with- and without-, and the header of an article, are no hints. Within a block white space, line breaks included, is one blank; character references are
 decoded. Each block keeps its number of characters, how many of them are in links, how many of its words are stop words of
 some language, and the region it is in: the innermost ``article`` or ``main``, or the rest of the page.
 
@@ -41,6 +43,7 @@ MOST_LINKS = 0.5
 MOST_LINKS_SHORT = 0.33
 LEAST_STOPS = 0.08
 LEAST_LETTERS = 0.75
+MOST_HINTED = 0.75
 
 #: Elements, by what they mean for the text.
 RAW = "script style noscript template iframe svg math object embed canvas audio video select textarea button title xmp".split()
@@ -72,6 +75,9 @@ NOT_ARTICLE = frozenset(
     "signup sitemap skip social sponsor sponsored sponsors subscribe subscription taboola teaser toc toolbar tooltip topbar "
     "warning widget widgets hidden".split()
 )
+#: What follows the first in a class or id says what a layout has; a header of the second belongs to the article.
+MODIFIERS = frozenset("has no with without".split())
+OF_ARTICLE = frozenset("article content entry main post story title".split())
 #: Frequent function words.
 STOPS = frozenset(
     (
@@ -111,6 +117,8 @@ class Block:
     linked: int = 0
     text: str = ""
     heading: bool = False
+    #: The hinted elements it is in.
+    hints: tuple[int, ...] = ()
 
 
 @dataclass
@@ -118,45 +126,59 @@ class _Element:
     name: str
     aside: bool
     region: int
+    hints: tuple[int, ...] = ()
+    #: In a hinted element within a block, so not part of the block.
+    inline: bool = False
 
 
-def is_aside(name: str, rest: str, in_article: bool) -> bool:
-    """Whether an element is not part of an article, by its kind, role, class or id."""
+def is_hint(value: str) -> bool:
+    """Whether a class or id says that an element is not part of an article."""
+    for one in value.split():
+        before: set[str] = set()
+        for part in map(str.lower, _NAME_PART.findall(one)):
+            if part in NOT_ARTICLE and not before & MODIFIERS and not (part == "header" and before & OF_ARTICLE):
+                return True
+            before.add(part)
+    return False
+
+
+def is_aside(name: str, rest: str) -> tuple[bool, bool]:
+    """Whether an element is not part of an article by its kind, role or style; whether its class or id hints so."""
     if name in ASIDE:
-        return True
+        return True, False
+    hint = False
     if "=" not in rest and "hidden" not in rest:
-        return False
+        return False, False
     for key, *values in _ATTRIBUTE.findall(rest):
         key, value = key.lower(), "".join(values)
-        if key in ("class", "id") and name not in ("body", "html", "article", "main"):
-            if any(part.lower() in NOT_ARTICLE for part in _NAME_PART.findall(value)):
-                return True
+        if key in ("class", "id"):
+            hint = hint or name not in ("body", "html") and is_hint(value)
         elif key == "role" and value.strip().lower() in ROLES:
-            return True
+            return True, hint
         elif key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true":
-            return True
+            return True, hint
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-            return True
-    return False
+            return True, hint
+    return False, hint
 
 
 def blocks(page: str) -> tuple[list[Block], int]:
-    """The blocks with text that are not set aside, and the number of marked regions."""
+    """The blocks with text that are not set aside, hinted ones included, and the number of marked regions."""
     stack: list[_Element] = [_Element("", False, 0)]
     found: list[Block] = []
     now = Block(0)
-    regions = links = 0
+    regions = links = hints = 0
     at = 0
 
-    def finish(region: int) -> None:
+    def finish(element: _Element) -> None:
         nonlocal now
         now.text = _SPACE.sub(" ", "".join(now.parts)).strip()
         if now.text:
             found.append(now)
-        now = Block(region)
+        now = Block(element.region, hints=element.hints)
 
     def say(text: str) -> None:
-        if text and not stack[-1].aside:
+        if text and not stack[-1].aside and not stack[-1].inline:
             text = entities.unescape(text)
             now.parts.append(text)
             if links:
@@ -166,9 +188,9 @@ def blocks(page: str) -> tuple[list[Block], int]:
         """Ends the elements from place ``to`` on."""
         nonlocal links
         gone = stack[to:]
-        if any(e.name in ENDS_P or e.name == "body" for e in gone):
+        if any(e.name in ENDS_P or e.name == "body" or "-" in e.name and e.hints for e in gone):
             del stack[to:]
-            finish(stack[-1].region)
+            finish(stack[-1])
         else:
             del stack[to:]
         links -= sum(e.name == "a" for e in gone)
@@ -195,7 +217,7 @@ def blocks(page: str) -> tuple[list[Block], int]:
         name = match["name"].lower()
         if match["end"]:
             if name == "p" and not place_of({"p"}, set()):
-                finish(stack[-1].region)
+                finish(stack[-1])
             k = place_of({name}, {"table"} if name not in ("table", "body", "html", "article", "main", "div") else set())
             if k:
                 close(k)
@@ -212,7 +234,7 @@ def blocks(page: str) -> tuple[list[Block], int]:
             continue
         if name in VOID:
             if name == "hr":
-                finish(stack[-1].region)
+                finish(stack[-1])
             elif name in ("br", "wbr") and not stack[-1].aside:
                 now.parts.append(" " if name == "br" else "")
             continue
@@ -230,20 +252,31 @@ def blocks(page: str) -> tuple[list[Block], int]:
                 close(k)
         above = stack[-1]
         region = above.region
-        if name in ("article", "main") and not above.aside:
-            regions += 1
-            region = regions
-        own = above.aside or name == "head" or is_aside(name, match["rest"], region > 0)
-        if name in ENDS_P or name in ("body", "html", "head"):
-            finish(region)
+        own, hint = is_aside(name, match["rest"])
+        hinted = above.hints
+        if name in ("article", "main"):
+            if not above.aside:
+                regions += 1
+                region = regions
+            # Reopens what a class or id has closed; below such a one its own hint counts.
+            hinted, hint = (hinted, False) if hint else ((), False)
+        elif hint and not own:
+            hints += 1
+            hinted = (*hinted, hints)
+        block = name in ENDS_P or name in ("body", "html", "head")
+        # An element of an unknown kind may hold blocks, one within a line does not.
+        inline = (above.inline or hint) and not block and "-" not in name
+        element = _Element(name, above.aside or name == "head" or own, region, hinted, inline)
+        if block or hint and not inline:
+            finish(element)
             now.heading = name in ("h1", "h2", "h3")
-        stack.append(_Element(name, own, region))
+        stack.append(element)
         links += name == "a"
         if name == "body":  # text before it may have left a head open
             for element in stack[:-1]:
                 element.aside = element.aside and element.name != "head"
-            stack[-1].aside = is_aside(name, match["rest"], False)
-    finish(0)
+            stack[-1].aside = is_aside(name, match["rest"])[0]
+    finish(stack[0])
     return found, regions
 
 
@@ -296,14 +329,30 @@ def second_pass(labels: list[bool | None], otherwise: bool) -> list[bool]:
     return result
 
 
+def layout(found: list[Block], known: bool) -> set[int]:
+    """The hinted elements that hold nearly all of what may be content."""
+    marked = any(block.region for block in found)
+    held: dict[int, int] = {}
+    total = 0
+    for block in found:
+        if (block.region or not marked) and first_pass(block, known) is not False:
+            total += len(block.text)
+            for hint in block.hints:
+                held[hint] = held.get(hint, 0) + len(block.text)
+    return {hint for hint, n in held.items() if n > MOST_HINTED * total}
+
+
 def main_text(page: str) -> str:
-    found, regions = blocks(page)
+    found, _ = blocks(page)
+    known = listed(found)
+    if any(block.hints for block in found):
+        shown = layout(found, known)
+        found = [block for block in found if shown.issuperset(block.hints)]
     marked = any(block.region for block in found)
     keep = [False] * len(found)
     by_region: dict[int, list[int]] = {}
     for k, block in enumerate(found):
         by_region.setdefault(block.region, []).append(k)
-    known = listed(found)
     for region, own in by_region.items():
         if marked and not region:
             continue

@@ -123,3 +123,27 @@ def test_other_script_beside_a_listed_language():
 def test_short_paragraphs():
     page = "<ul><li><a href=/>Home</a></ul><p>The cat sat.</p><p>It was on a mat.</p><p><a>Next</a></p>"
     assert html_text.main_text(page) == "The cat sat.\nIt was on a mat."
+
+
+ARTICLE = f"<h1>Title</h1><p>{LONG}</p><p>{OTHER}</p>"
+WRAPPED = {
+    "has": f"<div class='layout has-sidebar'>{ARTICLE}</div>",
+    "no": f"<div class='no-sidebar'><article>{ARTICLE}</article></div>",
+    "with": f"<section class='with-comments'>{ARTICLE}</section>",
+    "print": f"<div id='print-area'>{ARTICLE}</div>",
+    "print article": f"<div id='print-area'><article>{ARTICLE}</article><p>{OTHER}</p></div>",
+    "modal main": f"<div class='modal'><div><main>{ARTICLE}<div class='related'>{OTHER}</div></main></div></div>",
+    "header": f"<article><div class='article-header'><h1>Title</h1></div><p>{LONG}</p><p>{OTHER}</p></article>",
+    "custom": f"<app-page class='search'>{ARTICLE}</app-page>",
+}
+
+
+@pytest.mark.parametrize("name", WRAPPED)
+def test_wrapped(name):
+    assert html_text.main_text(WRAPPED[name]) == f"Title\n{LONG}\n{OTHER}"
+
+
+def test_hints_still_count():
+    comments = f"<div class='comments'><article class='comment'><p>{OTHER}</p></article></div>"
+    assert html_text.main_text(f"<article><p>{LONG}</p></article>{comments}") == LONG
+    assert html_text.main_text(f"<div><p>{LONG}</p><p>By <span class='byline'>{OTHER}</span></p></div><div class='sidebar'>{OTHER}</div>") == f"{LONG}\nBy"
