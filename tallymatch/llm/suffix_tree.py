@@ -4,18 +4,17 @@ The text of a document is its words, lower-cased (A to Z), joined by one blank a
 are the bytes of that. A context is a run of up to ``DEPTH`` bytes; before its first byte every text has ends.
 
 *Training* (documents that are not held out). Each task sorts its runs of ``DEPTH + 1`` bytes and sends a count for each
-different one; Spark sums them, and shorter contexts are sums of longer ones. A context is a candidate if it makes up
-``LEAST_SHARE`` of all symbols, so there are at most ``DEPTH / LEAST_SHARE`` candidates however large the corpus is, and all
-of the corpus counts. Of these a context is retained if its next-symbol distribution differs from that of the context
-without the oldest byte: the divergence, times its count, has to pay for the parameters it adds (half the logarithm of
-the count for each symbol that follows it); of those that pass, the ``CONTEXTS`` with the greatest gain make up the model, so it
-is small enough for every task. Contexts that a retained one ends with are retained too. Distributions are
-smoothed with those of the next shorter context, weighted by the number of different symbols that follow (Witten-Bell), down
-to equal shares for all 256 bytes.
-
-*Scoring.* Retained contexts and their beginnings are the states of an automaton that always is in the state of the longest
-one the text read so far ends with, so each byte is one look-up. Texts are cut into stretches, each begun ``DEPTH`` bytes
-early, and all stretches of a piece are scored side by side.
+different one; Spark sums them, and shorter contexts are sums of longer ones. Every context that occurs ``LEAST`` times is a
+candidate, whatever the size of the corpus. A candidate is retained if its next-symbol distribution differs from that of
+the context without the oldest byte: the divergence, times its count, has to pay for the parameters it adds (half the
+logarithm of the count for each symbol that follows it). Contexts that a retained one ends with are retained too.
+Distributions are smoothed with those of the next shorter context, weighted by the number of different symbols that follow
+(Witten-Bell), down to equal shares for all 256 bytes. All of this is shuffled joins, one length after the other: the
+symbols of a context, and the contexts that end alike, are 256 at most, so no key is heavy.
+
+*Scoring.* What a symbol costs depends on the run of ``DEPTH + 1`` bytes that it ends, so the longest retained context is looked
+up once for each different run of all documents, held-out ones included. Costs of the most frequent runs,
+``BROADCAST_RUNS`` at most, go to every task; the other runs of a document meet the table of costs in a shuffled join.
 
 The base score needs the count of every word. Counts of the most frequent words, ``BROADCAST_WORDS`` at most, go to every
 task; the other words of a document meet the full table of counts in a shuffled join. No word of that kind can be frequent,
@@ -34,19 +33,18 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymatch.llm import tables, words
 from tallymatch.plans.staging import Stage
 
 DEPTH = 7
-LEAST_SHARE = 2e-6
-CONTEXTS = 100_000
+LEAST = 2
 BROADCAST_WORDS = 400_000
+BROADCAST_RUNS = 1_000_000
 ADDED = 0.1
-STRETCH = 256
-_HELD = 1_500_000
+_HELD = 500_000
 
 END = 10
 LOWER = np.arange(256, dtype=np.uint8)
@@ -54,7 +52,7 @@ LOWER[65:91] += 32
 END_KEY = 0
 
 COUNTS = "kind int, key long, train long, whole long"
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>"
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, rare_runs array<long>"
 
 
 def held_out(name: str = "doc_id") -> Column:
@@ -151,11 +149,14 @@ def word_keys(found: words.Words) -> np.ndarray:
 
 
 def counted(batches: Iterable[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    of_words, of_runs, sorted_runs, held = Tally(0), Tally(1), [], 0
+    of_words, of_runs, own_runs, held = Tally(0), Tally(1), {True: [], False: []}, 0
 
     def settle() -> Iterator[pa.RecordBatch]:
-        keys, n = np.unique(np.concatenate(sorted_runs), return_counts=True)
-        yield from of_runs.add(keys, n, n)
+        for in_train, found in own_runs.items():
+            if found:
+                keys, n = np.unique(np.concatenate(found), return_counts=True)
+                yield from of_runs.add(keys, n * in_train, n)
+                found.clear()
 
     for part, data, offsets in words.pieces(batches, "text"):
         found = words.Words(data, offsets)
@@ -165,14 +166,13 @@ def counted(batches: Iterable[pa.RecordBatch], depth: int) -> Iterator[pa.Record
         yield from of_words.add(keys, in_train, n)
         yield from of_words.add(np.array([END_KEY], np.uint64), np.array([train.sum()]), np.array([part.num_rows]))
         stream, begin = symbols(found, depth)
-        stream = stream[np.repeat(train, np.diff(begin))]
-        begin = np.concatenate([[0], np.cumsum(np.diff(begin)[train])])
-        if len(stream):
-            sorted_runs.append(runs(stream, begin, depth))
-            held += len(sorted_runs[-1])
+        keys, of_train = runs(stream, begin, depth), np.repeat(train, np.diff(begin) - depth)
+        own_runs[True].append(keys[of_train])
+        own_runs[False].append(keys[~of_train])
+        held += len(keys)
         if held > _HELD:
             yield from settle()
-            sorted_runs, held = [], 0
+            held = 0
     if held:
         yield from settle()
     yield from of_words.rows()
@@ -180,174 +180,116 @@ def counted(batches: Iterable[pa.RecordBatch], depth: int) -> Iterator[pa.Record
 
 
 class Model:
-    """The automaton: ``step[state, symbol class]`` and ``cost[own[state], symbol class]``, the log10 probability."""
-
-    def __init__(self, levels: list[dict[str, np.ndarray]], depth: int, most: int):
-        """``levels[k]``: context (k bytes, the newest lowest), symbol and count of all candidates of length k."""
-        self.depth, self.most = depth, most
-        seen = np.unique(levels[0]["symbol"]) if len(levels[0]["symbol"]) else np.zeros(0, np.int64)
-        n = len(seen)
-        #: Classes: the symbols that were seen, and one for all others.
-        self.classes = np.full(256, n, np.int64)
-        self.classes[seen] = np.arange(n)
-        self.contexts, self.log = self._distributions(levels, n)
-        self._automaton(n)
-
-    def _distributions(self, levels: list[dict[str, np.ndarray]], n: int) -> tuple[dict[tuple[int, int], int], np.ndarray]:
-        """Only symbols that follow a context are held, in order of context and symbol; whole rows are made of retained contexts alone."""
-        held: list[dict[str, np.ndarray]] = []
-        gains: list[np.ndarray] = []
-        for k, level in enumerate(levels):
-            order = np.lexsort((level["symbol"], level["context"]))
-            key = (level["context"][order].astype(np.uint64) << np.uint64(8)) | level["symbol"][order].astype(np.uint64)
-            counts = level["n"][order].astype(float)
-            context, first = np.unique(key >> np.uint64(8), return_index=True)
-            different = np.diff(np.append(first, len(key)))
-            total = np.add.reduceat(counts, first) if len(key) else np.zeros(0)
-            if k:
-                # What follows a context follows whatever it ends with.
-                lower = held[-1]["p"][np.searchsorted(held[-1]["key"], key & np.uint64((1 << (8 * k)) - 1))]
-            else:
-                lower = np.full(len(key), 1 / 256)
-            d, t = np.repeat(different, different), np.repeat(total, different)
-            held.append({"key": key, "n": counts, "p": (counts + d * lower) / (t + d), "context": context, "first": first, "different": different, "total": total})
-            if k:
-                gain = np.add.reduceat(counts * np.log(counts / t / lower), first) if len(key) else np.zeros(0)
-                gains.append(gain - 0.5 * different * np.log(np.maximum(total, 2)))
-            else:
-                gains.append(np.full(max(1, len(context)), np.inf))
-        every = np.concatenate(gains)
-        least = max(0.0, np.partition(every, -self.most)[-self.most]) if len(every) > self.most else 0.0
-        passed = [gain > least for gain in gains]
-        # What a retained context ends with is retained.
-        for k in range(len(levels) - 1, 1, -1):
-            ends = held[k]["context"][passed[k]] & np.uint64((1 << (8 * (k - 1))) - 1)
-            passed[k - 1][np.searchsorted(held[k - 1]["context"], ends)] = True
-        names, logs = {}, []
-        above, rows = np.zeros(1, np.uint64), np.full((1, n + 1), 1 / 256)
-        for k, (level, keep) in enumerate(zip(held, passed, strict=True)):
-            if k or len(level["context"]):
-                own = level["context"][keep]
-                parent = rows[np.searchsorted(above, own & np.uint64((1 << (8 * (k - 1))) - 1))] if k else rows
-                size = level["different"][keep]
-                place = np.repeat(np.arange(len(own)), size)
-                at = np.repeat(level["first"][keep] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-                rows = parent * size[:, None]
-                rows[place, self.classes[level["key"][at] & np.uint64(255)]] += level["n"][at]
-                rows /= (level["total"][keep] + size)[:, None]
-                above = own
-            names.update({(k, c): len(names) + j for j, c in enumerate(above.tolist())} if k or not names else {})
-            logs.append(np.log10(rows).astype(np.float32))
-        return names, np.concatenate(logs)
-
-    def _automaton(self, n: int) -> None:
-        by_length: list[set[int]] = [set() for _ in range(self.depth + 1)]
-        for k, context in self.contexts:
-            for j in range(k, -1, -1):  # the context and its beginnings
-                by_length[j].add(context >> (8 * (k - j)))
-        by_length[0].add(0)
-        place, total = {}, 0
-        for k, states in enumerate(by_length):
-            for c in sorted(states):
-                place[k, c] = total
-                total += 1
-        step = np.zeros((total, n + 1), np.int32)
-        fall = np.zeros(total, np.int32)
-        own = np.zeros(total, np.int32)
-        for k, states in enumerate(by_length):
-            for c in sorted(states):
-                at = place[k, c]
-                own[at] = self.contexts.get((k, c), own[fall[at]])
-                step[at] = step[fall[at]]  # of the longest state this one ends with; the root stays at itself
-            if k < self.depth:
-                for c in sorted(by_length[k + 1]):
-                    at, parent = place[k + 1, c], place[k, c >> 8]
-                    symbol = self.classes[c & 255]
-                    fall[at] = step[parent, symbol] if k else 0
-                    step[parent, symbol] = at
-        # Many states share a context, so costs are held by context.
-        self.width, self.step, self.own, self.cost = n + 1, step.ravel(), own, self.log.ravel()
-        del self.log, self.contexts
-
-    def score(self, stream: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """log10 probability of each text of ``symbols``."""
-        depth, lengths = self.depth, np.diff(begin) - self.depth
-        n_parts = -(-lengths // STRETCH)
-        text = np.repeat(np.arange(len(lengths)), n_parts)
-        part = np.arange(len(text)) - np.repeat(np.cumsum(n_parts) - n_parts, n_parts)
-        start = begin[:-1][text] + part * STRETCH
-        length = np.minimum(lengths[text] - part * STRETCH, STRETCH) + depth
-        order = np.argsort(-length, kind="stable")
-        start, length, text = start[order], length[order], text[order]
-        classes = self.classes[stream]
-        state, total = np.zeros(len(start), np.int64), np.zeros(len(start))
-        active = np.searchsorted(-length, -np.arange(1, STRETCH + depth + 1), "right")
-        for at in range(STRETCH + depth):
-            n = active[at]
-            if not n:
-                break
-            now = classes[start[:n] + at]
-            flat = state[:n] * self.width + now
-            if at >= depth:
-                total[:n] += self.cost[self.own[state[:n]] * self.width + now]
-            state[:n] = self.step[flat]
-        return np.bincount(text, total, len(lengths))
-
-
-def scored(batches: Iterable[pa.RecordBatch], model, frequent) -> Iterator[pa.RecordBatch]:
-    model, (keys, logs, known) = model.value, frequent.value
+    """``cost``: the log10 probabilities of the symbols that were seen, and of any other, before any context; ``costs``: a
+    table of key and cost, the log10 probability of the last symbol of each run of the documents."""
+
+    def __init__(self, n: np.ndarray):
+        """``n``: the counts of the bytes."""
+        total, different = n.sum(), np.count_nonzero(n)
+        self.first = (n + different / 256) / (total + different) if total else np.full(256, 1 / 256)
+        other = different / 256 / (total + different) if total else 1 / 256
+        self.cost = np.log10(np.append(self.first[n > 0], other))
+        self.width = len(self.cost)
+        self.costs: DataFrame | None = None
+
+
+def matched(own: np.ndarray, text: np.ndarray, keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
+    """Which of a piece's keys are in the sorted ``keys``, where these are, and the others as a list for each of ``n`` texts."""
+    at = np.searchsorted(keys, own)
+    at[at == len(keys)] = 0
+    hit = keys[at] == own if len(keys) else np.zeros(len(own), bool)
+    order = np.argsort(text[~hit], kind="stable")
+    reach = np.concatenate([[0], np.cumsum(np.bincount(text[~hit], minlength=n))])
+    return hit, at[hit], pa.ListArray.from_arrays(pa.array(reach.astype(np.int32)), pa.array(own[~hit][order].view(np.int64)))
+
+
+def scored(batches: Iterable[pa.RecordBatch], depth: int, frequent, frequent_runs) -> Iterator[pa.RecordBatch]:
+    (keys, logs, known), (run_keys, costs) = frequent.value, frequent_runs.value
     row = TaskContext.get().partitionId() << 40
     for part, data, offsets in words.pieces(batches, "text"):
-        found = words.Words(data, offsets)
-        own = np.concatenate([word_keys(found), np.full(part.num_rows, END_KEY, np.uint64)])
-        text = np.concatenate([found.text_of_word(), np.arange(part.num_rows)])
-        at = np.searchsorted(keys, own)
-        at[at == len(keys)] = 0
-        hit = keys[at] == own if len(keys) else np.zeros(len(own), bool)
-        n_known, base = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows)
-        if hit.any():
-            base = np.bincount(text[hit], logs[at[hit]], part.num_rows)
-            n_known = np.bincount(text[hit], known[at[hit]], part.num_rows).astype(np.int64)
-        rare = ~hit
-        order = np.argsort(text[rare], kind="stable")
-        reach = np.concatenate([[0], np.cumsum(np.bincount(text[rare], minlength=part.num_rows))])
+        found, n = words.Words(data, offsets), part.num_rows
+        own = np.concatenate([word_keys(found), np.full(n, END_KEY, np.uint64)])
+        text = np.concatenate([found.text_of_word(), np.arange(n)])
+        hit, at, rare = matched(own, text, keys, n)
+        base = np.bincount(text[hit], logs[at], n)
+        n_known = np.bincount(text[hit], known[at], n).astype(np.int64)
+        stream, begin = symbols(found, depth)
+        own, text = runs(stream, begin, depth), np.repeat(np.arange(n), np.diff(begin) - depth)
+        order = np.argsort(own)
+        own, text = own[order], text[order]
+        hit, at, rare_runs = matched(own, text, run_keys, n)
         column = {name: part.column(k) for k, name in enumerate(part.schema.names)}
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(row + np.arange(part.num_rows)),
+                pa.array(row + np.arange(n)),
                 column["doc_id"],
                 column["held_out"],
                 pa.array(found.counts.astype(np.int64) + 1),
                 pa.array(n_known),
                 pa.array(base),
-                pa.array(model.score(*symbols(found, model.depth))),
-                pa.ListArray.from_arrays(pa.array(reach.astype(np.int32)), pa.array(own[rare][order].view(np.int64))),
+                pa.array(np.bincount(text[hit], costs[at], n)),
+                rare,
+                rare_runs,
             ],
-            names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"],
+            names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "rare_runs"],
         )
-        row += part.num_rows
+        row += n
 
 
 def _arrays(table: DataFrame) -> dict[str, np.ndarray]:
     return {name: column.to_numpy() for name, column in zip(table.columns, table.toArrow().columns, strict=True)}
 
 
-def train(counts: DataFrame, depth: int, least_share: float, most: int, stage: Stage) -> Model:
-    """``counts``: key and train of all runs of ``depth + 1`` bytes."""
+def train(counts: DataFrame, depth: int, least_share: float, stage: Stage) -> Model:
+    """``counts``: key and train of all runs of ``depth + 1`` bytes, those that are in held-out documents alone included."""
     level = counts.select(
         F.shiftrightunsigned("key", 8).alias("context"), F.col("key").bitwiseAND(F.lit(255)).alias("symbol"), F.col("train").alias("n")
     )
-    total = level.agg(F.sum("n")).first()[0] or 0
-    least = max(2, math.ceil(total * least_share))
-    levels: list[dict[str, np.ndarray]] = []
-    for k in range(depth, -1, -1):
-        if k < depth:
-            context = F.col("context").bitwiseAND(F.lit((1 << (8 * k)) - 1))
-            level = stage.save(level.groupBy(context.alias("context"), "symbol").agg(F.sum("n").alias("n")), f"level{k}")
-        # A context has 256 rows at most.
-        big = level.groupBy("context").agg(F.sum("n").alias("all")).filter(F.col("all") >= (least if k else 1)).select("context")
-        levels.append(_arrays(level.join(big, "context")))
-    return Model(levels[::-1], depth, most)
+
+    def ending(k: int) -> Column:
+        """The last ``k`` bytes of a context."""
+        return F.col("context").bitwiseAND(F.lit((1 << (8 * k)) - 1))
+
+    levels = [level]
+    for k in range(depth - 1, -1, -1):
+        level = stage.save(level.groupBy(ending(k).alias("context"), "symbol").agg(F.sum("n").alias("n")), f"level{k}")
+        levels.insert(0, level)
+    seen = _arrays(levels[0])
+    n = np.bincount(seen["symbol"], seen["n"], 256).astype(np.int64)
+    model = Model(n)
+    least = max(LEAST, math.ceil(int(n.sum()) * least_share))
+
+    share = F.element_at(F.array(*(F.lit(float(p)) for p in model.first)), (F.col("symbol") + 1).cast("int"))
+    first = levels[0].select("context", "symbol", share.alias("p"))
+    smooth, passed = [first], [None]
+    own = Window.partitionBy("context")
+    for k in range(1, depth + 1):
+        total, different = F.sum("n").over(own), F.count_if(F.col("n") > 0).over(own)
+        candidates = levels[k].withColumns({"total": total, "different": different}).filter(F.col("total") >= least)
+        above = smooth[-1].select(F.col("context").alias("end"), "symbol", F.col("p").alias("lower"))
+        rows = candidates.withColumn("end", ending(k - 1)).join(above, ["end", "symbol"])
+        p = (F.col("n") + F.col("different") * F.col("lower")) / (F.col("total") + F.col("different"))
+        part = F.when(F.col("n") > 0, F.col("n") * F.log(F.col("n") / F.col("total") / F.col("lower"))).otherwise(0.0)
+        rows = stage.save(rows.select("context", "symbol", "total", "different", p.alias("p"), part.alias("part")), f"smooth{k}")
+        gain = F.sum("part") - 0.5 * F.first("different") * F.log(F.first("total"))
+        passed.append(rows.groupBy("context").agg(gain.alias("gain")).filter("gain > 0").select("context"))
+        smooth.append(rows.select("context", "symbol", "p"))
+
+    # What a retained context ends with is retained.
+    retained, kept = None, [None] * (depth + 1)
+    for k in range(depth, 0, -1):
+        ends = passed[k] if retained is None else passed[k].union(retained.select(ending(k).alias("context"))).distinct()
+        retained = stage.save(ends, f"retained{k}")
+        kept[k] = smooth[k].join(retained, "context", "left_semi")
+
+    cost = first.withColumnRenamed("p", "best")
+    for k in range(1, depth + 1):
+        above = cost.select(F.col("context").alias("end"), "symbol", F.col("best").alias("lower"))
+        rows = levels[k].select("context", "symbol", ending(k - 1).alias("end")).join(above, ["end", "symbol"])
+        rows = rows.join(kept[k], ["context", "symbol"], "left")
+        cost = stage.save(rows.select("context", "symbol", F.coalesce("p", "lower").alias("best")), f"cost{k}")
+    model.costs = cost.select(F.shiftleft("context", 8).bitwiseOR(F.col("symbol")).alias("key"), F.log10("best").alias("cost"))
+    return model
 
 
 def most_frequent(counted_words: DataFrame, most: int = BROADCAST_WORDS) -> int:
@@ -367,9 +309,9 @@ def score(
     docs: DataFrame,
     stage: Stage | None = None,
     depth: int = DEPTH,
-    least_share: float = LEAST_SHARE,
-    contexts: int = CONTEXTS,
+    least_share: float = 0.0,
     most: int = BROADCAST_WORDS,
+    most_runs: int = BROADCAST_RUNS,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; a row for each row of ``docs``."""
     if not 0 < depth < 8:
@@ -382,7 +324,8 @@ def score(
     summed = rows.groupBy("kind", "key").agg(F.sum("train").alias("train"), F.sum("whole").alias("whole"))
     counts = stage.save(summed, "counts")
     own = counts.filter("kind = 0").select("key", "train", "whole")
-    model = train(counts.filter("kind = 1").select("key", "train"), depth, least_share, contexts, stage)
+    of_runs = counts.filter("kind = 1").select("key", "train", "whole")
+    model = train(of_runs.select("key", "train"), depth, least_share, stage)
 
     tokens, distinct = own.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count_if(F.col("train") > 0)).first()
     below = math.log10(tokens + ADDED * (distinct + 1))
@@ -392,23 +335,35 @@ def score(
     order = np.argsort(keys)
     known = frequent["train"][order]
     sent = spark.sparkContext.broadcast((keys[order], np.log10(known + ADDED) - below, (known > 0).astype(np.float64)))
-    automaton = spark.sparkContext.broadcast(model)
-
-    found = stage.save(docs.mapInArrow(lambda batches: scored(batches, automaton, sent), SCORED), "scored")
-    rare = found.select("row", F.explode("rare").alias("key"))
-    others = own.filter((F.col("whole") < least) & (F.col("train") > 0)).select("key", "train")
-    met = rare.join(others, "key", "left").select("row", F.coalesce("train", F.lit(0)).alias("train"))
+    # Sent are (kind, key), 1 for runs; each has one value.
+    least_run = most_frequent(of_runs, most_runs)
+    costs = stage.save(of_runs.select("key", "whole").join(model.costs, "key"), "costs")
+    top = _arrays(costs.filter(F.col("whole") >= least_run).select("key", "cost"))
+    run_keys = top["key"].view(np.uint64)
+    order = np.argsort(run_keys)
+    sent_runs = spark.sparkContext.broadcast((run_keys[order], top["cost"][order]))
+
+    found = stage.save(docs.mapInArrow(lambda batches: scored(batches, depth, sent, sent_runs), SCORED), "scored")
+    rare = found.select("row", F.lit(0).alias("kind"), F.explode("rare").alias("key"))
+    rare = rare.union(found.select("row", F.lit(1).alias("kind"), F.explode("rare_runs").alias("key")))
+    log = F.log10(F.col("train") + ADDED) - F.lit(below)
+    others = own.filter((F.col("whole") < least) & (F.col("train") > 0)).select(F.lit(0).alias("kind"), "key", log.alias("value"))
+    others = others.union(costs.filter(F.col("whole") < least_run).select(F.lit(1).alias("kind"), "key", F.col("cost").alias("value")))
+    met = rare.join(others, ["kind", "key"], "left")
+    of_word = F.col("kind") == 0
     added = met.groupBy("row").agg(
-        F.sum(F.log10(F.col("train") + ADDED) - F.lit(below)).alias("more"), F.count_if(F.col("train") > 0).alias("more_known")
+        F.sum(F.when(of_word, F.coalesce("value", F.lit(math.log10(ADDED) - below)))).alias("more"),
+        F.count_if(of_word & F.col("value").isNotNull()).alias("more_known"),
+        F.sum(F.when(~of_word, F.col("value"))).alias("more_score"),
     )
-    return found.drop("rare").join(added, "row", "left").select(
+    return found.drop("rare", "rare_runs").join(added, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
 
 

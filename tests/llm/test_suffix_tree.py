@@ -139,3 +139,18 @@ def test_seven_bytes(documents):
     same(found, brute(rows, 7, 1e-3))
     shorter = {r.doc_id: r.score for r in suffix_tree.score(documents(rows), depth=5, least_share=1e-3).collect()}
     assert all(r.score > shorter[r.doc_id] + 1 for r in found)
+
+
+def test_rare_contexts_stay(documents):
+    """What is met a few times in a large corpus is learnt, and runs that are not broadcast count alike."""
+    rows = [(i, "the cat sat on the mat and " * 400) for i in range(100)] + [(i, "qzjxkvw qzjxkvu") for i in range(100, 106)]
+    docs = documents(rows)
+    same(suffix_tree.score(docs).collect(), brute(rows, 7, 0.0))
+    same(suffix_tree.score(docs, most_runs=3).collect(), brute(rows, 7, 0.0))
+
+
+def test_few_among_many(documents):
+    """The plain model's score; -12.7 if contexts had to make up 2e-6 of all symbols."""
+    rows = [(i, "the cat sat on the mat and " * 800) for i in range(100)] + [(i, "qzjxkvw qzjxkvu") for i in (101, 102, 103)]
+    found = suffix_tree.score(documents(rows)).filter("doc_id > 100").collect()
+    assert [r.score for r in found] == pytest.approx([-1.9033388705502212] * 3, rel=2e-6)
