@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tallymatch.llm.alignment import op11_alignment
 from tallymatch.llm.hnsw import op8_hnsw
 from tallymatch.llm.html_text import op9_html_extraction
 from tallymatch.llm.line_dedup import OP3_SQL, op3_line_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_hnsw": op8_hnsw,
     "op9_html_extraction": op9_html_extraction,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_alignment": op11_alignment,
 }
 
 SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymatch.plans.staging import Stage
 from tallymatch.llm.words import LEAST_ID
 
-TABLES = {"documents", "pages", "embeddings", "labels"}
+TABLES = {"documents", "pages", "embeddings", "labels", "benchmark"}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,3 +35,16 @@ def given_id(name: str = "doc_id") -> Column:
 def staged(table: DataFrame, name: str, stage: Stage | None = None) -> DataFrame:
     """The table written to the shared folder and read again: later steps neither recompute nor lose it."""
     return (stage or Stage(table.sparkSession)).save(table, name)
+
+
+def least_of_most(counts: DataFrame, name: str, most: int) -> int:
+    """The least count, a power of a root of 2, that at most ``most`` rows of the table reach."""
+    step = F.floor(F.log2(name) * 8).cast("int")
+    sizes = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect()
+    total, least = 0, 1
+    for row in sizes:
+        total += row.n
+        if total > most:
+            return least
+        least = math.ceil(2 ** (row.step / 8))
+    return 1
