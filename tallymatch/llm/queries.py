@@ -10,6 +10,7 @@ from tallymatch.llm.ngram_join import op10_ngram_jaccard_join
 from tallymatch.llm.packing import op1_packing
 from tallymatch.llm.quality import op2_quality_rules
 from tallymatch.llm.sentencepiece_viterbi import op7_sentencepiece
+from tallymatch.llm.shared_search import OP12_SQL, op12_shared_search
 from tallymatch.llm.substring_dedup import op6_substring_dedup
 from tallymatch.llm.suffix_tree import op4_lm_scoring
 from tallymatch.llm.toxicity import op5_toxicity
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_alignment": op11_alignment,
+    "op12_shared_search": op12_shared_search,
 }
 
-SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
+SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op12_shared_search": OP12_SQL}
