@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tallymatch.llm.alignment import op11_alignment
+from tallymatch.llm.factorisation import op13_factorisation
 from tallymatch.llm.hnsw import op8_hnsw
 from tallymatch.llm.html_text import op9_html_extraction
 from tallymatch.llm.line_dedup import OP3_SQL, op3_line_dedup
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_alignment": op11_alignment,
     "op12_shared_search": op12_shared_search,
+    "op13_factorisation": op13_factorisation,
 }
 
 SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op12_shared_search": OP12_SQL}
