@@ -28,7 +28,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -43,16 +44,30 @@ from tallymatch.plans.staging import Stage
 
 BROADCAST_PAIRS = 1_000_000
 _HELD = 1_000_000
-_SHIFT = 32
 
 TOKENS = "doc_id long, a_ids array<int>, a_groups array<int>, b_ids array<int>, b_groups array<int>"
 LINKED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
 FOUND = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long, rare array<long>, rare_times array<int>"
 
 
+@dataclass(frozen=True)
+class Vocabulary:
+    """``encode`` gives the ids of a text; the bytes of an id are in ``flat``, so many from ``begin`` on."""
+
+    encode: Callable[[str], np.ndarray]
+    flat: np.ndarray
+    begin: np.ndarray
+    size: np.ndarray
+
+
+def _vocabulary(encode: Callable[[str], np.ndarray], spelled: list[bytes]) -> Vocabulary:
+    size = np.array([len(token) for token in spelled], np.int64)
+    return Vocabulary(encode, np.frombuffer(b"".join(spelled), np.uint8), np.cumsum(size) - size, size)
+
+
 @lru_cache(maxsize=4)
-def merge_list(path: str):
-    """encode(text) -> ids, and the bytes of each id, of a byte-level vocabulary file."""
+def merge_list(path: str) -> Vocabulary:
+    """A byte-level vocabulary file."""
     import tiktoken
     from tokenizers.pre_tokenizers import ByteLevel
 
@@ -74,12 +89,12 @@ def merge_list(path: str):
         spelled[n] = token
     pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     encoding = tiktoken.Encoding(base64.b16encode(path.encode()).decode(), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return encoding.encode_ordinary, spelled
+    return _vocabulary(lambda text: encoding.encode_to_numpy(text, disallowed_special=()), spelled)
 
 
 @lru_cache(maxsize=4)
-def piece_model(path: str):
-    """encode(text) -> ids, and the bytes of each id, of a model of pieces that puts a blank before the text."""
+def piece_model(path: str) -> Vocabulary:
+    """A model of pieces that puts a blank before the text itself."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -87,7 +102,7 @@ def piece_model(path: str):
     for n in range(model.get_piece_size()):
         piece = model.id_to_piece(n)
         spelled.append(bytes([int(piece[3:5], 16)]) if model.is_byte(n) else piece.replace("▁", " ").encode())
-    return (lambda text: model.encode(text)), spelled
+    return _vocabulary(model.encode_as_numpy, spelled)
 
 
 def laid(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -96,22 +111,50 @@ def laid(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     return flat[np.repeat(begin - reach[:-1], length) + np.arange(int(reach[-1]))]
 
 
+@lru_cache(maxsize=4)
+def numerals(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The numbers below ``n``, a comma after each: the characters, where each number begins, how many digits it has."""
+    numbers = [str(k).encode() for k in range(n)]
+    digits = np.array([len(k) for k in numbers])
+    return np.frombuffer(b",".join(numbers) + b",", np.uint8), np.cumsum(digits + 1) - digits - 1, digits
+
+
 class Side:
     """The tokens of one tokenizer over all texts of a piece: ids, and where in the joined texts each ends."""
 
-    def __init__(self, ids: list[list[int]], spelled: list[bytes]):
+    def __init__(self, ids: list[np.ndarray], vocabulary: Vocabulary):
         self.counts = np.array([len(own) for own in ids], np.int64)
-        self.ids = np.array([n for own in ids for n in own], np.int64)
-        size = np.array([len(token) for token in spelled], np.int64)
-        self.ends = np.cumsum(size[self.ids])
+        self.ids = np.concatenate([np.zeros(0, np.int64), *ids]).astype(np.int64)
+        self.ends = np.cumsum(vocabulary.size[self.ids])
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
+        self.vocabulary = vocabulary
+
+    def spelled(self) -> list[bytes]:
+        """What the tokens of each text spell."""
+        own = self.vocabulary
+        whole, reach = laid(own.flat, own.begin[self.ids], own.size[self.ids]).tobytes(), np.concatenate([[0], self.ends])[self.first]
+        return [whole[x:y] for x, y in zip(reach[:-1], reach[1:], strict=True)]
+
+    def without(self, bad: np.ndarray) -> Side:
+        """No tokens for these texts."""
+        parts = np.split(self.ids, self.first[1:-1])
+        return Side([part[:0] if drop else part for part, drop in zip(parts, bad, strict=True)], self.vocabulary)
+
+
+def earlier(ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place in so many bytes, whether a token ends there and how many end before it."""
+    here = np.zeros(size + 1, bool)
+    here[ends] = True
+    return here, np.cumsum(here) - here
 
 
 def terminals(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each token, those of ``a`` first, the last token of its group, by pointer jumping over their ends."""
-    over_a, over_b = np.searchsorted(b, a), np.searchsorted(a, b)
-    own = len(a) + np.arange(len(b))
+    size = int(a[-1]) if len(a) else 0
+    (_, before_a), (here_b, before_b) = earlier(a, size), earlier(b, size)
     # A token of ``a`` points to the one of ``b`` over its last byte; that one stays where it reaches no farther itself.
+    over_a, over_b = before_b[a], before_a[b]
+    own = len(a) + np.arange(len(b))
     pointer = np.concatenate([len(a) + over_a, np.where(a[over_b] > b, over_b, own) if len(a) else own])
     while True:
         twice = pointer[pointer]
@@ -123,55 +166,51 @@ def terminals(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Aligned:
     """The tokens of both sides for the texts of a piece, and their groups and links."""
 
-    def __init__(self, texts: list[str | None], first: tuple, second: tuple):
-        (encode_a, spell_a), (encode_b, spell_b) = first, second
-        ids_a, ids_b = [], []
-        for text in texts:
-            a, b = [], []
-            if text:
-                whole = " " + text
-                a, b = encode_a(whole), encode_b(text)
-                whole = whole.encode()
-                if b"".join([spell_a[n] for n in a]) != whole or b"".join([spell_b[n] for n in b]) != whole:
-                    a, b = [], []
-            ids_a.append(a)
-            ids_b.append(b)
-        self.a, self.b = Side(ids_a, spell_a), Side(ids_b, spell_b)
+    def __init__(self, texts: list[str | None], first: Vocabulary, second: Vocabulary):
+        none = np.zeros(0, np.int64)
+        whole = [" " + text if text else "" for text in texts]
+        self.a = Side([first.encode(text) if text else none for text in whole], first)
+        self.b = Side([second.encode(text) if text else none for text in texts], second)
+        expected = [text.encode() for text in whole]
+        bad = np.array([x != z or y != z for x, y, z in zip(self.a.spelled(), self.b.spelled(), expected, strict=True)], bool)
+        if bad.any():
+            self.a, self.b = self.a.without(bad), self.b.without(bad)
         last = terminals(self.a.ends, self.b.ends)
         # The last tokens of the groups are tokens of the second side, in order.
-        self.ending = np.unique(last)
-        group = np.searchsorted(self.ending, last)
+        ends_group = np.zeros(len(last) + 1, bool)
+        ends_group[last] = True
+        self.ending = np.flatnonzero(ends_group)
+        before = np.cumsum(ends_group) - ends_group
+        group = before[last]
         self.group_a, self.group_b = group[: len(self.a.ids)], group[len(self.a.ids) :]
         # Of the groups before each text.
-        self.first = np.searchsorted(self.ending, len(self.a.ids) + self.b.first)
+        self.first = before[len(self.a.ids) + self.b.first]
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
-        """Text and pair of ids of each link."""
-        ends = np.union1d(self.a.ends, self.b.ends)
-        at_a, at_b = np.searchsorted(self.a.ends, ends), np.searchsorted(self.b.ends, ends)
-        text = np.searchsorted(self.a.first, at_a, "right") - 1
-        return text, (self.a.ids[at_a] << _SHIFT) | self.b.ids[at_b]
+        """Text and pair of ids of each link. A pair is one number, the first id times the ids of the second side and the second."""
+        a, b = self.a, self.b
+        size = int(a.ends[-1]) if len(a.ids) else 0
+        (here_a, before_a), (here_b, before_b) = earlier(a.ends, size), earlier(b.ends, size)
+        ends = np.flatnonzero(here_a | here_b)
+        at_a, at_b = before_a[ends], before_b[ends]
+        text = np.repeat(np.arange(len(a.counts)), a.counts)[at_a]
+        return text, a.ids[at_a] * len(b.vocabulary.size) + b.ids[at_b]
 
     def digests(self) -> list[str]:
         """For each text the hash of its groups as ``a1,a2|b1;a3|b2``; '' where it has no tokens."""
         a, b = self.a, self.b
-        most = int(max(a.ids.max(initial=0), b.ids.max(initial=0)))
-        numbers = [str(n).encode() for n in range(most + 1)]
-        digits = np.array([len(n) for n in numbers])
-        flat = np.frombuffer(b",".join(numbers) + b",", np.uint8)
-        begin = np.concatenate([[0], np.cumsum(digits + 1)])[:-1]
+        flat, begin, digits = numerals(max(len(a.vocabulary.size), len(b.vocabulary.size)))
         # Place of each token where the tokens of a group stand together, those of the first side in front.
-        groups = np.arange(len(self.ending))
-        at_a = np.arange(len(a.ids)) + np.searchsorted(self.group_b, groups)[self.group_a]
-        at_b = np.arange(len(b.ids)) + np.searchsorted(self.group_a, groups, "right")[self.group_b]
+        in_a, in_b = (np.bincount(group, minlength=len(self.ending)) for group in (self.group_a, self.group_b))
+        to_a, to_b = np.cumsum(in_a), np.cumsum(in_b)
+        at_a = np.arange(len(a.ids)) + (to_b - in_b)[self.group_a]
+        at_b = np.arange(len(b.ids)) + to_a[self.group_b]
         order = np.empty(len(a.ids) + len(b.ids), np.int64)
         order[at_a], order[at_b] = a.ids, b.ids
         out = laid(flat, begin[order], digits[order] + 1)
         stop = np.cumsum(digits[order] + 1) - 1
-        after = np.searchsorted(self.group_a, groups, "right") + np.searchsorted(self.group_b, groups)
-        out[stop[after - 1]] = ord("|")
-        end = np.searchsorted(self.group_a, groups, "right") + np.searchsorted(self.group_b, groups, "right")
-        out[stop[end - 1]] = ord(";")
+        out[stop[to_a + to_b - in_b - 1]] = ord("|")
+        out[stop[to_a + to_b - 1]] = ord(";")
         whole, reach = out.tobytes(), np.concatenate([[0], stop + 1])[a.first + b.first]
         return [hashlib.sha256(whole[x : y - 1]).hexdigest() if x < y else "" for x, y in zip(reach[:-1], reach[1:], strict=True)]
 
@@ -208,9 +247,11 @@ def _linked(batches: Iterable[pa.RecordBatch], first: str, second: str) -> Itera
         n = part.num_rows
         own = Aligned(_of(part, "text").to_pylist(), merge_list(first), piece_model(second))
         text, pair = own.links()
-        order = np.lexsort((pair, text))
-        text, pair = text[order], pair[order]
-        new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (pair[1:] != pair[:-1])])[: len(pair)])
+        # A piece has a million texts at most, and pairs are below the product of two vocabularies.
+        pairs = len(own.a.vocabulary.size) * len(own.b.vocabulary.size)
+        both = np.sort(text * pairs + pair)
+        text, pair = np.divmod(both, pairs)
+        new = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])[: len(both)])
         bounds = np.searchsorted(text[new], np.arange(n + 1))
         columns = [
             pa.array(row + np.arange(n)),
@@ -268,10 +309,10 @@ def _looked_up(batches: Iterable[pa.RecordBatch], frequent) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def pair_counts(linked: DataFrame) -> DataFrame:
+def pair_counts(linked: DataFrame, n_second: int) -> DataFrame:
     """pair, n (documents that hold it linked), best (no pair of its first id has more)."""
     counts = linked.select("pairs").mapInArrow(_counted, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    counts = counts.withColumn("a", F.shiftright("pair", _SHIFT))
+    counts = counts.withColumn("a", F.floor(F.col("pair") / n_second))
     highest = counts.groupBy("a").agg(F.max("n").alias("most"))
     return counts.join(highest, "a").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
@@ -282,7 +323,7 @@ def align(
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256; a row for each row of ``docs``."""
     stage = stage or Stage(docs.sparkSession)
     linked = stage.save(_narrow(docs).mapInArrow(lambda batches: _linked(batches, first, second), LINKED), "linked")
-    counts = stage.save(pair_counts(linked), "pairs")
+    counts = stage.save(pair_counts(linked, len(piece_model(second).size)), "pairs")
     least = tables.least_of_most(counts, "n", most)
     top = counts.filter(F.col("n") >= least).orderBy("pair").toArrow()
     arrays = [top.column(k).to_numpy() for k in range(3)]
