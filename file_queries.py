@@ -32,6 +32,8 @@ from tallymatch.streaming.arrivals import Arrivals
 Query = Callable[[SparkSession, str], DataFrame]
 
 TASKS = 8
+#: The files that are withdrawn in ``reconcile_changes``.
+WITHDRAWN = "size % 70 = 0"
 
 
 def write_files(table: DataFrame, stage: Stage) -> DataFrame:
@@ -263,6 +265,25 @@ def arrivals(spark: SparkSession, folder: str) -> DataFrame:
     return running.audit().select(*A.COLUMNS)
 
 
+def reconcile_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Both sides change: all files arrive, every seventh is withdrawn; every fifth row goes, every sixth gets a new target."""
+    stage = Stage(spark)
+    incoming, changes = stage.path("incoming"), stage.path("changes")
+    listing, rows = X.view(spark, folder, X.ASSETS), X.view(spark, folder, X.ROSTER)
+    comes, goes = F.lit(1).alias("change"), F.lit(-1).alias("change")
+    listing.select("*", comes).repartition(2, "path").write.parquet(incoming)
+    number = F.col("row_number")
+    old = rows.filter((number % 5 == 0) | (number % 6 == 0)).select("*", goes)
+    new = rows.filter((number % 5 != 0) & (number % 6 == 0)).withColumn("target_raw", F.concat("target_raw", F.lit("b"))).select("*", comes)
+    old.coalesce(1).write.parquet(changes)
+    running = Arrivals(keyed_roster(rows), "out", stage.path("state"))
+    running.start(incoming, most_files=1, rows=changes).awaitTermination()
+    listing.filter(WITHDRAWN).select("*", goes).coalesce(1).write.mode("append").parquet(incoming)
+    new.coalesce(1).write.mode("append").parquet(changes)
+    running.start(incoming, most_files=1, rows=changes).awaitTermination()
+    return running.audit(stage).select(*A.COLUMNS)
+
+
 def queries() -> dict[str, Query]:
     return {
         "folder_scan": folder_scan,
@@ -281,6 +302,7 @@ def queries() -> dict[str, Query]:
         "report_csv": report_csv,
         "audit_store": audit_store,
         "arrivals": arrivals,
+        "reconcile_changes": reconcile_changes,
     }
 
 
@@ -339,4 +361,9 @@ def oracle_sql(both: str) -> dict[str, str]:
             from audit""",
         "audit_store": f"{both} select * from audit",
         "arrivals": f"{both} select * from audit",
+        "reconcile_changes": both.replace(
+            X.ROSTER,
+            "select row_number, key_raw, case when row_number % 6 = 0 then concat(target_raw, 'b') else target_raw end as target_raw, name"
+            f" from ({X.ROSTER}) where row_number % 5 <> 0",
+        ).replace(X.ASSETS, f"select * from ({X.ASSETS}) where not ({WITHDRAWN})") + " select * from audit",
     }

@@ -25,8 +25,11 @@ def _wanted(suffixes: Sequence[str]) -> Column:
     )
 
 
-def keyed_roster(rows: DataFrame, zeros: bool = False) -> DataFrame:
-    """(row_number, key_raw, target_raw, name) of any cell type -> the same as clean text, plus key and target."""
+def keyed_roster(rows: DataFrame, zeros: bool = False, more: Sequence[Column] = ()) -> DataFrame:
+    """(row_number, key_raw, target_raw, name) of any cell type -> the same as clean text, plus key and target.
+
+    ``more`` are columns of ``rows`` that stay as they are.
+    """
     types = dict(rows.dtypes)
     name = clean_cell("name", types["name"]) if "name" in types else F.lit("")
     return rows.select(
@@ -34,16 +37,17 @@ def keyed_roster(rows: DataFrame, zeros: bool = False) -> DataFrame:
         clean_cell("key_raw", types["key_raw"]).alias("key_raw"),
         clean_cell("target_raw", types["target_raw"]).alias("target_raw"),
         name.alias("name"),
+        *more,
     ).withColumns({
         "key": key_of_text(F.col("key_raw"), zeros),
         "target": squeeze(F.col("target_raw")),
     })
 
 
-def named_assets(listing: DataFrame) -> DataFrame:
+def named_assets(listing: DataFrame, more: Sequence[Column] = ()) -> DataFrame:
     """(path, size) -> the same plus file_name and the lower-cased suffix. No row is dropped."""
     name = file_name(F.col("path"))
-    return listing.select("path", F.col("size").cast("bigint").alias("size"), name.alias("file_name")).withColumn(
+    return listing.select("path", F.col("size").cast("bigint").alias("size"), name.alias("file_name"), *more).withColumn(
         "suffix", F.lower(file_suffix(F.col("file_name")))
     )
 
@@ -60,6 +64,15 @@ def keyed_assets(
     )
 
 
+def marked_assets(
+    listing: DataFrame, suffixes: Sequence[str] = DEFAULT_SUFFIXES, zeros: bool = False, more: Sequence[Column] = ()
+) -> DataFrame:
+    """Like ``keyed_assets``, but no row is dropped: files that are no asset have no key."""
+    stem = file_stem(F.col("file_name"))
+    key = F.when(_wanted(suffixes), key_of_text(clean_cell(stem), zeros))
+    return named_assets(listing, more).withColumn("key", key)
+
+
 def scan_metrics(
     listing: DataFrame, suffixes: Sequence[str] = DEFAULT_SUFFIXES, zeros: bool = False
 ) -> DataFrame:
