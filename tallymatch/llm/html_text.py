@@ -1,14 +1,14 @@
 """Main text of web pages by two-pass block rules.
 
-*Blocks.* A page is cut at block-level tags. Comments, scripts, styles and other parts that show no prose are left out, as is
-everything inside menus, headers, footers, sidebars, forms and the like: elements of such a kind or with such a role. A class
-or id that says so is a hint: what is below is left out too, but for an ``article`` or ``main`` in it without a hint of
+*Blocks.* A page is cut at block-level tags. Comments, scripts, styles, controls and pictures are left out (formulas stay), as is
+everything inside navigation, headers, footers and sidebars: elements of such a kind or with such a role, but for the header
+of an article. A form, menu, dialog or set of fields, or a class or id that says an element is not of the article, is a hint: what is below is left out too, but for an ``article`` or ``main`` in it without a hint of
 its own, and unless more than ``MOST_HINTED`` of the characters that may be content are below that element, which then is
 the page's layout. Parts after has-, no-, with- and without-, and the header of an article, are no hints. Within a block white space, line breaks included, is one blank; character references are
 decoded. Each block keeps its number of characters, how many of them are in links, how many of its words are stop words of
 some language, and the region it is in: the innermost ``article`` or ``main``, or the rest of the page.
 
-*First pass*, each block by itself. Many links: boilerplate (undecided for a heading in an article). Long with many stop words: content. Long with few: boilerplate.
+*First pass*, each block by itself. Many links: boilerplate (undecided for a heading, or a long paragraph that ends a sentence, in an article). Long with many stop words: content. Long with few: boilerplate.
 Stop words say nothing about a block in another script than theirs, or on a page whose long blocks have few of them taken
 together, as it is in a language that is not listed: there a long block is content if most of its letters and digits are
 letters. Anything else is undecided; short blocks are.
@@ -17,10 +17,12 @@ letters. Anything else is undecided; short blocks are.
 of two that differ, the nearer one in blocks, content if both are as near. With a neighbour on one side only, that one
 counts, the edge of the page or region being no neighbour. In a region without any decided block, undecided blocks are
 content, unless it is the rest of the page and a long block there is boilerplate for its words. If a page marks an ``article`` or ``main`` with any text,
-blocks outside of all of them are boilerplate; a page without such marks is judged by the rules alone.
+blocks outside of all of them are boilerplate, and so are articles outside of a ``main`` with content, and an article within one that has
+at least as much content of its own, which is a comment; a page without such marks is judged by the rules alone.
 
 Null html: empty. Text without tags is one block. A page of which nothing is content gives an empty text. Broken markup is
-read as browsers roughly do: tags left open end with their parent, stray end tags are ignored. Rows are treated one by one,
+read as browsers roughly do: tags left open end with their parent, stray end tags are ignored; the start of a control that is never closed
+is passed over. Very long pages are taken whole, one at a time. Rows are treated one by one,
 repeated rows and null ids alike; an empty table gives an empty result; columns other than ``page_id``, ``url`` and ``html``
 are not looked at.
 """
@@ -46,15 +48,18 @@ LEAST_LETTERS = 0.75
 MOST_HINTED = 0.75
 
 #: Elements, by what they mean for the text.
-RAW = "script style noscript template iframe svg math object embed canvas audio video select textarea button title xmp".split()
+RAW = "script style noscript iframe textarea title xmp".split()
+CONTROLS = "template svg object canvas audio video select button annotation annotation-xml".split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
 BLOCK = (
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary "
     "table tbody td tfoot th thead tr ul caption colgroup"
 ).split()
-ASIDE = "nav header footer aside form menu dialog fieldset".split()
-ROLES = "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split()
+ASIDE = "nav header footer aside".split()
+ROLES = "navigation banner contentinfo complementary search alert menubar toolbar".split()
+HINTS = "form menu dialog fieldset".split()
+ROLE_HINTS = "form dialog alertdialog menu".split()
 ENDS_P = set(BLOCK) - {"body", "html", "head"}
 #: An element of the first kind is ended by the start of one of the second, unless one of the third lies between.
 IMPLIED = {
@@ -107,6 +112,8 @@ _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
 _DIGIT = re.compile(r"\d")
 _LATIN = re.compile(r"[A-Za-zªºÀ-ÖØ-öø-ɏḀ-ỿ]")
+_CONTROL = re.compile(rf"<(/?)({'|'.join(map(re.escape, sorted(CONTROLS, key=len, reverse=True)))})(?=[\s/>])(?:[^\"'>]|\"[^\"]*\"|'[^']*')*(/?)>", re.IGNORECASE)
+_SENTENCE_END = re.compile(r"[.!?…。！？]\W*\Z")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE) for name in RAW}
 
 
@@ -117,6 +124,7 @@ class Block:
     linked: int = 0
     text: str = ""
     heading: bool = False
+    paragraph: bool = False
     #: The hinted elements it is in.
     hints: tuple[int, ...] = ()
 
@@ -146,15 +154,17 @@ def is_aside(name: str, rest: str) -> tuple[bool, bool]:
     """Whether an element is not part of an article by its kind, role or style; whether its class or id hints so."""
     if name in ASIDE:
         return True, False
-    hint = False
+    hint = name in HINTS
     if "=" not in rest and "hidden" not in rest:
-        return False, False
+        return False, hint
     for key, *values in _ATTRIBUTE.findall(rest):
         key, value = key.lower(), "".join(values)
         if key in ("class", "id"):
             hint = hint or name not in ("body", "html") and is_hint(value)
         elif key == "role" and value.strip().lower() in ROLES:
             return True, hint
+        elif key == "role" and value.strip().lower() in ROLE_HINTS:
+            hint = True
         elif key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true":
             return True, hint
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
@@ -162,12 +172,29 @@ def is_aside(name: str, rest: str) -> tuple[bool, bool]:
     return False, hint
 
 
-def blocks(page: str) -> tuple[list[Block], int]:
-    """The blocks with text that are not set aside, hinted ones included, and the number of marked regions."""
+def ends_of_controls(page: str) -> dict[int, int]:
+    """Where each control or picture ends, by where its start tag ends. One that is never closed is not among them."""
+    opened: dict[str, list[int]] = {}
+    ends = {}
+    for match in _CONTROL.finditer(page):
+        starts = opened.setdefault(match[2].lower(), [])
+        if not match[1]:
+            starts.append(match.end())
+        elif starts:
+            ends[starts.pop()] = match.end()
+    return ends
+
+
+def blocks(page: str) -> tuple[list[Block], list[tuple[str, int]]]:
+    """The blocks with text that are not set aside, hinted ones included, and of each region its element and the region around it.
+
+    Region 0 is the rest of the page.
+    """
     stack: list[_Element] = [_Element("", False, 0)]
     found: list[Block] = []
     now = Block(0)
-    regions = links = hints = 0
+    regions, ends = [("", 0)], None
+    links = hints = 0
     at = 0
 
     def finish(element: _Element) -> None:
@@ -224,11 +251,13 @@ def blocks(page: str) -> tuple[list[Block], int]:
             elif name == "br" and not stack[-1].aside:
                 now.parts.append(" ")
             continue
+        if name in CONTROLS:
+            # Up to its own end; the start of one that is never closed is passed over, what follows is text.
+            if ends is None:
+                ends = ends_of_controls(page)
+            at = at if match["rest"].endswith("/") else ends.get(at, at)
+            continue
         if name in RAW:
-            if match["rest"].endswith("/") and name in ("svg", "math", "embed", "object", "canvas", "iframe"):
-                continue
-            if name == "embed":
-                continue
             ending = _RAW_END[name].search(page, at)
             at = ending.end() if ending else len(page)
             continue
@@ -253,11 +282,13 @@ def blocks(page: str) -> tuple[list[Block], int]:
         above = stack[-1]
         region = above.region
         own, hint = is_aside(name, match["rest"])
+        if name == "header" and regions[region][0] == "article" and not is_aside("div", match["rest"])[0]:
+            own = False  # the head of an article holds its title
         hinted = above.hints
         if name in ("article", "main"):
             if not above.aside:
-                regions += 1
-                region = regions
+                regions.append((name, region))
+                region = len(regions) - 1
             # Reopens what a class or id has closed; below such a one its own hint counts.
             hinted, hint = (hinted, False) if hint else ((), False)
         elif hint and not own:
@@ -269,7 +300,7 @@ def blocks(page: str) -> tuple[list[Block], int]:
         element = _Element(name, above.aside or name == "head" or own, region, hinted, inline)
         if block or hint and not inline:
             finish(element)
-            now.heading = name in ("h1", "h2", "h3")
+            now.heading, now.paragraph = name in ("h1", "h2", "h3"), name == "p"
         stack.append(element)
         links += name == "a"
         if name == "body":  # text before it may have left a head open
@@ -294,8 +325,9 @@ def first_pass(block: Block, known: bool = True) -> bool | None:
     """Content, boilerplate, or undecided; ``known``: the page is in a language whose stop words are listed."""
     text = block.text
     if many_links(block):
-        # The heading of an article often links to the article.
-        return None if block.heading and block.region else False
+        # The heading of an article often links to the article, and a sentence of it may be a link.
+        sentence = block.paragraph and len(text) >= LONG and _SENTENCE_END.search(text)
+        return None if block.region and (block.heading or sentence) else False
     if len(text) < LONG:
         return None
     own = _WORD.findall(text.lower())
@@ -342,19 +374,46 @@ def layout(found: list[Block], known: bool) -> set[int]:
     return {hint for hint, n in held.items() if n > MOST_HINTED * total}
 
 
+def of_article(found: list[Block], regions: list[tuple[str, int]], known: bool) -> set[int]:
+    """The regions that hold the article.
+
+    All of those marked, but: where a ``main`` has content, those outside of it are something else; and an ``article`` within another that
+    has at least as much content of its own is a comment on it.
+    """
+    held = [0] * len(regions)
+    for block in found:
+        if first_pass(block, known) is not False:
+            held[block.region] += len(block.text)
+    inside, around = [False] * len(regions), [0] * len(regions)
+    for k, (name, outer) in enumerate(regions[1:], 1):
+        inside[k] = name == "main" or inside[outer]
+        around[k] = outer
+    whole = held.copy()
+    for k in range(len(regions) - 1, 0, -1):
+        whole[around[k]] += whole[k]
+    only_main = any(held[k] for k in range(1, len(regions)) if inside[k])
+    chosen: set[int] = set()
+    for k, (name, outer) in enumerate(regions[1:], 1):
+        comment = name == "article" and outer and (regions[outer][0] == "article" and held[outer] >= whole[k] or outer not in chosen)
+        if not comment and (inside[k] or not only_main):
+            chosen.add(k)
+    return chosen
+
+
 def main_text(page: str) -> str:
-    found, _ = blocks(page)
+    found, regions = blocks(page)
     known = listed(found)
     if any(block.hints for block in found):
         shown = layout(found, known)
         found = [block for block in found if shown.issuperset(block.hints)]
     marked = any(block.region for block in found)
+    chosen = of_article(found, regions, known) if marked else {0}
     keep = [False] * len(found)
     by_region: dict[int, list[int]] = {}
     for k, block in enumerate(found):
         by_region.setdefault(block.region, []).append(k)
     for region, own in by_region.items():
-        if marked and not region:
+        if region not in chosen:
             continue
         labels = [first_pass(found[k], known) for k in own]
         if not region and not any(label is not None and (label or not many_links(found[k])) for k, label in zip(own, labels, strict=True)):
