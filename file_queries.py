@@ -90,7 +90,7 @@ def run_on_files(spark: SparkSession, folder: str, runs: list[Settings]) -> tupl
     match = reconcile(X.view(spark, folder, X.ROSTER), listing, out, stage=stage)
     decided = stage.save(match.decided, "decided")
     for settings in runs:
-        outcome = apply(decided, out, settings, stage)
+        outcome = apply(decided, out, settings, stage, match.assets)
     table = A.audit_table(outcome, match.orphans)
     columns = [name for name in A.COLUMNS if name not in ("source", "destination")]
     result = table.select(
@@ -117,7 +117,7 @@ def copies_conflict(spark: SparkSession, folder: str, settings: Settings = Setti
     decided = stage.save(match.decided, "decided")
     others = decided.filter((F.col("status") == L.PLANNED) & (F.col("row_number") % 3 == 0))
     write_files(others.select(F.col("destination").alias("path"), F.lit("another file").alias("content")), stage)
-    outcome = stage.save(apply(decided, out, settings, stage), "outcome")
+    outcome = stage.save(apply(decided, out, settings, stage, match.assets), "outcome")
     there = hashed(list_folder(spark, out, stage)).select(F.col("path").alias("destination"), "sha256")
     return outcome.filter("destination <> ''").join(there, "destination", "left").select("row_number", "status", "detail", "sha256")
 
@@ -134,7 +134,7 @@ def copies_failed(spark: SparkSession, folder: str) -> DataFrame:
     gone = F.when(F.col("row_number") % 3 == 0, F.concat("source", F.lit(".gone"))).otherwise(F.col("source"))
     planned = F.col("status") == L.PLANNED
     decided = match.decided.withColumn("source", F.when(planned, gone).otherwise(F.col("source")))
-    outcome = apply(stage.save(decided, "decided"), out, Settings(), stage)
+    outcome = apply(stage.save(decided, "decided"), out, Settings(), stage, match.assets)
     word = F.regexp_extract("detail", "^[A-Za-z]+", 0)
     detail = F.when(F.col("status") == L.COPY_FAILED, word).otherwise(F.col("detail"))
     return outcome.select("row_number", "status", detail.alias("detail"))

@@ -28,11 +28,15 @@ def file_suffix(name: Column) -> Column:
     return F.regexp_extract(name, SUFFIX, 0)
 
 
+def place_in(folder: str, *name: Column) -> Column:
+    """The path of a name directly in a folder."""
+    root = folder.rstrip("/") or "/"
+    return F.concat(F.lit(root if root.endswith("/") else root + "/"), *name)
+
+
 def target_path(folder: str, target: Column, source_name: Column) -> Column:
     """Where a matched file goes: the row's target plus the lower-cased suffix of the source."""
-    root = folder.rstrip("/") or "/"
-    start = root if root.endswith("/") else root + "/"
-    return F.concat(F.lit(start), target, F.lower(file_suffix(source_name)))
+    return place_in(folder, target, F.lower(file_suffix(source_name)))
 
 
 def resolves_inside(entry: Column) -> Column:

@@ -15,6 +15,10 @@ TARGET_CONFLICT = "TARGET_CONFLICT"
 COPY_FAILED = "COPY_FAILED"
 ORPHAN_ASSET = "ORPHAN_ASSET"
 
+ALL = (
+    APPLIED, PLANNED, ALREADY_DONE, BLANK_KEY, BLANK_TARGET, INVALID_TARGET, DUPLICATE_KEY, DUPLICATE_TARGET, NO_ASSET,
+    DUPLICATE_ASSET, TARGET_CONFLICT, COPY_FAILED, ORPHAN_ASSET,
+)
 SUCCESS = (APPLIED, PLANNED, ALREADY_DONE)
 
 # Outcome codes of a run. One that is not fit raises instead.

@@ -6,10 +6,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallymatch.operators.audit import audit_table
 from tallymatch.operators.groups import key_ledger, open_groups, repeated, target_counts
-from tallymatch.operators.keyed import DEFAULT_SUFFIXES, keyed_assets, keyed_roster
+from tallymatch.operators.keyed import DEFAULT_SUFFIXES, keyed_assets, keyed_roster, marked_assets
 from tallymatch.operators.matching import Counts, candidates, decide, orphans
 from tallymatch.operators.spread import Limits
 from tallymatch.plans.staging import Stage
@@ -46,11 +47,15 @@ def reconcile(
 
     ``folder`` is where the matched files are to go, ``zeros`` drops leading zeros of all-digit keys on both sides.
     Without a stage everything stays lazy and nothing is written. With one, the tables that several later steps read
-    (rows and assets with clean keys, counts per key) are written once and read back.
+    (rows and assets with clean keys, counts per key) are written once and read back; files scanned and indexed and different
+    keys are counted on the way (``stage.figures``).
     """
-    roster, assets = keyed_roster(rows, zeros), keyed_assets(listing, suffixes, zeros)
-    if stage is not None:
-        roster, assets = stage.save_all(roster=roster, assets=assets)
+    roster = keyed_roster(rows, zeros)
+    if stage is None:
+        return reconcile_keyed(roster, keyed_assets(listing, suffixes, zeros), folder, limits)
+    marked = marked_assets(listing, suffixes, zeros)
+    with stage.counting(marked, "assets", scanned=F.count(F.lit(1)), indexed=F.count("key")) as counted:
+        roster, assets = stage.save_all(roster=roster, assets=counted.filter(F.col("key").isNotNull()))
     return reconcile_keyed(roster, assets, folder, limits, stage)
 
 
@@ -61,9 +66,9 @@ def reconcile_keyed(
     if stage is None:
         counts = Counts.of(roster, assets)
     else:
-        ledger, targets = stage.save_all(
-            ledger=key_ledger(roster, assets), targets=repeated(target_counts(roster), "n_targets")
-        )
+        ledger = key_ledger(roster, assets)
+        with stage.counting(ledger, "ledger", distinct_keys=F.count_if(F.col("n_assets") > 0)) as counted:
+            ledger, targets = stage.save_all(ledger=counted, targets=repeated(target_counts(roster), "n_targets"))
         counts = Counts(ledger, targets, stage.save(open_groups(ledger), "groups"))
     decided = decide(roster, counts, folder, limits)
     unclaimed = orphans(assets, counts, limits)

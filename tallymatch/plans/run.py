@@ -9,15 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymatch import labels as L
-from tallymatch.operators.audit import audit_table, plan_metrics, summary
+from tallymatch.operators.audit import audit_table
 from tallymatch.operators.files import copy_files, look_at_destinations, tasks_for
-from tallymatch.operators.keyed import DEFAULT_SUFFIXES, scan_metrics
+from tallymatch.operators.keyed import DEFAULT_SUFFIXES
 from tallymatch.operators.outcomes import settle
-from tallymatch.operators.sinks import read_audit, write_audit, write_report
+from tallymatch.operators.sinks import read_audit, write_audit, write_report, write_report_file
 from tallymatch.operators.spread import Limits
 from tallymatch.plans.reconcile import reconcile
 from tallymatch.plans.staging import Stage
-from tallymatch.sources.folders import as_listing, list_folder, require_folder
+from tallymatch.sources.folders import as_listing, list_folder, list_names, require_folder
 from tallymatch.sources.sheets import read_sheet
 from tallymatch.sources.storage import is_below, make_folder, plain_path, same_folder
 
@@ -72,6 +72,7 @@ def run(
     *,
     audit_path: str | None = None,
     report_path: str | None = None,
+    report_file: str | None = None,
     stage: Stage | None = None,
 ) -> RunResult:
     """Match a sheet to a folder of files and copy the matched files to their new names.
@@ -79,7 +80,8 @@ def run(
     In place of a folder there may be a table of files (path, size), such as the inventory of a bucket or what
     ``archives.extract`` has written; in place of a sheet a table of rows (row_number, key_raw, target_raw, name), such as
     ``sheets.roster_from_table`` gives. Raises before anything is listed or written where folders, sheet or columns are not fit.
-    The audit is stored at ``audit_path`` (by default in the stage) and, if ``report_path`` is given, written there as CSV.
+    The audit is stored at ``audit_path`` (by default in the stage) and, if ``report_path`` is given, written there as a folder of CSV files,
+    if ``report_file`` is given, as one CSV file. Counts are taken while tables are written, not by jobs of their own.
     """
     if isinstance(assets, str):
         check_folders(assets, out, settings.recursive)
@@ -98,40 +100,52 @@ def run(
         limits=settings.limits,
         stage=stage,
     )
-    decided = stage.save(match.decided, "decided")
-    outcomes = apply(decided, out, settings, stage)
-    audit = audit_table(outcomes, match.orphans)
+    planned = F.col("status") == L.PLANNED
+    with stage.counting(match.decided, "decided", tasks=F.count_if(planned), row_issues=F.count_if(~planned)) as counted:
+        decided = stage.save(counted, "decided")
+    outcomes = apply(decided, out, settings, stage, match.assets)
     stored = audit_path or stage.path("audit")
-    write_audit(audit, stored)
+    each = {status: F.count_if(F.col("status") == status) for status in L.ALL}
+    with stage.counting(audit_table(outcomes, match.orphans), "audit", **each) as counted:
+        write_audit(counted, stored)
     audit = read_audit(spark, stored)
     if report_path:
         write_report(audit, report_path)
-    counts = {row["status"]: row["n"] for row in summary(audit).collect()}
+    if report_file:
+        write_report_file(audit, report_file, stage)
+    figures = stage.figures
+    counts = {status: n for status, n in sorted(figures["audit"].items()) if n}
     fine = counts.keys() <= {*L.SUCCESS, L.ORPHAN_ASSET}
     candidates = stage.save(match.candidates(decided), "candidates")
-    scan = scan_metrics(listing, settings.suffixes, settings.zeros).first().asDict()
-    plan = plan_metrics(audit_table(decided, match.orphans)).first().asDict()
+    files = figures["assets"]
+    scan = {
+        "scanned": files["scanned"],
+        "skipped": files["scanned"] - files["indexed"],
+        "indexed": files["indexed"],
+        "distinct_keys": figures["ledger"]["distinct_keys"],
+    }
+    plan = {**figures["decided"], "orphans": figures["audit"][L.ORPHAN_ASSET]}
     return RunResult(L.CODE_OK if fine else L.CODE_ATTENTION, audit, counts, candidates, scan, plan)
 
 
-def apply(decided: DataFrame, out: str, settings: Settings, stage: Stage) -> DataFrame:
-    """Decided rows with the outcome of the planned ones.
+def apply(decided: DataFrame, out: str, settings: Settings, stage: Stage, files: DataFrame) -> DataFrame:
+    """Decided rows with the outcome of the planned ones. ``files`` are the sources (path, size), each path once.
 
-    What is at the destinations is looked at once, before the first copy, and kept; the copies are made once and their
+    What is at the destinations is listed once, before the first copy, and kept; the copies are made once and their
     outcomes kept. Reading the result again therefore copies nothing.
     """
     planned = decided.filter(F.col("status") == L.PLANNED)
     others = decided.filter(F.col("status") != L.PLANNED)
-    count = planned.count()
-    tasks = tasks_for(decided.sparkSession, count, settings.at_once)
-    spread = planned.repartition(tasks, "destination")
-    compared = look_at_destinations(spread, settings.verify)
-    settled = settle(compared, settings.overwrite, settings.dry_run).select(*decided.columns)
+    existing = list_names(decided.sparkSession, out, stage)
+    tasks = tasks_for(decided.sparkSession, planned.count() if settings.verify else 0, settings.at_once)
+    compared = look_at_destinations(planned, existing, files, plain_path(out), tasks, settings.verify)
+    settled = settle(compared, settings.overwrite, settings.dry_run).select(*decided.columns, "size")
     if settings.dry_run:
-        return others.unionByName(stage.save(settled, "settled"))
-    settled = stage.save(settled, "settled")
-    to_copy = settled.filter(F.col("status") == L.APPLIED)
-    if count:
+        return others.unionByName(stage.save(settled.drop("size"), "settled"))
+    to_copy = F.col("status") == L.APPLIED
+    with stage.counting(settled, "settled", copies=F.count_if(to_copy), kept=F.count_if(~to_copy)) as counted:
+        settled = stage.save(counted, "settled")
+    if any(stage.figures["settled"].values()):
         make_folder(out)
-    copied = stage.save(copy_files(to_copy.repartition(tasks, "destination")), "copied")
-    return others.unionByName(settled.filter(F.col("status") != L.APPLIED)).unionByName(copied)
+    copied = copy_files(settled.filter(to_copy), stage, settings.at_once)
+    return others.unionByName(settled.filter(~to_copy).drop("size")).unionByName(copied.drop("size"))

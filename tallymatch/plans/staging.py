@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 SHARED_FOLDER = "spark.checkpoint.dir"
 #: What a finished execution has shuffled is removed; a stage that is needed again after all is run again.
@@ -34,6 +36,8 @@ class Stage:
         # A saved table is read from its files; what was shuffled to make it would only take up local disks.
         spark.conf.set(REMOVE_SHUFFLES, "true")
         self.folder = f"{folder or shared_folder(spark)}/run-{uuid.uuid4().hex}"
+        #: What was counted while tables were written, by the name of the table.
+        self.figures: dict[str, dict] = {}
 
     def __enter__(self) -> Stage:
         return self
@@ -56,6 +60,16 @@ class Stage:
         table.write.parquet(path)
         return self.spark.read.schema(table.schema).parquet(path)
 
+    @contextmanager
+    def counting(self, table: DataFrame, name: str, **figures: Column) -> Iterator[DataFrame]:
+        """The table, to be written once within the block, with aggregates of its rows that are taken on the way: no job of their own.
+
+        They are in ``figures`` under the name afterwards.
+        """
+        seen = Observation(f"{name}-{uuid.uuid4().hex[:8]}")
+        yield table.observe(seen, *[figure.alias(key) for key, figure in figures.items()])
+        self.figures[name] = seen.get
+
     def save_all(self, **tables: DataFrame) -> list[DataFrame]:
         """Write tables that do not depend on each other at the same time, so that one fills the gaps of another."""
         with ThreadPoolExecutor(len(tables)) as pool:

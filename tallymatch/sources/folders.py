@@ -55,12 +55,20 @@ def list_folder(spark: SparkSession, folder: str, stage: Stage, recursive: bool
     return listing.filter("kind = 'file'").select("path", "size")
 
 
-def _lister(recursive: bool):
+def list_names(spark: SparkSession, folder: str, stage: Stage) -> DataFrame:
+    """Whatever is directly in a folder, folders too: (path, size); a folder has no size. A folder that is not there holds nothing."""
+    if not is_folder(folder):
+        return spark.createDataFrame([], "path string, size bigint")
+    frontier = spark.createDataFrame([(plain_path(folder),)], "path string")
+    return stage.save(frontier.mapInPandas(_lister(True, links=True), ENTRIES), "names").select("path", "size")
+
+
+def _lister(recursive: bool, links: bool = False):
     def list_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for folder in batch["path"]:
                 found = []
-                for entry in _entries(folder, recursive):
+                for entry in _entries(folder, recursive, links):
                     found.append(entry)
                     if len(found) == BATCH:
                         yield _table(found)
@@ -75,7 +83,8 @@ def _table(found: list) -> pd.DataFrame:
     return table.astype({"size": "Int64"})
 
 
-def _entries(folder: str, recursive: bool) -> Iterator[tuple]:
+def _entries(folder: str, recursive: bool, links: bool = False) -> Iterator[tuple]:
+    """``links``: links to folders count as folders, else they are left out."""
     store, inner = open_store(folder)
     if not isinstance(store, fs.LocalFileSystem):
         scheme = folder[: len(folder) - len(inner)] if folder.endswith(inner) else ""
@@ -86,13 +95,13 @@ def _entries(folder: str, recursive: bool) -> Iterator[tuple]:
     with os.scandir(inner) as entries:
         for entry in entries:
             if entry.is_dir():
-                if recursive and not entry.is_symlink():
-                    yield entry.path, None, "folder"
+                if recursive and (links or not entry.is_symlink()):
+                    yield printable(entry.path) if links else entry.path, None, "folder"
             elif recursive or entry.is_file():
-                yield _printable(entry.path), _size(entry), "file"
+                yield printable(entry.path), _size(entry), "file"
 
 
-def _printable(path: str) -> str:
+def printable(path: str) -> str:
     """The path; bytes of a name that is not UTF-8 are spelled out.
 
     Such a file is listed like any other and accounted for. A copy of it fails by itself, since no path names it.

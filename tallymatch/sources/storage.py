@@ -75,6 +75,64 @@ def folder_files(path: str) -> list[str]:
     return [f"{path.rstrip('/')}/{info.base_name}" for info in sorted(infos, key=lambda info: info.base_name) if info.is_file]
 
 
+def folder_sizes(path: str) -> list[tuple[str, int]]:
+    """The same with their sizes."""
+    store, inner = open_store(path)
+    infos = sorted(store.get_file_info(fs.FileSelector(inner)), key=lambda info: info.base_name)
+    return [(f"{path.rstrip('/')}/{info.base_name}", info.size) for info in infos if info.is_file]
+
+
+def is_local(path: str) -> bool:
+    return isinstance(open_store(path)[0], fs.LocalFileSystem)
+
+
+def write_range(content: BinaryIO, path: str, at: int, length: int) -> None:
+    """Write so many bytes of a stream into a local file, from a place on. Several tasks may write to one file, each its own range."""
+    _, inner = open_store(path)
+    with open(os.open(inner, os.O_WRONLY | os.O_CREAT, 0o666), "wb") as out:
+        out.seek(at)
+        while length:
+            piece = content.read(min(PIECE, length))
+            if not piece:
+                raise OSError(f"The source ends {length} bytes early")
+            out.write(piece)
+            length -= len(piece)
+
+
+def copy_range(source: str, part: str, at: int, length: int) -> None:
+    store, path = open_store(source)
+    with store.open_input_file(path) as content:
+        content.seek(at)
+        write_range(content, part, at, length)
+
+
+def finish_ranges(source: str, part: str, destination: str, size: int) -> None:
+    """Give a file that was written in ranges its name and the timestamps of its source."""
+    (_, from_path), (_, part_path), (_, to_path) = map(open_store, (source, part, destination))
+    # A task that runs twice finds what the first attempt has renamed.
+    if not os.path.exists(part_path) and os.path.isfile(to_path) and os.stat(to_path).st_size == size:
+        return
+    if os.stat(part_path).st_size != size or os.stat(from_path).st_size != size:
+        raise OSError(f"The size of {source} has changed")
+    shutil.copystat(from_path, part_path)
+    os.replace(part_path, to_path)
+
+
+def name_file(part: str, path: str, size: int) -> None:
+    """Give a local file that was written in ranges its name, if it is whole."""
+    (_, part_path), (_, to_path) = open_store(part), open_store(path)
+    if os.stat(part_path).st_size != size:
+        raise OSError(f"{part} is not whole")
+    os.replace(part_path, to_path)
+
+
+def drop_file(path: str) -> None:
+    """Remove a local file if it is there."""
+    _, inner = open_store(path)
+    if os.path.isfile(inner):
+        os.remove(inner)
+
+
 def file_size(path: str) -> int | None:
     """Size in bytes, None where nothing is there. Anything else that goes wrong raises OSError."""
     store, inner = open_store(path)
@@ -101,6 +159,20 @@ def content_hash(path: str) -> str:
         return hashlib.file_digest(content, "sha256").hexdigest()
 
 
+def same_bytes(one: str, other: str, piece: int = PIECE) -> tuple[bool, int]:
+    """Whether two files hold the same bytes, and how many of each were read: both are read side by side up to the first difference."""
+    (store, path), (other_store, other_path) = open_store(one), open_store(other)
+    read = 0
+    with store.open_input_file(path) as left, other_store.open_input_file(other_path) as right:
+        while True:
+            a, b = left.read(piece), right.read(piece)
+            read += max(len(a), len(b))
+            if a != b:
+                return False, read
+            if not a:
+                return True, read
+
+
 def copy_into_place(source: str, destination: str, mark: str) -> None:
     """Copy a file under a temporary name and rename it. Local copies keep the timestamps."""
     from_store, from_path = open_store(source)

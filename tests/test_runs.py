@@ -127,7 +127,8 @@ def test_source_that_vanished(spark, tmp_path):
     rows = spark.createDataFrame(
         [(2, str(tmp_path / "gone.jpg"), str(tmp_path / "there.jpg"))], "row_number long, source string, destination string"
     )
-    seen = look_at_destinations(rows).first()
+    there = spark.createDataFrame([(str(tmp_path / "there.jpg"), 1)], "path string, size long")
+    seen = look_at_destinations(rows, there, there.limit(0), str(tmp_path), 1).first()
     assert seen.found and not seen.same and seen.problem.startswith("FileNotFoundError: ")
 
 
