@@ -19,11 +19,12 @@ from tallymatch import fixtures as X
 from tallymatch import labels as L
 from tallymatch.operators import audit as A
 from tallymatch.operators import sinks
+from tallymatch.operators.files import copy_files
 from tallymatch.operators.keyed import keyed_roster
 from tallymatch.plans.reconcile import reconcile
 from tallymatch.plans.run import Settings, apply, run
 from tallymatch.plans.staging import Stage
-from tallymatch.sources import archives
+from tallymatch.sources import archives, listing
 from tallymatch.sources.folders import list_folder
 from tallymatch.sources.sheets import read_sheet
 from tallymatch.sources.storage import content_hash, make_folder, open_store, plain_path, write_into_place
@@ -82,6 +83,15 @@ def folder_scan(spark: SparkSession, folder: str) -> DataFrame:
     return flat.unionByName(list_folder(spark, f"{root}/files", stage)).select(below(root, "path").alias("path"), "size")
 
 
+def file_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """The tree as a data source, with a filter that the source applies itself."""
+    stage = Stage(spark)
+    root = asset_files(spark, folder, stage)
+    listing.register(spark)
+    table = spark.read.format(listing.NAME).options(path=root, recursive=True, depth=1).load()
+    return table.filter(F.col("suffix").isin(".jpg", ".jpeg")).select(below(root, "path").alias("path"), "name", "suffix", "size")
+
+
 def run_on_files(spark: SparkSession, folder: str, runs: list[Settings]) -> tuple[DataFrame, str, str, Stage]:
     """The roster against real files, applied once per entry of ``runs``; the audit of the last one."""
     stage = Stage(spark)
@@ -244,6 +254,35 @@ def report_csv(spark: SparkSession, folder: str) -> DataFrame:
     return read.withColumns({name: F.coalesce(name, F.lit("")) for name in A.COLUMNS})
 
 
+def report_one_file(spark: SparkSession, folder: str) -> DataFrame:
+    """The report as one file, read back."""
+    stage = Stage(spark)
+    path = f"{plain_path(stage.path('report'))}.csv"
+    match = reconcile(X.view(spark, folder, X.ROSTER), X.view(spark, folder, X.ASSETS), "out", stage=stage)
+    sinks.write_report_file(match.audit, path, stage, files=TASKS)
+    texts = ", ".join(f"{name} string" for name in A.COLUMNS)
+    read = spark.read.schema(texts).options(header=True, quote='"', escape='"', nullValue="\0").csv(path)
+    return read.withColumns({name: F.coalesce(name, F.lit("")) for name in A.COLUMNS})
+
+
+def copies_by_size(spark: SparkSession, folder: str) -> DataFrame:
+    """Copies of files of very unequal size: the texts of all documents, the longer ones in ranges; what is at the destinations then."""
+    stage = Stage(spark)
+    root, out = plain_path(stage.path("texts")), plain_path(stage.path("out"))
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    texts = X.table(spark, folder, "documents").select(F.concat(F.lit(f"{root}/"), name).alias("path"), F.col("text").alias("content"))
+    write_files(texts, stage)
+    make_folder(out)
+    rows = list_folder(spark, root, stage).select(
+        F.col("path").alias("source"), F.concat(F.lit(f"{out}/"), F.substring_index("path", "/", -1)).alias("destination"),
+        "size", F.lit("").alias("status"), F.lit("").alias("detail"),
+    )
+    copied = copy_files(rows, stage, range_bytes=4_000)
+    there = hashed(list_folder(spark, out, stage)).withColumnRenamed("path", "destination")
+    found = copied.drop("size").join(there, "destination", "full")
+    return found.select(below(out, "destination").alias("name"), "size", "sha256", "status", "detail")
+
+
 def audit_store(spark: SparkSession, folder: str) -> DataFrame:
     stage = Stage(spark)
     path = stage.path("audit")
@@ -288,6 +327,7 @@ def queries() -> dict[str, Query]:
     return {
         "folder_scan": folder_scan,
         "folder_scan_recursive": folder_scan_recursive,
+        "file_listing": file_listing,
         "sheet_scan": sheet_scan,
         "archive_scan": archive_scan,
         "archive_extract": archive_extract,
@@ -300,6 +340,8 @@ def queries() -> dict[str, Query]:
         "run_on_tables": run_on_tables,
         "existing_scan": existing_scan,
         "report_csv": report_csv,
+        "report_one_file": report_one_file,
+        "copies_by_size": copies_by_size,
         "audit_store": audit_store,
         "arrivals": arrivals,
         "reconcile_changes": reconcile_changes,
@@ -327,6 +369,10 @@ def oracle_sql(both: str) -> dict[str, str]:
     return {
         "folder_scan": files,
         "folder_scan_recursive": files,
+        "file_listing": f"""
+            with listed as ({files}), named as (select *, split_part(path, '/', -1) as name from listed)
+            select path, name, lower(regexp_extract(name, '.(\\.[^.]+)$', 1)) as suffix, size from named
+            where lower(regexp_extract(name, '.(\\.[^.]+)$', 1)) in ('.jpg', '.jpeg')""",
         "sheet_scan": f"""
             {both} select row_number * 2 as row_number, key_raw,
               case when row_number % 10 = 0 then '' else target_raw end as target_raw,
@@ -359,6 +405,14 @@ def oracle_sql(both: str) -> dict[str, str]:
             {both} select coalesce(cast(row_number as varchar), '') as row_number, key_raw, target_raw, name, status,
               source, destination, detail
             from audit""",
+        "report_one_file": f"""
+            {both} select coalesce(cast(row_number as varchar), '') as row_number, key_raw, target_raw, name, status,
+              source, destination, detail
+            from audit""",
+        "copies_by_size": """
+            select concat(doc_id, '.txt') as name, cast(strlen(text) as bigint) as size, sha256(text) as sha256,
+              'APPLIED' as status, '' as detail
+            from documents""",
         "audit_store": f"{both} select * from audit",
         "arrivals": f"{both} select * from audit",
         "reconcile_changes": both.replace(
