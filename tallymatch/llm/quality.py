@@ -5,14 +5,16 @@ few pieces over and over. Measured per document over its whole text, words one b
 word, the share of byte-fallback tokens, the entropy of the token distribution in bits. ``BANDS`` holds what is accepted for
 each language; a language that is not listed is judged by the script that most of its letters are in, and a text
 without letters by the widest band. A lower bound on the entropy allows for the length of a text, since n tokens have at most
-log2(n) bits; the upper bound on tokens allows ``SPARE_TOKENS`` for a few odd words in a short text, such as an address.
+log2(n) bits; the bounds on tokens allow ``SPARE_SHARE`` more for each word, ``SPARE_TOKENS`` at most, and ``SPARE_BYTES`` raw bytes, for a few odd
+words in a text, such as an address or a sign.
 
 Before that the base rules: fewer than ``LEAST_WORDS`` words, or more than ``MOST_REPEATED`` percent of the words in
 windows of ``WINDOW`` words that are found twice or more. Repeated windows are found by hash and compared word for word.
 
 One pass, no shuffle, nothing remembered but a bounded number of words. Null text: no words, so rejected. Null or unknown
 language: by script. Rows are judged one by one, repeated rows alike; an empty table gives an empty result; columns
-other than ``doc_id``, ``text`` and ``lang`` are not looked at (``lang`` may be missing).
+other than ``doc_id``, ``text`` and ``lang`` are not looked at (``lang`` may be missing). A very long text is judged whole, with some 100
+bytes for each of its own held at a time.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ LEAST_WORDS = 20
 MOST_REPEATED = 30
 WINDOW = 8
 SPARE_TOKENS = 60
+SPARE_SHARE = 0.5
+SPARE_BYTES = 8
 REMEMBERED = 400_000
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -156,12 +160,12 @@ def repeated_words(own: list[str], window: int = WINDOW) -> int:
 def judged(n_words: int, n_tokens: int, chars: int, n_bytes: int, entropy: float, band: Band) -> bool:
     if not n_tokens:
         return False
-    per_token = chars / n_tokens
+    per_token, spare = chars / n_tokens, min(SPARE_TOKENS, SPARE_SHARE * n_words)
     return (
-        band.least_chars * (n_tokens - SPARE_TOKENS) <= chars
+        band.least_chars * (n_tokens - spare) <= chars
         and per_token <= band.most_chars
-        and n_tokens <= band.most_tokens * n_words + SPARE_TOKENS
-        and n_bytes <= band.most_bytes * n_tokens + SPARE_TOKENS
+        and n_tokens <= band.most_tokens * n_words + spare
+        and n_bytes <= band.most_bytes * n_tokens + SPARE_BYTES
         and entropy >= band.least_entropy * min(np.log2(n_tokens), 10)
     )
 

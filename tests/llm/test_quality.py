@@ -1,6 +1,7 @@
 """Against plain counting, and what is rejected and kept."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -83,6 +84,36 @@ def test_planted(documents):
     assert {r.doc_id for r in found if r.kept} == {0, 1}
 
 
+def plain_verdict(found, text):
+    """The verdict from its definition, on the measures that ``same`` has checked."""
+    if found["base_failed"] or not found["n_tokens"]:
+        return False
+    band, spare = quality.BANDS[found["band"]], min(60, 0.5 * found["n_words"])
+    chars, n = found["word_chars"], found["n_tokens"]
+    bytes_ = sum(brute.model.is_byte(i) for word in re.findall(r"[^\x20\x09-\x0D]+", text or "") for i in brute.model.encode(word))
+    few = n - spare <= chars / band.least_chars and n - spare <= band.most_tokens * found["n_words"]
+    return few and chars <= band.most_chars * n and bytes_ <= band.most_bytes * n + 8 and found["entropy"] >= band.least_entropy * min(math.log2(n), 10)
+
+
+def test_verdicts(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
+    for row in quality.op2_quality_rules(spark, "/root/testdata/sf0.001").collect():
+        assert row.kept == plain_verdict(row, docs[row.doc_id])
+
+
+def test_short_junk(documents):
+    """Junk of 20 to 40 words is rejected, prose of that length with an address and a few signs is kept."""
+    rng = random.Random(2)
+    junk = [" ".join(f"{rng.randrange(16**6):06x}" for _ in range(n)) for n in (20, 30, 40)]
+    junk += [" ".join([chr(0x1F300 + k) for k in range(n)] + ["the", "cat", "sat", "on", "a", "mat"]) for n in (14, 20, 30)]
+    junk += [" ".join(rng.choice(["$#", "%&*", "|<>", "@@@!"]) * 3 for _ in range(n)) for n in (20, 40)]
+    prose = "It was a bright cold day in April and the clocks were striking thirteen while he walked slowly home again"
+    fine = [f"{prose} and wrote to j.smith@example.org", f"{prose} 😀", f"See https://example.org/a/b?c=1 where {prose}", f"{prose}, Größe 12 m²"]
+    texts = junk + fine
+    found = quality.measure(documents(texts).withColumn("lang", F.lit("en")), MODEL).collect()
+    assert {r.doc_id for r in found if r.kept} == set(range(len(junk), len(texts)))
+
+
 def test_empty_and_clashing_columns(documents):
     docs = documents([(None, "a b"), (1, None)])
     assert quality.measure(docs.limit(0), MODEL).count() == 0
