@@ -3,37 +3,51 @@
 The text of a document is its words, lower-cased (A to Z), joined by one blank and closed by an end; the symbols of the model
 are the bytes of that. A context is a run of up to ``DEPTH`` bytes; before its first byte every text has ends.
 
-*Training* (documents that are not held out). Each task sorts its runs of ``DEPTH + 1`` bytes and sends a count for each
-different one; Spark sums them, and shorter contexts are sums of longer ones. Every context that occurs ``LEAST`` times is a
-candidate, whatever the size of the corpus. A candidate is retained if its next-symbol distribution differs from that of
-the context without the oldest byte: the divergence, times its count, has to pay for the parameters it adds (half the
-logarithm of the count for each symbol that follows it). Contexts that a retained one ends with are retained too.
-Distributions are smoothed with those of the next shorter context, weighted by the number of different symbols that follow
-(Witten-Bell), down to equal shares for all 256 bytes. All of this is shuffled joins, one length after the other: the
-symbols of a context, and the contexts that end alike, are 256 at most, so no key is heavy.
-
-*Scoring.* What a symbol costs depends on the run of ``DEPTH + 1`` bytes that it ends, so the longest retained context is looked
-up once for each different run of all documents, held-out ones included. Costs of the most frequent runs,
-``BROADCAST_RUNS`` at most, go to every task; the other runs of a document meet the table of costs in a shuffled join.
+*The tree* is learnt from the documents that are not held out. Every context that occurs ``LEAST`` times is a candidate, whatever
+the size of the corpus. Distributions of the next symbol are smoothed with those of the context without the oldest byte:
+``DISCOUNT`` is taken off every count, and what that frees, and ``WEIGHT`` more, goes to the shorter context; the bytes alone are
+smoothed with equal shares (Witten-Bell). Candidates of up to ``ROOTS`` bytes are kept. A longer one is retained if its
+distribution differs from that of the shorter one: the divergence, times its count, has to pay for the parameters it adds
+(half the logarithm of the count for each symbol that follows it) and for its name (the logarithm of the number of candidates
+that differ from it in the oldest byte alone). Contexts that a retained one ends with are retained too. A symbol is scored in the longest
+context that is retained.
+
+*How it runs.* A number for each symbol holds its context, newest byte first, and the symbol, so that in sorted order each node of
+the tree is a stretch, with all longer contexts that end alike inside it.
+
+1. Tasks read the texts once, in chunks of up to ``CHUNK`` symbols and ``DIFFERENT`` different numbers, and write each chunk's symbols and its different numbers with their
+   counts, sorted, as differences, compressed: one row for a chunk and one of ``SLOTS`` slots, by the newest three bytes. Words, and runs of
+   three bytes, are counted on the way; the latter are 2 ** 24 at most and make the top of the tree, which goes to every task.
+2. The rows of a slot meet in one task, which sums them and has whole subtrees then: counts, tests, smoothing and costs
+   of all its contexts are a few passes over sorted arrays. Numbers that only held-out documents have are in it with count 0.
+3. The costs of a slot meet the rows of the chunks that asked for them, each of which gets its costs in order.
+4. The costs of a chunk meet its symbols, and documents are summed up.
+
+So the shuffles carry differences of sorted numbers and costs, about 3 bytes for each different number of a chunk, and hot contexts are
+merged before they move. A slot's arrays are what a task holds; raise ``slots`` where a corpus has more different numbers than
+some 10 million for each.
 
 The base score needs the count of every word. Counts of the most frequent words, ``BROADCAST_WORDS`` at most, go to every
 task; the other words of a document meet the full table of counts in a shuffled join. No word of that kind can be frequent,
 so the join has no heavy key. Words are told apart by 64-bit hashes.
 
 Null text: empty, so just the end. Null id: held out, its text counts as none, so remainder 0. Rows are scored one by
-one, repeated rows alike. Without training documents all counts are 0 and the model gives equal shares. An empty table gives
-an empty result; columns other than ``doc_id`` and ``text`` are not looked at.
+one, repeated rows alike. A very long text is cut at white space into parts of a megabyte, which see the symbols before
+them, so memory does not depend on it (a longer word alone). Without training documents all counts are 0 and the model gives equal shares.
+Ties do not matter: all candidates that pass are kept. An empty table gives an empty result; columns other than ``doc_id`` and
+``text`` are not looked at.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymatch.llm import tables, words
@@ -41,18 +55,31 @@ from tallymatch.plans.staging import Stage
 
 DEPTH = 7
 LEAST = 2
+ROOTS = 3
+DISCOUNT = 0.8
+WEIGHT = 20.0
 BROADCAST_WORDS = 400_000
-BROADCAST_RUNS = 1_000_000
 ADDED = 0.1
-_HELD = 500_000
+CHUNK = 32 << 20
+DIFFERENT = 5 << 19
+BLOCK = 1 << 20
+PART_BYTES = words.PIECE_BYTES
+SLOTS = 1024
+_ROWS = 1 << 20
+_VALUES = 256
 
 END = 10
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 END_KEY = 0
+#: In place of a slot, for the other rows of a chunk.
+TEXTS, WORDS, SHORT = -1, -2, -3
 
-COUNTS = "kind int, key long, train long, whole long"
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, rare_runs array<long>"
+BYTE = np.uint64(8)
+ASKED = "chunk long, slot int, data binary, counts binary"
+ANSWERED = "chunk long, slot int, data binary"
+COSTS = "slot int, part int, data binary"
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>"
 
 
 def held_out(name: str = "doc_id") -> Column:
@@ -60,6 +87,28 @@ def held_out(name: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(name).cast("long").cast("string").cast("binary")) % 10, F.lit(0)) == 0
 
 
+def packed(*arrays: np.ndarray, level: int = 1) -> bytes:
+    """Arrays as one compressed value. Bytes of like weight stand together, which makes them shorter."""
+    planes = [np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in arrays]
+    whole = b"".join([np.array([len(x) for x in arrays], np.int64).tobytes(), *planes])
+    return len(whole).to_bytes(8, "little") + pa.Codec("zstd", compression_level=level).compress(whole, asbytes=True)
+
+
+def unpacked(data: bytes, *kinds: type) -> list[np.ndarray]:
+    size = int.from_bytes(data[:8], "little")
+    whole = np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True), np.uint8)
+    at, out = 8 * len(kinds), []
+    for n, kind in zip(whole[:at].view(np.int64).tolist(), map(np.dtype, kinds), strict=True):
+        planes = whole[at : at + n * kind.itemsize].reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
+        at += n * kind.itemsize
+    return out
+
+
+def steps(keys: np.ndarray) -> np.ndarray:
+    return np.diff(keys, prepend=np.uint64(0))
+
+
 def symbols(found: words.Words, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts, each after ``depth`` ends, and where each begins (its ends included)."""
     lengths = found.ends - found.starts + 1
@@ -96,47 +145,44 @@ def runs(stream: np.ndarray, begin: np.ndarray, depth: int) -> np.ndarray:
     return total[~padding]
 
 
-class Tally:
-    """Counts by key, summed up to a bounded number of keys."""
-
-    def __init__(self, kind: int):
-        self.kind, self.keys, self.counts = kind, [], []
-        self.held = 0
-
-    def add(self, keys: np.ndarray, train: np.ndarray, whole: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.keys.append(keys)
-        self.counts.append(np.stack([train, whole], 1))
-        self.held += len(keys)
-        if self.held > _HELD:
-            self._sum()
-            if self.held > _HELD // 2:
-                yield from self.rows()
-
-    def _sum(self) -> None:
-        keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
-        order = np.argsort(keys)
-        keys = keys[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        self.keys, self.counts = [keys[first]], [np.add.reduceat(counts[order], first, axis=0)]
-        self.held = len(first)
-
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        if not self.held:
-            return
-        self._sum()
-        (keys,), (counts,) = self.keys, self.counts
-        self.keys, self.counts, self.held = [], [], 0
-        for at in range(0, len(keys), 200_000):
-            part = slice(at, at + 200_000)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(keys[part]), self.kind, np.int32)),
-                    pa.array(keys[part].view(np.int64)),
-                    pa.array(counts[part, 0]),
-                    pa.array(counts[part, 1]),
-                ],
-                names=["kind", "key", "train", "whole"],
-            )
+def sortable(run: np.ndarray) -> np.ndarray:
+    """The same with the context in the upper seven bytes, newest first, and the symbol in the lowest."""
+    turned = run.byteswap()
+    return (turned << BYTE) | (turned >> np.uint64(56))
+
+
+def by_slot(keys: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the keys by slot, which goes by the newest three bytes of the context, and where each slot begins in it."""
+    slot = np.empty(len(keys), np.uint16)
+    for at in range(0, len(keys), _ROWS):
+        slot[at : at + _ROWS] = words.mixed(keys[at : at + _ROWS] >> np.uint64(40)) % np.uint64(slots)
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(slot, minlength=slots))])
+    return np.argsort(slot, kind="stable"), bounds
+
+
+def summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each key once, in order, with the sums of its counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return keys[first], *(np.add.reduceat(n[order], first) if len(first) else n for n in counts)
+
+
+def different(values: np.ndarray) -> np.ndarray:
+    """Each value once, in order."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])[: len(values)]]
+
+
+def joined(keys: np.ndarray, n: np.ndarray, more: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted lists of keys as one, the counts of those in both added up."""
+    at = np.searchsorted(keys, more)
+    both = np.zeros(len(more), bool)
+    both[at < len(keys)] = keys[at[at < len(keys)]] == more[at < len(keys)]
+    n = n.copy()
+    n[at[both]] += m[both]
+    at = at[~both]
+    return np.insert(keys, at, more[~both]), np.insert(n, at, m[~both])
 
 
 def word_keys(found: words.Words) -> np.ndarray:
@@ -148,49 +194,319 @@ def word_keys(found: words.Words) -> np.ndarray:
     return keys
 
 
-def counted(batches: Iterable[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    of_words, of_runs, own_runs, held = Tally(0), Tally(1), {True: [], False: []}, 0
-
-    def settle() -> Iterator[pa.RecordBatch]:
-        for in_train, found in own_runs.items():
-            if found:
-                keys, n = np.unique(np.concatenate(found), return_counts=True)
-                yield from of_runs.add(keys, n * in_train, n)
-                found.clear()
-
-    for part, data, offsets in words.pieces(batches, "text"):
-        found = words.Words(data, offsets)
-        train = ~part.column(part.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False)
-        keys, place, n = np.unique(word_keys(found), return_inverse=True, return_counts=True)
-        in_train = np.bincount(place, np.repeat(train, found.counts), len(keys)).astype(np.int64)
-        yield from of_words.add(keys, in_train, n)
-        yield from of_words.add(np.array([END_KEY], np.uint64), np.array([train.sum()]), np.array([part.num_rows]))
-        stream, begin = symbols(found, depth)
-        keys, of_train = runs(stream, begin, depth), np.repeat(train, np.diff(begin) - depth)
-        own_runs[True].append(keys[of_train])
-        own_runs[False].append(keys[~of_train])
-        held += len(keys)
-        if held > _HELD:
-            yield from settle()
-            held = 0
-    if held:
-        yield from settle()
-    yield from of_words.rows()
-    yield from of_runs.rows()
+def _of(part: pa.RecordBatch, name: str) -> pa.Array:
+    return part.column(part.schema.get_field_index(name))
+
+
+def cuts(data: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Parts of a long text, each of about ``most`` bytes, that begin with a word (a longer word alone); the last ends with one."""
+    white = words.WHITE[data]
+    if white.all():
+        return [(0, 0)]
+    end, at, out = len(data) - int(np.argmin(white[::-1])), 0, []
+    while at < end:
+        at += int(np.argmin(white[at:end]))
+        stop = min(at + most, end)
+        if stop < end and not white[stop]:
+            before, after = white[at:stop][::-1], white[stop:end]
+            if before.any():
+                stop -= int(np.argmax(before)) + 1
+            else:
+                stop = stop + int(np.argmax(after)) if after.any() else end
+        out.append((at, stop))
+        at = stop
+    return out
+
+
+class Chunk:
+    """The symbols of texts, or of parts of long ones, and their different numbers so far."""
+
+    def __init__(self, depth: int, slots: int, most: int):
+        self.depth, self.slots, self.most, self.block = depth, slots, most, min(BLOCK, most)
+        self.streams, self.lengths, self.rows, self.size = [], [], [], 0
+        self.words = []
+        self.open, self.waiting = {True: [], False: []}, 0
+        self.keys, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+
+    def add(self, row: np.ndarray, given: list, held: np.ndarray, found: words.Words, before: np.ndarray | None = None, last: bool = True):
+        """``before``: the symbols in front of a part; ``last``: whether the text ends with it. Gives back its last symbols."""
+        stream, begin = symbols(found, self.depth)
+        if before is not None:
+            stream[: self.depth] = before
+        if not last:
+            stream[-1] = 32
+        self.streams.append(stream)
+        self.lengths.append(np.diff(begin))
+        known = np.array([i is not None for i in given])
+        ids = np.array([0 if i is None else i for i in given], np.int64)
+        ends = np.full(len(row), last)
+        self.rows.append((row, ids, known, held, np.full(len(row), before is None), ends))
+        self.size += len(stream)
+
+        keys = np.concatenate([word_keys(found), np.full(int(ends.sum()), END_KEY, np.uint64)])
+        train = np.concatenate([np.repeat(~held, found.counts), ~held[ends]])
+        keys, place, n = np.unique(keys, return_inverse=True, return_counts=True)
+        self.words.append((keys, n, np.bincount(place, train, len(keys)).astype(np.int64)))
+
+        keys, train = sortable(runs(stream, begin, self.depth)), np.repeat(~held, np.diff(begin) - self.depth)
+        self.open[True].append(keys[train])
+        self.open[False].append(keys[~train])
+        self.waiting += len(keys)
+        if self.waiting >= self.block:
+            self.settle()
+        return stream[-self.depth :]
+
+    def settle(self) -> None:
+        learnt, n = np.unique(np.concatenate(self.open[True]), return_counts=True)
+        self.keys, self.n = joined(self.keys, self.n, learnt, n.astype(np.int32))
+        other = different(np.concatenate(self.open[False]))
+        self.keys, self.n = joined(self.keys, self.n, other, np.zeros(len(other), np.int32))
+        self.open, self.waiting = {True: [], False: []}, 0
+
+    @property
+    def full(self) -> bool:
+        return self.size >= self.most or len(self.keys) >= DIFFERENT
+
+    def rows_of(self, chunk: int) -> Iterator[pa.RecordBatch]:
+        def table(slots: list[int], data: list[bytes], counts: list[bytes | None]) -> pa.RecordBatch:
+            columns = [pa.array(np.full(len(slots), chunk)), pa.array(slots, pa.int32()), pa.array(data, pa.binary()), pa.array(counts, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["chunk", "slot", "data", "counts"])
+
+        if self.waiting:
+            self.settle()
+        stream, length = np.concatenate(self.streams), np.concatenate(self.lengths)
+        texts = packed(stream, length, *(np.concatenate(x) for x in zip(*self.rows, strict=True)), level=7)
+        keys, n = self.keys, self.n
+        short, of_short = [], []
+        for at in range(0, len(keys), _ROWS):
+            own = keys[at : at + _ROWS]
+            code, m = summed(((own >> np.uint64(48)) << BYTE) | (own & np.uint64(255)), n[at : at + _ROWS].astype(np.int64))
+            short.append(code)
+            of_short.append(m)
+        short, of_short = summed(np.concatenate(short), np.concatenate(of_short))
+        word, whole, in_train = summed(*(np.concatenate(x) for x in zip(*self.words, strict=True)))
+        yield table([TEXTS, WORDS, SHORT], [texts, packed(steps(word), in_train.astype(np.int32), whole.astype(np.int32)), packed(short, of_short)], [None] * 3)
+        del texts, stream, length, word, whole, in_train
+        self.streams, self.words = [], []
+        order, bounds = by_slot(keys, self.slots)
+        full = np.flatnonzero(np.diff(bounds))
+        for some in np.array_split(full, max(1, len(full) // 128)):
+            parts = [order[bounds[k] : bounds[k + 1]] for k in some]
+            yield table(some.tolist(), [packed(steps(keys[part])) for part in parts], [packed(n[part]) for part in parts])
+
+
+def asked(batches: Iterable[pa.RecordBatch], depth: int, slots: int, most: int, part_bytes: int) -> Iterator[pa.RecordBatch]:
+    """For each chunk its texts, the counts of its words and short runs, and its numbers by slot."""
+    number = TaskContext.get().partitionId() << 40
+    row, own = number, Chunk(depth, slots, most)
+    for part, data, offsets in words.pieces(batches, "text", part_bytes):
+        n = part.num_rows
+        rows, given = row + np.arange(n), _of(part, "doc_id").to_pylist()
+        held = _of(part, "held_out").to_numpy(zero_copy_only=False)
+        row += n
+        long = n == 1 and len(data) > part_bytes
+        parts = cuts(data, part_bytes) if long else [(0, len(data))]
+        before = None
+        for k, (start, stop) in enumerate(parts):
+            bounds = np.array([0, stop - start]) if long else offsets
+            found = words.Words(data[start:stop], bounds)
+            before = own.add(rows, given, held, found, before, k == len(parts) - 1)
+            if own.full:
+                yield from own.rows_of(number)
+                number, own = number + 1, Chunk(depth, slots, most)
+    if own.size:
+        yield from own.rows_of(number)
+
+
+def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words."""
+    for batch in batches:
+        for data in _of(batch, "data").to_pylist():
+            gaps, train, whole = unpacked(data, np.uint64, np.int32, np.int32)
+            columns = [np.cumsum(gaps, dtype=np.uint64).view(np.int64), train.astype(np.int64), whole.astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(column) for column in columns], names=["key", "train", "whole"])
+
+
+def counted_short(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of runs of three bytes, summed in the task."""
+    keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for batch in batches:
+        for data in _of(batch, "data").to_pylist():
+            own, more = unpacked(data, np.uint64, np.int64)
+            keys, n = summed(np.concatenate([keys, own]), np.concatenate([n, more]))
+    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+
+class Level:
+    """The runs of one length: ``code`` (the context, newest byte first, and the symbol), their counts, and of each context
+    the place, count and number of different symbols."""
+
+    def __init__(self, code: np.ndarray, n: np.ndarray):
+        self.code, self.n = code, n
+        context = code >> BYTE
+        self.first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])[: len(code)])
+        self.context = np.repeat(np.arange(len(self.first)), np.diff(np.append(self.first, len(code))))
+        self.total = np.bincount(self.context, n, len(self.first))
+        self.different = np.bincount(self.context, n > 0, len(self.first))
+
+    def shorter(self) -> tuple[Level, np.ndarray]:
+        """The runs without their oldest byte, and where each of ours is among them."""
+        code = ((self.code >> np.uint64(16)) << BYTE) | (self.code & np.uint64(255))
+        found, place = np.unique(code, return_inverse=True)
+        return Level(found, np.bincount(place, self.n, len(found))), place
+
+    def smoothed(self, lower: np.ndarray) -> np.ndarray:
+        total, different = self.total[self.context], self.different[self.context]
+        kept = np.maximum(self.n - DISCOUNT, 0) + (WEIGHT + DISCOUNT * different) * lower
+        return np.where(total > 0, kept / (total + WEIGHT), lower)
+
+    def gain(self, lower: np.ndarray) -> np.ndarray:
+        """The divergence of each context from the shorter one, times its count, less what its parameters cost."""
+        seen = self.n > 0
+        part = np.zeros(len(self.n))
+        part[seen] = self.n[seen] * np.log(self.n[seen] / self.total[self.context][seen] / lower[seen])
+        return np.bincount(self.context, part, len(self.first)) - 0.5 * self.different * np.log(np.maximum(self.total, 1))
 
 
 class Model:
-    """``cost``: the log10 probabilities of the symbols that were seen, and of any other, before any context; ``costs``: a
-    table of key and cost, the log10 probability of the last symbol of each run of the documents."""
-
-    def __init__(self, n: np.ndarray):
-        """``n``: the counts of the bytes."""
-        total, different = n.sum(), np.count_nonzero(n)
-        self.first = (n + different / 256) / (total + different) if total else np.full(256, 1 / 256)
-        other = different / 256 / (total + different) if total else 1 / 256
-        self.cost = np.log10(np.append(self.first[n > 0], other))
-        self.width = len(self.cost)
-        self.costs: DataFrame | None = None
+    """The top of the tree: contexts of up to two bytes. ``codes`` are the runs of three bytes that occur, in order, ``best`` the
+    probability of the last byte of each.
+
+    ``cost``: log10 probabilities of the bytes that were seen, and of any other, in rows of ``width``: before any context, then after
+    each byte that is a candidate.
+    """
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray, least: int):
+        self.codes, self.least = codes, least
+        two = Level(codes, n)
+        one, to_one = two.shorter()
+        none, to_none = one.shorter()
+        counts = np.zeros(256)
+        counts[none.code.astype(np.int64)] = none.n
+        total, different = counts.sum(), np.count_nonzero(counts)
+        self.first = (counts + different / 256) / (total + different) if total else np.full(256, 1 / 256)
+        lower = self.first[none.code.astype(np.int64)][to_none]
+        p_one = one.smoothed(lower)
+        best = np.where((one.total >= least)[one.context], p_one, lower)
+        self.best = np.where((two.total >= least)[two.context], two.smoothed(best[to_one]), best[to_one])
+
+        seen = np.flatnonzero(counts)
+        unseen = self.first[counts == 0][0] if len(seen) < 256 else 0.0
+        rows = [np.append(self.first[seen], unseen)]
+        column = np.full(256, len(seen))
+        column[seen] = np.arange(len(seen))
+        for k in np.flatnonzero(one.total >= least):
+            own = one.context == k
+            row = (WEIGHT + DISCOUNT * one.different[k]) * rows[0] / (one.total[k] + WEIGHT)
+            at = column[(one.code[own] & np.uint64(255)).astype(np.int64)]
+            row[at[at < len(seen)]] = p_one[own][at < len(seen)]
+            rows.append(row)
+        with np.errstate(divide="ignore"):
+            self.cost = np.log10(np.concatenate(rows))
+        self.width = len(seen) + 1
+
+
+def train(asked_rows: DataFrame, least_share: float) -> Model:
+    """The top of the tree from the counts of short runs, of which there are 2 ** 24 at most."""
+    rows = asked_rows.filter(F.col("slot") == SHORT).select("data").mapInArrow(counted_short, "key long, n long")
+    found = rows.groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    codes, n = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy().astype(np.int64)
+    order = np.argsort(codes)
+    return Model(codes[order], n[order], max(LEAST, math.ceil(int(n.sum()) * least_share)))
+
+
+def costs(keys: np.ndarray, n: np.ndarray, depth: int, model: Model) -> np.ndarray:
+    """What each number's symbol costs, less log10 of its probability, for all numbers of whole subtrees below ``ROOTS`` bytes."""
+    context = keys >> np.uint64(8 * (8 - depth))
+    level = Level((context << BYTE) | (keys & np.uint64(255)), n)
+    levels, places = [level], []
+    for _ in range(depth - ROOTS):
+        level, place = level.shorter()
+        levels.append(level)
+        places.append(place)
+    levels.reverse()
+    places.reverse()
+
+    above = ((levels[0].code >> np.uint64(16)) << BYTE) | (levels[0].code & np.uint64(255))
+    lower = model.best[np.searchsorted(model.codes, above)]
+    smooth, best = [levels[0].smoothed(lower)], lower
+    kept = [levels[0].total >= model.least]
+    parents = [np.zeros(0, np.int64)]
+    for level, shorter, place in zip(levels[1:], levels[:-1], places, strict=True):
+        lower = smooth[-1][place]
+        candidate = level.total >= model.least
+        parent = shorter.context[place][level.first]
+        alike = np.bincount(parent[candidate], minlength=len(shorter.first))[parent]
+        kept.append(candidate & (level.gain(lower) > np.log(np.maximum(alike, 1))))
+        parents.append(parent)
+        smooth.append(level.smoothed(lower))
+    # What a retained context ends with is retained.
+    for k in range(len(levels) - 1, 0, -1):
+        kept[k - 1][parents[k][kept[k]]] = True
+    for k, level in enumerate(levels):
+        best = np.where(kept[k][level.context], smooth[k], best if k == 0 else best[places[k - 1]])
+    # Three bits less than the kind holds, a relative error below 3e-7: these would not compress.
+    exact = (-np.log10(best)).astype(np.float32).view(np.uint32)
+    return ((exact + np.uint32(4)) & ~np.uint32(7)).view(np.float32)
+
+
+def by_key(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple[int, Iterator[list]]]:
+    """Rows in order of the first column, those of each of its values together, one row at a time."""
+
+    def rows() -> Iterator[list]:
+        for batch in batches:
+            columns = [_of(batch, name) for name in names]
+            for k in range(batch.num_rows):
+                yield [column[k].as_py() for column in columns]
+
+    return groupby(rows(), lambda row: row[0])
+
+
+def learnt(batches: Iterable[pa.RecordBatch], depth: int, sent) -> Iterator[pa.RecordBatch]:
+    """The numbers of each slot and their costs, in parts of ``_ROWS``."""
+    for slot, rows in by_key(batches, "slot", "data", "counts"):
+        keys, n, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+        for _, data, counts in rows:
+            (gaps,), (more,) = unpacked(data, np.uint64), unpacked(counts, np.int32)
+            held.append((np.cumsum(gaps, dtype=np.uint64), more))
+            size += len(gaps)
+            if size > max(_ROWS, len(keys)):
+                keys, n = _merged(keys, n, held)
+                held, size = [], 0
+        keys, n = _merged(keys, n, held)
+        cost = costs(keys, n, depth, sent.value)
+        for part, at in enumerate(range(0, len(keys), _ROWS)):
+            own = slice(at, at + _ROWS)
+            # Symbols scored in the same short context cost the same, so there are fewer costs than numbers.
+            values, place = np.unique(cost[own], return_inverse=True)
+            data = packed(steps(keys[own]), values, place.astype(np.int32))
+            columns = [pa.array([slot], pa.int32()), pa.array([part], pa.int32()), pa.array([data], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["slot", "part", "data"])
+
+
+def _merged(keys: np.ndarray, n: np.ndarray, more: list) -> tuple[np.ndarray, np.ndarray]:
+    if not more:
+        return keys, n
+    return summed(np.concatenate([keys, *(k for k, _ in more)]), np.concatenate([n, *(m.astype(np.int64) for _, m in more)]))
+
+
+def answered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The costs for each row of a chunk and slot. The costs of the slot come first: their chunk is null."""
+    for slot, rows in by_key(batches, "slot", "chunk", "data"):
+        keys, cost = [], []
+        for _, chunk, data in rows:
+            if chunk is None:
+                gaps, values, place = unpacked(data, np.uint64, np.float32, np.int32)
+                keys.append(np.cumsum(gaps, dtype=np.uint64))
+                cost.append(values[place])
+                continue
+            if len(keys) > 1:
+                keys, cost = [np.concatenate(keys)], [np.concatenate(cost)]
+            (gaps,) = unpacked(data, np.uint64)
+            values, place = np.unique(cost[0][np.searchsorted(keys[0], np.cumsum(gaps, dtype=np.uint64))], return_inverse=True)
+            own = packed(values, place.astype(np.int32))
+            columns = [pa.array([chunk]), pa.array([slot], pa.int32()), pa.array([own], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "slot", "data"])
 
 
 def matched(own: np.ndarray, text: np.ndarray, keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
@@ -203,106 +519,66 @@ def matched(own: np.ndarray, text: np.ndarray, keys: np.ndarray, n: int) -> tupl
     return hit, at[hit], pa.ListArray.from_arrays(pa.array(reach.astype(np.int32)), pa.array(own[~hit][order].view(np.int64)))
 
 
-def scored(batches: Iterable[pa.RecordBatch], depth: int, frequent, frequent_runs) -> Iterator[pa.RecordBatch]:
-    (keys, logs, known), (run_keys, costs) = frequent.value, frequent_runs.value
-    row = TaskContext.get().partitionId() << 40
-    for part, data, offsets in words.pieces(batches, "text"):
-        found, n = words.Words(data, offsets), part.num_rows
-        own = np.concatenate([word_keys(found), np.full(n, END_KEY, np.uint64)])
-        text = np.concatenate([found.text_of_word(), np.arange(n)])
-        hit, at, rare = matched(own, text, keys, n)
-        base = np.bincount(text[hit], logs[at], n)
-        n_known = np.bincount(text[hit], known[at], n).astype(np.int64)
-        stream, begin = symbols(found, depth)
-        own, text = runs(stream, begin, depth), np.repeat(np.arange(n), np.diff(begin) - depth)
-        order = np.argsort(own)
-        own, text = own[order], text[order]
-        hit, at, rare_runs = matched(own, text, run_keys, n)
-        column = {name: part.column(k) for k, name in enumerate(part.schema.names)}
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(row + np.arange(n)),
-                column["doc_id"],
-                column["held_out"],
-                pa.array(found.counts.astype(np.int64) + 1),
-                pa.array(n_known),
-                pa.array(base),
-                pa.array(np.bincount(text[hit], costs[at], n)),
-                rare,
-                rare_runs,
-            ],
-            names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "rare_runs"],
-        )
-        row += n
+def blocks(length: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of texts of about ``most`` symbols together."""
+    reach, at = np.concatenate([[0], np.cumsum(length)]), 0
+    while at < len(length):
+        to = max(at + 1, int(np.searchsorted(reach, reach[at] + most, "right")) - 1)
+        yield at, to
+        at = to
 
 
-def _arrays(table: DataFrame) -> dict[str, np.ndarray]:
-    return {name: column.to_numpy() for name, column in zip(table.columns, table.toArrow().columns, strict=True)}
+def _numbers(stream: np.ndarray, begin: np.ndarray, i: int, j: int, depth: int) -> np.ndarray:
+    """Of the symbols of some texts."""
+    return sortable(runs(stream[begin[i] : begin[j]], begin[i : j + 1] - begin[i], depth))
 
 
-def train(counts: DataFrame, depth: int, least_share: float, stage: Stage) -> Model:
-    """``counts``: key and train of all runs of ``depth + 1`` bytes, those that are in held-out documents alone included."""
-    level = counts.select(
-        F.shiftrightunsigned("key", 8).alias("context"), F.col("key").bitwiseAND(F.lit(255)).alias("symbol"), F.col("train").alias("n")
-    )
-
-    def ending(k: int) -> Column:
-        """The last ``k`` bytes of a context."""
-        return F.col("context").bitwiseAND(F.lit((1 << (8 * k)) - 1))
-
-    levels = [level]
-    for k in range(depth - 1, -1, -1):
-        level = stage.save(level.groupBy(ending(k).alias("context"), "symbol").agg(F.sum("n").alias("n")), f"level{k}")
-        levels.insert(0, level)
-    seen = _arrays(levels[0])
-    n = np.bincount(seen["symbol"], seen["n"], 256).astype(np.int64)
-    model = Model(n)
-    least = max(LEAST, math.ceil(int(n.sum()) * least_share))
-
-    share = F.element_at(F.array(*(F.lit(float(p)) for p in model.first)), (F.col("symbol") + 1).cast("int"))
-    first = levels[0].select("context", "symbol", share.alias("p"))
-    smooth, passed = [first], [None]
-    own = Window.partitionBy("context")
-    for k in range(1, depth + 1):
-        total, different = F.sum("n").over(own), F.count_if(F.col("n") > 0).over(own)
-        candidates = levels[k].withColumns({"total": total, "different": different}).filter(F.col("total") >= least)
-        above = smooth[-1].select(F.col("context").alias("end"), "symbol", F.col("p").alias("lower"))
-        rows = candidates.withColumn("end", ending(k - 1)).join(above, ["end", "symbol"])
-        p = (F.col("n") + F.col("different") * F.col("lower")) / (F.col("total") + F.col("different"))
-        part = F.when(F.col("n") > 0, F.col("n") * F.log(F.col("n") / F.col("total") / F.col("lower"))).otherwise(0.0)
-        rows = stage.save(rows.select("context", "symbol", "total", "different", p.alias("p"), part.alias("part")), f"smooth{k}")
-        gain = F.sum("part") - 0.5 * F.first("different") * F.log(F.first("total"))
-        passed.append(rows.groupBy("context").agg(gain.alias("gain")).filter("gain > 0").select("context"))
-        smooth.append(rows.select("context", "symbol", "p"))
-
-    # What a retained context ends with is retained.
-    retained, kept = None, [None] * (depth + 1)
-    for k in range(depth, 0, -1):
-        ends = passed[k] if retained is None else passed[k].union(retained.select(ending(k).alias("context"))).distinct()
-        retained = stage.save(ends, f"retained{k}")
-        kept[k] = smooth[k].join(retained, "context", "left_semi")
-
-    cost = first.withColumnRenamed("p", "best")
-    for k in range(1, depth + 1):
-        above = cost.select(F.col("context").alias("end"), "symbol", F.col("best").alias("lower"))
-        rows = levels[k].select("context", "symbol", ending(k - 1).alias("end")).join(above, ["end", "symbol"])
-        rows = rows.join(kept[k], ["context", "symbol"], "left")
-        cost = stage.save(rows.select("context", "symbol", F.coalesce("p", "lower").alias("best")), f"cost{k}")
-    model.costs = cost.select(F.shiftleft("context", 8).bitwiseOR(F.col("symbol")).alias("key"), F.log10("best").alias("cost"))
-    return model
-
-
-def most_frequent(counted_words: DataFrame, most: int = BROADCAST_WORDS) -> int:
-    """The least count, a power of a root of 2, that at most ``most`` words reach."""
-    step = F.floor(F.log2("whole") * 8).cast("int")
-    sizes = counted_words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect()
-    total, least = 0, 1
-    for row in sizes:
-        total += row.n
-        if total > most:
-            return least
-        least = math.ceil(2 ** (row.step / 8))
-    return 1
+def scored(batches: Iterable[pa.RecordBatch], depth: int, slots: int, frequent) -> Iterator[pa.RecordBatch]:
+    """The texts of a chunk, and parts of texts, from its symbols and their costs."""
+    word, logs, known_word = frequent.value
+    for _, rows in by_key(batches, "chunk", "slot", "data"):
+        _, _, texts = next(rows)
+        stream, length, row, ids, known, held, first, last = unpacked(
+            texts, np.uint8, np.int64, np.int64, np.int64, bool, bool, bool, bool
+        )
+        cost = np.concatenate([values[place] for values, place in (unpacked(data, np.float32, np.int32) for _, _, data in rows)])
+        begin = np.concatenate([[0], np.cumsum(length)])
+        # Each block is sorted once; its different numbers make up those of the chunk, in the order of which the costs came.
+        sorted_blocks, keys = [], np.zeros(0, np.uint64)
+        for i, j in blocks(length, BLOCK):
+            own = _numbers(stream, begin, i, j, depth)
+            order = np.argsort(own).astype(np.uint32)
+            own = own[order]
+            at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])[: len(own)])
+            sorted_blocks.append((i, j, order, own[at], np.diff(np.append(at, len(own))).astype(np.uint32)))
+            keys, _ = joined(keys, np.zeros(len(keys), np.int8), own[at], np.zeros(len(at), np.int8))
+        in_order = np.empty(len(keys), np.float32)
+        in_order[by_slot(keys, slots)[0]] = cost
+        for i, j, order, own, times in sorted_blocks:
+            m, span = j - i, length[i:j]
+            each = np.empty(len(order))
+            each[order] = np.repeat(in_order[np.searchsorted(keys, own)], times)
+            score = np.bincount(np.repeat(np.arange(m), span - depth), -each, m)
+            # The symbols before a part belong to another one.
+            symbols_of, begins = stream[begin[i] : begin[j]].copy(), begin[i : j + 1] - begin[i]
+            for at in begins[:-1][~first[i:j]]:
+                symbols_of[at : at + depth] = END
+            found = words.Words(symbols_of, begins)
+            ends = np.flatnonzero(last[i:j])
+            own = np.concatenate([word_keys(found), np.full(len(ends), END_KEY, np.uint64)])
+            text = np.concatenate([found.text_of_word(), ends])
+            hit, at, rare = matched(own, text, word, m)
+            columns = [
+                pa.array(row[i:j]),
+                pa.array(ids[i:j], mask=~known[i:j]),
+                pa.array(held[i:j]),
+                pa.array(found.counts.astype(np.int64) + last[i:j]),
+                pa.array(np.bincount(text[hit], known_word[at], m).astype(np.int64)),
+                pa.array(np.bincount(text[hit], logs[at], m)),
+                pa.array(score),
+                rare,
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[field.split()[0] for field in SCORED.split(", ")])
 
 
 def score(
@@ -311,59 +587,63 @@ def score(
     depth: int = DEPTH,
     least_share: float = 0.0,
     most: int = BROADCAST_WORDS,
-    most_runs: int = BROADCAST_RUNS,
+    slots: int = SLOTS,
+    chunk: int = CHUNK,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; a row for each row of ``docs``."""
-    if not 0 < depth < 8:
-        raise ValueError("a context has 1 to 7 bytes")
+    if not ROOTS <= depth < 8 or not 0 < slots <= 1 << 16:
+        raise ValueError("a context has 3 to 7 bytes, and there are 65,536 slots at most")
     spark = docs.sparkSession
     stage = stage or Stage(spark)
     docs = tables.only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"))
+    rows = stage.save(docs.mapInArrow(lambda batches: asked(batches, depth, slots, chunk, part_bytes), ASKED), "asked")
+    of_slots = rows.filter(F.col("slot") >= 0)
 
-    rows = docs.select("held_out", "text").mapInArrow(lambda batches: counted(batches, depth), COUNTS)
-    summed = rows.groupBy("kind", "key").agg(F.sum("train").alias("train"), F.sum("whole").alias("whole"))
-    counts = stage.save(summed, "counts")
-    own = counts.filter("kind = 0").select("key", "train", "whole")
-    of_runs = counts.filter("kind = 1").select("key", "train", "whole")
-    model = train(of_runs.select("key", "train"), depth, least_share, stage)
+    model = train(rows, least_share)
+    top = spark.sparkContext.broadcast(model)
+    of_slot = of_slots.select("slot", "data", "counts").repartition("slot").sortWithinPartitions("slot")
+    with tables.small_batches(spark, _VALUES):
+        made = stage.save(of_slot.mapInArrow(lambda batches: learnt(batches, depth, top), COSTS), "costs")
 
+    own = rows.filter(F.col("slot") == WORDS).select("data").mapInArrow(counted, "key long, train long, whole long")
+    own = stage.save(own.groupBy("key").agg(F.sum("train").alias("train"), F.sum("whole").alias("whole")), "words")
     tokens, distinct = own.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count_if(F.col("train") > 0)).first()
     below = math.log10(tokens + ADDED * (distinct + 1))
-    least = most_frequent(own, most)
-    frequent = _arrays(own.filter((F.col("whole") >= least) | (F.col("key") == END_KEY)))
-    keys = frequent["key"].view(np.uint64)
+    least = tables.least_of_most(own, "whole", most)
+    frequent = own.filter((F.col("whole") >= least) | (F.col("key") == END_KEY)).toArrow()
+    keys, known = frequent.column("key").to_numpy().view(np.uint64), frequent.column("train").to_numpy()
     order = np.argsort(keys)
-    known = frequent["train"][order]
-    sent = spark.sparkContext.broadcast((keys[order], np.log10(known + ADDED) - below, (known > 0).astype(np.float64)))
-    # Sent are (kind, key), 1 for runs; each has one value.
-    least_run = most_frequent(of_runs, most_runs)
-    costs = stage.save(of_runs.select("key", "whole").join(model.costs, "key"), "costs")
-    top = _arrays(costs.filter(F.col("whole") >= least_run).select("key", "cost"))
-    run_keys = top["key"].view(np.uint64)
-    order = np.argsort(run_keys)
-    sent_runs = spark.sparkContext.broadcast((run_keys[order], top["cost"][order]))
-
-    found = stage.save(docs.mapInArrow(lambda batches: scored(batches, depth, sent, sent_runs), SCORED), "scored")
-    rare = found.select("row", F.lit(0).alias("kind"), F.explode("rare").alias("key"))
-    rare = rare.union(found.select("row", F.lit(1).alias("kind"), F.explode("rare_runs").alias("key")))
+    sent = spark.sparkContext.broadcast((keys[order], np.log10(known[order] + ADDED) - below, (known[order] > 0).astype(float)))
+
+    # Costs stand before the rows that ask for them, texts before the costs of their chunk.
+    none = F.lit(None).cast("long").alias("chunk")
+    meeting = made.select("slot", none, "part", "data").unionByName(of_slots.select("slot", "chunk", F.lit(0).alias("part"), "data"))
+    meeting = meeting.repartition("slot").sortWithinPartitions("slot", F.col("chunk").asc_nulls_first(), "part")
+    answers = meeting.select("slot", "chunk", "data").mapInArrow(answered, ANSWERED)
+    texts = rows.filter(F.col("slot") == TEXTS).select("chunk", "slot", "data")
+    meeting = texts.unionByName(answers).repartition("chunk").sortWithinPartitions("chunk", "slot")
+    with tables.small_batches(spark, _VALUES):
+        found = stage.save(meeting.mapInArrow(lambda batches: scored(batches, depth, slots, sent), SCORED), "scored")
+
+    whole = found.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.first("held_out").alias("held_out"),
+        *(F.sum(name).alias(name) for name in ("n_tokens", "n_known", "base", "score")),
+    )
     log = F.log10(F.col("train") + ADDED) - F.lit(below)
-    others = own.filter((F.col("whole") < least) & (F.col("train") > 0)).select(F.lit(0).alias("kind"), "key", log.alias("value"))
-    others = others.union(costs.filter(F.col("whole") < least_run).select(F.lit(1).alias("kind"), "key", F.col("cost").alias("value")))
-    met = rare.join(others, ["kind", "key"], "left")
-    of_word = F.col("kind") == 0
-    added = met.groupBy("row").agg(
-        F.sum(F.when(of_word, F.coalesce("value", F.lit(math.log10(ADDED) - below)))).alias("more"),
-        F.count_if(of_word & F.col("value").isNotNull()).alias("more_known"),
-        F.sum(F.when(~of_word, F.col("value"))).alias("more_score"),
+    others = own.filter((F.col("whole") < least) & (F.col("train") > 0)).select("key", log.alias("value"))
+    added = found.select("row", F.explode("rare").alias("key")).join(others, "key", "left").groupBy("row").agg(
+        F.sum(F.coalesce("value", F.lit(math.log10(ADDED) - below))).alias("more"), F.count("value").alias("more_known")
     )
-    return found.drop("rare", "rare_runs").join(added, "row", "left").select(
+    return whole.join(added, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
+        "score",
     )
 
 
