@@ -295,8 +295,9 @@ def arrivals(spark: SparkSession, folder: str) -> DataFrame:
     stage = Stage(spark)
     incoming = stage.path("incoming")
     listing = X.view(spark, folder, X.ASSETS)
-    # Files of one key come in different listings, so that later batches change earlier decisions.
-    listing.repartition(TASKS, "path").write.option("maxRecordsPerFile", 5_000).parquet(incoming)
+    # Files of one key come in different listings, so that later batches change earlier decisions. A listing grows with the input, the
+    # number of batches does not: each costs a commit of every partition of the state.
+    listing.repartition(TASKS, "path").write.parquet(incoming)
     running = Arrivals(keyed_roster(X.view(spark, folder, X.ROSTER)), "out", stage.path("state"))
     # One listing a batch.
     stream = running.start(incoming, most_files=1)

@@ -1,10 +1,13 @@
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
+import file_queries
 from tallymatch.operators.keyed import keyed_roster
 from tallymatch.operators.spread import Limits
 from tallymatch.plans.reconcile import reconcile
+from tallymatch.sources.storage import plain_path
 from tallymatch.streaming.arrivals import FILES, ROWS, Arrivals
 
 ROSTER = "row_number long, key_raw string, target_raw string, name string"
@@ -95,3 +98,21 @@ def test_events_that_are_not_taken_yet_do_not_show(spark, stage):
             running.start(incoming).awaitTermination()
     one = spark.createDataFrame([("x/1.jpg", 1)], "path string, size long")
     assert rows_of(running.audit()) == rows_of(reconcile(rows, one, "out").audit)
+
+
+def test_batches_do_not_grow_with_the_files(spark, tmp_path, monkeypatch):
+    """50,000 files come in no more listings, each a batch of its own, than 500 do, and every file is audited."""
+    spark.range(1, 51).selectExpr("id as c_custkey", "'n' as c_name").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(1, 50_001).selectExpr("id as p_partkey", "int(id % 50) as p_size").write.parquet(str(tmp_path / "part.parquet"))
+    listings, start = [], Arrivals.start
+
+    def counted(self, incoming, *args, **more):
+        listings.append(len([*Path(plain_path(incoming)).glob("*.parquet")]))
+        return start(self, incoming, *args, **more)
+
+    monkeypatch.setattr(Arrivals, "start", counted)
+    found = file_queries.arrivals(spark, str(tmp_path))
+    assert listings == [file_queries.TASKS]
+    view = [file_queries.X.view(spark, str(tmp_path), sql) for sql in (file_queries.X.ROSTER, file_queries.X.ASSETS)]
+    expected = reconcile(*view, "out").audit.select(*found.columns)
+    assert found.count() == expected.count() and not found.exceptAll(expected).count()
