@@ -19,7 +19,7 @@ from tallymatch import fixtures as X
 from tallymatch import labels as L
 from tallymatch.operators import audit as A
 from tallymatch.operators import sinks
-from tallymatch.operators.files import copy_files
+from tallymatch.operators.files import copy_files, tasks_for
 from tallymatch.operators.keyed import keyed_roster
 from tallymatch.plans.reconcile import reconcile
 from tallymatch.plans.run import Settings, apply, run
@@ -27,7 +27,7 @@ from tallymatch.plans.staging import Stage
 from tallymatch.sources import archives, listing
 from tallymatch.sources.folders import list_folder
 from tallymatch.sources.sheets import read_sheet
-from tallymatch.sources.storage import content_hash, make_folder, open_store, plain_path, write_into_place
+from tallymatch.sources.storage import Aside, content_hash, make_folder, open_store, plain_path, write_into_place
 from tallymatch.streaming.arrivals import Arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -174,7 +174,9 @@ def hashed(listing: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.assign(sha256=[content_hash(path) for path in batch["path"]])
 
-    return listing.select("path", "size").mapInPandas(read, "path string, size bigint, sha256 string")
+    files = listing.select("path", "size")
+    files = files.repartition(tasks_for(files.sparkSession, files.count()))
+    return files.mapInPandas(read, "path string, size bigint, sha256 string")
 
 
 def sheet_scan(spark: SparkSession, folder: str) -> DataFrame:

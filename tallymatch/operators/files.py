@@ -20,7 +20,7 @@ from tallymatch import labels as L
 from tallymatch.functions.paths import file_name, place_in
 from tallymatch.operators.outcomes import with_existing
 from tallymatch.plans.staging import Stage
-from tallymatch.sources.storage import copy_into_place, copy_range, drop_file, file_size, finish_ranges, same_bytes
+from tallymatch.sources.storage import Aside, copy_into_place, copy_range, drop_file, file_size, finish_ranges, same_bytes
 
 ROWS_PER_TASK = 2_000
 MOST_TASKS = 100_000
@@ -107,12 +107,14 @@ def copy_files(rows: DataFrame, stage: Stage, at_once: int | None = None, range_
     """
     spark, names = rows.sparkSession, rows.columns
     weight = F.coalesce("size", F.lit(0))
-    count, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(weight), F.lit(0))).first()
-    if not count:
-        return rows
-    tasks = max(1, at_once) if at_once else min(MOST_TASKS, max(tasks_for(spark, count), -(-total // range_bytes)))
     whole = F.col("source").rlike(ADDRESS) | F.col("destination").rlike(ADDRESS) | (weight <= range_bytes)
     parts = F.when(whole, 1).otherwise(F.ceil(weight / range_bytes)).cast("int")
+    figures = F.count_if(parts > 1), F.coalesce(F.sum(parts), F.lit(0)), F.coalesce(F.sum(weight), F.lit(0))
+    large, count, total = rows.agg(*figures).first()
+    if not count:
+        return rows
+    # A task has as many small ranges as it has small files, and bytes enough to be worth a task.
+    tasks = max(1, at_once) if at_once else min(MOST_TASKS, max(tasks_for(spark, count), -(-total // max(range_bytes, RANGE_BYTES))))
     pieces = rows.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     of_piece = F.when(F.col("parts") == 1, weight).otherwise(
         F.least(F.lit(range_bytes), F.col("size") - F.col("part").cast("long") * range_bytes)
@@ -120,17 +122,17 @@ def copy_files(rows: DataFrame, stage: Stage, at_once: int | None = None, range_
     mark = uuid.uuid4().hex
 
     def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        attempt = str(TaskContext.get().taskAttemptId())
-        for batch in batches:
-            given = zip(batch["source"], batch["destination"], batch["size"], batch["part"], batch["parts"], strict=True)
-            outcomes = []
-            for source, destination, size, part, n in given:
-                if n == 1:
-                    outcomes.append(_copy_one(source, destination, attempt))
-                    continue
-                at = int(part) * range_bytes
-                outcomes.append(_attempt(copy_range, source, f"{destination}.{mark}.part", at, min(range_bytes, int(size) - at)))
-            yield _with_outcomes(batch, outcomes)
+        with Aside(f"{mark}-{TaskContext.get().taskAttemptId()}") as aside:
+            for batch in batches:
+                given = zip(batch["source"], batch["destination"], batch["size"], batch["part"], batch["parts"], strict=True)
+                outcomes = []
+                for source, destination, size, part, n in given:
+                    if n == 1:
+                        outcomes.append(_copy_one(source, destination, aside))
+                        continue
+                    at = int(part) * range_bytes
+                    outcomes.append(_attempt(copy_range, source, f"{destination}.{mark}.part", at, min(range_bytes, int(size) - at)))
+                yield _with_outcomes(batch, outcomes)
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -148,11 +150,13 @@ def copy_files(rows: DataFrame, stage: Stage, at_once: int | None = None, range_
     placed = in_bins(pieces, of_piece + PER_FILE, tasks, stage).repartitionById(tasks, F.col("bin")).drop("bin")
     done = stage.save(placed.mapInPandas(copy, placed.schema), "copied")
     single = done.filter("parts = 1").select(*names)
-    if total <= range_bytes:  # then no file is larger
+    if not large:
         return single
     keys = [name for name in names if name not in ("status", "detail")]
     worst = F.max_by(F.struct("status", "detail"), F.col("status") != L.APPLIED).alias("worst")
-    split = done.filter("parts > 1").groupBy(*keys).agg(worst).select(*keys, "worst.*").select(*names)
+    # Few bytes, but each row is a file to be looked at and renamed.
+    split = done.filter("parts > 1").repartition(tasks_for(spark, large, at_once), *keys)
+    split = split.groupBy(*keys).agg(worst).select(*keys, "worst.*").select(*names)
     return single.unionByName(stage.save(split.mapInPandas(finish, split.schema), "finished"))
 
 
@@ -168,8 +172,8 @@ def _attempt(step, *given) -> tuple[str, str]:
         return L.COPY_FAILED, _in_words(error)
 
 
-def _copy_one(source: str, destination: str, mark: str) -> tuple[str, str]:
-    return _attempt(copy_into_place, source, destination, mark)
+def _copy_one(source: str, destination: str, aside: Aside) -> tuple[str, str]:
+    return _attempt(copy_into_place, source, destination, aside)
 
 
 def _in_words(error: Exception) -> str:

@@ -38,17 +38,19 @@ def list_folder(spark: SparkSession, folder: str, stage: Stage, recursive: bool
     """
     require_folder(folder)
     root = plain_path(folder)
-    frontier = spark.createDataFrame([(root,)], "path string")
+    cores = spark.sparkContext.defaultParallelism
+    frontier = spark.createDataFrame([(root,)], "path string").coalesce(1)
     levels = []
     while True:
-        entries = frontier.mapInPandas(_lister(recursive), ENTRIES)
+        # One task lists a folder, whatever it holds; what reads the listing later is dealt out over all cores.
+        entries = frontier.mapInPandas(_lister(recursive), ENTRIES).repartition(cores)
         level = stage.save(entries, "listing")
         levels.append(level)
         below = level.filter("kind = 'folder'").select("path")
         count = below.count() if recursive else 0
         if not count:
             break
-        frontier = below.repartition(min(MOST_TASKS, -(-count // FOLDERS_PER_TASK)))
+        frontier = below.repartition(min(MOST_TASKS, max(-(-count // FOLDERS_PER_TASK), min(count, cores))))
     listing = levels[0]
     for level in levels[1:]:
         listing = listing.unionByName(level)
@@ -59,8 +61,9 @@ def list_names(spark: SparkSession, folder: str, stage: Stage) -> DataFrame:
     """Whatever is directly in a folder, folders too: (path, size); a folder has no size. A folder that is not there holds nothing."""
     if not is_folder(folder):
         return spark.createDataFrame([], "path string, size bigint")
-    frontier = spark.createDataFrame([(plain_path(folder),)], "path string")
-    return stage.save(frontier.mapInPandas(_lister(True, links=True), ENTRIES), "names").select("path", "size")
+    frontier = spark.createDataFrame([(plain_path(folder),)], "path string").coalesce(1)
+    names = frontier.mapInPandas(_lister(True, links=True), ENTRIES).repartition(spark.sparkContext.defaultParallelism)
+    return stage.save(names, "names").select("path", "size")
 
 
 def _lister(recursive: bool, links: bool = False):

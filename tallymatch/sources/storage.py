@@ -10,7 +10,7 @@ import os
 import re
 import shutil
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from functools import lru_cache
 from typing import BinaryIO
 
@@ -173,7 +173,38 @@ def same_bytes(one: str, other: str, piece: int = PIECE) -> tuple[bool, int]:
                 return True, read
 
 
-def copy_into_place(source: str, destination: str, mark: str) -> None:
+class Aside:
+    """Temporary names for the files of one task: in each local folder it writes to, a folder of its own for files in the making.
+
+    The folder that all tasks write to is then changed once a file, by the rename; made next to each other, temporary files would keep
+    all tasks waiting for that folder three times a file. ``mark`` tells attempts apart. The folders are removed at the end of the block.
+    """
+
+    def __init__(self, mark: str):
+        self.mark, self.folders = mark, {}
+
+    def __enter__(self) -> Aside:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for folder in self.folders.values():
+            with suppress(OSError):
+                os.rmdir(folder)
+
+    def name(self, store: fs.FileSystem, path: str) -> str:
+        """The temporary name of a file. Other stores have no folders to wait for."""
+        if not isinstance(store, fs.LocalFileSystem):
+            return f"{path}.{self.mark}.part"
+        parent, name = os.path.split(path)
+        if parent not in self.folders:
+            folder = os.path.join(parent, f".{self.mark}.part")
+            with suppress(FileExistsError):
+                os.mkdir(folder)
+            self.folders[parent] = folder
+        return f"{self.folders[parent]}/{name}"
+
+
+def copy_into_place(source: str, destination: str, mark: str | Aside) -> None:
     """Copy a file under a temporary name and rename it. Local copies keep the timestamps."""
     from_store, from_path = open_store(source)
     to_store, to_path = open_store(destination)
@@ -184,21 +215,22 @@ def copy_into_place(source: str, destination: str, mark: str) -> None:
             fs.copy_files(from_path, part, source_filesystem=from_store, destination_filesystem=to_store)
 
 
-def write_into_place(content: BinaryIO, destination: str, mark: str) -> None:
+def write_into_place(content: BinaryIO, destination: str, mark: str | Aside) -> None:
     """Write a stream under a temporary name, with any missing folders, and rename it."""
     store, path = open_store(destination)
-    store.create_dir(path.rpartition("/")[0], recursive=True)
+    if not isinstance(mark, Aside) or os.path.dirname(path) not in mark.folders:
+        store.create_dir(path.rpartition("/")[0], recursive=True)
     with _renamed_at_end(store, path, mark) as part, store.open_output_stream(part) as out:
         shutil.copyfileobj(content, out, PIECE)
 
 
 @contextmanager
-def _renamed_at_end(store: fs.FileSystem, path: str, mark: str) -> Iterator[str]:
-    """A temporary name next to ``path`` that becomes ``path`` at the end, so no half-written file has the real name.
+def _renamed_at_end(store: fs.FileSystem, path: str, mark: str | Aside) -> Iterator[str]:
+    """A temporary name next to ``path``, or aside, that becomes ``path`` at the end, so no half-written file has the real name.
 
     ``mark`` tells two attempts at the same file apart. After a failure the temporary file is removed.
     """
-    part = f"{path}.{mark}.part"
+    part = mark.name(store, path) if isinstance(mark, Aside) else f"{path}.{mark}.part"
     try:
         yield part
         store.move(part, path)

@@ -1,5 +1,6 @@
 """Copies dealt out by bytes, equality up to the first difference, the report as one file."""
 
+import io
 import os
 import random
 
@@ -7,9 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymatch import labels as L
+from tallymatch.operators import files
 from tallymatch.operators.files import copy_files, in_bins
 from tallymatch.operators.sinks import BYTE_ORDER_MARK, Joined, write_report, write_report_file
-from tallymatch.sources.storage import same_bytes
+from tallymatch.sources.folders import list_folder
+from tallymatch.sources.storage import Aside, copy_into_place, same_bytes, write_into_place
 
 ROWS = "row_number long, source string, destination string, size long, status string, detail string"
 
@@ -98,3 +101,37 @@ def test_parts_as_one_stream(tmp_path):
     while piece := stream.read(2):
         out += piece
     assert out == b"top\naaabbb"
+
+
+def test_small_ranges_share_tasks(spark, stage, tmp_path, monkeypatch):
+    """600 ranges of 10 bytes are not 600 tasks: ranges are dealt out like small files."""
+    seen, bins = [], in_bins
+    monkeypatch.setattr(files, "in_bins", lambda pieces, weight, n, stage: seen.append(n) or bins(pieces, weight, n, stage))
+    rows = files_of(spark, tmp_path, [60] * 100)
+    assert {r.status for r in copy_files(rows, stage, range_bytes=10).collect()} == {L.APPLIED}
+    assert seen == [spark.sparkContext.defaultParallelism]
+    assert all((tmp_path / f"in/{n}.bin").read_bytes() == (tmp_path / f"out/{n}.bin").read_bytes() for n in range(100))
+
+
+def test_a_listing_of_one_folder_is_dealt_out(spark, stage, tmp_path):
+    """One task lists a folder; what reads the listing is more than one task."""
+    files_of(spark, tmp_path, [1] * 200)
+    listing = list_folder(spark, str(tmp_path / "in"), stage)
+    assert listing.count() == 200
+    assert listing.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_files_in_the_making_lie_aside(tmp_path):
+    """A temporary file is no entry of the folder that all tasks write to, and its own folder goes at the end, also after a failure."""
+    (tmp_path / "in.bin").write_bytes(b"abc")
+    (tmp_path / "out/b.bin").mkdir(parents=True)
+    with Aside("7") as aside:
+        write_into_place(io.BytesIO(b"x"), str(tmp_path / "new/deep/a.bin"), aside)
+        copy_into_place(str(tmp_path / "in.bin"), str(tmp_path / "out/a.bin"), aside)
+        with pytest.raises(OSError):
+            copy_into_place(str(tmp_path / "in.bin"), str(tmp_path / "out/b.bin"), aside)
+        with pytest.raises(FileNotFoundError):
+            copy_into_place(str(tmp_path / "in.bin"), str(tmp_path / "none/a.bin"), aside)
+        assert not [*(tmp_path / "out/.7.part").iterdir()]
+    assert sorted(os.listdir(tmp_path / "out")) == ["a.bin", "b.bin"] and not (tmp_path / "none").exists()
+    assert (tmp_path / "out/a.bin").read_bytes() == b"abc" and (tmp_path / "new/deep/a.bin").read_bytes() == b"x"
