@@ -41,13 +41,14 @@ def write_files(table: DataFrame, stage: Stage) -> DataFrame:
     """(path, content) -> one file per distinct path, written by the tasks that hold the rows."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mark = str(TaskContext.get().taskAttemptId())
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                write_into_place(io.BytesIO(content.encode()), path, mark)
-            yield batch[["path"]]
+        with Aside(str(TaskContext.get().taskAttemptId())) as aside:
+            for batch in batches:
+                for path, content in zip(batch["path"], batch["content"]):
+                    write_into_place(io.BytesIO(content.encode()), path, aside)
+                yield batch[["path"]]
 
-    spread = table.repartition(table.sparkSession.sparkContext.defaultParallelism, "path")
+    # Written again, a file would be replaced, for which the file system holds its folder until the new bytes have their place on disk.
+    spread = table.repartition(table.sparkSession.sparkContext.defaultParallelism, "path").dropDuplicates(["path"])
     return stage.save(spread.mapInPandas(write, "path string"), "written")
 
 

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from file_queries import write_files
 from tallymatch import labels as L
 from tallymatch.operators import files
 from tallymatch.operators.files import copy_files, in_bins
@@ -135,3 +136,10 @@ def test_files_in_the_making_lie_aside(tmp_path):
         assert not [*(tmp_path / "out/.7.part").iterdir()]
     assert sorted(os.listdir(tmp_path / "out")) == ["a.bin", "b.bin"] and not (tmp_path / "none").exists()
     assert (tmp_path / "out/a.bin").read_bytes() == b"abc" and (tmp_path / "new/deep/a.bin").read_bytes() == b"x"
+
+
+def test_a_path_is_written_once(spark, stage, tmp_path):
+    """Rows with the same path make one file, which is not replaced again and again."""
+    table = spark.range(0, 100).selectExpr(f"concat('{tmp_path}/x/', id % 10) as path", "concat('file ', id % 10) as content")
+    assert write_files(table, stage).count() == 10
+    assert {name: (tmp_path / "x" / name).read_text() for name in os.listdir(tmp_path / "x")} == {str(n): f"file {n}" for n in range(10)}
