@@ -62,6 +62,11 @@ def asset_files(spark: SparkSession, folder: str, stage: Stage) -> str:
     return root
 
 
+def roster_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of the sheet, dealt out: a table in one small file would else be cleaned by one task."""
+    return X.view(spark, folder, X.ROSTER).repartition(spark.sparkContext.defaultParallelism, "row_number")
+
+
 def below(root: str, path: str) -> Column:
     """The path without the folder of this run."""
     return F.when(F.col(path).startswith(f"{root}/"), F.substr(F.col(path), F.lit(len(root) + 2))).otherwise(F.col(path))
@@ -98,7 +103,7 @@ def run_on_files(spark: SparkSession, folder: str, runs: list[Settings]) -> tupl
     stage = Stage(spark)
     root, out = asset_files(spark, folder, stage), plain_path(stage.path("out"))
     listing = list_folder(spark, root, stage, recursive=True)
-    match = reconcile(X.view(spark, folder, X.ROSTER), listing, out, stage=stage)
+    match = reconcile(roster_rows(spark, folder), listing, out, stage=stage)
     decided = stage.save(match.decided, "decided")
     for settings in runs:
         outcome = apply(decided, out, settings, stage, match.assets)
@@ -124,7 +129,7 @@ def copies_conflict(spark: SparkSession, folder: str, settings: Settings = Setti
     """Where other files, of other sizes, are at the destinations of every third row."""
     stage = Stage(spark)
     root, out = asset_files(spark, folder, stage), plain_path(stage.path("out"))
-    match = reconcile(X.view(spark, folder, X.ROSTER), list_folder(spark, root, stage, recursive=True), out, stage=stage)
+    match = reconcile(roster_rows(spark, folder), list_folder(spark, root, stage, recursive=True), out, stage=stage)
     decided = stage.save(match.decided, "decided")
     others = decided.filter((F.col("status") == L.PLANNED) & (F.col("row_number") % 3 == 0))
     write_files(others.select(F.col("destination").alias("path"), F.lit("another file").alias("content")), stage)
@@ -141,7 +146,7 @@ def copies_failed(spark: SparkSession, folder: str) -> DataFrame:
     """Where the files of every third row are gone before they are copied."""
     stage = Stage(spark)
     root, out = asset_files(spark, folder, stage), plain_path(stage.path("out"))
-    match = reconcile(X.view(spark, folder, X.ROSTER), list_folder(spark, root, stage, recursive=True), out, stage=stage)
+    match = reconcile(roster_rows(spark, folder), list_folder(spark, root, stage, recursive=True), out, stage=stage)
     gone = F.when(F.col("row_number") % 3 == 0, F.concat("source", F.lit(".gone"))).otherwise(F.col("source"))
     planned = F.col("status") == L.PLANNED
     decided = match.decided.withColumn("source", F.when(planned, gone).otherwise(F.col("source")))

@@ -1,7 +1,8 @@
 """Folder listings as tables.
 
 Folders are listed inside tasks, one level of the tree per step, and each level is written to the stage before the next
-one starts. Nothing is listed on the driver, a lost executor costs one folder, and the result is a fixed snapshot that
+one starts. One task reads the names of a folder, in sequence; their sizes, a request for each file of a local folder, are asked for by
+all tasks. Nothing is listed on the driver, a lost executor costs one folder, and the result is a fixed snapshot that
 later steps may read as often as they like. Spark's own file sources are not used here: they leave out names that begin
 with a dot or an underscore.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,9 @@ from tallymatch.plans.staging import Stage
 from tallymatch.sources.storage import is_folder, open_store, plain_path
 
 ENTRIES = "path string, size bigint, kind string"
+SCHEMA = pa.schema([("path", pa.string()), ("size", pa.int64()), ("kind", pa.string())])
+#: The kind of a file whose size is still to be asked for.
+UNSIZED = "unsized"
 BATCH = 10_000
 FOLDERS_PER_TASK = 16
 MOST_TASKS = 10_000
@@ -42,9 +46,7 @@ def list_folder(spark: SparkSession, folder: str, stage: Stage, recursive: bool
     frontier = spark.createDataFrame([(root,)], "path string").coalesce(1)
     levels = []
     while True:
-        # One task lists a folder, whatever it holds; what reads the listing later is dealt out over all cores.
-        entries = frontier.mapInPandas(_lister(recursive), ENTRIES).repartition(cores)
-        level = stage.save(entries, "listing")
+        level = stage.save(_listed(frontier, cores, recursive), "listing")
         levels.append(level)
         below = level.filter("kind = 'folder'").select("path")
         count = below.count() if recursive else 0
@@ -62,14 +64,20 @@ def list_names(spark: SparkSession, folder: str, stage: Stage) -> DataFrame:
     if not is_folder(folder):
         return spark.createDataFrame([], "path string, size bigint")
     frontier = spark.createDataFrame([(plain_path(folder),)], "path string").coalesce(1)
-    names = frontier.mapInPandas(_lister(True, links=True), ENTRIES).repartition(spark.sparkContext.defaultParallelism)
+    names = _listed(frontier, spark.sparkContext.defaultParallelism, True, links=True)
     return stage.save(names, "names").select("path", "size")
 
 
+def _listed(folders: DataFrame, tasks: int, recursive: bool, links: bool = False) -> DataFrame:
+    """What is in the folders. One task lists a folder, whatever it holds; sizes, and what reads the listing later, are dealt out."""
+    names = folders.mapInArrow(_lister(recursive, links), ENTRIES).repartition(tasks)
+    return names.mapInArrow(_with_sizes, ENTRIES)
+
+
 def _lister(recursive: bool, links: bool = False):
-    def list_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def list_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for folder in batch["path"]:
+            for folder in batch.column(0).to_pylist():
                 found = []
                 for entry in _entries(folder, recursive, links):
                     found.append(entry)
@@ -81,9 +89,14 @@ def _lister(recursive: bool, links: bool = False):
     return list_all
 
 
-def _table(found: list) -> pd.DataFrame:
-    table = pd.DataFrame(found, columns=["path", "size", "kind"])
-    return table.astype({"size": "Int64"})
+def _table(found: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*found) if found else [()] * 3, SCHEMA)], schema=SCHEMA)
+
+
+def _with_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(*(column.to_pylist() for column in batch.columns))
+        yield _table([(path, _size(path), "file") if kind == UNSIZED else (path, size, kind) for path, size, kind in rows])
 
 
 def _entries(folder: str, recursive: bool, links: bool = False) -> Iterator[tuple]:
@@ -101,7 +114,9 @@ def _entries(folder: str, recursive: bool, links: bool = False) -> Iterator[tupl
                 if recursive and (links or not entry.is_symlink()):
                     yield printable(entry.path) if links else entry.path, None, "folder"
             elif recursive or entry.is_file():
-                yield printable(entry.path), _size(entry), "file"
+                path = printable(entry.path)
+                # A name that is spelled out names no file, so its size is asked for here.
+                yield (path, None, UNSIZED) if path == entry.path else (path, _size(entry), "file")
 
 
 def printable(path: str) -> str:
@@ -112,9 +127,9 @@ def printable(path: str) -> str:
     return os.fsencode(path).decode("utf-8", "backslashreplace")
 
 
-def _size(entry: os.DirEntry) -> int | None:
+def _size(entry: os.DirEntry | str) -> int | None:
     try:
-        return entry.stat().st_size
+        return os.stat(entry).st_size
     except OSError:
         return None
 

@@ -1,19 +1,23 @@
 """Copies dealt out by bytes, equality up to the first difference, the report as one file."""
 
+import hashlib
 import io
 import os
 import random
+import shutil
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from file_queries import write_files
+from file_queries import roster_rows, write_files
 from tallymatch import labels as L
 from tallymatch.operators import files
 from tallymatch.operators.files import copy_files, in_bins
 from tallymatch.operators.sinks import BYTE_ORDER_MARK, Joined, write_report, write_report_file
+from tallymatch.sources import folders, storage
 from tallymatch.sources.folders import list_folder
-from tallymatch.sources.storage import Aside, copy_into_place, same_bytes, write_into_place
+from tallymatch.sources.storage import Aside, content_hash, copy_into_place, same_bytes, write_into_place
 
 ROWS = "row_number long, source string, destination string, size long, status string, detail string"
 
@@ -143,3 +147,78 @@ def test_a_path_is_written_once(spark, stage, tmp_path):
     table = spark.range(0, 100).selectExpr(f"concat('{tmp_path}/x/', id % 10) as path", "concat('file ', id % 10) as content")
     assert write_files(table, stage).count() == 10
     assert {name: (tmp_path / "x" / name).read_text() for name in os.listdir(tmp_path / "x")} == {str(n): f"file {n}" for n in range(10)}
+
+
+@pytest.mark.parametrize("links", [True, False])
+def test_small_files_take_few_calls(tmp_path, monkeypatch, links):
+    """Neither ``copy2`` nor, where there are links, a rename; bytes, mode and timestamps come along, and what has the name is replaced."""
+    moved = []
+    replace = storage._give_name
+
+    def no_link(*_):
+        raise PermissionError("no links here")
+
+    class Local(storage.fs.LocalFileSystem):
+        def move(self, one, other):
+            moved.append(other)
+            os.replace(one, other)
+
+    monkeypatch.setattr(storage, "_give_name", lambda store, part, path: replace(Local(), part, path))
+    monkeypatch.setattr(shutil, "copy2", lambda *_: pytest.fail("copy2"))
+    if not links:
+        monkeypatch.setattr(os, "link", no_link)
+    (tmp_path / "out").mkdir()
+    for n, size in enumerate([0, 1, storage.SMALL - 1, storage.SMALL]):
+        source, to = tmp_path / f"{n}.bin", tmp_path / f"out/{n}.bin"
+        source.write_bytes(random.Random(n).randbytes(size))
+        os.chmod(source, 0o640 - n % 2 * 0o200)
+        os.utime(source, ns=(10**18 + n, 10**18 + 7 * n))
+        for k in range(2):
+            with Aside("t") as aside:
+                copy_into_place(str(source), str(to), aside)
+            assert moved == [str(to)] * (k if links else k + 1)
+        moved.clear()
+        one, other = os.stat(source), os.stat(to)
+        assert source.read_bytes() == to.read_bytes()
+        assert (one.st_mtime_ns, one.st_mode, other.st_nlink) == (other.st_mtime_ns, other.st_mode, 1)
+        assert content_hash(str(to)) == hashlib.sha256(source.read_bytes()).hexdigest()
+    assert sorted(os.listdir(tmp_path / "out")) == ["0.bin", "1.bin", "2.bin", "3.bin"]
+
+
+def test_larger_files_and_attributes_are_copied_whole(tmp_path):
+    source = tmp_path / "a.bin"
+    source.write_bytes(random.Random(1).randbytes(storage.SMALL * 3 + 1))
+    small = tmp_path / "b.bin"
+    small.write_bytes(b"b")
+    try:
+        os.setxattr(small, "user.note", b"kept")
+    except OSError:
+        pytest.skip("no extended attributes here")
+    for path in (source, small):
+        copy_into_place(str(path), f"{path}.copy", "t")
+        with open(f"{path}.copy", "rb") as copy:
+            assert copy.read() == path.read_bytes()
+        assert content_hash(str(path)) == hashlib.sha256(path.read_bytes()).hexdigest()
+    assert os.getxattr(f"{small}.copy", "user.note") == b"kept"
+
+
+def test_the_task_that_reads_names_asks_for_no_size(spark, stage, tmp_path):
+    for n in range(50):
+        (tmp_path / f"{n}.txt").write_bytes(b"x" * n)
+    (tmp_path / "gone.txt").symlink_to(tmp_path / "nowhere")
+    with open(os.fsencode(tmp_path) + b"/\xff.txt", "wb") as odd:
+        odd.write(b"odd")
+    batch = pa.RecordBatch.from_pydict({"path": [str(tmp_path)]})
+    named = list(folders._lister(True)(iter([batch])))
+    rows = [row for part in named for row in part.to_pylist()]
+    assert {(row["size"], row["kind"]) for row in rows if "\\" not in row["path"]} == {(None, folders.UNSIZED)}
+    expected = {str(tmp_path / f"{n}.txt"): n for n in range(50)} | {str(tmp_path / "gone.txt"): None, f"{tmp_path}/\\xff.txt": 3}
+    assert {row["path"]: row["size"] for part in folders._with_sizes(iter(named)) for row in part.to_pylist()} == expected
+    assert {r.path: r.size for r in list_folder(spark, str(tmp_path), stage, recursive=True).collect()} == expected
+
+
+def test_one_small_file_of_rows_is_dealt_out(spark, tmp_path):
+    spark.range(1, 3001).selectExpr("id as c_custkey", "string(id) as c_name").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    rows = roster_rows(spark, str(tmp_path))
+    sizes = rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert len(sizes) == spark.sparkContext.defaultParallelism and min(sizes) and sum(sizes) == 3000
