@@ -20,11 +20,12 @@ the tree is a stretch, with all longer contexts that end alike inside it.
    three bytes, are counted on the way; the latter are 2 ** 24 at most and make the top of the tree, which goes to every task.
 2. The rows of a slot meet in one task, which sums them and has whole subtrees then: counts, tests, smoothing and costs
    of all its contexts are a few passes over sorted arrays. Numbers that only held-out documents have are in it with count 0.
-3. The costs of a slot meet the rows of the chunks that asked for them, each of which gets its costs in order.
-4. The costs of a chunk meet its symbols, and documents are summed up.
+   The same task answers each of its rows: the length of the context that every number is scored in, and a cost for each different pair
+   of such a context and a symbol, from which the chunk can tell the costs of its numbers.
+3. The answers to a chunk meet its symbols, and documents are summed up.
 
-So the shuffles carry differences of sorted numbers and costs, about 3 bytes for each different number of a chunk, and hot contexts are
-merged before they move. A slot's arrays are what a task holds; raise ``slots`` where a corpus has more different numbers than
+So the shuffles carry differences of sorted numbers, once, and what differs among their costs, and hot contexts are
+merged before they move. A slot's arrays, and its rows as they came, compressed, are what a task holds; raise ``slots`` where a corpus has more different numbers than
 some 10 million for each.
 
 The base score needs the count of every word. Counts of the most frequent words, ``BROADCAST_WORDS`` at most, go to every
@@ -78,7 +79,6 @@ TEXTS, WORDS, SHORT = -1, -2, -3
 BYTE = np.uint64(8)
 ASKED = "chunk long, slot int, data binary, counts binary"
 ANSWERED = "chunk long, slot int, data binary"
-COSTS = "slot int, part int, data binary"
 SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>"
 
 
@@ -415,8 +415,9 @@ def train(asked_rows: DataFrame, least_share: float) -> Model:
     return Model(codes[order], n[order], max(LEAST, math.ceil(int(n.sum()) * least_share)))
 
 
-def costs(keys: np.ndarray, n: np.ndarray, depth: int, model: Model) -> np.ndarray:
-    """What each number's symbol costs, less log10 of its probability, for all numbers of whole subtrees below ``ROOTS`` bytes."""
+def costs(keys: np.ndarray, n: np.ndarray, depth: int, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """What each number's symbol costs, less log10 of its probability, for all numbers of whole subtrees below ``ROOTS`` bytes, and the
+    length of the context that tells it (one less than ``ROOTS`` for all that the top of the tree settles)."""
     context = keys >> np.uint64(8 * (8 - depth))
     level = Level((context << BYTE) | (keys & np.uint64(255)), n)
     levels, places = [level], []
@@ -443,11 +444,42 @@ def costs(keys: np.ndarray, n: np.ndarray, depth: int, model: Model) -> np.ndarr
     # What a retained context ends with is retained.
     for k in range(len(levels) - 1, 0, -1):
         kept[k - 1][parents[k][kept[k]]] = True
+    length = np.full(len(best), ROOTS - 1, np.uint8)
     for k, level in enumerate(levels):
-        best = np.where(kept[k][level.context], smooth[k], best if k == 0 else best[places[k - 1]])
+        own = kept[k][level.context]
+        best = np.where(own, smooth[k], best if k == 0 else best[places[k - 1]])
+        length = np.where(own, np.uint8(ROOTS + k), length if k == 0 else length[places[k - 1]])
     # Three bits less than the kind holds, a relative error below 3e-7: these would not compress.
     exact = (-np.log10(best)).astype(np.float32).view(np.uint32)
-    return ((exact + np.uint32(4)) & ~np.uint32(7)).view(np.float32)
+    return ((exact + np.uint32(4)) & ~np.uint32(7)).view(np.float32), length
+
+
+def alike(keys: np.ndarray, length: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Which of the numbers are scored in a shorter context than their own, the place of each of these among the different pairs of such a
+    context and a symbol, and how many pairs there are. All others differ from each other."""
+    short = length < depth
+    keys, length = keys[short], length[short].astype(np.uint64)
+    rest = np.uint64(64) - BYTE * length
+    # The byte above the symbol is free in all of them: it tells a context from one that goes on with zeros.
+    pairs, place = np.unique((keys >> rest << rest) | (length << BYTE) | (keys & np.uint64(255)), return_inverse=True)
+    return short, place, len(pairs)
+
+
+def answer(keys: np.ndarray, cost: np.ndarray, length: np.ndarray, depth: int) -> bytes:
+    """The costs of sorted numbers: the lengths of their contexts, then each cost once."""
+    short, place, n = alike(keys, length, depth)
+    once = np.empty(n, np.float32)
+    once[place] = cost[short]
+    return packed(length, np.append(once, cost[~short]))
+
+
+def read_answer(keys: np.ndarray, data: bytes, depth: int) -> np.ndarray:
+    """The costs of the same numbers."""
+    length, once = unpacked(data, np.uint8, np.float32)
+    short, place, n = alike(keys, length, depth)
+    cost = np.empty(len(keys), np.float32)
+    cost[short], cost[~short] = once[place], once[n:]
+    return cost
 
 
 def by_key(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple[int, Iterator[list]]]:
@@ -463,25 +495,26 @@ def by_key(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple[int
 
 
 def learnt(batches: Iterable[pa.RecordBatch], depth: int, sent) -> Iterator[pa.RecordBatch]:
-    """The numbers of each slot and their costs, in parts of ``_ROWS``."""
-    for slot, rows in by_key(batches, "slot", "data", "counts"):
-        keys, n, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
-        for _, data, counts in rows:
+    """The costs for each row of a chunk and slot, from the numbers and counts of all rows of the slot."""
+    for slot, rows in by_key(batches, "slot", "chunk", "data", "counts"):
+        keys, n, held, size, asking = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0, []
+        for _, chunk, data, counts in rows:
             (gaps,), (more,) = unpacked(data, np.uint64), unpacked(counts, np.int32)
+            asking.append((chunk, data))
             held.append((np.cumsum(gaps, dtype=np.uint64), more))
             size += len(gaps)
             if size > max(_ROWS, len(keys)):
                 keys, n = _merged(keys, n, held)
                 held, size = [], 0
         keys, n = _merged(keys, n, held)
-        cost = costs(keys, n, depth, sent.value)
-        for part, at in enumerate(range(0, len(keys), _ROWS)):
-            own = slice(at, at + _ROWS)
-            # Symbols scored in the same short context cost the same, so there are fewer costs than numbers.
-            values, place = np.unique(cost[own], return_inverse=True)
-            data = packed(steps(keys[own]), values, place.astype(np.int32))
-            columns = [pa.array([slot], pa.int32()), pa.array([part], pa.int32()), pa.array([data], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["slot", "part", "data"])
+        held = []
+        cost, length = costs(keys, n, depth, sent.value)
+        for chunk, data in asking:
+            (gaps,) = unpacked(data, np.uint64)
+            own = np.cumsum(gaps, dtype=np.uint64)
+            at = np.searchsorted(keys, own)
+            columns = [pa.array([chunk]), pa.array([slot], pa.int32()), pa.array([answer(own, cost[at], length[at], depth)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "slot", "data"])
 
 
 def _merged(keys: np.ndarray, n: np.ndarray, more: list) -> tuple[np.ndarray, np.ndarray]:
@@ -490,25 +523,6 @@ def _merged(keys: np.ndarray, n: np.ndarray, more: list) -> tuple[np.ndarray, np
     return summed(np.concatenate([keys, *(k for k, _ in more)]), np.concatenate([n, *(m.astype(np.int64) for _, m in more)]))
 
 
-def answered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The costs for each row of a chunk and slot. The costs of the slot come first: their chunk is null."""
-    for slot, rows in by_key(batches, "slot", "chunk", "data"):
-        keys, cost = [], []
-        for _, chunk, data in rows:
-            if chunk is None:
-                gaps, values, place = unpacked(data, np.uint64, np.float32, np.int32)
-                keys.append(np.cumsum(gaps, dtype=np.uint64))
-                cost.append(values[place])
-                continue
-            if len(keys) > 1:
-                keys, cost = [np.concatenate(keys)], [np.concatenate(cost)]
-            (gaps,) = unpacked(data, np.uint64)
-            values, place = np.unique(cost[0][np.searchsorted(keys[0], np.cumsum(gaps, dtype=np.uint64))], return_inverse=True)
-            own = packed(values, place.astype(np.int32))
-            columns = [pa.array([chunk]), pa.array([slot], pa.int32()), pa.array([own], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "slot", "data"])
-
-
 def matched(own: np.ndarray, text: np.ndarray, keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
     """Which of a piece's keys are in the sorted ``keys``, where these are, and the others as a list for each of ``n`` texts."""
     at = np.searchsorted(keys, own)
@@ -541,9 +555,8 @@ def scored(batches: Iterable[pa.RecordBatch], depth: int, slots: int, frequent)
         stream, length, row, ids, known, held, first, last = unpacked(
             texts, np.uint8, np.int64, np.int64, np.int64, bool, bool, bool, bool
         )
-        cost = np.concatenate([values[place] for values, place in (unpacked(data, np.float32, np.int32) for _, _, data in rows)])
         begin = np.concatenate([[0], np.cumsum(length)])
-        # Each block is sorted once; its different numbers make up those of the chunk, in the order of which the costs came.
+        # Each block is sorted once; its different numbers make up those of the chunk, and its slots the rows that were answered.
         sorted_blocks, keys = [], np.zeros(0, np.uint64)
         for i, j in blocks(length, BLOCK):
             own = _numbers(stream, begin, i, j, depth)
@@ -553,7 +566,11 @@ def scored(batches: Iterable[pa.RecordBatch], depth: int, slots: int, frequent)
             sorted_blocks.append((i, j, order, own[at], np.diff(np.append(at, len(own))).astype(np.uint32)))
             keys, _ = joined(keys, np.zeros(len(keys), np.int8), own[at], np.zeros(len(at), np.int8))
         in_order = np.empty(len(keys), np.float32)
-        in_order[by_slot(keys, slots)[0]] = cost
+        place, bounds = by_slot(keys, slots)
+        for _, slot, data in rows:
+            own = place[bounds[slot] : bounds[slot + 1]]
+            in_order[own] = read_answer(keys[own], data, depth)
+        del place
         for i, j, order, own, times in sorted_blocks:
             m, span = j - i, length[i:j]
             each = np.empty(len(order))
@@ -598,14 +615,9 @@ def score(
     stage = stage or Stage(spark)
     docs = tables.only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"))
     rows = stage.save(docs.mapInArrow(lambda batches: asked(batches, depth, slots, chunk, part_bytes), ASKED), "asked")
-    of_slots = rows.filter(F.col("slot") >= 0)
 
     model = train(rows, least_share)
     top = spark.sparkContext.broadcast(model)
-    of_slot = of_slots.select("slot", "data", "counts").repartition("slot").sortWithinPartitions("slot")
-    with tables.small_batches(spark, _VALUES):
-        made = stage.save(of_slot.mapInArrow(lambda batches: learnt(batches, depth, top), COSTS), "costs")
-
     own = rows.filter(F.col("slot") == WORDS).select("data").mapInArrow(counted, "key long, train long, whole long")
     own = stage.save(own.groupBy("key").agg(F.sum("train").alias("train"), F.sum("whole").alias("whole")), "words")
     tokens, distinct = own.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count_if(F.col("train") > 0)).first()
@@ -616,12 +628,10 @@ def score(
     order = np.argsort(keys)
     sent = spark.sparkContext.broadcast((keys[order], np.log10(known[order] + ADDED) - below, (known[order] > 0).astype(float)))
 
-    # Costs stand before the rows that ask for them, texts before the costs of their chunk.
-    none = F.lit(None).cast("long").alias("chunk")
-    meeting = made.select("slot", none, "part", "data").unionByName(of_slots.select("slot", "chunk", F.lit(0).alias("part"), "data"))
-    meeting = meeting.repartition("slot").sortWithinPartitions("slot", F.col("chunk").asc_nulls_first(), "part")
-    answers = meeting.select("slot", "chunk", "data").mapInArrow(answered, ANSWERED)
+    of_slot = rows.filter(F.col("slot") >= 0).repartition("slot").sortWithinPartitions("slot")
+    answers = of_slot.mapInArrow(lambda batches: learnt(batches, depth, top), ANSWERED)
     texts = rows.filter(F.col("slot") == TEXTS).select("chunk", "slot", "data")
+    # Texts stand before the costs of their chunk.
     meeting = texts.unionByName(answers).repartition("chunk").sortWithinPartitions("chunk", "slot")
     with tables.small_batches(spark, _VALUES):
         found = stage.save(meeting.mapInArrow(lambda batches: scored(batches, depth, slots, sent), SCORED), "scored")

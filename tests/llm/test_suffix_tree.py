@@ -174,6 +174,32 @@ def test_long_texts(documents):
     same(suffix_tree.score(documents(rows).coalesce(1), chunk=2000, part_bytes=700).collect(), whole)
 
 
+def test_answers_hold_each_cost_once():
+    """Numbers that are scored in the same context share a cost; contexts that go on with zeros, or with a length, are told apart."""
+    rng = np.random.default_rng(5)
+    for depth in (3, 5, 7):
+        bytes_of = rng.choice(np.array([0, 3, 4, 5, 6, 97, 98], np.uint8), (4000, 8))
+        bytes_of[:, depth:7] = 0
+        keys = np.unique(np.ascontiguousarray(bytes_of).view(">u8").ravel().astype(np.uint64))
+        length = rng.integers(2, depth + 1, len(keys)).astype(np.uint8)
+        told = [(int(n), int(k).to_bytes(8, "big")[:n], int(k) & 255) for k, n in zip(keys, length)]
+        each = {pair: cost for cost, pair in enumerate(sorted(set(told)))}
+        cost = np.array([each[pair] for pair in told], np.float32)
+        data = suffix_tree.answer(keys, cost, length, depth)
+        assert suffix_tree.read_answer(keys, data, depth).tolist() == cost.tolist()
+        assert len(suffix_tree.unpacked(data, np.uint8, np.float32)[1]) == len(each) < len(keys)
+
+
+def test_costs_are_not_stored(documents, stage, monkeypatch):
+    """Slots answer their rows at once: what was asked is shuffled once, and no table of costs is written. Control bytes score like others."""
+    saved, save = [], type(stage).save
+    monkeypatch.setattr(type(stage), "save", lambda self, table, name: saved.append(name) or save(self, table, name))
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choice("ab \x00\x03\x04\x05\x06") for _ in range(300))) for i in range(60)]
+    same(suffix_tree.score(documents(rows), stage, chunk=3000, slots=5).collect(), brute(rows, 7, 0.0))
+    assert sorted(saved) == ["asked", "scored", "words"]
+
+
 def test_cuts():
     for text in (b"", b"   ", b"abc", b" ab  cd ", b"a" * 30, b"ab " * 20 + b"  ", b"\n" * 25 + b"x" + b" " * 25 + b"y" * 25):
         parts = suffix_tree.cuts(np.frombuffer(text, np.uint8), 10)
