@@ -408,7 +408,7 @@ class Model:
 
 def train(asked_rows: DataFrame, least_share: float) -> Model:
     """The top of the tree from the counts of short runs, of which there are 2 ** 24 at most."""
-    rows = asked_rows.filter(F.col("slot") == SHORT).select("data").mapInArrow(counted_short, "key long, n long")
+    rows = asked_rows.filter((F.col("kind") == "whole") & (F.col("slot") == SHORT)).select("data").mapInArrow(counted_short, "key long, n long")
     found = rows.groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     codes, n = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy().astype(np.int64)
     order = np.argsort(codes)
@@ -614,11 +614,16 @@ def score(
     spark = docs.sparkSession
     stage = stage or Stage(spark)
     docs = tables.only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"))
-    rows = stage.save(docs.mapInArrow(lambda batches: asked(batches, depth, slots, chunk, part_bytes), ASKED), "asked")
+    # The rows of slots lie in a folder of their own, which goes when they are answered.
+    path = stage.path("asked")
+    rows = docs.mapInArrow(lambda batches: asked(batches, depth, slots, chunk, part_bytes), ASKED)
+    rows.withColumn("kind", F.when(F.col("slot") >= 0, "slots").otherwise("whole")).write.partitionBy("kind").parquet(path)
+    # A table without rows has neither folder.
+    rows = spark.read.schema(f"{ASKED}, kind string").parquet(path)
 
     model = train(rows, least_share)
     top = spark.sparkContext.broadcast(model)
-    own = rows.filter(F.col("slot") == WORDS).select("data").mapInArrow(counted, "key long, train long, whole long")
+    own = rows.filter((F.col("kind") == "whole") & (F.col("slot") == WORDS)).select("data").mapInArrow(counted, "key long, train long, whole long")
     own = stage.save(own.groupBy("key").agg(F.sum("train").alias("train"), F.sum("whole").alias("whole")), "words")
     tokens, distinct = own.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count_if(F.col("train") > 0)).first()
     below = math.log10(tokens + ADDED * (distinct + 1))
@@ -628,9 +633,12 @@ def score(
     order = np.argsort(keys)
     sent = spark.sparkContext.broadcast((keys[order], np.log10(known[order] + ADDED) - below, (known[order] > 0).astype(float)))
 
-    of_slot = rows.filter(F.col("slot") >= 0).repartition("slot").sortWithinPartitions("slot")
-    answers = of_slot.mapInArrow(lambda batches: learnt(batches, depth, top), ANSWERED)
-    texts = rows.filter(F.col("slot") == TEXTS).select("chunk", "slot", "data")
+    of_slot = rows.filter("kind = 'slots'").drop("kind").repartition("slot").sortWithinPartitions("slot")
+    with tables.small_batches(spark, _VALUES):
+        answers = stage.save(of_slot.mapInArrow(lambda batches: learnt(batches, depth, top), ANSWERED), "answers")
+    stage.drop(f"{path}/kind=slots")
+    rows = spark.read.schema(f"{ASKED}, kind string").parquet(path)
+    texts = rows.filter((F.col("kind") == "whole") & (F.col("slot") == TEXTS)).select("chunk", "slot", "data")
     # Texts stand before the costs of their chunk.
     meeting = texts.unionByName(answers).repartition("chunk").sortWithinPartitions("chunk", "slot")
     with tables.small_batches(spark, _VALUES):

@@ -47,8 +47,14 @@ class Stage:
 
     def remove(self) -> None:
         """Delete all tables of the run. What was read from them and not stored elsewhere is gone."""
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        self.drop(self.folder)
+
+    def drop(self, path: str) -> None:
+        """Delete a table of the run that no later step reads, by its path below the folder."""
+        if path != self.folder and not path.startswith(f"{self.folder}/"):
+            raise ValueError(f"{path} is not a table of this run")
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(found, True)
 
     def path(self, name: str) -> str:
         """A path below the folder that nothing else uses."""

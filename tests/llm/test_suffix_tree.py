@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -191,13 +192,18 @@ def test_answers_hold_each_cost_once():
 
 
 def test_costs_are_not_stored(documents, stage, monkeypatch):
-    """Slots answer their rows at once: what was asked is shuffled once, and no table of costs is written. Control bytes score like others."""
+    """Slots answer their rows at once: what was asked is shuffled once, and no table of costs is written; it is gone when it is answered.
+    Control bytes score like others."""
     saved, save = [], type(stage).save
     monkeypatch.setattr(type(stage), "save", lambda self, table, name: saved.append(name) or save(self, table, name))
     rng = random.Random(9)
     rows = [(i, "".join(rng.choice("ab \x00\x03\x04\x05\x06") for _ in range(300))) for i in range(60)]
     same(suffix_tree.score(documents(rows), stage, chunk=3000, slots=5).collect(), brute(rows, 7, 0.0))
-    assert sorted(saved) == ["asked", "scored", "words"]
+    assert sorted(saved) == ["answers", "scored", "words"]
+    (asked,) = (Path(stage.folder.removeprefix("file:"))).glob("asked-*")
+    assert [path.name for path in asked.glob("kind=*")] == ["kind=whole"]
+    with pytest.raises(ValueError):
+        stage.drop(str(asked.parent.parent))
 
 
 def test_cuts():
