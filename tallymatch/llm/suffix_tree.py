@@ -25,8 +25,8 @@ the tree is a stretch, with all longer contexts that end alike inside it.
 3. The answers to a chunk meet its symbols, and documents are summed up.
 
 So the shuffles carry differences of sorted numbers, once, and what differs among their costs, and hot contexts are
-merged before they move. A slot's arrays, and its rows as they came, compressed, are what a task holds; raise ``slots`` where a corpus has more different numbers than
-some 10 million for each.
+merged before they move. The arrays of one chunk, then a slot's arrays, and its rows as they came, compressed, are what a task holds; raise ``slots`` where a
+corpus has more different numbers than some 10 million for each.
 
 The base score needs the count of every word. Counts of the most frequent words, ``BROADCAST_WORDS`` at most, go to every
 task; the other words of a document meet the full table of counts in a shuffled join. No word of that kind can be frequent,
@@ -61,13 +61,16 @@ DISCOUNT = 0.8
 WEIGHT = 20.0
 BROADCAST_WORDS = 400_000
 ADDED = 0.1
-CHUNK = 32 << 20
-DIFFERENT = 5 << 19
+CHUNK = 16 << 20
+DIFFERENT = 23 << 17
 BLOCK = 1 << 20
 PART_BYTES = words.PIECE_BYTES
 SLOTS = 1024
 _ROWS = 1 << 20
+_MERGED = 1 << 17
 _VALUES = 256
+#: Rows of an Arrow batch: of texts, of words.
+_TEXTS, _WORDS = 1024, 1 << 16
 
 END = 10
 LOWER = np.arange(256, dtype=np.uint8)
@@ -89,7 +92,7 @@ def held_out(name: str = "doc_id") -> Column:
 
 def packed(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as one compressed value. Bytes of like weight stand together, which makes them shorter."""
-    planes = [np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in arrays]
+    planes = [np.ascontiguousarray(x).view(np.uint8)[k :: x.itemsize].tobytes() for x in arrays for k in range(x.itemsize)]
     whole = b"".join([np.array([len(x) for x in arrays], np.int64).tobytes(), *planes])
     return len(whole).to_bytes(8, "little") + pa.Codec("zstd", compression_level=level).compress(whole, asbytes=True)
 
@@ -99,9 +102,11 @@ def unpacked(data: bytes, *kinds: type) -> list[np.ndarray]:
     whole = np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True), np.uint8)
     at, out = 8 * len(kinds), []
     for n, kind in zip(whole[:at].view(np.int64).tolist(), map(np.dtype, kinds), strict=True):
-        planes = whole[at : at + n * kind.itemsize].reshape(kind.itemsize, n)
-        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
-        at += n * kind.itemsize
+        own = np.empty(n * kind.itemsize, np.uint8)
+        for k in range(kind.itemsize):
+            own[k :: kind.itemsize] = whole[at : at + n]
+            at += n
+        out.append(own.view(kind))
     return out
 
 
@@ -154,8 +159,8 @@ def sortable(run: np.ndarray) -> np.ndarray:
 def by_slot(keys: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
     """An order of the keys by slot, which goes by the newest three bytes of the context, and where each slot begins in it."""
     slot = np.empty(len(keys), np.uint16)
-    for at in range(0, len(keys), _ROWS):
-        slot[at : at + _ROWS] = words.mixed(keys[at : at + _ROWS] >> np.uint64(40)) % np.uint64(slots)
+    for at in range(0, len(keys), _MERGED):
+        slot[at : at + _MERGED] = words.mixed(keys[at : at + _MERGED] >> np.uint64(40)) % np.uint64(slots)
     bounds = np.concatenate([[0], np.cumsum(np.bincount(slot, minlength=slots))])
     return np.argsort(slot, kind="stable"), bounds
 
@@ -168,21 +173,56 @@ def summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[first], *(np.add.reduceat(n[order], first) if len(first) else n for n in counts)
 
 
+def firsts(values: np.ndarray) -> np.ndarray:
+    """Which of the sorted values differ from the one before."""
+    out = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=out[1:])
+    return out
+
+
 def different(values: np.ndarray) -> np.ndarray:
     """Each value once, in order."""
     values = np.sort(values)
-    return values[np.concatenate([[True], values[1:] != values[:-1]])[: len(values)]]
+    return values[firsts(values)]
 
 
 def joined(keys: np.ndarray, n: np.ndarray, more: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two sorted lists of keys as one, the counts of those in both added up."""
     at = np.searchsorted(keys, more)
-    both = np.zeros(len(more), bool)
-    both[at < len(keys)] = keys[at[at < len(keys)]] == more[at < len(keys)]
-    n = n.copy()
-    n[at[both]] += m[both]
-    at = at[~both]
-    return np.insert(keys, at, more[~both]), np.insert(n, at, m[~both])
+    new = np.ones(len(more), bool)
+    new[at < len(keys)] = keys[at[at < len(keys)]] != more[at < len(keys)]
+    at += np.cumsum(new) - new
+    old = np.ones(len(keys) + np.count_nonzero(new), bool)
+    old[at[new]] = False
+    out, sums = np.empty(len(old), keys.dtype), np.empty(len(old), n.dtype)
+    out[old], out[at] = keys, more
+    sums[old], sums[at[new]] = n, 0
+    sums[at] += m
+    return out, sums
+
+
+def merged(parts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sorted lists of different keys as one with each key once, and for each list where its keys are in it. One stretch of keys after the
+    other, so that little more than the lists and the result is held; empties ``parts``."""
+    cuts = max(parts, key=len)[_MERGED::_MERGED].copy()
+    ends = [np.append(np.searchsorted(part, cuts), len(part)) for part in parts]
+    places = [np.empty(len(part), np.uint32) for part in parts]
+    out, size, begins = [], 0, [0] * len(parts)
+    for stops in zip(*ends, strict=True):
+        keys = np.concatenate([part[at:end] for part, at, end in zip(parts, begins, stops, strict=True)])
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = firsts(keys)
+        to = np.empty(len(keys), np.uint32)
+        to[order] = np.cumsum(first) + (size - 1)
+        reach = 0
+        for place, at, end in zip(places, begins, stops, strict=True):
+            place[at:end] = to[reach : reach + end - at]
+            reach += end - at
+        out.append(keys[first])
+        size, begins = size + len(out[-1]), stops
+    parts.clear()
+    return np.concatenate(out), places
 
 
 def word_keys(found: words.Words) -> np.ndarray:
@@ -257,11 +297,16 @@ class Chunk:
         return stream[-self.depth :]
 
     def settle(self) -> None:
-        learnt, n = np.unique(np.concatenate(self.open[True]), return_counts=True)
-        self.keys, self.n = joined(self.keys, self.n, learnt, n.astype(np.int32))
-        other = different(np.concatenate(self.open[False]))
-        self.keys, self.n = joined(self.keys, self.n, other, np.zeros(len(other), np.int32))
+        learnt, other = np.concatenate(self.open[True]), np.concatenate(self.open[False])
         self.open, self.waiting = {True: [], False: []}, 0
+        learnt.sort()
+        at, size = np.flatnonzero(firsts(learnt)), len(learnt)
+        learnt, n = learnt[at], np.diff(at, append=size).astype(np.int32)
+        del at
+        other = different(other)
+        learnt, n = joined(learnt, n, other, np.zeros(len(other), np.int32))
+        del other
+        self.keys, self.n = joined(self.keys, self.n, learnt, n)
 
     @property
     def full(self) -> bool:
@@ -275,7 +320,9 @@ class Chunk:
         if self.waiting:
             self.settle()
         stream, length = np.concatenate(self.streams), np.concatenate(self.lengths)
+        self.streams = []
         texts = packed(stream, length, *(np.concatenate(x) for x in zip(*self.rows, strict=True)), level=7)
+        del stream, length
         keys, n = self.keys, self.n
         short, of_short = [], []
         for at in range(0, len(keys), _ROWS):
@@ -286,8 +333,8 @@ class Chunk:
         short, of_short = summed(np.concatenate(short), np.concatenate(of_short))
         word, whole, in_train = summed(*(np.concatenate(x) for x in zip(*self.words, strict=True)))
         yield table([TEXTS, WORDS, SHORT], [texts, packed(steps(word), in_train.astype(np.int32), whole.astype(np.int32)), packed(short, of_short)], [None] * 3)
-        del texts, stream, length, word, whole, in_train
-        self.streams, self.words = [], []
+        del texts, word, whole, in_train
+        self.words = []
         order, bounds = by_slot(keys, self.slots)
         full = np.flatnonzero(np.diff(bounds))
         for some in np.array_split(full, max(1, len(full) // 128)):
@@ -323,8 +370,10 @@ def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for data in _of(batch, "data").to_pylist():
             gaps, train, whole = unpacked(data, np.uint64, np.int32, np.int32)
-            columns = [np.cumsum(gaps, dtype=np.uint64).view(np.int64), train.astype(np.int64), whole.astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(column) for column in columns], names=["key", "train", "whole"])
+            keys = np.cumsum(gaps, dtype=np.uint64).view(np.int64)
+            for at in range(0, len(keys), _WORDS):
+                columns = [keys[at : at + _WORDS], *(n[at : at + _WORDS].astype(np.int64) for n in (train, whole))]
+                yield pa.RecordBatch.from_arrays([pa.array(column) for column in columns], names=["key", "train", "whole"])
 
 
 def counted_short(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -547,55 +596,88 @@ def _numbers(stream: np.ndarray, begin: np.ndarray, i: int, j: int, depth: int)
     return sortable(runs(stream[begin[i] : begin[j]], begin[i : j + 1] - begin[i], depth))
 
 
+def numbered(stream: np.ndarray, length: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers of a chunk, in order, and for each symbol where its number is among them.
+
+    Blocks are sorted one by one; those since the last merge wait for the next, with the places in their own numbers."""
+    begin = np.concatenate([[0], np.cumsum(length)])
+    place = np.empty(len(stream) - depth * len(length), np.uint32)
+    parts, bounds, size = [np.zeros(0, np.uint64)], [0, 0], 0
+
+    def merge() -> None:
+        nonlocal size
+        keys, places = merged(parts)
+        for to, at, end in zip(places, bounds, bounds[1:], strict=False):
+            for i in range(at, end, BLOCK):
+                own = place[i : min(i + BLOCK, end)]
+                own[:] = to[own]
+        parts[:], bounds[:], size = [keys], [0, bounds[-1]], 0
+
+    for i, j in blocks(length, BLOCK >> 1):
+        own = _numbers(stream, begin, i, j, depth)
+        order = np.argsort(own)
+        own = own[order]
+        first = firsts(own)
+        at = bounds[-1]
+        place[at : at + len(own)][order] = np.cumsum(first, dtype=np.uint32) - np.uint32(1)
+        bounds.append(at + len(own))
+        parts.append(own[first])
+        size += len(parts[-1])
+        del own, order, first
+        if size > max(BLOCK, len(parts[0])) // 2:
+            merge()
+    merge()
+    return parts[0], place
+
+
 def scored(batches: Iterable[pa.RecordBatch], depth: int, slots: int, frequent) -> Iterator[pa.RecordBatch]:
-    """The texts of a chunk, and parts of texts, from its symbols and their costs."""
-    word, logs, known_word = frequent.value
+    """The texts of all chunks, and parts of texts, from their symbols and the costs of these."""
     for _, rows in by_key(batches, "chunk", "slot", "data"):
-        _, _, texts = next(rows)
-        stream, length, row, ids, known, held, first, last = unpacked(
-            texts, np.uint8, np.int64, np.int64, np.int64, bool, bool, bool, bool
-        )
-        begin = np.concatenate([[0], np.cumsum(length)])
-        # Each block is sorted once; its different numbers make up those of the chunk, and its slots the rows that were answered.
-        sorted_blocks, keys = [], np.zeros(0, np.uint64)
-        for i, j in blocks(length, BLOCK):
-            own = _numbers(stream, begin, i, j, depth)
-            order = np.argsort(own).astype(np.uint32)
-            own = own[order]
-            at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])[: len(own)])
-            sorted_blocks.append((i, j, order, own[at], np.diff(np.append(at, len(own))).astype(np.uint32)))
-            keys, _ = joined(keys, np.zeros(len(keys), np.int8), own[at], np.zeros(len(at), np.int8))
-        in_order = np.empty(len(keys), np.float32)
-        place, bounds = by_slot(keys, slots)
-        for _, slot, data in rows:
-            own = place[bounds[slot] : bounds[slot + 1]]
-            in_order[own] = read_answer(keys[own], data, depth)
-        del place
-        for i, j, order, own, times in sorted_blocks:
-            m, span = j - i, length[i:j]
-            each = np.empty(len(order))
-            each[order] = np.repeat(in_order[np.searchsorted(keys, own)], times)
-            score = np.bincount(np.repeat(np.arange(m), span - depth), -each, m)
-            # The symbols before a part belong to another one.
-            symbols_of, begins = stream[begin[i] : begin[j]].copy(), begin[i : j + 1] - begin[i]
-            for at in begins[:-1][~first[i:j]]:
-                symbols_of[at : at + depth] = END
-            found = words.Words(symbols_of, begins)
-            ends = np.flatnonzero(last[i:j])
-            own = np.concatenate([word_keys(found), np.full(len(ends), END_KEY, np.uint64)])
-            text = np.concatenate([found.text_of_word(), ends])
-            hit, at, rare = matched(own, text, word, m)
-            columns = [
-                pa.array(row[i:j]),
-                pa.array(ids[i:j], mask=~known[i:j]),
-                pa.array(held[i:j]),
-                pa.array(found.counts.astype(np.int64) + last[i:j]),
-                pa.array(np.bincount(text[hit], known_word[at], m).astype(np.int64)),
-                pa.array(np.bincount(text[hit], logs[at], m)),
-                pa.array(score),
-                rare,
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=[field.split()[0] for field in SCORED.split(", ")])
+        yield from scored_chunk(rows, depth, slots, *frequent.value)
+
+
+def scored_chunk(rows: Iterator[list], depth: int, slots: int, word: np.ndarray, logs: np.ndarray, known_word: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Those of one chunk, all of whose arrays are gone before the next one's are made."""
+    _, _, texts = next(rows)
+    stream, length, row, ids, known, held, first, last = unpacked(
+        texts, np.uint8, np.int64, np.int64, np.int64, bool, bool, bool, bool
+    )
+    del texts
+    begin = np.concatenate([[0], np.cumsum(length)])
+    # The different numbers of a slot make up the row that was answered.
+    keys, place = numbered(stream, length, depth)
+    cost = np.empty(len(keys), np.float32)
+    order, bounds = by_slot(keys, slots)
+    for _, slot, data in rows:
+        own = order[bounds[slot] : bounds[slot + 1]]
+        cost[own] = read_answer(keys[own], data, depth)
+    del order, keys
+    at = 0
+    for i, j in blocks(length, BLOCK >> 2):
+        m, span = j - i, length[i:j]
+        to = at + int(span.sum()) - depth * m
+        score = np.bincount(np.repeat(np.arange(m), span - depth), -cost[place[at:to]], m)
+        at = to
+        # The symbols before a part belong to another one.
+        symbols_of, begins = stream[begin[i] : begin[j]].copy(), begin[i : j + 1] - begin[i]
+        for k in begins[:-1][~first[i:j]]:
+            symbols_of[k : k + depth] = END
+        found = words.Words(symbols_of, begins)
+        ends = np.flatnonzero(last[i:j])
+        own = np.concatenate([word_keys(found), np.full(len(ends), END_KEY, np.uint64)])
+        text = np.concatenate([found.text_of_word(), ends])
+        hit, known_at, rare = matched(own, text, word, m)
+        columns = [
+            pa.array(row[i:j]),
+            pa.array(ids[i:j], mask=~known[i:j]),
+            pa.array(held[i:j]),
+            pa.array(found.counts.astype(np.int64) + last[i:j]),
+            pa.array(np.bincount(text[hit], known_word[known_at], m).astype(np.int64)),
+            pa.array(np.bincount(text[hit], logs[known_at], m)),
+            pa.array(score),
+            rare,
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=[field.split()[0] for field in SCORED.split(", ")])
 
 
 def score(
@@ -617,7 +699,8 @@ def score(
     # The rows of slots lie in a folder of their own, which goes when they are answered.
     path = stage.path("asked")
     rows = docs.mapInArrow(lambda batches: asked(batches, depth, slots, chunk, part_bytes), ASKED)
-    rows.withColumn("kind", F.when(F.col("slot") >= 0, "slots").otherwise("whole")).write.partitionBy("kind").parquet(path)
+    with tables.small_batches(spark, _TEXTS):
+        rows.withColumn("kind", F.when(F.col("slot") >= 0, "slots").otherwise("whole")).write.partitionBy("kind").parquet(path)
     # A table without rows has neither folder.
     rows = spark.read.schema(f"{ASKED}, kind string").parquet(path)
 

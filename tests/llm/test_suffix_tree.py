@@ -3,9 +3,11 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -206,6 +208,55 @@ def test_costs_are_not_stored(documents, stage, monkeypatch):
         stage.drop(str(asked.parent.parent))
 
 
+def test_merged_lists(monkeypatch):
+    """Lists of keys as one, stretch by stretch, and the counts of two."""
+    monkeypatch.setattr(suffix_tree, "_MERGED", 16)
+    rng = np.random.default_rng(6)
+    for sizes in ([0], [0, 0], [300], [0, 40, 1], [500, 200, 0, 333], [16, 17, 1000]):
+        lists = [np.unique(rng.integers(0, 900, size).astype(np.uint64)) for size in sizes]
+        keys, places = suffix_tree.merged(list(lists))
+        assert keys.tolist() == np.unique(np.concatenate(lists)).tolist()
+        assert all(keys[place].tolist() == own.tolist() for place, own in zip(places, lists, strict=True))
+        counts = [np.arange(1, len(own) + 1, dtype=np.int32) for own in (lists[0], lists[-1])]
+        keys, n = suffix_tree.joined(lists[0], counts[0], lists[-1], counts[1])
+        whole = Counter(dict(zip(lists[0].tolist(), counts[0].tolist())))
+        whole.update(dict(zip(lists[-1].tolist(), counts[1].tolist())))
+        assert dict(zip(keys.tolist(), n.tolist())) == whole and keys.tolist() == sorted(whole)
+
+
+def test_memory_of_chunks(monkeypatch):
+    """Scoring holds the arrays of one chunk, not of two, and its different numbers about twice."""
+    monkeypatch.setattr(suffix_tree, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = np.random.default_rng(3)
+    size, n = 3 << 20, 2500
+    data = rng.integers(97, 123, 2 * size + (size >> 2), np.uint8)
+    data[::8] = 32
+    texts = [bytes(data[at : at + n]).decode() for at in range(0, len(data), n)]
+    columns = [pa.array(np.arange(len(texts))), pa.array(texts), pa.array(np.zeros(len(texts), bool))]
+    batch = pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "held_out"])
+    answers = []
+    for found in suffix_tree.asked([batch], 7, 16, size, 1 << 20):
+        for row in found.to_pylist():
+            if row["slot"] >= 0:
+                keys = np.cumsum(suffix_tree.unpacked(row["data"], np.uint64)[0], dtype=np.uint64)
+                row["data"] = suffix_tree.answer(keys, np.full(len(keys), 0.5, np.float32), np.full(len(keys), 7, np.uint8), 7)
+            if row["slot"] >= suffix_tree.TEXTS:
+                answers.append({name: row[name] for name in ("chunk", "slot", "data")})
+    assert len({row["chunk"] for row in answers}) >= 2
+    answers.sort(key=lambda row: (row["chunk"], row["slot"]))
+    batches = [pa.RecordBatch.from_pylist([row]) for row in answers]
+    frequent = SimpleNamespace(value=(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)))
+    tracemalloc.start(1)
+    rows, score = 0, 0.0
+    for found in suffix_tree.scored(batches, 7, 16, frequent):
+        rows, score = rows + found.num_rows, score + float(np.sum(found.column(6).to_numpy()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(texts)
+    assert score == -0.5 * sum(len(string(text)) for text in texts)
+    assert peak < 42 * size
+
+
 def test_cuts():
     for text in (b"", b"   ", b"abc", b" ab  cd ", b"a" * 30, b"ab " * 20 + b"  ", b"\n" * 25 + b"x" + b" " * 25 + b"y" * 25):
         parts = suffix_tree.cuts(np.frombuffer(text, np.uint8), 10)
